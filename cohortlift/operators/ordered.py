@@ -29,21 +29,22 @@ def value_bucket(x: Column, resolution: int = 1 << 18) -> Column:
     return F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(resolution)).cast("bigint")
 
 
-def _chunked(df: DataFrame, chunk: Column) -> DataFrame:
-    return df.withColumn("_chunk", chunk)
+def with_chunk(df: DataFrame, chunk: Column | str) -> DataFrame:
+    """Add ``_chunk``; the chunk is a column or an SQL expression."""
+    return df.withColumn("_chunk", F.expr(chunk) if isinstance(chunk, str) else chunk)
 
 
 def positions(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | str,
     out: str = "position",
     total: str | None = None,
 ) -> DataFrame:
     """1-based row number of every row in its group, and the group size if asked for."""
     keys = list(keys)
-    base = _chunked(df, chunk)
+    base = with_chunk(df, chunk)
     per_chunk = base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     before = F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
@@ -76,7 +77,7 @@ def dense_index(df: DataFrame, column: str, out: str = "idx", salt: str = "") ->
 
 def _neighbour(df, keys, order, chunk, columns, prefix, forward) -> DataFrame:
     keys = list(keys)
-    base = _chunked(df, chunk)
+    base = with_chunk(df, chunk)
     record = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
     rank = F.struct(*order)
     edge = F.min_by(record, rank) if forward else F.max_by(record, rank)
@@ -97,7 +98,7 @@ def with_previous(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | str,
     columns: Sequence[str],
     prefix: str = "prev_",
 ) -> DataFrame:
@@ -109,7 +110,7 @@ def with_next(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunk: Column | str,
     columns: Sequence[str],
     prefix: str = "next_",
 ) -> DataFrame:
@@ -121,7 +122,7 @@ def running_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    chunk: Column,
+    chunk: Column | str,
     sums: dict[str, str],
 ) -> DataFrame:
     """Running totals including the current row; ``chunk`` must rise along ``order``.
@@ -129,7 +130,7 @@ def running_sums(
     Rows must be unique on keys + order, or the running value of tied rows is arbitrary.
     """
     keys = list(keys)
-    base = _chunked(df, chunk)
+    base = with_chunk(df, chunk)
     per_chunk = base.groupBy(*keys, "_chunk").agg(
         *[F.sum(src).alias(f"_s_{out}") for out, src in sums.items()]
     )
@@ -156,7 +157,7 @@ def forward_fill(
 ) -> DataFrame:
     """Carry the last non-NULL value forward in the stated source order."""
     keys = list(keys)
-    base = _chunked(df, chunk_of(position, width))
+    base = with_chunk(df, chunk_of(position, width))
     known = F.col(column).isNotNull()
     tails = base.groupBy(*keys, "_chunk").agg(
         F.max_by(column, F.when(known, F.col(position))).alias("_tail")
