@@ -107,11 +107,21 @@ def keyword_count(text: Column, keyword: str) -> Column:
     return F.regexp_count(F.lower(text), F.lit(re.escape(keyword.lower()))).cast("bigint")
 
 
-def keyword_snippets(text: Column, keyword: str, radius: int, keep: int = 4) -> Column:
-    """First ``keep`` hits with up to ``radius`` characters of context, whitespace squeezed.
+def keyword_snippets(
+    text: Column, keyword: str, before: int, after: int, keep: int = 4
+) -> Column:
+    """Context of the first ``keep`` hits, case-insensitive, whitespace squeezed.
 
-    Hits are taken left to right and do not overlap: the context is part of the match.
+    Hits do not overlap; their contexts may. Characters are counted in the text as stored.
     """
-    pattern = rf"(?is)(.{{0,{radius}}}{re.escape(keyword)}.{{0,{radius}}})"
-    hits = F.slice(F.regexp_extract_all(text, F.lit(pattern), 1), 1, keep)
-    return F.transform(hits, lambda h: F.trim(F.regexp_replace(h, r"\s+", " ")))
+    word = F.lit(keyword.lower())
+    size = len(keyword)
+    low = F.lower(text)
+    hits, start = [], F.lit(1)
+    for _ in range(keep):
+        at = F.nullif(F.call_function("locate", word, low, start), F.lit(0))
+        lo = F.greatest(at - before, F.lit(1))
+        piece = F.substring(text, lo, at + size + after - lo)
+        hits.append(F.when(at.isNotNull(), F.regexp_replace(piece, r"\s+", " ")))
+        start = at + size
+    return F.array_compact(F.array(*hits))

@@ -1,4 +1,9 @@
 """All registered queries; importing a module registers its rows."""
 
-from cohortlift.plans import profile_queries, signal_queries  # noqa: F401
+from cohortlift.plans import (  # noqa: F401
+    evaluation_queries,
+    prep_queries,
+    profile_queries,
+    signal_queries,
+)
 from cohortlift.plans.registry import ORACLES, QUERIES  # noqa: F401
