@@ -1,6 +1,7 @@
 """All registered queries; importing a module registers its rows."""
 
 from cohortlift.plans import (  # noqa: F401
+    embedding_queries,
     evaluation_queries,
     prep_queries,
     profile_queries,
