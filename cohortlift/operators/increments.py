@@ -11,10 +11,10 @@ from cohortlift.functions.cleaning import hash_int
 from cohortlift.operators.metrics import (
     error_statistics,
     ranking_from_counts,
-    regression_from_statistics,
     total_squares,
 )
 from cohortlift.operators.ordered import positions
+from cohortlift.sources.tables import staged
 
 PREDS = {"_base": "pred_base", "_comb": "pred_comb"}
 
@@ -40,9 +40,7 @@ def _improvements() -> list[Column]:
 DELTAS = ("delta_mae_pb", "delta_rmse_pb", "delta_r2_rep")
 
 
-def regression_increment(pairs: DataFrame, by: Sequence[str], group: str, y: str) -> DataFrame:
-    """Observed deltas. ``pairs``: by, group, y, pred_base, pred_comb."""
-    stats = error_statistics(pairs, by, group, y, PREDS)
+def observed_from_statistics(stats: DataFrame, by: Sequence[str]) -> DataFrame:
     return stats.groupBy(*by).agg(
         F.sum("n").cast("bigint").alias("n_rows"),
         F.count(F.lit(1)).alias("n_groups"),
@@ -50,6 +48,11 @@ def regression_increment(pairs: DataFrame, by: Sequence[str], group: str, y: str
     )
 
 
+def regression_increment(pairs: DataFrame, by: Sequence[str], group: str, y: str) -> DataFrame:
+    """Observed deltas. ``pairs``: by, group, y, pred_base, pred_comb."""
+    return observed_from_statistics(error_statistics(pairs, by, group, y, PREDS), by)
+
+
 def _indexed(stats: DataFrame, by: Sequence[str], group: str) -> DataFrame:
     """0-based place of each group among its comparison's groups, in md5 order, and their number."""
     by = list(by)
@@ -76,23 +79,34 @@ def _draws(indexed: DataFrame, by: Sequence[str], replicates: int, seed: int) ->
     return spread.select(*by, "replicate", pick.alias("_idx"))
 
 
-def bootstrap_replicates(
-    pairs: DataFrame, by: Sequence[str], group: str, y: str, replicates: int, seed: int
+def group_statistics(pairs: DataFrame, by: Sequence[str], group: str, y: str) -> DataFrame:
+    """Per comparison and group: error statistics of both sides and the group's draw index.
+
+    The only pass over the rows; written once, since the observed deltas and the draws both
+    start from it.
+    """
+    return staged(_indexed(error_statistics(pairs, by, group, y, PREDS), by, group), "group-stats")
+
+
+def replicates_from_statistics(
+    stats: DataFrame, by: Sequence[str], replicates: int, seed: int
 ) -> DataFrame:
     """Deltas of every participant-cluster bootstrap replicate.
 
-    Rows are reduced to group statistics once. A draw is a join of one number to those
-    statistics, and a group drawn twice counts as two groups; no row is ever copied.
+    A draw is a join of one number to the group statistics, and a group drawn twice counts as
+    two groups; no row is ever copied.
     """
-    by = list(by)
-    if not by:
-        pairs = pairs.withColumn("_one", F.lit(1))
-        return bootstrap_replicates(pairs, ["_one"], group, y, replicates, seed).drop("_one")
-    stats = _indexed(error_statistics(pairs, by, group, y, PREDS), by, group)
-    drawn = _draws(stats, by, replicates, seed).join(stats.drop(group, "_groups"), [*by, "_idx"])
+    kept = ["n", "my", "vy", *[f"{k}{s}" for s in PREDS for k in ("ae", "se")]]
+    drawn = _draws(stats, by, replicates, seed).join(stats.select(*by, "_idx", *kept), [*by, "_idx"])
     return drawn.groupBy(*by, "replicate").agg(*_improvements())
 
 
+def bootstrap_replicates(
+    pairs: DataFrame, by: Sequence[str], group: str, y: str, replicates: int, seed: int
+) -> DataFrame:
+    return replicates_from_statistics(group_statistics(pairs, by, group, y), by, replicates, seed)
+
+
 def intervals(replicates: DataFrame, by: Sequence[str], deltas: Sequence[str]) -> DataFrame:
     """Percentile interval, share above zero and number of usable replicates per delta.
 
@@ -114,8 +128,9 @@ def regression_increment_table(
 ) -> DataFrame:
     """Observed deltas beside their bootstrap intervals."""
     by = list(by)
-    boot = bootstrap_replicates(pairs, by, group, y, replicates, seed)
-    return regression_increment(pairs, by, group, y).join(intervals(boot, by, DELTAS), by)
+    stats = group_statistics(pairs, by, group, y)
+    boot = replicates_from_statistics(stats, by, replicates, seed)
+    return observed_from_statistics(stats, by).join(intervals(boot, by, DELTAS), by)
 
 
 # --- probability outcomes ---------------------------------------------------------------------
@@ -170,13 +185,14 @@ def probability_bootstrap(
     by = list(by)
     both = probability_sides(pairs)
     keys = [*by, "side"]
-    groups = _indexed(both.select(*by, group).distinct(), by, group)
+    losses = staged(probability_statistics(both, keys, group, y, "prob"), "group-losses")
+    groups = staged(_indexed(losses.select(*by, group).distinct(), by, group), "group-index")
     drawn = _draws(groups, by, replicates, seed)
     weights = drawn.groupBy(*by, "replicate", "_idx").agg(
         F.count(F.lit(1)).cast("double").alias("_w")
     )
     weights = weights.join(groups.drop("_groups"), [*by, "_idx"]).drop("_idx")
-    losses = probability_statistics(both, keys, group, y, "prob").join(weights, [*by, group])
+    losses = losses.join(weights, [*by, group])
     w, n = F.col("_w"), F.col("n")
     balanced = losses.groupBy(*keys, "replicate").agg(
         (F.sum(w * F.col("brier") / n) / F.sum(w)).alias("brier_pb"),
@@ -245,10 +261,3 @@ def alignment_robustness(
             ]
     both = F.count_distinct("anchor")
     return increments.groupBy(*by).agg(both.alias("_n"), *out).where("_n = 2").drop("_n")
-
-
-__all__ = [
-    "DELTAS", "RANK_DELTAS", "alignment_robustness", "bootstrap_replicates", "fold_increments",
-    "intervals", "probability_bootstrap", "probability_increment", "probability_sides",
-    "regression_from_statistics", "regression_increment", "regression_increment_table",
-]

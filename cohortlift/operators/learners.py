@@ -1,14 +1,35 @@
-"""Placeholder until the learners land."""
+"""Learners: fold-local preprocessing, Spark ML models, and thousands of linear fits at once.
+
+Nested cross-validation asks for tens of thousands of small linear fits. One Spark job per fit
+would be all scheduling, so linear models are fitted from per-group sums of products: the rows
+are read once, a training set is a sum over its groups, and the fits of a fold are one small
+task. Tree and logistic models go to Spark ML, one distributed fit each.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elastic-net grid.
+from cohortlift.operators.embeddings import dot, mean_vector, sum_vector
+from cohortlift.operators.ordered import exact_quantiles
+from cohortlift.operators.sets import best_candidate
+from cohortlift.sources.tables import staged
+
+# Search grids and budgets.
 ELASTIC_GRID = {"alpha": [0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.1, 0.5, 0.9]}
+LOGISTIC_GRID = {"penalty": ["l1", "l2"], "c": [0.01, 0.1, 1.0, 10.0]}
+BOOSTING_GRID = {"step": [0.03, 0.08], "leaves": [7, 15]}
+BOOSTING_ROUNDS = 250
+ELASTIC_ITERATIONS = 30_000
+LOGISTIC_ITERATIONS = 10_000
 
 
 def task_grid(units: DataFrame, *axes: Mapping[str, Sequence]) -> DataFrame:
@@ -18,3 +39,400 @@ def task_grid(units: DataFrame, *axes: Mapping[str, Sequence]) -> DataFrame:
         for name, values in axis.items():
             out = out.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
     return out
+
+
+# --- fold-local preprocessing -------------------------------------------------------------------
+def fit_preprocessing(
+    train: DataFrame, sets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str]
+) -> DataFrame:
+    """Medians, means and population deviations after imputation, modes and categories per set.
+
+    ``sets`` names the training set of each row. One output row per set.
+    """
+    sets = list(sets)
+    long = train.unpivot(sets, list(numeric), "_col", "_v")
+    by = [*sets, "_col"]
+    moments = long.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count("_v").alias("_m"),
+        F.avg("_v").alias("_avg"),
+        F.var_pop("_v").alias("_var"),
+    )
+    filled = moments.join(exact_quantiles(long, by, "_v", {"_med": 0.5}), by, "left")
+    share = F.col("_m") / F.col("_n")
+    gap = F.col("_avg") - F.col("_med")
+    stats = filled.select(
+        *by,
+        F.coalesce("_med", F.lit(0.0)).alias("median"),
+        F.coalesce(F.col("_med") + share * gap, F.lit(0.0)).alias("mean"),
+        F.sqrt(
+            F.coalesce(share * F.col("_var") + share * (1 - share) * gap * gap, F.lit(0.0))
+        ).alias("sd"),
+    )
+    wide = stats.groupBy(*sets).agg(
+        *[
+            F.max(F.when(F.col("_col") == c, F.struct("median", "mean", "sd"))).alias(f"_num_{c}")
+            for c in numeric
+        ]
+    )
+    if not categorical:
+        return wide
+    counts = (
+        train.unpivot(sets, list(categorical), "_col", "_v")
+        .where("_v IS NOT NULL")
+        .groupBy(*by, "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    # categories are few by nature; counts have one row per category
+    levels = counts.groupBy(*sets).agg(
+        *[
+            F.array_sort(F.collect_list(F.when(F.col("_col") == c, F.col("_v")))).alias(f"_cat_{c}")
+            for c in categorical
+        ],
+        *[
+            F.min(
+                F.when(F.col("_col") == c, F.struct((-F.col("_n")).alias("_n"), F.col("_v")))
+            )["_v"].alias(f"_mode_{c}")
+            for c in categorical
+        ],
+    )
+    return wide.join(levels, sets, "left")
+
+
+def apply_preprocessing(
+    rows: DataFrame,
+    fitted: DataFrame,
+    sets: Sequence[str],
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    out: str = "features",
+) -> DataFrame:
+    """Imputed and standardised numbers, then one-hot categories; constant features left out.
+
+    A category unseen in training gives zeros.
+    """
+    joined = rows.join(fitted, list(sets))
+    parts = []
+    for c in numeric:
+        s = F.col(f"_num_{c}")
+        z = (F.coalesce(F.col(c).cast("double"), s["median"]) - s["mean"]) / s["sd"]
+        parts.append(F.when(s["sd"] > 0, F.array(z)).otherwise(F.array().cast("array<double>")))
+    for c in categorical:
+        parts.append(_one_hot(F.col(f"_cat_{c}"), F.coalesce(F.col(c), F.col(f"_mode_{c}"))))
+    made = joined.withColumn(out, F.concat(*parts))
+    return made.select(*rows.columns, out)
+
+
+def _one_hot(levels: Column, value: Column) -> Column:
+    hot = F.transform(levels, lambda k: F.coalesce((k == value).cast("double"), F.lit(0.0)))
+    return F.when(F.size(levels) > 1, hot).otherwise(F.array().cast("array<double>"))
+
+
+# --- Spark ML models ------------------------------------------------------------------------------
+def _assembled(df: DataFrame, features: str) -> DataFrame:
+    return df.withColumn("_vec", array_to_vector(F.col(features)))
+
+
+def fit_elastic_net(df: DataFrame, features: str, label: str, alpha: float, l1_ratio: float):
+    """Elastic net with the objective mse/2 + alpha*(l1*|b| + (1-l1)/2*b^2) on features as given.
+
+    Spark divides only the quadratic part by the label's deviation, so the label is scaled to
+    unit deviation and the two penalties are rebalanced; returns (model, sigma, mean), and
+    predictions are sigma * model + mean.
+    """
+    row = df.agg(F.stddev_pop(label).alias("s"), F.avg(label).alias("m")).first()
+    sigma, mean = row.s or 1.0, row.m
+    scaled = _assembled(df, features).withColumn("_y", (F.col(label) - mean) / sigma)
+    reg = alpha * l1_ratio / sigma + alpha * (1 - l1_ratio)
+    model = LinearRegression(
+        featuresCol="_vec", labelCol="_y", predictionCol="_p", standardization=False,
+        regParam=reg, elasticNetParam=(alpha * l1_ratio / sigma) / reg, maxIter=1000, tol=1e-10,
+    ).fit(scaled)
+    return model, sigma, mean
+
+
+def predict_elastic_net(fitted, df: DataFrame, features: str, out: str = "y_pred") -> DataFrame:
+    model, sigma, mean = fitted
+    scored = model.transform(_assembled(df, features))
+    return scored.withColumn(out, F.col("_p") * sigma + mean).drop("_vec", "_p")
+
+
+def logistic_params(penalty: str, c: float, n_rows: int) -> dict:
+    """Inverse strength C of a summed loss as Spark's penalty of a mean loss."""
+    return {"regParam": 1.0 / (c * n_rows), "elasticNetParam": 1.0 if penalty == "l1" else 0.0}
+
+
+def fit_logistic(df: DataFrame, features: str, label: str, penalty: str, c: float):
+    n = df.count()
+    return LogisticRegression(
+        featuresCol="_vec", labelCol=label, standardization=False, maxIter=LOGISTIC_ITERATIONS,
+        predictionCol="_p", probabilityCol="_prob", rawPredictionCol="_raw",
+        **logistic_params(penalty, c, n),
+    ).fit(_assembled(df, features))
+
+
+def predict_probability(model, df: DataFrame, features: str, out: str = "y_prob") -> DataFrame:
+    scored = model.transform(_assembled(df, features))
+    prob = vector_to_array("_prob")[1]
+    return scored.withColumn(out, prob).drop("_vec", "_p", "_prob", "_raw")
+
+
+def tree_depth(leaves: int) -> int:
+    """Depth of a full tree with at least as many leaves."""
+    return max(1, (leaves).bit_length())
+
+
+def fit_boosted(
+    df: DataFrame, features: str, label: str, step: float, leaves: int, min_leaf: int = 10,
+    rounds: int = BOOSTING_ROUNDS, binary: bool = False, seed: int = 42,
+):
+    """Gradient-boosted trees; depth stands in for the leaf count."""
+    kind = GBTClassifier if binary else GBTRegressor
+    extra = {"probabilityCol": "_prob", "rawPredictionCol": "_raw"} if binary else {}
+    return kind(
+        featuresCol="_vec", labelCol=label, predictionCol="_p", maxIter=rounds, stepSize=step,
+        maxDepth=tree_depth(leaves), minInstancesPerNode=min_leaf, seed=seed,
+        checkpointInterval=-1, **extra,
+    ).fit(_assembled(df, features))
+
+
+def predict_value(model, df: DataFrame, features: str, out: str = "y_pred") -> DataFrame:
+    return model.transform(_assembled(df, features)).withColumnRenamed("_p", out).drop("_vec")
+
+
+# --- tuning ---------------------------------------------------------------------------------------
+def select_candidates(
+    fold_scores: DataFrame, task: Sequence[str], params: str, score: str, lower_is_better: bool = True
+) -> DataFrame:
+    """Mean score of every candidate over the inner folds, then the best one per task."""
+    task = list(task)
+    means = fold_scores.groupBy(*task, params).agg(
+        F.avg(score).alias("inner_score"), F.count(score).alias("n_inner_folds")
+    )
+    return best_candidate(means, task, "inner_score", params, lower_is_better)
+
+
+# --- nested elastic net ---------------------------------------------------------------------------
+def candidates(grid: Mapping[str, Sequence] = ELASTIC_GRID) -> list[tuple[float, float, str]]:
+    """(alpha, l1_ratio, sorted-key JSON text) of every grid point."""
+    return [
+        (a, r, f'{{"alpha": {a}, "l1_ratio": {r}}}')
+        for a in grid["alpha"]
+        for r in grid["l1_ratio"]
+    ]
+
+
+def design(
+    df: DataFrame, numeric: Sequence[str], categorical: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """Observed values and missing marks as two arrays of one length (``obs``, ``miss``).
+
+    A missing number is 0 with mark 1; the median of whatever training set is in force is put in
+    later, by algebra. A category is one indicator per level, all marked when it is missing.
+    """
+    obs, miss = [], []
+    for c in numeric:
+        obs.append(F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+        miss.append(F.col(c).isNull().cast("double"))
+    for c, levels in categorical.items():
+        for level in levels:
+            obs.append(F.coalesce((F.col(c) == level).cast("double"), F.lit(0.0)))
+            miss.append(F.col(c).isNull().cast("double"))
+    return df.withColumn("obs", F.array(*obs)).withColumn("miss", F.array(*miss))
+
+
+def group_products(rows: DataFrame, group: str, y: str) -> DataFrame:
+    """Per group: the sum of v v' over its rows, v = (1, obs, miss, y), as one flat array."""
+    v = F.concat(F.array(F.lit(1.0)), "obs", "miss", F.array(F.col(y).cast("double")))
+    made = rows.select(group, v.alias("_v"))
+    outer = F.flatten(F.transform("_v", lambda a: F.transform("_v", lambda b: a * b)))
+    return made.groupBy(group).agg(sum_vector(outer).alias("products"))
+
+
+def fill_values(
+    rows: DataFrame,
+    inner: DataFrame,
+    group: str,
+    numeric: Sequence[str],
+    categorical: Mapping[str, Sequence[str]],
+    incomplete: Sequence[str],
+    n_inner: int,
+) -> DataFrame:
+    """Imputation value of every design column for every training set.
+
+    A training set is (repeat, outer_fold, inner_fold): the outer training rows without that
+    inner fold, or all of them for inner_fold 0. Only ``incomplete`` columns cost a pass.
+    """
+    sets = ["repeat", "outer_fold", "inner_fold"]
+    others = F.filter(F.sequence(F.lit(0), F.lit(n_inner)), lambda f: f != F.col("own"))
+    members = inner.select(group, "repeat", "outer_fold", F.col("inner_fold").alias("own"))
+    members = members.withColumn("inner_fold", F.explode(others)).drop("own")
+    out = members.select(*sets).distinct()
+    low = [c for c in numeric if c in incomplete]
+    if low:
+        long = rows.unpivot([group], low, "_col", "_v").where("_v IS NOT NULL")
+        long = long.join(members, group)
+        med = exact_quantiles(long, [*sets, "_col"], "_v", {"_med": 0.5})
+        wide = med.groupBy(*sets).agg(
+            *[F.max(F.when(F.col("_col") == c, F.col("_med"))).alias(f"_f_{c}") for c in low]
+        )
+        out = out.join(wide, sets, "left")
+    cats = [c for c in categorical if c in incomplete]
+    if cats:
+        # one row per group and level before the training sets are spread
+        counts = rows.unpivot([group], cats, "_col", "_v").where("_v IS NOT NULL")
+        counts = counts.groupBy(group, "_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.join(members, group).groupBy(*sets, "_col", "_v").agg(F.sum("_n").alias("_n"))
+        mode = F.struct((-F.col("_n")).alias("_n"), F.col("_v"))
+        wide = counts.groupBy(*sets).agg(
+            *[F.min(F.when(F.col("_col") == c, mode))["_v"].alias(f"_f_{c}") for c in cats]
+        )
+        out = out.join(wide, sets, "left")
+    fills = [F.coalesce(F.col(f"_f_{c}"), F.lit(0.0)) if c in low else F.lit(0.0) for c in numeric]
+    for c, levels in categorical.items():
+        for level in levels:
+            hit = (F.col(f"_f_{c}") == level).cast("double") if c in cats else F.lit(0.0)
+            fills.append(F.coalesce(hit, F.lit(0.0)))
+    return out.select(*sets, F.array(*fills).alias("fill"))
+
+
+def soft_threshold_descent(c, d, alpha, l1_ratio, max_iter, tol):
+    """Cyclic coordinate descent for b'Cb/2 - d'b + alpha*(l1*|b|_1 + (1-l1)/2*|b|^2)."""
+    b = np.zeros(len(d))
+    live = [j for j in range(len(d)) if c[j, j] > 0]
+    for step in range(1, max_iter + 1):
+        moved = 0.0
+        for j in live:
+            g = d[j] - c[j] @ b + c[j, j] * b[j]
+            new = np.sign(g) * max(abs(g) - alpha * l1_ratio, 0.0)
+            new /= c[j, j] + alpha * (1.0 - l1_ratio)
+            moved = max(moved, abs(new - b[j]))
+            b[j] = new
+        if moved <= tol:
+            return b, step, True
+    return b, max_iter, False
+
+
+def standardised_moments(products: np.ndarray, fill: np.ndarray):
+    """Mean and scale of the imputed features, their correlations, and those with y."""
+    p = len(fill)
+    take = np.zeros((p + 2, 2 * p + 2))
+    take[0, 0] = take[p + 1, 2 * p + 1] = 1.0
+    for j in range(p):
+        take[j + 1, 1 + j], take[j + 1, 1 + p + j] = 1.0, fill[j]
+    g = take @ products.reshape(2 * p + 2, 2 * p + 2) @ take.T
+    n = g[0, 0]
+    mean = g[0] / n
+    cov = g / n - np.outer(mean, mean)
+    var = np.maximum(np.diag(cov)[1:-1], 0.0)
+    sd = np.where(var > 1e-12, np.sqrt(var), 0.0)
+    safe = np.where(sd > 0, sd, 1.0)
+    keep = (sd > 0).astype(float)
+    corr = cov[1:-1, 1:-1] / np.outer(safe, safe) * np.outer(keep, keep)
+    with_y = cov[1:-1, -1] / safe * keep
+    return mean[1:-1], safe, mean[-1], corr, with_y
+
+
+FIT_SCHEMA = (
+    "repeat int, outer_fold int, inner_fold int, candidate int, params string, intercept double, "
+    "coef array<double>, fill array<double>, n_iter int, converged boolean"
+)
+
+
+def fit_all(
+    products: DataFrame,
+    inner: DataFrame,
+    fills: DataFrame,
+    group: str,
+    grid: Mapping[str, Sequence] = ELASTIC_GRID,
+    max_iter: int = ELASTIC_ITERATIONS,
+    tol: float = 1e-9,
+) -> DataFrame:
+    """Every candidate on every training set, one small task per outer fold."""
+    sets = ["repeat", "outer_fold", "inner_fold"]
+    own = inner.join(products, group).groupBy(*sets).agg(sum_vector(F.col("products")).alias("products"))
+    total = own.groupBy("repeat", "outer_fold").agg(sum_vector(F.col("products")).alias("_total"))
+    without = own.join(total, ["repeat", "outer_fold"]).select(
+        *sets, F.zip_with("_total", "products", lambda a, b: a - b).alias("products")
+    )
+    whole = total.select(
+        "repeat", "outer_fold", F.lit(0).alias("inner_fold"), F.col("_total").alias("products")
+    )
+    training = without.unionByName(whole).join(fills, sets)
+    points = candidates(grid)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in pdf.itertuples():
+            fill = np.asarray(row.fill, dtype=float)
+            mean, sd, mean_y, corr, with_y = standardised_moments(np.asarray(row.products), fill)
+            for k, (alpha, l1, text) in enumerate(points):
+                b, steps, ok = soft_threshold_descent(corr, with_y, alpha, l1, max_iter, tol)
+                coef = b / sd
+                out.append((
+                    row.repeat, row.outer_fold, row.inner_fold, k, text,
+                    float(mean_y - mean @ coef), coef.tolist(), fill.tolist(), steps, ok,
+                ))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
+
+    return training.groupBy("repeat", "outer_fold").applyInPandas(fit, FIT_SCHEMA)
+
+
+def imputed(fill: Column) -> Column:
+    """obs with the fill value wherever miss is marked."""
+    return F.zip_with("obs", F.zip_with("miss", fill, lambda m, f: m * f), lambda a, b: a + b)
+
+
+def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, y: str) -> DataFrame:
+    """Balanced MAE of every candidate on every inner fold.
+
+    The candidates of a fold sit in one array beside the row, so a row is not copied per
+    candidate: it yields one array of errors, averaged per group and then over groups.
+    """
+    sets = ["repeat", "outer_fold", "inner_fold"]
+    one = F.struct("candidate", "params", "intercept", "coef")
+    options = fits.where("inner_fold > 0").groupBy(*sets).agg(
+        F.array_sort(F.collect_list(one)).alias("options"), F.any_value("fill").alias("fill")
+    )
+    placed = rows.select(group, y, "obs", "miss").join(inner, group).join(options, sets)
+    x = placed.withColumn("_x", imputed(F.col("fill")))
+    errors = F.transform("options", lambda o: F.abs(F.col(y) - o["intercept"] - dot(F.col("_x"), o["coef"])))
+    per_group = x.withColumn("_e", errors).groupBy(*sets, group).agg(mean_vector(F.col("_e")).alias("_e"))
+    per_fold = per_group.groupBy(*sets).agg(mean_vector(F.col("_e")).alias("_e"))
+    long = per_fold.select(*sets, F.posexplode("_e").alias("candidate", "mae_pb"))
+    names = fits.select("candidate", "params").distinct()
+    return long.join(names, "candidate").drop("candidate")
+
+
+def nested_elastic_net(
+    rows: DataFrame,
+    outer: DataFrame,
+    inner: DataFrame,
+    row_id: str,
+    group: str,
+    y: str,
+    numeric: Sequence[str],
+    categorical: Mapping[str, Sequence[str]],
+    incomplete: Sequence[str] = (),
+    n_inner: int = 4,
+    grid: Mapping[str, Sequence] = ELASTIC_GRID,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tune on outer-training groups, refit, predict the held-out groups.
+
+    ``outer``: repeat, group, outer_fold. ``inner``: repeat, outer_fold, group, inner_fold (the
+    groups that train for that outer fold). Returns (fit log, selected parameters, predictions).
+    The fits are small and feed three outputs, so they are written once.
+    """
+    x = design(rows, numeric, categorical)
+    fills = fill_values(rows, inner, group, numeric, categorical, incomplete, n_inner)
+    products = staged(group_products(x, group, y), "products")
+    fits = staged(fit_all(products, inner, fills, group, grid), "fits")
+    task = ["repeat", "outer_fold"]
+    scores = inner_scores(x, inner, fits, group, y)
+    chosen = select_candidates(scores, task, "params", "mae_pb")
+    final = fits.where("inner_fold = 0").join(chosen, [*task, "params"])
+    test = x.select(row_id, group, y, "obs", "miss").join(outer, group)
+    scored = test.join(final, task)
+    pred = F.col("intercept") + dot(imputed(F.col("fill")), F.col("coef"))
+    predictions = scored.select(*task, row_id, group, y, pred.alias("y_pred"))
+    return fits, chosen, predictions

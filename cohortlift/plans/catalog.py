@@ -3,6 +3,7 @@
 from cohortlift.plans import (  # noqa: F401
     embedding_queries,
     evaluation_queries,
+    model_queries,
     prep_queries,
     profile_queries,
     signal_queries,

@@ -1,10 +1,8 @@
-"""Session helpers: a local session for tests and durable cuts of long lineages."""
+"""A local session for tests and the bench; clusters bring their own."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSession:
@@ -24,17 +22,3 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8") -> SparkSessi
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a session
-    that names none (tests, a laptop) gets a temporary one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortlift-"))
-    return df.checkpoint(eager=True)

@@ -26,6 +26,17 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     writer.parquet(path)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table that several later steps read: written once to the shared folder, read back.
+
+    Later plans start from files, so nothing upstream is computed twice, a lost executor only
+    costs a re-read, and the planner knows the true size when it chooses a join.
+    """
+    path = scratch_path(df.sparkSession, name)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_embeddings(
     df: DataFrame, path: str, row_id: str, vector: str, scalars: Sequence[str]
 ) -> None:
