@@ -87,6 +87,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
+def dot_n(a: Column, b: Column, n: int, unroll: int = 64) -> Column:
+    """Dot product of two arrays of known length; short ones are written out so they compile."""
+    if n > unroll:
+        return dot(a, b)
+    return sum((a[i] * b[i] for i in range(1, n)), a[0] * b[0])
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, NULL when either has no length."""
     x, y = doubles(a), doubles(b)

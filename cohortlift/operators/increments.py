@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import hash_int
+from cohortlift.operators.joining import lookup_side, spread_side
 from cohortlift.operators.metrics import (
     error_statistics,
     ranking_from_counts,
@@ -97,7 +98,8 @@ def replicates_from_statistics(
     two groups; no row is ever copied.
     """
     kept = ["n", "my", "vy", *[f"{k}{s}" for s in PREDS for k in ("ae", "se")]]
-    drawn = _draws(stats, by, replicates, seed).join(stats.select(*by, "_idx", *kept), [*by, "_idx"])
+    lookup = lookup_side(stats.select(*by, "_idx", *kept))
+    drawn = _draws(stats, by, replicates, seed).join(lookup, [*by, "_idx"])
     return drawn.groupBy(*by, "replicate").agg(*_improvements())
 
 
@@ -191,7 +193,8 @@ def probability_bootstrap(
     weights = drawn.groupBy(*by, "replicate", "_idx").agg(
         F.count(F.lit(1)).cast("double").alias("_w")
     )
-    weights = weights.join(groups.drop("_groups"), [*by, "_idx"]).drop("_idx")
+    weights = weights.join(lookup_side(groups.drop("_groups")), [*by, "_idx"]).drop("_idx")
+    weights = spread_side(weights)
     losses = losses.join(weights, [*by, group])
     w, n = F.col("_w"), F.col("n")
     balanced = losses.groupBy(*keys, "replicate").agg(

@@ -27,6 +27,26 @@ def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def lookup_side(table: DataFrame, limit: int = 500_000) -> DataFrame:
+    """A written (staged) lookup table, marked for how it may be joined.
+
+    Its rows are counted from the file footers: up to ``limit`` it is broadcast, beyond that it
+    is shuffled with the other side and hashed per partition. Without the mark the planner may
+    broadcast the *other* side, since it does not see how many rows an explode makes.
+    """
+    if table.count() <= limit:
+        return F.broadcast(table)
+    return table.hint("shuffle_hash")
+
+
+def spread_side(df: DataFrame) -> DataFrame:
+    """A side multiplied by explode: never broadcast, its size estimate is that of its source.
+
+    Sort-merge keeps the runtime skew splitting and spills.
+    """
+    return df.hint("merge")
+
+
 def one_to_one_left(
     left: DataFrame, right: DataFrame, keys: Sequence[str], suffixes: tuple[str, str]
 ) -> DataFrame:

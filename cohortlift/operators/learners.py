@@ -18,7 +18,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.operators.embeddings import dot, mean_vector, sum_vector
+from cohortlift.operators.embeddings import dot_n, sum_vector
+from cohortlift.operators.joining import spread_side
 from cohortlift.operators.ordered import exact_quantiles
 from cohortlift.operators.sets import best_candidate
 from cohortlift.sources.tables import staged
@@ -241,12 +242,26 @@ def design(
     return df.withColumn("obs", F.array(*obs)).withColumn("miss", F.array(*miss))
 
 
-def group_products(rows: DataFrame, group: str, y: str) -> DataFrame:
-    """Per group: the sum of v v' over its rows, v = (1, obs, miss, y), as one flat array."""
-    v = F.concat(F.array(F.lit(1.0)), "obs", "miss", F.array(F.col(y).cast("double")))
-    made = rows.select(group, v.alias("_v"))
-    outer = F.flatten(F.transform("_v", lambda a: F.transform("_v", lambda b: a * b)))
-    return made.groupBy(group).agg(sum_vector(outer).alias("products"))
+def group_products(rows: DataFrame, group: str, y: str, width: int) -> DataFrame:
+    """Per group: the sum of v v' over its rows, v = (1, obs, miss, y), as one flat array.
+
+    ``width`` is the length of obs; a narrow design is written out so that it compiles.
+    """
+    last = 2 * width + 1
+    if width > 10:
+        v = F.concat(F.array(F.lit(1.0)), "obs", "miss", F.array(F.col(y).cast("double")))
+        made = rows.select(group, v.alias("_v"))
+        outer = F.flatten(F.transform("_v", lambda a: F.transform("_v", lambda b: a * b)))
+        return made.groupBy(group).agg(sum_vector(outer).alias("products"))
+    cells = [F.lit(1.0), *[F.col("obs")[i] for i in range(width)],
+             *[F.col("miss")[i] for i in range(width)], F.col(y).cast("double")]
+    sums = {
+        (i, j): F.sum(cells[i] * cells[j]).alias(f"_{i}_{j}")
+        for i in range(last + 1) for j in range(i, last + 1)
+    }
+    summed = rows.groupBy(group).agg(*sums.values())
+    flat = [F.col(f"_{min(i, j)}_{max(i, j)}") for i in range(last + 1) for j in range(last + 1)]
+    return summed.select(group, F.array(*flat).alias("products"))
 
 
 def fill_values(
@@ -271,7 +286,7 @@ def fill_values(
     low = [c for c in numeric if c in incomplete]
     if low:
         long = rows.unpivot([group], low, "_col", "_v").where("_v IS NOT NULL")
-        long = long.join(members, group)
+        long = long.join(spread_side(members), group)
         med = exact_quantiles(long, [*sets, "_col"], "_v", {"_med": 0.5})
         wide = med.groupBy(*sets).agg(
             *[F.max(F.when(F.col("_col") == c, F.col("_med"))).alias(f"_f_{c}") for c in low]
@@ -282,7 +297,7 @@ def fill_values(
         # one row per group and level before the training sets are spread
         counts = rows.unpivot([group], cats, "_col", "_v").where("_v IS NOT NULL")
         counts = counts.groupBy(group, "_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        counts = counts.join(members, group).groupBy(*sets, "_col", "_v").agg(F.sum("_n").alias("_n"))
+        counts = counts.join(spread_side(members), group).groupBy(*sets, "_col", "_v").agg(F.sum("_n").alias("_n"))
         mode = F.struct((-F.col("_n")).alias("_n"), F.col("_v"))
         wide = counts.groupBy(*sets).agg(
             *[F.min(F.when(F.col("_col") == c, mode))["_v"].alias(f"_f_{c}") for c in cats]
@@ -378,16 +393,22 @@ def fit_all(
     return training.groupBy("repeat", "outer_fold").applyInPandas(fit, FIT_SCHEMA)
 
 
-def imputed(fill: Column) -> Column:
+def imputed(fill: Column, width: int) -> Column:
     """obs with the fill value wherever miss is marked."""
+    if width <= 32:
+        o, m = F.col("obs"), F.col("miss")
+        return F.array(*[o[i] + m[i] * fill[i] for i in range(width)])
     return F.zip_with("obs", F.zip_with("miss", fill, lambda m, f: m * f), lambda a, b: a + b)
 
 
-def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, y: str) -> DataFrame:
+def inner_scores(
+    rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, y: str, width: int,
+    n_candidates: int,
+) -> DataFrame:
     """Balanced MAE of every candidate on every inner fold.
 
     The candidates of a fold sit in one array beside the row, so a row is not copied per
-    candidate: it yields one array of errors, averaged per group and then over groups.
+    candidate: it yields one error column each, averaged per group and then over groups.
     """
     sets = ["repeat", "outer_fold", "inner_fold"]
     one = F.struct("candidate", "params", "intercept", "coef")
@@ -395,11 +416,18 @@ def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str,
         F.array_sort(F.collect_list(one)).alias("options"), F.any_value("fill").alias("fill")
     )
     placed = rows.select(group, y, "obs", "miss").join(inner, group).join(options, sets)
-    x = placed.withColumn("_x", imputed(F.col("fill")))
-    errors = F.transform("options", lambda o: F.abs(F.col(y) - o["intercept"] - dot(F.col("_x"), o["coef"])))
-    per_group = x.withColumn("_e", errors).groupBy(*sets, group).agg(mean_vector(F.col("_e")).alias("_e"))
-    per_fold = per_group.groupBy(*sets).agg(mean_vector(F.col("_e")).alias("_e"))
-    long = per_fold.select(*sets, F.posexplode("_e").alias("candidate", "mae_pb"))
+    x = placed.withColumn("_x", imputed(F.col("fill"), width))
+
+    def error(o: Column) -> Column:
+        return F.abs(F.col(y) - o["intercept"] - dot_n(F.col("_x"), o["coef"], width))
+
+    by_candidate = [f"_e{k}" for k in range(n_candidates)]
+    per_group = x.groupBy(*sets, group).agg(
+        *[F.avg(error(F.col("options")[k])).alias(c) for k, c in enumerate(by_candidate)]
+    )
+    per_fold = per_group.groupBy(*sets).agg(*[F.avg(c).alias(c) for c in by_candidate])
+    long = per_fold.unpivot(sets, by_candidate, "_c", "mae_pb")
+    long = long.withColumn("candidate", F.substring("_c", 3, 9).cast("int")).drop("_c")
     names = fits.select("candidate", "params").distinct()
     return long.join(names, "candidate").drop("candidate")
 
@@ -425,14 +453,15 @@ def nested_elastic_net(
     """
     x = design(rows, numeric, categorical)
     fills = fill_values(rows, inner, group, numeric, categorical, incomplete, n_inner)
-    products = staged(group_products(x, group, y), "products")
+    width = len(numeric) + sum(len(levels) for levels in categorical.values())
+    products = staged(group_products(x, group, y, width), "products")
     fits = staged(fit_all(products, inner, fills, group, grid), "fits")
     task = ["repeat", "outer_fold"]
-    scores = inner_scores(x, inner, fits, group, y)
+    scores = inner_scores(x, inner, fits, group, y, width, len(candidates(grid)))
     chosen = select_candidates(scores, task, "params", "mae_pb")
     final = fits.where("inner_fold = 0").join(chosen, [*task, "params"])
     test = x.select(row_id, group, y, "obs", "miss").join(outer, group)
     scored = test.join(final, task)
-    pred = F.col("intercept") + dot(imputed(F.col("fill")), F.col("coef"))
+    pred = F.col("intercept") + dot_n(imputed(F.col("fill"), width), F.col("coef"), width)
     predictions = scored.select(*task, row_id, group, y, pred.alias("y_pred"))
     return fits, chosen, predictions

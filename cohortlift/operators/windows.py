@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlift.operators.joining import spread_side
 from cohortlift.operators.ordered import positions, with_next, with_previous
 
 
@@ -94,7 +95,7 @@ def window_samples(
     last = F.floor((F.col("b") - 1) / width)
     spread = windows.withColumn("_bucket", F.explode(F.sequence(first, last)))
     placed = samples.withColumn("_bucket", F.floor(F.col(index) / width))
-    met = spread.join(placed, [*keys, "_bucket"])
+    met = spread_side(spread).join(placed, [*keys, "_bucket"])
     return met.where((F.col(index) >= F.col("a")) & (F.col(index) < F.col("b"))).drop("_bucket")
 
 
