@@ -112,7 +112,8 @@ def apply_preprocessing(
 
     A category unseen in training gives zeros.
     """
-    joined = rows.join(fitted, list(sets))
+    # one row per training set
+    joined = rows.join(F.broadcast(fitted), list(sets))
     parts = []
     for c in numeric:
         s = F.col(f"_num_{c}")
@@ -174,8 +175,8 @@ def fit_logistic(df: DataFrame, features: str, label: str, penalty: str, c: floa
 
 def predict_probability(model, df: DataFrame, features: str, out: str = "y_prob") -> DataFrame:
     scored = model.transform(_assembled(df, features))
-    prob = vector_to_array("_prob")[1]
-    return scored.withColumn(out, prob).drop("_vec", "_p", "_prob", "_raw")
+    made = [model.getProbabilityCol(), model.getRawPredictionCol(), model.getPredictionCol()]
+    return scored.withColumn(out, vector_to_array(made[0])[1]).drop("_vec", *made)
 
 
 def tree_depth(leaves: int) -> int:
@@ -189,11 +190,10 @@ def fit_boosted(
 ):
     """Gradient-boosted trees; depth stands in for the leaf count."""
     kind = GBTClassifier if binary else GBTRegressor
-    extra = {"probabilityCol": "_prob", "rawPredictionCol": "_raw"} if binary else {}
     return kind(
         featuresCol="_vec", labelCol=label, predictionCol="_p", maxIter=rounds, stepSize=step,
         maxDepth=tree_depth(leaves), minInstancesPerNode=min_leaf, seed=seed,
-        checkpointInterval=-1, **extra,
+        checkpointInterval=-1,
     ).fit(_assembled(df, features))
 
 

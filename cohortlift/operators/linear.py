@@ -123,7 +123,8 @@ def residual_vectors(
     df: DataFrame, coefficients: DataFrame, fold: str, context: Sequence[str], vector: str
 ) -> DataFrame:
     """Vector minus its context prediction under the coefficients of the row's held-out fold."""
-    joined = df.join(coefficients, fold)
+    # one row per fold
+    joined = df.join(F.broadcast(coefficients), fold)
     pred = F.col("intercept")
     for i, c in enumerate(context):
         x = F.col(c).cast("double")

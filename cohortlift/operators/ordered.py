@@ -62,19 +62,6 @@ def positions(
     return ranked.drop("_chunk", "_local", "_before", "_total")
 
 
-def dense_index(df: DataFrame, column: str, out: str = "idx", salt: str = "") -> DataFrame:
-    """0-based dense index over one-row-per-value tables, in md5 order of the value.
-
-    The md5 prefix is the chunk, so no task sees more than 1/4096 of the values.
-    """
-    tagged = df.withColumn("_one", F.lit(0)).withColumn(
-        "_h", F.md5(F.concat(F.lit(salt), F.col(column).cast("string")))
-    )
-    prefix = F.conv(F.substring(F.col("_h"), 1, 3), 16, 10).cast("bigint")
-    ranked = positions(tagged, ["_one"], ["_h", column], prefix, out="_pos")
-    return ranked.withColumn(out, F.col("_pos") - 1).drop("_one", "_h", "_pos")
-
-
 def _neighbour(df, keys, order, chunk, columns, prefix, forward) -> DataFrame:
     keys = list(keys)
     base = with_chunk(df, chunk)

@@ -9,7 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import near
+from cohortlift.operators.joining import lookup_side
 from cohortlift.operators.ordered import exact_quantiles, positions
+from cohortlift.sources.tables import staged
 
 
 def constant_profile(
@@ -295,7 +297,8 @@ def modal_irregularities(df: DataFrame, key: str, columns: Sequence[str]) -> Dat
     mode = freq.groupBy("column").agg(
         F.max_by("val", F.struct("n", -F.col("val"))).alias("modal_value")
     )
-    return long.join(mode, "column").where(F.col("val") != F.col("modal_value"))
+    # one row per column of the table
+    return long.join(F.broadcast(mode), "column").where(F.col("val") != F.col("modal_value"))
 
 
 def schema_inventory(df: DataFrame, key: str, columns: Sequence[str], examples: int) -> DataFrame:
@@ -326,7 +329,7 @@ def sampling_rates(
     rate = exact_quantiles(usable, keys, "_ratio", {"rate": 0.5})
     rate = rate.withColumn("rate_int", F.bround("rate").cast("bigint"))
     err = F.col(rows) / F.nullif(F.col("rate_int"), F.lit(0)) - F.col(duration)
-    timed = ratio.join(rate, list(keys)).withColumn("_err", err)
+    timed = ratio.join(lookup_side(staged(rate, "rates")), list(keys)).withColumn("_err", err)
     return timed.groupBy(*keys, "rate", "rate_int").agg(
         F.count(F.lit(1)).alias("n_trials"),
         F.min("_err").alias("error_min"),
@@ -439,7 +442,8 @@ def varying_sequences(df: DataFrame, keys: Sequence[str], value: str) -> DataFra
 
 
 def held_out_scale(
-    long: DataFrame, folds: DataFrame, keys: Sequence[str], group: str, tiny: float = 1e-10
+    long: DataFrame, folds: DataFrame, keys: Sequence[str], group: str, n_folds: int,
+    tiny: float = 1e-10,
 ) -> DataFrame:
     """Largest |z| of held-out rows under their training fold's median-imputed mean and std.
 
@@ -448,11 +452,8 @@ def held_out_scale(
     """
     keys = list(keys)
     placed = long.join(folds, group)
-    n_folds = folds.groupBy("repeat").agg(F.max("fold").alias("_k"))
-    train = placed.join(n_folds, "repeat").withColumn(
-        "test_fold",
-        F.explode(F.filter(F.sequence(F.lit(1), F.col("_k")), lambda f: f != F.col("fold"))),
-    )
+    others = F.filter(F.sequence(F.lit(1), F.lit(n_folds)), lambda f: f != F.col("fold"))
+    train = placed.withColumn("test_fold", F.explode(others))
     by = ["repeat", "test_fold", *keys]
     medians = exact_quantiles(train, by, "value", {"median": 0.5})
     sums = train.groupBy(*by).agg(

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlift.operators.joining import lookup_side
 from cohortlift.operators.ordered import (
     chunk_of,
     exact_quantiles,
     with_chunk,
     with_previous,
 )
+from cohortlift.sources.tables import staged
 
 FULL_QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p05": 0.05, "p95": 0.95}
 COMPACT_QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
@@ -143,7 +145,8 @@ def tail_multiples(
     base = F.when(F.col("abs_q999") > 0, F.col("abs_q999")).otherwise(
         F.greatest(F.col("abs_q50"), F.lit(1e-12))
     )
-    counts = sized.join(levels.withColumn("_base", base), keys).groupBy(
+    levels = lookup_side(staged(levels.withColumn("_base", base), "tail-levels"))
+    counts = sized.join(levels, keys).groupBy(
         *keys, "abs_q999", "_base"
     ).agg(*[F.count_if(F.col("_a") > F.col("_base") * m).alias(f"_m{i}") for i, m in enumerate(multiples)])
     rows = F.array(
@@ -164,9 +167,9 @@ def contiguous_runs(
 ) -> DataFrame:
     """Runs of consecutive index values: start, end and length of each.
 
-    ``index`` must be unique in its group. A run that crosses chunk borders is first cut into
-    one piece per chunk, then pieces that touch are joined, so only pieces are ever ordered
-    over the whole group.
+    ``index`` must be unique in its group. Runs are found inside chunks of the index; a run
+    that reaches a chunk border is joined to its neighbours there. Only those pieces, two per
+    chunk at most, are ever ordered over the whole group.
     """
     keys = list(keys)
     base = with_chunk(df, chunk_of(index, width))
@@ -176,6 +179,12 @@ def contiguous_runs(
         .groupBy(*keys, "_chunk", "_island")
         .agg(F.min(index).alias("_s"), F.max(index).alias("_e"))
     )
+    first = F.col("_chunk") * int(width)
+    at_border = (F.col("_s") == first) | (F.col("_e") == first + int(width) - 1)
+    inner = pieces.where(~at_border).select(
+        *keys, F.col("_s").alias("run_start"), F.col("_e").alias("run_end")
+    )
+    pieces = pieces.where(at_border)
     whole = W.partitionBy(*keys).orderBy("_s")
     fresh = F.coalesce((F.col("_s") != F.lag("_e").over(whole) + 1).cast("int"), F.lit(1))
     runs = pieces.withColumn("_fresh", fresh).withColumn(
@@ -184,7 +193,7 @@ def contiguous_runs(
     out = runs.groupBy(*keys, "_run").agg(
         F.min("_s").alias("run_start"), F.max("_e").alias("run_end")
     )
-    return out.select(
+    return out.drop("_run").unionByName(inner).select(
         *keys,
         "run_start",
         "run_end",

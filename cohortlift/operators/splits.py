@@ -32,7 +32,8 @@ def _bucketed(groups: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     """Hash bucket of each group; one bucket as long as a split has at most ``limit`` groups."""
     totals = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("_groups"))
     buckets = F.greatest(F.ceil(F.col("_groups") / limit), F.lit(1))
-    placed = groups.join(totals, list(keys))
+    # one row per split, so its size is set by repeats, folds and attempts, never by the data
+    placed = groups.join(F.broadcast(totals), list(keys))
     return placed.withColumn("_bucket", F.pmod(hash_int(F.lit("bucket"), "grp"), buckets).cast("int"))
 
 

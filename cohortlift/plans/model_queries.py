@@ -62,6 +62,7 @@ def flow_predictions(spark, sf_dir):
     folds = tables.staged(sp.shuffled_folds(groups, ["repeat"], 5).select("repeat", "grp", "fold"), "folds")
     placed = u.join(folds, "grp")
     line = ln.leave_fold_out_line(placed, ["repeat", "task"], "fold", "x", "y")
+    line = tables.staged(line, "lines")
     scored = placed.join(line, ["repeat", "task", "fold"])
     shift = F.col("slope") * (F.col("x") - F.col("mean_x"))
     return scored.select(
@@ -229,6 +230,7 @@ def l6(spark, sf_dir):
     u = u.withColumn("inner_fold", ((F.col("grp") * 3) % 4 + 1).cast("int"))
     train = rs.outer_training_rows(u, "outer", 5)
     line = ln.leave_fold_out_line(train, ["outer_fold", "task"], "inner_fold", "x", "y")
+    line = tables.staged(line, "lines")
     scored = train.join(line, ["outer_fold", "task", "inner_fold"])
     shrink = [0.0, 0.25, 0.5, 1.0]
     gap = F.col("slope") * (F.col("x") - F.col("mean_x"))
@@ -338,6 +340,7 @@ def r3(spark, sf_dir):
     """Held-out context prediction plus the residual the sensor predicts."""
     u, train = residual_training(spark, sf_dir)
     corrector = rs.residual_corrector(train, ["outer_fold", "task"], "x", "y")
+    corrector = tables.staged(corrector, "corrector")
     test = u.withColumn("outer_fold", F.col("fold"))
     done = rs.corrected_predictions(test, corrector, ["outer_fold", "task"], "x")
     return done.select("row_id", "grp", "task", "y", "outer_fold", "pred_base", "pred_comb")

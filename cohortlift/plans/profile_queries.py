@@ -572,7 +572,7 @@ def a40(spark, sf_dir):
     long = anchored(spark, sf_dir).select("anchor", "feature", "grp", "value")
     groups = long.select("grp").distinct().withColumn("repeat", fx.explode_of(1, 2))
     folds = groups.withColumn("fold", ((F.col("grp") * 7 + F.col("repeat") * 3) % 5 + 1).cast("int"))
-    return pf.held_out_scale(long, folds, ["anchor", "feature"], "grp")
+    return pf.held_out_scale(long, folds, ["anchor", "feature"], "grp", 5)
 
 
 @query(

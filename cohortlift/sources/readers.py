@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import clean_numeric
@@ -70,24 +70,41 @@ def wanted_columns(tables: Sequence[DataFrame], wanted: Sequence[str]) -> DataFr
 def read_tolerant_csv(
     spark: SparkSession, root: str, wanted: Sequence[str], sep: str = ","
 ) -> DataFrame:
-    """CSV files below ``root`` whose headers differ, cut to the wanted columns.
+    """CSV files below ``root`` whose headers differ, cut to the wanted columns, as text.
 
-    Headers are the first line of each file's first block; files are then read once per
-    distinct header, so the driver only sees one row per header and the file names Spark
-    lists anyway. Adds ``source_file``.
+    A file's header is the first line of its first block. Lines meet the header of their file
+    in a join, and each wanted column is taken from the place that header gives it, so any
+    number of files and headers is one plan; the driver only learns the widest header. Adds
+    ``source_file``.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(root)
-    first = lines.where("_metadata.file_block_start = 0").groupBy(
-        F.col("_metadata.file_path").alias("file")
-    ).agg(F.min_by("value", F.monotonically_increasing_id()).alias("header"))
-    headers = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()
-    tables = []
-    for row in sorted(headers, key=lambda r: r.header):
-        names = [h.strip().strip('"') for h in row.header.split(sep)]
-        schema = ", ".join(f"`{n}` string" for n in names)
-        t = spark.read.schema(schema).option("header", "true").option("sep", sep).csv(row.files)
-        tables.append(t.withColumn("source_file", F.col("_metadata.file_path")))
-    return wanted_columns(tables, [*wanted, "source_file"])
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).select(
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+    )
+    headers = lines.where("_start = 0").groupBy("source_file").agg(
+        F.min_by("value", "_id").alias("_header")
+    )
+    width = headers.agg(F.max(F.size(F.split("_header", f"[{sep}]")))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def parts(c: str) -> Column:
+        cells = F.from_csv(F.col(c), F.lit(schema), {"sep": sep})
+        return F.array(*[cells[f"c{i}"] for i in range(width)])
+
+    met = lines.join(headers, "source_file").where(F.col("value") != F.col("_header"))
+    met = met.withColumn("_cells", parts("value")).withColumn(
+        "_names", F.transform(parts("_header"), lambda h: F.trim(h))
+    )
+    place = [F.array_position("_names", F.lit(c)) for c in wanted]
+    return met.select(
+        *[
+            F.when(at > 0, F.get("_cells", (at - 1).cast("int"))).alias(c)
+            for c, at in zip(wanted, place)
+        ],
+        "source_file",
+    )
 
 
 def preview(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
