@@ -310,6 +310,7 @@ def residual_training(spark, sf_dir):
     f"WITH {RESID_SQL} SELECT row_id, outer_fold, inner_fold, context_pred FROM rt",
     ["signals"],
     ["context_pred"],
+    digits=7,
 )
 def r1(spark, sf_dir):
     """Context prediction of training rows from the other inner folds."""
@@ -323,6 +324,7 @@ def r1(spark, sf_dir):
     f"WITH {RESID_SQL} SELECT row_id, outer_fold, residual FROM rt",
     ["signals"],
     ["residual"],
+    digits=7,
 )
 def r2(spark, sf_dir):
     """Outcome minus its cross-fitted context prediction."""
