@@ -530,13 +530,16 @@ def path_anomalies(files: DataFrame, path: str, folder: str, name: str) -> DataF
 
 
 def cross_task_differences(
-    df: DataFrame, participant: str, task: str, fields: Sequence[str], atol: float = 1e-9
+    df: DataFrame, participant: str, task: str, fields: Sequence[str], first: str, second: str,
+    atol: float = 1e-9,
 ) -> DataFrame:
-    """Participants whose median of a field differs between two of their tasks."""
-    long = df.unpivot([participant, task], list(fields), "field", "val")
+    """Participants whose median of a field differs between two named tasks."""
+    two = df.where(F.col(task).isin(first, second))
+    long = two.unpivot([participant, task], list(fields), "field", "val")
     med = exact_quantiles(long, [participant, task, "field"], "val", {"median": 0.5})
-    other = med.select(
-        participant, "field", F.col(task).alias("other_task"), F.col("median").alias("other_median")
+    wide = med.groupBy(participant, "field").agg(
+        F.max(F.when(F.col(task) == first, F.col("median"))).alias("first_median"),
+        F.max(F.when(F.col(task) == second, F.col("median"))).alias("second_median"),
     )
-    pairs = med.join(other, [participant, "field"]).where(F.col(task) < F.col("other_task"))
-    return pairs.where(~near("median", "other_median", atol))
+    known = F.col("first_median").isNotNull() & F.col("second_median").isNotNull()
+    return wide.where(known & ~near("first_median", "second_median", atol))

@@ -286,6 +286,28 @@ def v2_fits(spark, sf_dir):
     return fit_rollup(fits, ["params"])
 
 
+@query("l7_nested_logistic")
+def l7_logistic(spark, sf_dir):
+    """Out-of-fold probabilities of a logistic model tuned on average precision (two candidates)."""
+    from cohortlift.operators import nested as ns
+
+    u = units(spark, sf_dir).withColumn("label", (F.col("y") >= 60).cast("double"))
+    groups = sp.with_seeds(sp.group_sizes(u, "grp"), 42, 10000, 1)
+    outer = sp.shuffled_folds(groups, ["repeat"], 2).select(
+        "repeat", "grp", F.col("fold").alias("outer_fold")
+    )
+    outer = tables.staged(outer, "outer-folds")
+    inner = outer.select(
+        "repeat", "grp", (3 - F.col("outer_fold")).alias("outer_fold"),
+        (F.pmod(F.hash("grp"), F.lit(2)) + 1).alias("inner_fold"),
+    )
+    return ns.nested_models(
+        u, outer, inner, "row_id", "grp", "label", ["x", "n_samples"], ["task"],
+        ns.logistic_candidates("label", {"penalty": ["l1", "l2"], "c": [1.0]}),
+        ns.average_precision, tables.scratch_path(spark, "oof"), lower_is_better=False,
+    )
+
+
 # --- residual correction --------------------------------------------------------------------------
 RESID_SQL = f"""{UNIT_SQL}, u AS (SELECT *, ((grp * 7 + 3) % 5 + 1)::INT AS fold, ((grp * 3) % 4 + 1)::INT AS inner_fold FROM units),
   tr AS (SELECT u.*, f AS outer_fold FROM u, (SELECT unnest([1, 2, 3, 4, 5])::INT AS f) WHERE fold <> f),

@@ -868,17 +868,19 @@ def j12(spark, sf_dir):
 
 @query(
     "j13_cross_task_pairs",
-    """WITH m AS (SELECT o_custkey, o_orderpriority AS task, max(o_totalprice) AS top FROM orders GROUP BY ALL)
-    SELECT a.o_custkey, a.task, b.task AS other_task, a.top, b.top AS other_top FROM m a JOIN m b
-      ON a.o_custkey = b.o_custkey AND a.task < b.task""",
+    """SELECT o_custkey, max(o_totalprice) FILTER (WHERE o_orderpriority = '1-URGENT') AS first_top,
+      max(o_totalprice) FILTER (WHERE o_orderpriority = '5-LOW') AS second_top FROM orders GROUP BY o_custkey
+    HAVING first_top IS NOT NULL AND second_top IS NOT NULL""",
 )
 def j13(spark, sf_dir):
-    """Two tasks of the same participant compared, after reduction to one row per task."""
-    m = fx.table(spark, sf_dir, "orders").groupBy(
-        "o_custkey", F.col("o_orderpriority").alias("task")
-    ).agg(F.max("o_totalprice").alias("top"))
-    other = m.select("o_custkey", F.col("task").alias("other_task"), F.col("top").alias("other_top"))
-    return m.join(other, "o_custkey").where("task < other_task")
+    """Two tasks of the same participant side by side, in one grouping instead of a self-join."""
+    def top(task):
+        return F.max(F.when(F.col("o_orderpriority") == task, F.col("o_totalprice")))
+
+    both = fx.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        top("1-URGENT").alias("first_top"), top("5-LOW").alias("second_top")
+    )
+    return both.where("first_top IS NOT NULL AND second_top IS NOT NULL")
 
 
 # --- order and sets ---------------------------------------------------------------------------

@@ -228,3 +228,30 @@ def test_recovery_keeps_converged_fits(spark):
     best = spark.createDataFrame([(1, 1.6)], "task int, selected_score double")
     row = au.recovery_against_selected(merged, best, ["task"], 2).first()
     assert (row.recovered_score, row.n_reruns, row.beats_selected, row.complete) == (1.5, 1, True, True)
+
+
+def test_nested_logistic_resumes(spark, panel, tmp_path):
+    from cohortlift.operators import nested as ns
+
+    df = panel[0].withColumn("label", (F.col("y") > -5).cast("double"))
+    outer = df.select("grp").distinct().select(
+        F.lit(1).alias("repeat"), "grp", (F.col("grp") % 2 + 1).cast("int").alias("outer_fold")
+    )
+    inner = outer.withColumn("outer_fold", 3 - F.col("outer_fold")).withColumn(
+        "inner_fold", (F.floor(F.col("grp") / 2) % 2 + 1).cast("int")
+    )
+    models = ns.logistic_candidates("label", {"penalty": ["l2"], "c": [0.01, 10.0]})
+    path = str(tmp_path / "oof")
+
+    def go(some):
+        return ns.nested_models(
+            df, some, inner, "row_id", "grp", "label", ["a", "b"], [], models,
+            ns.average_precision, path, lower_is_better=False,
+        )
+
+    go(outer.where("outer_fold = 1"))
+    done = go(outer).toPandas()
+    assert len(done) == 240 and done.row_id.is_unique and set(done.outer_fold) == {1, 2}
+    assert set(done.params) <= set(models) and done.pred.between(0, 1).all()
+    auc = brute_ranking(done.label, done.pred)[1]
+    assert auc > 0.7
