@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import near
@@ -89,6 +89,34 @@ def paired_sides(
     return wide.where("pred_base IS NOT NULL AND pred_comb IS NOT NULL")
 
 
+def paired_averages(
+    predictions: DataFrame,
+    keys: Sequence[str],
+    side: str,
+    base: str,
+    combined: str,
+    value: str,
+    carry: Sequence[str],
+    repeats: int,
+) -> DataFrame:
+    """Repeated predictions averaged and both sides paired in one grouping of the rows.
+
+    A side that is there at all must hold exactly ``repeats`` predictions, or the job fails.
+    """
+    def average(name: str) -> Column:
+        mine = F.when(F.col(side) == name, F.col(value))
+        n = F.count(mine)
+        wrong = F.raise_error(F.lit(f"a row lacks its {repeats} out-of-fold predictions"))
+        return F.when((n == repeats) | (n == 0), F.avg(mine)).otherwise(wrong)
+
+    wide = predictions.where(F.col(side).isin(base, combined)).groupBy(*keys).agg(
+        average(base).alias("pred_base"),
+        average(combined).alias("pred_comb"),
+        *[F.any_value(c).alias(c) for c in carry],
+    )
+    return wide.where("pred_base IS NOT NULL AND pred_comb IS NOT NULL")
+
+
 def paired_with_stored(
     stored: DataFrame, fresh: DataFrame, keys: Sequence[str], value: str
 ) -> DataFrame:

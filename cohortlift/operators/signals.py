@@ -21,63 +21,88 @@ FULL_QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75, "p05": 0.05, "p95": 0
 COMPACT_QUANTILES = {"median": 0.5, "q25": 0.25, "q75": 0.75}
 
 
-def rank_slope(
-    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column | str,
-    out: str = "slope",
+def chunk_moments(
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column | str
 ) -> DataFrame:
-    """Trend over the rank of the valid samples, spread evenly on [-0.5, 0.5].
+    """Mean, population std, rms, range, rank slope and valid share of groups of any size.
+
+    One pass: inside a chunk of the order column every valid sample gets its local rank, the
+    chunk is reduced to one row, and the chunk rows of a group are folded together.
 
-    With t = rank/(n-1) - 0.5 the mean of t is zero, so the slope is sum(x t) / sum(t^2) and
-    sum(x t) only needs, per chunk, n, sum(x) and sum(x * local rank).
+    The slope is the trend over the rank of the valid samples spread evenly on [-0.5, 0.5]. With
+    t = rank/(n-1) - 0.5 the mean of t is zero, so it is sum(x t) / sum(t^2), and sum(x t) only
+    needs, per chunk, n, sum(x) and sum(x * local rank). The variance is folded from chunk means
+    and variances, not from raw squares.
     """
     keys = list(keys)
-    valid = with_chunk(df.where(F.col(value).isNotNull()), chunk)
-    local = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order)) - 1
+    x = F.col(value)
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
+    rank = F.count(x).over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)) - 1
     parts = (
-        valid.withColumn("_r", local)
+        with_chunk(df, chunk)
+        .withColumn("_r", rank)
         .groupBy(*keys, "_chunk")
         .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum(value).alias("_sx"),
-            F.sum(F.col(value) * F.col("_r")).alias("_sxr"),
+            F.count(F.lit(1)).alias("_rows"),
+            F.count(x).alias("_n"),
+            F.avg(x).alias("_avg"),
+            F.var_pop(x).alias("_var"),
+            F.sum(x * x).alias("_sq"),
+            F.min(x).alias("_min"),
+            F.max(x).alias("_max"),
+            F.sum(x).alias("_sx"),
+            F.sum(x * F.col("_r")).alias("_sxr"),
         )
     )
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    whole = W.partitionBy(*keys)
+    earlier = whole.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
+        "_mean", F.sum("_sx").over(whole) / F.nullif(F.sum("_n").over(whole), F.lit(0))
+    )
+    gap = F.col("_avg") - F.col("_mean")
     total = parts.groupBy(*keys).agg(
         F.sum("_n").cast("double").alias("_n"),
+        F.sum("_rows").alias("_rows"),
+        F.any_value("_mean").alias("_mean"),
+        F.sum(F.col("_n") * (F.col("_var") + gap * gap)).alias("_ss"),
+        F.sum("_sq").alias("_sq"),
+        (F.max("_max") - F.min("_min")).alias("range"),
         F.sum("_sx").alias("_sx"),
         F.sum(F.col("_sxr") + F.col("_off") * F.col("_sx")).alias("_sxr"),
     )
     n = F.col("_n")
+    known = F.nullif(n, F.lit(0.0))
     numerator = F.col("_sxr") / (n - 1) - F.col("_sx") * 0.5
     spread = n * (n + 1) / (12 * (n - 1))
-    return total.select(*keys, F.when(n > 1, numerator / spread).alias(out))
+    return total.select(
+        *keys,
+        F.col("_mean").alias("mean"),
+        F.sqrt(F.col("_ss") / known).alias("std"),
+        F.sqrt(F.col("_sq") / known).alias("rms"),
+        "range",
+        F.when(n > 1, numerator / spread).alias("slope"),
+        (n / F.col("_rows")).alias("valid_fraction"),
+    )
+
+
+def rank_slope(
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column | str,
+    out: str = "slope",
+) -> DataFrame:
+    """The rank slope alone, of groups with a valid sample."""
+    moments = chunk_moments(df, keys, value, order, chunk).where("valid_fraction > 0")
+    return moments.select(*keys, F.col("slope").alias(out))
 
 
 def channel_summary(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    order: Sequence[str],
-    chunk: Column | str,
+    df: DataFrame, keys: Sequence[str], value: str, order: Sequence[str], chunk: Column | str
 ) -> DataFrame:
     """Mean, population std, five quantiles, rms, range, rank slope and valid share per group.
 
     A group without a valid sample keeps its row: statistics NULL, valid share 0.
     """
-    keys = list(keys)
-    x = F.col(value)
-    moments = df.groupBy(*keys).agg(
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"),
-        F.sqrt(F.avg(x * x)).alias("rms"),
-        (F.max(x) - F.min(x)).alias("range"),
-        (F.count(x) / F.count(F.lit(1))).alias("valid_fraction"),
-    )
-    quantiles = exact_quantiles(df, keys, value, FULL_QUANTILES)
-    slopes = rank_slope(df, keys, value, order, chunk)
-    return moments.join(quantiles, keys, "left").join(slopes, keys, "left")
+    moments = chunk_moments(df, keys, value, order, chunk)
+    return moments.join(exact_quantiles(df, keys, value, FULL_QUANTILES), list(keys), "left")
 
 
 def compact_summary(
@@ -85,18 +110,11 @@ def compact_summary(
 ) -> DataFrame:
     """The seven-statistic variant: quartiles folded to the interquartile range."""
     keys = list(keys)
-    x = F.col(value)
-    moments = df.groupBy(*keys).agg(
-        F.avg(x).alias("mean"),
-        F.stddev_pop(x).alias("std"),
-        F.sqrt(F.avg(x * x)).alias("rms"),
-        (F.max(x) - F.min(x)).alias("range"),
-    )
+    moments = chunk_moments(df, keys, value, order, chunk).drop("valid_fraction")
     quantiles = exact_quantiles(df, keys, value, COMPACT_QUANTILES).select(
         *keys, "median", (F.col("q75") - F.col("q25")).alias("iqr")
     )
-    slopes = rank_slope(df, keys, value, order, chunk)
-    return moments.join(quantiles, keys, "left").join(slopes, keys, "left")
+    return moments.join(quantiles, keys, "left")
 
 
 def muscle_extras(

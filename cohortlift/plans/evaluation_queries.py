@@ -405,9 +405,9 @@ CI_COLS = [f"{d}_{s}" for d in DELTAS for s in ("ci_low", "ci_high", "positive_s
 
 
 def pairs_of(spark, sf_dir):
-    return jn.paired_sides(
-        averaged(spark, sf_dir), ["anchor", "row_id"], "feature_set", "base", "comb", "y_pred_avg",
-        ["grp", "task", "y_true"],
+    return jn.paired_averages(
+        fx.predictions(spark, sf_dir), ["anchor", "row_id"], "feature_set", "base", "comb",
+        "y_pred", ["grp", "task", "y_true"], fx.REPEATS,
     )
 
 
