@@ -103,7 +103,7 @@ def cumulative_counts(counts: DataFrame, by: Sequence[str]) -> DataFrame:
     carried across, so one task never orders all scores."""
     falling = counts.withColumn("_f", -F.col("score"))
     out = running_sums(
-        falling, by, ["_f"], value_bucket(F.col("_f"), 1 << 10), {"tp": "pos", "fp": "neg"}
+        falling, by, ["_f"], value_bucket(F.col("_f"), 1 << 14), {"tp": "pos", "fp": "neg"}
     )
     return out.drop("_f")
 

@@ -25,8 +25,11 @@ def chunk_of(order: Column | str, width: float = CHUNK_WIDTH) -> Column:
 
 
 def value_bucket(x: Column, resolution: int = 1 << 18) -> Column:
-    """Monotone bucket of a double, logarithmic in size: narrow near any value it is asked for."""
-    return F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(resolution)).cast("bigint")
+    """Monotone bucket of a double, logarithmic in size: microvolts and megapascals alike fall
+    into buckets of the same relative width (1 / resolution); zero has a bucket of its own."""
+    # ln of the smallest positive double is above -746, so the bracket is always positive
+    scaled = F.signum(x) * (F.ln(F.abs(x)) + F.lit(746.0)) * F.lit(resolution)
+    return F.coalesce(F.floor(scaled), F.lit(0)).cast("bigint")
 
 
 def with_chunk(df: DataFrame, chunk: Column | str) -> DataFrame:
@@ -62,22 +65,34 @@ def positions(
     return ranked.drop("_chunk", "_local", "_before", "_total")
 
 
-def _neighbour(df, keys, order, chunk, columns, prefix, forward) -> DataFrame:
+def _neighbour(df, keys, order, chunk, columns, prefix, forward, place=None) -> DataFrame:
     keys = list(keys)
     base = with_chunk(df, chunk)
     record = F.struct(*[F.col(c).alias(f"{prefix}{c}") for c in columns])
     rank = F.struct(*order)
     edge = F.min_by(record, rank) if forward else F.max_by(record, rank)
-    edges = base.groupBy(*keys, "_chunk").agg(edge.alias("_edge"))
+    edges = base.groupBy(*keys, "_chunk").agg(edge.alias("_edge"), F.count(F.lit(1)).alias("_n"))
     by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     shift = F.lead if forward else F.lag
-    edges = edges.select(*keys, "_chunk", shift("_edge").over(by_chunk).alias("_carried"))
+    before = F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
+    edges = edges.select(
+        *keys,
+        "_chunk",
+        shift("_edge").over(by_chunk).alias("_carried"),
+        F.coalesce(before, F.lit(0)).alias("_before"),
+    )
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     out = base.withColumn("_rec", record).withColumn("_near", shift("_rec").over(inside))
+    extra = []
+    if place:
+        out = out.withColumn("_local", F.row_number().over(inside))
+        extra = [(F.col("_local") + F.col("_before")).cast("bigint").alias(place)]
     out = out.join(edges, [*keys, "_chunk"])
     picked = F.coalesce(F.col("_near"), F.col("_carried"))
     return out.withColumn("_pick", picked).select(
-        *df.columns, *[F.col(f"_pick.{prefix}{c}").alias(f"{prefix}{c}") for c in columns]
+        *df.columns,
+        *[F.col(f"_pick.{prefix}{c}").alias(f"{prefix}{c}") for c in columns],
+        *extra,
     )
 
 
@@ -88,9 +103,13 @@ def with_previous(
     chunk: Column | str,
     columns: Sequence[str],
     prefix: str = "prev_",
+    place: str | None = None,
 ) -> DataFrame:
-    """Attach the previous row's columns (NULL on the first row of the group)."""
-    return _neighbour(df, keys, order, chunk, columns, prefix, forward=False)
+    """Attach the previous row's columns (NULL on the first row of the group).
+
+    ``place`` names a column for the 1-based row number, which the same sort gives.
+    """
+    return _neighbour(df, keys, order, chunk, columns, prefix, False, place)
 
 
 def with_next(

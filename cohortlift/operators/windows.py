@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.operators.joining import spread_side
-from cohortlift.operators.ordered import positions, with_next, with_previous
+from cohortlift.operators.ordered import with_next, with_previous
 
 
 def exact_horizon_pairs(
@@ -37,8 +37,9 @@ def lag_one_interval(
 
     Adds ``interval_index``, the 1-based place of interval k in its trial.
     """
-    placed = positions(intervals, [trial], order, chunk, out="interval_index")
-    lagged = with_previous(placed, [trial], order, chunk, features, prefix=prefix)
+    lagged = with_previous(
+        intervals, [trial], order, chunk, features, prefix=prefix, place="interval_index"
+    )
     return lagged.where(F.col("interval_index") > 1)
 
 

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    root = root or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cohortlift-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:  # a laptop or a test
+        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="cohortlift-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
