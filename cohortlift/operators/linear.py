@@ -50,7 +50,8 @@ def leave_fold_out_line(
         F.sum(a * a).alias("_xx"),
     )
     t = training_sums(stats, by, fold, sums)
-    n, sx, sy = F.col("_n"), F.col("_x"), F.col("_y")
+    # a cell that one fold holds alone has no training rows: its line is missing
+    n, sx, sy = F.nullif(F.col("_n"), F.lit(0.0)), F.col("_x"), F.col("_y")
     sxx = F.col("_xx") - sx * sx / n
     sxy = F.col("_xy") - sx * sy / n
     return t.select(

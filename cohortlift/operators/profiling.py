@@ -324,7 +324,7 @@ def sampling_rates(
 
     ``trials`` has one row per stream key and trial.
     """
-    ratio = trials.withColumn("_ratio", F.col(rows) / F.col(duration))
+    ratio = trials.withColumn("_ratio", F.try_divide(rows, duration))
     usable = ratio.where(F.col("_ratio") > 0)
     rate = exact_quantiles(usable, keys, "_ratio", {"rate": 0.5})
     rate = rate.withColumn("rate_int", F.bround("rate").cast("bigint"))

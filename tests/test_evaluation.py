@@ -255,3 +255,13 @@ def test_nested_logistic_resumes(spark, panel, tmp_path):
     assert set(done.params) <= set(models) and done.pred.between(0, 1).all()
     auc = brute_ranking(done.label, done.pred)[1]
     assert auc > 0.7
+
+
+def test_line_without_training_rows_is_missing(spark):
+    from cohortlift.operators import linear as ln
+
+    rows = [("t", 1, 1.0, 2.0), ("t", 2, 2.0, 4.0), ("t", 2, 3.0, 6.0), ("u", 1, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "task string, fold int, x double, y double")
+    got = {(r.task, r.fold): r for r in ln.leave_fold_out_line(df, ["task"], "fold", "x", "y").collect()}
+    assert got["t", 1].slope == pytest.approx(2.0) and got["t", 1].mean_y == pytest.approx(5.0)
+    assert got["u", 1].mean_y is None
