@@ -80,7 +80,7 @@ def nested_models(
 ) -> DataFrame:
     """Out-of-fold predictions with the selected parameters and inner score of their fold.
 
-    Results of an outer fold are appended to ``path`` when it is done; a rerun does the rest.
+    Results of an outer fold are written below ``path`` when it is done; a rerun does the rest.
     """
     spark = rows.sparkSession
     task = ["repeat", "outer_fold"]
@@ -88,7 +88,7 @@ def nested_models(
     try:
         grid = remaining(grid, spark.read.parquet(path), task)
     except Exception as err:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(err):
+        if not any(c in str(err) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
             raise
     todo = [(r.repeat, r.outer_fold) for r in grid.collect()]  # repeats x folds
 
@@ -129,10 +129,11 @@ def nested_models(
         fit, predict = models[chosen.params]
         train_x, test_x = features(train, test)
         pred = predict(fit(train_x), test_x).select(
-            F.lit(repeat).alias("repeat"), F.lit(fold).alias("outer_fold"), row_id, group, y, "pred",
+            row_id, group, y, "pred",
             F.lit(chosen.params).alias("params"), F.lit(chosen.inner_score).alias("inner_score"),
         )
-        pred.write.mode("append").parquet(path)
+        # a folder per fold: folds that finish together never share a commit
+        pred.write.mode("overwrite").parquet(f"{path}/repeat={repeat}/outer_fold={fold}")
 
     if todo:
         with ThreadPool(min(side_by_side, len(todo))) as pool:

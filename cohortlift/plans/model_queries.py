@@ -292,15 +292,16 @@ def l7_logistic(spark, sf_dir):
     from cohortlift.operators import nested as ns
 
     u = units(spark, sf_dir).withColumn("label", (F.col("y") >= 60).cast("double"))
-    groups = sp.with_seeds(sp.group_sizes(u, "grp"), 42, 10000, 1)
-    outer = sp.shuffled_folds(groups, ["repeat"], 2).select(
-        "repeat", "grp", F.col("fold").alias("outer_fold")
+    groups = sp.group_sizes(u, "grp")
+    outer = tables.staged(
+        sp.shuffled_folds(sp.with_seeds(groups, 42, 10000, 1), ["repeat"], 2), "outer-folds"
     )
-    outer = tables.staged(outer, "outer-folds")
-    inner = outer.select(
-        "repeat", "grp", (3 - F.col("outer_fold")).alias("outer_fold"),
-        (F.pmod(F.hash("grp"), F.lit(2)) + 1).alias("inner_fold"),
+    seed = F.col("seed") + 1000 * F.col("outer_fold") + 11
+    inner = sp.shuffled_folds(sp.inner_groups(outer, groups, 2, seed), ["repeat", "outer_fold"], 2)
+    inner = tables.staged(
+        inner.select("repeat", "outer_fold", "grp", F.col("fold").alias("inner_fold")), "inner-folds"
     )
+    outer = outer.select("repeat", "grp", F.col("fold").alias("outer_fold"))
     return ns.nested_models(
         u, outer, inner, "row_id", "grp", "label", ["x", "n_samples"], ["task"],
         ns.logistic_candidates("label", {"penalty": ["l1", "l2"], "c": [1.0]}),
