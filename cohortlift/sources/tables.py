@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -14,9 +15,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder named by ``spark.checkpoint.dir``."""
+    """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only where one process does all the work; on a cluster executors
+    would each write to their own disk, so a missing setting is an error there.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:  # a laptop or a test
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="cohortlift-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
