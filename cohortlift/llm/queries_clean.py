@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cohortlift.llm.neardup import near_duplicates
 from cohortlift.llm.registry import query, table
 from cohortlift.llm.suffix import benchmark_matches, hit_summary
 
@@ -11,3 +12,9 @@ def op3_benchmark_decontamination(spark, sf_dir):
     """Words of every document that lie in a window of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hit_summary(benchmark_matches(docs, table(spark, sf_dir, "benchmark"), keep_text=False))
+
+
+@query("op10_minhash_near_duplicates")
+def op10_minhash_near_duplicates(spark, sf_dir):
+    """Components of documents whose three-word shingle sets are at least 0.85 similar."""
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
