@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cohortlift.llm.linededup import without_repeats
 from cohortlift.llm.neardup import near_duplicates
 from cohortlift.llm.registry import query, table
 from cohortlift.llm.suffix import benchmark_matches, hit_summary
@@ -18,3 +19,10 @@ def op3_benchmark_decontamination(spark, sf_dir):
 def op10_minhash_near_duplicates(spark, sf_dir):
     """Components of documents whose three-word shingle sets are at least 0.85 similar."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query("op9_line_chunk_dedup")
+def op9_line_chunk_dedup(spark, sf_dir):
+    """Every document without the passages that an earlier document, or its own text, holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return without_repeats(docs)
