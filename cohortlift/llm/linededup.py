@@ -208,6 +208,11 @@ def count_words(data: bytes) -> int:
     return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
 
 
+def has_words(name: str):
+    """Whether a text has a word at all, as a column."""
+    return F.coalesce(F.col(name).rlike("[0-9A-Za-z\\x{80}-\\x{10FFFF}]"), F.lit(False))
+
+
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated passages cut from the text, and ``removed_words`` and ``removed_spans``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlift.llm.registry import query, table
-from cohortlift.llm.toxicity import toxicity_scores
+from cohortlift.llm.toxicity import fit, toxicity_scores
 
 
 def remainder(modulus: int):
@@ -17,5 +17,5 @@ def remainder(modulus: int):
 def op2_toxicity_neighbours(spark, sf_dir):
     """Toxicity of every document, learnt from the labelled rows that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    scores = toxicity_scores(docs, labels, held_out=remainder(5) == 0)
+    scores = toxicity_scores(fit(docs, labels, held_out=remainder(5) == 0))
     return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "evidence")

@@ -90,24 +90,26 @@ def _rest(k, n: int, share):
     return F.when((k > 0) & (share < 1), k * F.log(k / (n * (1 - share)))).otherwise(0.0)
 
 
+def count_terms(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place in ``table``, count) of the kept terms of a string column, in that order."""
+    if not len(table):
+        return (np.zeros(0, np.int64),) * 3
+    hashes, text, _, _ = term_hashes(Words(column, ALNUM))
+    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
+    hit = table[at] == hashes
+    key, count = np.unique(text[hit] * len(table) + at[hit], return_counts=True)
+    return key // len(table), key % len(table), count
+
+
 def term_vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
     """(id, terms, counts) of each document: places in ``terms``, ascending, and their counts."""
     kept = docs.sparkSession.sparkContext.broadcast(terms)
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        table = kept.value
         for batch in slices(batches, "text"):
-            n = batch.num_rows
-            if len(table):
-                hashes, text, _, _ = term_hashes(Words(batch.column("text"), ALNUM))
-                at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-                hit = table[at] == hashes
-                key, count = np.unique(text[hit] * len(table) + at[hit], return_counts=True)
-                owner, term = key // len(table), key % len(table)
-            else:
-                owner = term = count = np.zeros(0, np.int64)
-            offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+            owner, term, count = count_terms(batch.column("text"), kept.value)
+            offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
@@ -235,7 +237,16 @@ def build_index(rows: list, idf: np.ndarray, importance: dict[int, float]) -> In
     return index
 
 
-def toxicity_scores(
+@dataclass
+class Fitted:
+    """A fitted scorer: the telling terms, the index, and the vectors it was fitted over."""
+
+    terms: np.ndarray
+    index: Index
+    vectors: DataFrame
+
+
+def fit(
     docs: DataFrame,
     labels: DataFrame,
     held_out=None,
@@ -243,17 +254,12 @@ def toxicity_scores(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    threshold: float = 0.5,
-) -> DataFrame:
-    """(doc_id, score, predicted, evidence) for each row of ``docs``.
-
-    ``held_out`` is a condition on ``labels`` whose rows are not learnt from. Null and empty texts
-    and texts without telling terms get the rate of toxic labels among such examples. Null labels
-    are not learnt from; without labels of both classes every score is the rate of the one there
-    is, 0 if there is none. Repeated rows each give a row. Evidence lists the nearest examples,
-    their cosines and labels.
+) -> Fitted:
+    """Choose terms, weigh them over all of ``docs`` and index the labelled examples.
+
+    ``held_out`` is a condition on ``labels`` whose rows are not learnt from. Null labels and ids
+    are not learnt from; of an id that is repeated, one row is.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if held_out is not None:
@@ -264,10 +270,9 @@ def toxicity_scores(
     for value in (0, 1):  # the smallest hashes of each class
         own = known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(per_class)
         sample = own if sample is None else sample.unionAll(own)
-    sample = staged(sample.dropDuplicates(["id"]), "toxic-sample")
+    sample = staged(sample.groupBy("id").agg(F.max("label").alias("label")), "toxic-sample")
     # at most 2 * per_class rows of two numbers
-    examples = texts.join(F.broadcast(sample), "id")
-    terms = telling_terms(examples)
+    terms = telling_terms(texts.join(F.broadcast(sample), "id"))
     vectors = staged(term_vectors(texts, terms), "toxic-vectors")
     size = vectors.count()
     frequency = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
@@ -275,36 +280,57 @@ def toxicity_scores(
     for r in frequency:
         idf[r.t] = np.log((1.0 + size) / (1.0 + r.n)) + 1
     rows = vectors.join(F.broadcast(sample), "id").select("id", "terms", "counts", "label")
-    taken = rows.dropDuplicates(["id"]).collect()
-    there = {y: sum(r.label == y for r in taken) for y in (0, 1)}
+    taken = {r.id: r for r in sorted(rows.dropDuplicates().collect(), key=lambda r: (r.terms, r.counts))}
+    there = {y: sum(r.label == y for r in taken.values()) for y in (0, 1)}
     importance = {y: totals.get(y, 0) / max(1, there[y]) for y in (0, 1)}
-    index = build_index([(r.id, r.terms, r.counts, r.label) for r in taken], idf, importance)
-    shared = spark.sparkContext.broadcast(index)
-    kind = texts.schema["id"].dataType.simpleString()
+    return Fitted(
+        terms, build_index([(r.id, r.terms, r.counts, r.label) for r in taken.values()], idf, importance), vectors
+    )
+
+
+class Scorer:
+    """Scores of term vectors in a task, remembered for vectors that come again."""
+
+    def __init__(self, index: Index, most: int = 50_000):
+        self.index, self.most, self.known = index, most, {}
+
+    def __call__(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
+        key = (tuple(terms), tuple(counts))
+        if key not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            own = self.index
+            score, at, cosine = own.score(np.array(terms, np.int64), np.array(counts, float))
+            near = [
+                {"id": own.ids[i], "cosine": float(c), "label": int(own.label[i])} for i, c in zip(at[:5], cosine[:5])
+            ]
+            self.known[key] = (min(1.0, max(0.0, score)), near)
+        return self.known[key]
+
+
+def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
+    """(doc_id, score, predicted, evidence) for each row that the scorer was fitted over.
+
+    Null and empty texts and texts without telling terms get the rate of toxic labels among such
+    examples; without labels of both classes every score is the rate of the one there is, 0 if
+    there is none. Repeated rows each give a row. Evidence lists the nearest examples, their
+    cosines and labels.
+    """
+    vectors = fitted.vectors
+    shared = vectors.sparkSession.sparkContext.broadcast(fitted.index)
+    kind = vectors.schema["id"].dataType.simpleString()
 
     def run(batches):
-        own = shared.value
-        memo: dict[tuple, tuple] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
-            scores, evidence = [], []
-            for terms_, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist()):
-                key = (tuple(terms_), tuple(counts))
-                if key not in memo:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    score, at, cosine = own.score(np.array(terms_, np.int64), np.array(counts, float))
-                    near = [
-                        {"id": own.ids[i], "cosine": float(c), "label": int(own.label[i])} for i, c in zip(at[:5], cosine[:5])
-                    ]
-                    memo[key] = (min(1.0, max(0.0, score)), near)
-                scores.append(memo[key][0])
-                evidence.append(memo[key][1])
+            both = [scorer(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+            nearest = pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array(scores, pa.float64()),
-                    pa.array([int(s >= threshold) for s in scores], pa.int32()),
-                    pa.array(evidence, pa.list_(pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())]))),
+                    pa.array([s for s, _ in both], pa.float64()),
+                    pa.array([int(s >= threshold) for s, _ in both], pa.int32()),
+                    pa.array([near for _, near in both], pa.list_(nearest)),
                 ],
                 names=[id_col, "score", "predicted", "evidence"],
             )
@@ -312,3 +338,25 @@ def toxicity_scores(
     return vectors.mapInArrow(
         run, f"{id_col} {kind}, score double, predicted int, evidence array<struct<id:{kind},cosine:double,label:int>>"
     )
+
+
+def not_toxic(docs: DataFrame, fitted: Fitted, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns; texts are read
+    again rather than shuffled to meet their scores."""
+    shared = docs.sparkSession.sparkContext.broadcast((fitted.terms, fitted.index))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text = names[docs.columns.index(text_col)]
+
+    def run(batches):
+        terms, index = shared.value
+        scorer = Scorer(index)
+        for batch in slices(batches, text):
+            owner, term, count = count_terms(batch.column(text), terms)
+            at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            scores = [
+                scorer(term[i:j].tolist(), count[i:j].tolist())[0] for i, j in zip(at[:-1].tolist(), at[1:].tolist())
+            ]
+            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
