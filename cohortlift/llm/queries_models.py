@@ -4,8 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cohortlift.llm.quality import quality_scores
 from cohortlift.llm.registry import query, table
 from cohortlift.llm.toxicity import fit, toxicity_scores
+from cohortlift.llm.urls import judged
+
+
+#: The host rules of the query.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 
 def remainder(modulus: int):
@@ -19,3 +31,17 @@ def op2_toxicity_neighbours(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scores = toxicity_scores(fit(docs, labels, held_out=remainder(5) == 0))
     return scores.select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op1_quality_discriminant")
+def op1_quality_discriminant(spark, sf_dir):
+    """Quality of every document, learnt from the labelled rows that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scores = quality_scores(docs, labels, held_out=remainder(4) == 2)
+    return scores.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query("op6_url_filter")
+def op6_url_filter(spark, sf_dir):
+    """Every page's URL judged by the rules and, where none fits, by the character models."""
+    return judged(table(spark, sf_dir, "pages"), URL_RULES)
