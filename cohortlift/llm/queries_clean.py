@@ -5,6 +5,7 @@ from __future__ import annotations
 from cohortlift.llm.linededup import without_repeats
 from cohortlift.llm.neardup import near_duplicates
 from cohortlift.llm.registry import query, table
+from cohortlift.llm.secrets import secret_digest, secret_spans
 from cohortlift.llm.suffix import benchmark_matches, hit_summary
 
 
@@ -26,3 +27,9 @@ def op9_line_chunk_dedup(spark, sf_dir):
     """Every document without the passages that an earlier document, or its own text, holds."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return without_repeats(docs)
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    """Secrets in every document: base patterns, and what the character models add."""
+    return secret_digest(secret_spans(table(spark, sf_dir, "documents")))
