@@ -25,7 +25,14 @@ def is_finite(c: Column | str) -> Column:
 
 
 def clip_probability(c: Column | str, eps: float = 1e-6) -> Column:
-    return F.greatest(F.least(_c(c), F.lit(1.0 - eps)), F.lit(eps))
+    """A probability kept off zero and one; a missing or non-finite one is missing."""
+    return F.when(is_finite(c), F.greatest(F.least(_c(c), F.lit(1.0 - eps)), F.lit(eps)))
+
+
+def finite_or_fail(c: Column | str, what: str) -> Column:
+    """The value, or an error that ends the job where it is missing or not finite."""
+    wrong = F.raise_error(F.lit(f"{what} is missing or not finite"))
+    return F.when(is_finite(c), _c(c)).otherwise(wrong)
 
 
 def near(a: Column | str, b: Column | str, atol: float = 1e-9) -> Column:

@@ -88,15 +88,22 @@ def first_integer(c: Column) -> Column:
     return F.regexp_extract(c, r"(\d+)", 1).try_cast("int")
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key in which digit runs compare as numbers."""
+def natural_key(c: Column) -> Column:
+    """Sort key in which digit runs of any length compare as numbers.
+
+    A run stands behind its own length, so the longer of two numbers without leading zeros is the
+    larger one and equal lengths compare digit by digit.
+    """
+
+    def number(p: Column) -> Column:
+        digits = F.ltrim(p, F.lit("0"))
+        return F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
+
     pieces = F.regexp_extract_all(F.lower(c), F.lit(r"(\d+|\D+)"), 1)
     return F.array_join(
         F.transform(
             pieces,
-            lambda p: F.when(
-                p.rlike(r"^\d+$"), F.lpad(F.ltrim(p, F.lit("0")), width, "0")
-            ).otherwise(p),
+            lambda p: F.when(p.rlike(r"^\d+$"), number(p)).otherwise(p),
         ),
         "",
     )

@@ -34,7 +34,7 @@ def _improvements() -> list[Column]:
     return [
         (mae("_base") - mae("_comb")).alias("delta_mae_pb"),
         (rmse("_base") - rmse("_comb")).alias("delta_rmse_pb"),
-        F.when(spread > 1e-12, gain).alias("delta_r2_rep"),
+        F.when(F.max("yhi") > F.min("ylo"), gain).alias("delta_r2_rep"),
     ]
 
 
@@ -97,7 +97,7 @@ def replicates_from_statistics(
     A draw is a join of one number to the group statistics, and a group drawn twice counts as
     two groups; no row is ever copied.
     """
-    kept = ["n", "my", "vy", *[f"{k}{s}" for s in PREDS for k in ("ae", "se")]]
+    kept = ["n", "my", "vy", "ylo", "yhi", *[f"{k}{s}" for s in PREDS for k in ("ae", "se")]]
     lookup = lookup_side(stats.select(*by, "_idx", *kept))
     drawn = _draws(stats, by, replicates, seed).join(lookup, [*by, "_idx"])
     return drawn.groupBy(*by, "replicate").agg(*_improvements())

@@ -27,16 +27,10 @@ def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def lookup_side(table: DataFrame, limit: int = 500_000) -> DataFrame:
-    """A written (staged) lookup table, marked for how it may be joined.
-
-    Its rows are counted from the file footers: up to ``limit`` it is broadcast, beyond that it
-    is shuffled with the other side and hashed per partition. Without the mark the planner may
-    broadcast the *other* side, since it does not see how many rows an explode makes.
-    """
-    if table.count() <= limit:
-        return F.broadcast(table)
-    return table.hint("shuffle_hash")
+def lookup_side(table: DataFrame) -> DataFrame:
+    """A written (staged) lookup table: its size is known, so the planner and the runtime re-plan
+    choose how it is joined. A side that is multiplied by explode is marked by ``spread_side``."""
+    return table
 
 
 def spread_side(df: DataFrame) -> DataFrame:
@@ -78,17 +72,24 @@ def paired_sides(
     """Baseline and combined prediction of the same row side by side, in one pass.
 
     Conditional aggregation on the row key takes the place of a self-join; rows that lack a
-    side are left out, as an inner join would.
+    side are left out, as an inner join would. Two predictions of one side fail the job.
     """
     two = predictions.where(F.col(side).isin(base, combined))
     wide = two.groupBy(*keys).agg(
-        F.max(F.when(F.col(side) == base, F.col(value))).alias("pred_base"),
-        F.max(F.when(F.col(side) == combined, F.col(value))).alias("pred_comb"),
+        _only(side, base, value).alias("pred_base"),
+        _only(side, combined, value).alias("pred_comb"),
         *[F.any_value(c).alias(c) for c in carry],
     )
     return wide.where("pred_base IS NOT NULL AND pred_comb IS NOT NULL")
 
 
+def _only(side: str, name: str, value: str) -> Column:
+    """The one value of a side within a group, or an error if it has several."""
+    mine = F.col(side) == name
+    twice = F.raise_error(F.lit(f"key repeated: two predictions of side {name}"))
+    return F.when(F.count_if(mine) <= 1, F.max(F.when(mine, F.col(value)))).otherwise(twice)
+
+
 def paired_averages(
     predictions: DataFrame,
     keys: Sequence[str],

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.functions.cleaning import clip_probability
+from cohortlift.functions.cleaning import clip_probability, finite_or_fail
 from cohortlift.operators.ordered import running_sums, value_bucket
 
 
@@ -17,16 +17,19 @@ def error_statistics(
     """Per group: n, mean and sum of squares of y, absolute and squared error sums per prediction.
 
     ``preds`` maps a suffix to a prediction column. This is all any regression metric, scope or
-    bootstrap needs; the rows are read once.
+    bootstrap needs; the rows are read once. A missing or non-finite outcome or prediction fails
+    the job: left out, it would lower the error.
     """
     sums = [
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum(y).alias("sy"),
         F.avg(y).alias("my"),
         F.var_pop(y).alias("vy"),
+        F.min(y).alias("ylo"),
+        F.max(y).alias("yhi"),
     ]
     for suffix, p in preds.items():
-        e = F.col(y) - F.col(p)
+        e = finite_or_fail(y, "an outcome") - finite_or_fail(p, "a prediction")
         sums += [F.sum(F.abs(e)).alias(f"ae{suffix}"), F.sum(e * e).alias(f"se{suffix}")]
     return df.groupBy(*by, group).agg(*sums)
 
@@ -49,7 +52,7 @@ def regression_from_statistics(stats: DataFrame, by: Sequence[str], suffix: str
         F.sqrt(F.avg(se / n)).alias("rmse_pb"),
         (F.sum(ae) / F.sum(n)).alias("mae_rep"),
         F.sqrt(F.sum(se) / F.sum(n)).alias("rmse_rep"),
-        F.when(spread > 1e-12, 1 - F.sum(se) / spread).alias("r2_rep"),
+        F.when(F.max("yhi") > F.min("ylo"), 1 - F.sum(se) / spread).alias("r2_rep"),
     )
 
 
@@ -62,7 +65,8 @@ def regression_metrics(
 def probability_statistics(
     df: DataFrame, by: Sequence[str], group: str, y: str, prob: str
 ) -> DataFrame:
-    p, t = clip_probability(prob), F.col(y)
+    """Per group: rows, positives, Brier and log-loss sums; missing values fail the job."""
+    p, t = clip_probability(finite_or_fail(prob, "a probability")), finite_or_fail(y, "an outcome")
     return df.groupBy(*by, group).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         F.sum(t).alias("pos"),
@@ -92,8 +96,9 @@ def probability_metrics(
 
 def score_counts(df: DataFrame, by: Sequence[str], y: str, prob: str) -> DataFrame:
     """Positives and negatives per distinct clipped score (ties fold before any ordering)."""
-    t = F.col(y).cast("double")
-    return df.groupBy(*by, clip_probability(prob).alias("score")).agg(
+    t = finite_or_fail(F.col(y).cast("double"), "an outcome")
+    score = clip_probability(finite_or_fail(prob, "a probability")).alias("score")
+    return df.groupBy(*by, score).agg(
         F.sum(t).alias("pos"), F.sum(1 - t).alias("neg")
     )
 
@@ -159,6 +164,8 @@ def regression_summary(
         total.alias("n"),
         mean.alias("my"),
         (F.sum(n * (F.col("vy") + m * m)) / total - mean * mean).alias("vy"),
+        F.min("ylo").alias("ylo"),
+        F.max("yhi").alias("yhi"),
         F.sum("ae").alias("ae"),
         F.sum("se").alias("se"),
     )

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlift.functions.cleaning import is_finite
+
 CHUNK_WIDTH = 65_536
 
 
@@ -37,6 +39,13 @@ def with_chunk(df: DataFrame, chunk: Column | str) -> DataFrame:
     return df.withColumn("_chunk", F.expr(chunk) if isinstance(chunk, str) else chunk)
 
 
+def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join in which a missing key matches a missing key, as it does in a window."""
+    other = right.select(*[F.col(c).alias(f"_key_{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(other, same).drop(*[f"_key_{k}" for k in keys])
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,7 +67,7 @@ def positions(
         F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
     )
     local = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
-    ranked = base.withColumn("_local", local).join(offsets, [*keys, "_chunk"])
+    ranked = join_on_keys(base.withColumn("_local", local), offsets, [*keys, "_chunk"])
     ranked = ranked.withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
     if total:
         ranked = ranked.withColumn(total, F.col("_total").cast("bigint"))
@@ -87,7 +96,7 @@ def _neighbour(df, keys, order, chunk, columns, prefix, forward, place=None) ->
     if place:
         out = out.withColumn("_local", F.row_number().over(inside))
         extra = [(F.col("_local") + F.col("_before")).cast("bigint").alias(place)]
-    out = out.join(edges, [*keys, "_chunk"])
+    out = join_on_keys(out, edges, [*keys, "_chunk"])
     picked = F.coalesce(F.col("_near"), F.col("_carried"))
     return out.withColumn("_pick", picked).select(
         *df.columns,
@@ -151,7 +160,7 @@ def running_sums(
     out = base
     for name, src in sums.items():
         out = out.withColumn(f"_l_{name}", F.sum(src).over(inside))
-    out = out.join(per_chunk, [*keys, "_chunk"])
+    out = join_on_keys(out, per_chunk, [*keys, "_chunk"])
     return out.select(
         *df.columns, *[(F.col(f"_l_{o}") + F.col(f"_b_{o}")).alias(o) for o in sums]
     )
@@ -175,7 +184,7 @@ def forward_fill(
     inside = W.partitionBy(*keys, "_chunk").orderBy(position)
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = F.last(column, ignorenulls=True).over(inside)
-    filled = base.withColumn("_local", local).join(tails, [*keys, "_chunk"])
+    filled = join_on_keys(base.withColumn("_local", local), tails, [*keys, "_chunk"])
     return filled.withColumn(out, F.coalesce("_local", "_carried")).drop(
         "_chunk", "_local", "_carried"
     )
@@ -188,11 +197,11 @@ def exact_quantiles(
 
     Rows are first folded to (value, count) with map-side combine, so ties cost nothing.
     Counts per value bucket tell which bucket holds each wanted rank; only those buckets are
-    ordered. No task ever holds a group, at most one bucket of it. NULL values are left out;
-    groups without values give no row. ``value`` must hold no NaN and ``keys`` no NULL.
+    ordered. No task ever holds a group, at most one bucket of it. Values that are missing or not
+    finite are left out; groups without values give no row; a missing key is a group.
     """
     keys = list(keys)
-    base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"))
+    base = df.where(is_finite(value)).select(*keys, F.col(value).alias("_x"))
     if not keys:
         keys = ["_all"]
         base = base.withColumn("_all", F.lit(0))
@@ -231,7 +240,7 @@ def exact_quantiles(
     )
     # join before the window: only buckets that hold a wanted rank are ordered at all
     hits = (
-        counts.join(targets, [*keys, "_b"])
+        join_on_keys(counts, targets, [*keys, "_b"])
         .withColumn("_lo", F.col("_off") + F.coalesce(below, F.lit(0)))
         .withColumn("_t", F.explode("_t"))
         .where((F.col("_t.rank") >= F.col("_lo")) & (F.col("_t.rank") < F.col("_lo") + F.col("_c")))

@@ -79,15 +79,26 @@ def allowed_metadata(
     return df.select(key, *kept)
 
 
-def find_column(columns: Sequence[str], aliases: Sequence[str]) -> str | None:
-    """Exact normalised match first, then the first column that contains an alias."""
-    from cohortlift.functions.parsing import normalise_name as n
-
-    by_name = {n(c): c for c in columns}
-    for a in aliases:
-        if n(a) in by_name:
-            return by_name[n(a)]
-    return next((c for c in columns if any(n(a) in n(c) for a in aliases)), None)
+def aliased_columns(catalog: DataFrame, aliases: dict[str, Sequence[str]]) -> DataFrame:
+    """The column of each table that fits each meaning best, from a catalog (table, place, column).
+
+    A name equal to an alias goes before one that holds it, an earlier alias before a later one,
+    an earlier column before a later one. Gives (table, meaning, column).
+    """
+    from cohortlift.functions.parsing import normalise_name, normalise_text
+
+    known = [(m, i, normalise_name(a)) for m, names in aliases.items() for i, a in enumerate(names)]
+    name = normalise_text(F.col("column"))
+    fits = F.array_compact(
+        F.array(*[
+            F.when(name.contains(a), F.struct(F.lit(m).alias("meaning"), (name != a).alias("part"), F.lit(i).alias("turn")))
+            for m, i, a in known
+        ])
+    )
+    ranked = catalog.select("table", "place", "column", F.explode(fits).alias("fit")).select(
+        "table", "column", "fit.meaning", F.struct("fit.part", "fit.turn", "place").alias("rank")
+    )
+    return ranked.groupBy("table", "meaning").agg(F.min_by("column", "rank").alias("column"))
 
 
 def semantic_candidates(catalog: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:

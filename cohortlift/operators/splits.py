@@ -6,12 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from cohortlift.functions.cleaning import hash_int
-
-GREEDY_LIMIT = 200_000
 
+from cohortlift.operators.ordered import positions
 
 def group_sizes(df: DataFrame, group: str, outcome: str | None = None) -> DataFrame:
     """One row per group: rows, and for a 0/1 outcome its positives and negatives."""
@@ -28,74 +24,43 @@ def with_seeds(groups: DataFrame, base_seed: int, step: int, repeats: int) -> Da
     return spread.withColumn("seed", F.lit(base_seed) + (F.col("repeat") - 1) * step)
 
 
-def _bucketed(groups: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Hash bucket of each group; one bucket as long as a split has at most ``limit`` groups."""
-    totals = groups.groupBy(*keys).agg(F.count(F.lit(1)).alias("_groups"))
-    buckets = F.greatest(F.ceil(F.col("_groups") / limit), F.lit(1))
-    # one row per split, so its size is set by repeats, folds and attempts, never by the data
-    placed = groups.join(F.broadcast(totals), list(keys))
-    return placed.withColumn("_bucket", F.pmod(hash_int(F.lit("bucket"), "grp"), buckets).cast("int"))
-
-
-def _greedy(groups, keys, n_folds, stratified, limit) -> DataFrame:
+def _dealt(groups: DataFrame, keys: Sequence[str], n_folds: int, size: str) -> DataFrame:
+    """Fold of every group: largest first by ``size``, ties in seeded hash order, dealt back and
+    forth. Nothing depends on the groups before, so one rule holds at every number of groups."""
     keys = list(keys)
     order = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("grp").cast("string")))
-    placed = _bucketed(groups.withColumn("_h", order), keys, limit)
-    kept = placed.drop("_h", "_groups", "_bucket").schema.fields
-    schema = T.StructType([*kept, T.StructField("fold", T.IntegerType())])
-    names = schema.names
-
-    def assign(pdf):
-        by = ["n_pos", "_h", "grp"] if stratified else ["_h", "grp"]
-        pdf = pdf.sort_values(by, ascending=[b != "n_pos" for b in by])
-        if len(pdf) < n_folds and int(pdf["_groups"].iloc[0]) == len(pdf):
-            raise ValueError(f"need at least {n_folds} groups, found {len(pdf)}")
-        rows = [0] * n_folds
-        positives = [0] * n_folds
-        turn = int(pdf["_bucket"].iloc[0])
-        folds = []
-        for n, p in zip(pdf["n"], pdf["n_pos"] if stratified else pdf["n"]):
-            if stratified and p > 0:
-                j = min(range(n_folds), key=lambda f: (positives[f], rows[f], f))
-                positives[j] += p
-            else:
-                j = rows.index(min(rows))
-            rows[j] += n
-            folds.append((j + turn) % n_folds + 1)
-        return pdf.assign(fold=folds)[names]
-
-    return placed.groupBy(*keys, "_bucket").applyInPandas(assign, schema)
-
-
-def shuffled_folds(
-    groups: DataFrame, keys: Sequence[str], n_folds: int, limit: int = GREEDY_LIMIT
-) -> DataFrame:
-    """Outcome-blind k-fold of groups: in seeded hash order, each to the smallest fold so far.
+    sized = groups.withColumn("_big", -F.col(size)).withColumn("_h", order)
+    # the chunk rises along (size, hash): groups of one size are spread over 256 of them
+    chunk = F.col("_big") * 256 + F.conv(F.substring("_h", 1, 2), 16, 10).cast("bigint")
+    placed = positions(sized, keys, ["_big", "_h", "grp"], chunk, out="_place", total="_groups")
+    turn = (F.col("_place") - 1) % (2 * n_folds)
+    fold = F.when(turn < n_folds, turn).otherwise(2 * n_folds - 1 - turn) + 1
+    return placed.withColumn("fold", fold.cast("int")).drop("_big", "_h", "_place")
+
+
+def shuffled_folds(groups: DataFrame, keys: Sequence[str], n_folds: int) -> DataFrame:
+    """Outcome-blind k-fold of groups, balanced on rows; another seed deals equal sizes anew.
 
-    ``groups``: keys, seed, grp, n. The greedy step is sequential over groups, so beyond
-    ``limit`` groups it runs within hash buckets of that size; every bucket is balanced, and
-    bucket i starts at fold i so that remainders spread out.
+    ``groups``: keys, seed, grp, n. A split with fewer groups than folds fails the job.
     """
-    return _greedy(groups, keys, n_folds, False, limit)
+    few = F.raise_error(F.concat(F.lit(f"need at least {n_folds} groups, found "), F.col("_groups").cast("string")))
+    placed = _dealt(groups, keys, n_folds, "n")
+    return placed.withColumn("fold", F.when(F.col("_groups") >= n_folds, F.col("fold")).otherwise(few)).drop("_groups")
 
 
-def stratified_folds(
-    groups: DataFrame,
-    keys: Sequence[str],
-    n_folds: int,
-    attempts: int,
-    limit: int = GREEDY_LIMIT,
-) -> DataFrame:
+def stratified_folds(groups: DataFrame, keys: Sequence[str], n_folds: int, attempts: int) -> DataFrame:
     """k-fold of groups balanced on positives, under the first seed whose folds are usable.
 
     Candidate seeds seed, seed+1, … are evaluated side by side; a seed is usable when every
-    fold holds both classes inside and outside. Groups with positives go, richest first, to the
-    fold with the fewest positives; groups without go to the smallest fold.
+    fold holds both classes inside and outside. Groups with positives are dealt by their number of
+    positives, groups without by their rows; a split without a usable seed fails the job.
     """
     keys = list(keys)
     spread = groups.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
     tried = spread.withColumn("seed", F.col("seed") + F.col("attempt"))
-    folds = _greedy(tried, [*keys, "attempt"], n_folds, True, limit)
+    tried = tried.withColumn("_some", F.col("n_pos") > 0)
+    tried = tried.withColumn("_load", F.when(F.col("_some"), F.col("n_pos")).otherwise(F.col("n")))
+    folds = _dealt(tried, [*keys, "attempt", "_some"], n_folds, "_load").drop("_some", "_load", "_groups")
     inside = folds.groupBy(*keys, "attempt", "fold").agg(
         F.sum("n_pos").alias("p"), F.sum("n_neg").alias("q")
     )
@@ -108,7 +73,9 @@ def stratified_folds(
             & (F.sum("q") - F.max("q") > 0)
         ).alias("usable")
     )
-    first = usable.where("usable").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
+    none = F.raise_error(F.lit(f"no usable seed among {attempts}"))
+    best = F.min(F.when(F.col("usable"), F.col("attempt")))
+    first = usable.groupBy(*keys).agg(F.coalesce(best, none).alias("attempt"))
     return folds.join(first, [*keys, "attempt"])
 
 
@@ -116,8 +83,6 @@ def serpentine_folds(
     groups: DataFrame, keys: Sequence[str], n_folds: int, chunk: Column | str
 ) -> DataFrame:
     """A split without any sequential step: groups by falling size, dealt back and forth."""
-    from cohortlift.operators.ordered import positions
-
     sized = groups.withColumn("_size", -F.col("n"))
     placed = positions(sized, keys, ["_size", "grp"], chunk, out="_place")
     turn = (F.col("_place") - 1) % (2 * n_folds)

@@ -13,22 +13,15 @@ from cohortlift.plans import fixtures as fx
 from cohortlift.plans.registry import query
 
 SEED = 42
+SEEDS = 500
 
 
 # --- splits -----------------------------------------------------------------------------------
-def greedy_sql(groups: str, keys: str, k: int) -> str:
-    """Recursive SQL of the greedy split: ``groups`` is a CTE with keys, seed, grp, n."""
-    same = " AND ".join(f"o.{c} = s.{c}" for c in keys.split(", "))
-    cols = ", ".join(f"s.{c}" for c in keys.split(", "))
-    zero = "[" + ", ".join(["0"] * k) + "]::BIGINT[]"
-    j = "list_position(s.sizes, list_min(s.sizes))"
-    return f"""ordered AS (SELECT {keys}, grp, n, row_number() OVER (PARTITION BY {keys}
-      ORDER BY md5(seed || '|' || grp), grp) AS rn FROM {groups}),
-    step AS (SELECT DISTINCT {keys}, 0::BIGINT AS rn, {zero} AS sizes, NULL::BIGINT AS grp, 0::INT AS fold
-      FROM {groups}
-      UNION ALL SELECT {cols}, o.rn, list_transform(s.sizes, lambda x, i: CASE WHEN i = {j}
-        THEN x + o.n ELSE x END), o.grp, {j}::INT FROM step s JOIN ordered o ON {same} AND o.rn = s.rn + 1),
-    folds AS (SELECT {keys}, grp, fold FROM step WHERE rn > 0)"""
+def dealt_sql(groups: str, keys: str, k: int) -> str:
+    """SQL of the dealt split: ``groups`` is a CTE with keys, seed, grp, n."""
+    return f"""ordered AS (SELECT {keys}, grp, (row_number() OVER (PARTITION BY {keys}
+      ORDER BY n DESC, md5(seed || '|' || grp), grp) - 1) % {2 * k} AS t FROM {groups}),
+    folds AS (SELECT {keys}, grp, (CASE WHEN t < {k} THEN t ELSE {2 * k - 1} - t END + 1)::INT AS fold FROM ordered)"""
 
 
 GROUPS_SQL = """sizes AS (SELECT user_id AS grp, count(*) AS n FROM events GROUP BY user_id),
@@ -49,7 +42,7 @@ def outer_folds(spark, sf_dir, repeats=5):
     "x1_shuffled_group_folds",
     f"""WITH sizes AS (SELECT user_id AS grp, count(*) AS n FROM events GROUP BY user_id),
     seeded AS (SELECT 1 AS repeat, 42 AS seed, grp, n FROM sizes),
-    {greedy_sql("seeded", "repeat", 5)}
+    {dealt_sql("seeded", "repeat", 5)}
     SELECT grp, n, fold FROM folds JOIN sizes USING (grp)""",
     recursive=True,
 )
@@ -71,23 +64,15 @@ def x1_serpentine(spark, sf_dir):
     return folds.select("grp", "n", "fold")
 
 
-X2_SQL = """labelled AS (SELECT user_id AS grp, count(*) AS n,
+X2_SQL = f"""labelled AS (SELECT user_id AS grp, count(*) AS n,
     count(*) FILTER (WHERE value >= 150) AS n_pos, count(*) FILTER (WHERE value < 150) AS n_neg
     FROM events GROUP BY user_id),
   tries AS (SELECT repeat, attempt, 42 + (repeat - 1) * 10000 + attempt AS seed, grp, n, n_pos, n_neg
-    FROM labelled, (SELECT unnest([1, 2]) AS repeat), (SELECT unnest([0, 1, 2, 3, 4]) AS attempt)),
-  ordered AS (SELECT *, row_number() OVER (PARTITION BY repeat, attempt
-    ORDER BY n_pos DESC, md5(seed || '|' || grp), grp) AS rn FROM tries),
-  step AS (SELECT DISTINCT repeat, attempt, 0::BIGINT AS rn, [0, 0, 0, 0, 0]::BIGINT[] AS pos,
-      [0, 0, 0, 0, 0]::BIGINT[] AS rows, NULL::BIGINT AS grp, 0::INT AS fold FROM tries
-    UNION ALL SELECT repeat, attempt, rn, list_transform(pos, lambda x, i: CASE WHEN i = j THEN x + n_pos ELSE x END),
-      list_transform(rows, lambda x, i: CASE WHEN i = j THEN x + n ELSE x END), grp, j::INT FROM (
-      SELECT o.repeat, o.attempt, o.rn, s.pos, s.rows, o.grp, o.n, o.n_pos,
-        CASE WHEN o.n_pos > 0 THEN list_position(list_transform(s.pos, lambda x, i: x * 1000000000 + s.rows[i]),
-            list_min(list_transform(s.pos, lambda x, i: x * 1000000000 + s.rows[i])))
-          ELSE list_position(s.rows, list_min(s.rows)) END AS j
-      FROM step s JOIN ordered o ON o.repeat = s.repeat AND o.attempt = s.attempt AND o.rn = s.rn + 1)),
-  placed AS (SELECT repeat, attempt, grp, fold, n, n_pos, n_neg FROM step JOIN labelled USING (grp) WHERE rn > 0),
+    FROM labelled, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat), (SELECT unnest(range({SEEDS})) AS attempt)),
+  turns AS (SELECT *, (row_number() OVER (PARTITION BY repeat, attempt, n_pos > 0
+    ORDER BY CASE WHEN n_pos > 0 THEN n_pos ELSE n END DESC, md5(seed || '|' || grp), grp) - 1) % 10 AS t FROM tries),
+  placed AS (SELECT repeat, attempt, grp, (CASE WHEN t < 5 THEN t ELSE 9 - t END + 1)::INT AS fold, n, n_pos, n_neg
+    FROM turns),
   inside AS (SELECT repeat, attempt, fold, sum(n_pos) AS p, sum(n_neg) AS q FROM placed GROUP BY ALL),
   usable AS (SELECT repeat, min(attempt) AS attempt FROM (SELECT repeat, attempt FROM inside
     GROUP BY repeat, attempt HAVING count(*) = 5 AND min(p) > 0 AND min(q) > 0 AND sum(p) > max(p)
@@ -103,13 +88,13 @@ X2_SQL = """labelled AS (SELECT user_id AS grp, count(*) AS n,
 def x2(spark, sf_dir):
     """Five folds balanced on positives under the first usable seed."""
     ev = fx.table(spark, sf_dir, "events").withColumn("y", (F.col("value") >= 150).cast("int"))
-    groups = sp.with_seeds(sp.group_sizes(ev, "user_id", "y"), SEED, 10000, 2)
-    return sp.stratified_folds(groups, ["repeat"], 5, attempts=5).drop("seed")
+    groups = sp.with_seeds(sp.group_sizes(ev, "user_id", "y"), SEED, 10000, 5)
+    return sp.stratified_folds(groups, ["repeat"], 5, attempts=SEEDS).drop("seed")
 
 
 @query(
     "x3_repeated_outer_splits",
-    f"WITH {GROUPS_SQL}, {greedy_sql('seeded', 'repeat', 5)} SELECT repeat, grp, fold FROM folds",
+    f"WITH {GROUPS_SQL}, {dealt_sql('seeded', 'repeat', 5)} SELECT repeat, grp, fold FROM folds",
     recursive=True,
 )
 def x3(spark, sf_dir):
@@ -119,17 +104,17 @@ def x3(spark, sf_dir):
 
 @query(
     "x4_inner_folds",
-    f"""WITH {GROUPS_SQL.replace("[1, 2, 3, 4, 5]", "[1, 2]")}, {greedy_sql("seeded", "repeat", 5)},
+    f"""WITH {GROUPS_SQL}, {dealt_sql("seeded", "repeat", 5)},
     inner_groups AS (SELECT f.repeat, o.outer_fold, f.grp, s.n,
       42 + (f.repeat - 1) * 10000 + 1000 * o.outer_fold + 11 AS seed FROM folds f
       JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS outer_fold) o ON o.outer_fold <> f.fold JOIN sizes s ON s.grp = f.grp),
-    {greedy_sql("inner_groups", "repeat, outer_fold", 4).replace("ordered", "ordered2").replace("step", "step2").replace("folds AS", "folds2 AS")}
+    {dealt_sql("inner_groups", "repeat, outer_fold", 4).replace("ordered", "ordered2").replace("folds AS", "folds2 AS")}
     SELECT repeat, outer_fold, grp, fold AS inner_fold FROM folds2""",
     recursive=True,
 )
 def x4(spark, sf_dir):
     """Four inner folds of each outer training set."""
-    outer = outer_folds(spark, sf_dir, repeats=2)
+    outer = outer_folds(spark, sf_dir)
     groups = sp.group_sizes(fx.table(spark, sf_dir, "events"), "user_id")
     seed = F.col("seed") + 1000 * F.col("outer_fold") + 11
     inner = sp.inner_groups(outer, groups, 5, seed)
@@ -149,7 +134,7 @@ def x5(spark, sf_dir):
 
 @query(
     "x6_shared_fold_table",
-    f"""WITH {GROUPS_SQL}, {greedy_sql("seeded", "repeat", 5)}
+    f"""WITH {GROUPS_SQL}, {dealt_sql("seeded", "repeat", 5)}
     SELECT repeat, fold AS outer_fold, event_type, count(*) AS n_rows, max(value) AS top FROM events
     JOIN folds ON grp = user_id GROUP BY ALL""",
     recursive=True,

@@ -12,7 +12,7 @@ from cohortlift.operators import residuals as rs
 from cohortlift.operators import splits as sp
 from cohortlift.operators.ordered import exact_quantiles, with_previous
 from cohortlift.plans import fixtures as fx
-from cohortlift.plans.evaluation_queries import greedy_sql
+from cohortlift.plans.evaluation_queries import dealt_sql
 from cohortlift.plans.registry import query
 from cohortlift.sources import tables
 
@@ -44,7 +44,7 @@ def units(spark, sf_dir):
 
 FLOW_SQL = f"""{UNIT_SQL}, sizes AS (SELECT grp, count(*) AS n FROM units GROUP BY grp),
   seeded AS (SELECT repeat, 42 + (repeat - 1) * 10000 AS seed, grp, n FROM sizes,
-    (SELECT unnest([1, 2, 3, 4, 5]) AS repeat)), {greedy_sql("seeded", "repeat", 5)},
+    (SELECT unnest([1, 2, 3, 4, 5]) AS repeat)), {dealt_sql("seeded", "repeat", 5)},
   placed AS (SELECT units.*, repeat, fold FROM units JOIN folds USING (grp)),
   own AS (SELECT repeat, task, fold, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy,
     sum(x * x) AS sxx FROM placed GROUP BY ALL),

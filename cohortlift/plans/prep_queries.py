@@ -911,7 +911,7 @@ def o3(spark, sf_dir):
     "o4_natural_sort",
     """SELECT trial_label, row_number() OVER (ORDER BY k) AS place FROM (SELECT DISTINCT
       c_mktsegment || ' ' || c_nationkey AS trial_label, lower(c_mktsegment) || ' ' ||
-      lpad(c_nationkey::VARCHAR, 12, '0') AS k FROM customer)""",
+      lpad(length(ltrim(c_nationkey::VARCHAR, '0'))::VARCHAR, 10, '0') || ltrim(c_nationkey::VARCHAR, '0') AS k FROM customer)""",
 )
 def o4(spark, sf_dir):
     """Labels in natural order, digit runs compared as numbers."""

@@ -84,7 +84,7 @@ def read_tolerant_csv(
         F.monotonically_increasing_id().alias("_id"),
     )
     headers = lines.where("_start = 0").groupBy("source_file").agg(
-        F.min_by("value", "_id").alias("_header")
+        F.min_by("value", "_id").alias("_header"), F.min("_id").alias("_first")
     )
     width = headers.agg(F.max(F.size(F.split("_header", f"[{sep}]")))).first()[0] or 1
     schema = ", ".join(f"c{i} string" for i in range(width))
@@ -93,7 +93,8 @@ def read_tolerant_csv(
         cells = F.from_csv(F.col(c), F.lit(schema), {"sep": sep})
         return F.array(*[cells[f"c{i}"] for i in range(width)])
 
-    met = lines.join(headers, "source_file").where(F.col("value") != F.col("_header"))
+    # the header goes by its place: a data row may read the same
+    met = lines.join(headers, "source_file").where(F.col("_id") != F.col("_first"))
     met = met.withColumn("_cells", parts("value")).withColumn(
         "_names", F.transform(parts("_header"), lambda h: F.trim(h))
     )

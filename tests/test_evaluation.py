@@ -1,5 +1,6 @@
 """Hand-worked metrics, split invariants, bootstrap arithmetic and brute-force learners."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -71,10 +72,37 @@ def test_folds_are_whole_and_balanced(spark):
     assert (a != b.loc[a.index]).any()
 
 
-def test_folds_beyond_the_greedy_limit_stay_whole(spark):
-    seeded = sp.with_seeds(groups(spark, 60), 42, 10000, 1)
-    folds = sp.shuffled_folds(seeded, ["repeat"], 3, limit=20).toPandas()
-    assert len(folds) == 60 and set(folds.fold) == {1, 2, 3}
+def test_one_rule_at_every_number_of_groups(spark):
+    seeded = sp.with_seeds(groups(spark, 6000), 42, 10000, 1)
+    folds = sp.shuffled_folds(seeded, ["repeat"], 3).toPandas()
+    assert len(folds) == 6000 and folds.groupby("fold").size().eq(2000).all()
+    by_hand = folds.assign(h=[hashlib.md5(f"42|{g}".encode()).hexdigest() for g in folds.grp])
+    by_hand = by_hand.sort_values(["n", "h"], ascending=[False, True]).reset_index(drop=True)
+    turn = by_hand.index % 6
+    assert (by_hand.fold == np.where(turn < 3, turn, 5 - turn) + 1).all()
+
+
+def test_no_usable_seed_fails(spark):
+    rows = [(f"g{i}", 10, 5 if i < 2 else 0, 5 if i < 2 else 10) for i in range(20)]
+    df = spark.createDataFrame(rows, "grp string, n bigint, n_pos bigint, n_neg bigint")
+    with pytest.raises(Exception, match="no usable seed"):
+        sp.stratified_folds(sp.with_seeds(df, 1, 10, 1), ["repeat"], 3, attempts=4).collect()
+
+
+def test_missing_predictions_fail(spark):
+    for bad in (None, float("nan"), float("inf")):
+        df = spark.createDataFrame([(1, "a", 1.0, 0.5), (1, "a", 0.0, bad)], "k int, g string, y double, p double")
+        for metric in (mt.regression_metrics, mt.probability_metrics):
+            with pytest.raises(Exception, match="missing or not finite"):
+                metric(df, ["k"], "g", "y", "p").collect()
+
+
+def test_r2_in_small_units(spark):
+    rows = [(1, str(i), i * 1e-7, i * 1e-7 + (1e-8 if i % 2 else 0)) for i in range(20)]
+    df = spark.createDataFrame(rows, "k int, g string, y double, p double")
+    assert mt.regression_metrics(df, ["k"], "g", "y", "p").first().r2_rep > 0.99
+    same = spark.createDataFrame([(1, "a", 2.0, 1.0), (1, "b", 2.0, 3.0)], df.schema)
+    assert mt.regression_metrics(same, ["k"], "g", "y", "p").first().r2_rep is None
 
 
 def test_too_few_groups_fail(spark):

@@ -135,3 +135,16 @@ def test_bounds_round_half_to_even(spark):
 
     a, b = start_bounds(F.lit(2.5), 2.0, 1.0)
     assert tuple(spark.range(1).select(a, b).first()) == (0, 2)
+
+
+def test_missing_keys_are_groups(spark):
+    rows = [(None, i, float(i)) for i in range(5)] + [("a", i, float(10 * i)) for i in range(4)] + [("a", 9, float("nan"))]
+    df = spark.createDataFrame(rows, "k string, t int, x double")
+    where = od.chunk_of("t", 2)
+    assert od.positions(df, ["k"], ["t"], where).count() == 10
+    previous = od.with_previous(df, ["k"], ["t"], where, ["x"]).collect()
+    assert len(previous) == 10 and sum(r.prev_x is None for r in previous) == 2
+    assert od.running_sums(df, ["k"], ["t"], where, {"s": "x"}).count() == 10
+    assert od.forward_fill(df, ["k"], "t", "x", "f", 2).count() == 10
+    medians = {r.k: r.m for r in od.exact_median(df, ["k"], "x", "m").collect()}
+    assert medians == {None: 2.0, "a": 15.0}

@@ -86,4 +86,42 @@ def test_role_order_and_forbidden_columns(spark):
     d = rl.role_dictionary(spark, df, rules)
     assert rl.columns_of(d, ["context_core", "wearable_feature"]) == ["ctx", "sensor_b", "sensor_a"]
     assert rl.columns_of(d, ["wearable_feature"], forbidden=["sensor_b"]) == ["sensor_a"]
-    assert rl.find_column(["Heart Rate", "t"], ["hr", "heart"]) == "Heart Rate"
+
+
+def test_aliased_columns_take_the_best_fit(spark):
+    catalog = spark.createDataFrame(
+        [("a", 0, "Max Heart Rate"), ("a", 1, "HR"), ("a", 2, "t"), ("b", 0, "Heart Rate"), ("b", 1, "heart")],
+        "table string, place int, column string",
+    )
+    got = rl.aliased_columns(catalog, {"pulse": ["hr", "heart rate"], "time": ["t"]})
+    best = {(r.table, r.meaning): r.column for r in got.collect()}
+    assert best["a", "pulse"] == "HR" and best["b", "pulse"] == "Heart Rate" and best["a", "time"] == "t"
+
+
+def test_long_digit_runs_compare_as_numbers(spark):
+    names = ["a2234567890123", "a999999999999", "a10", "a9", "a009b", "a9999999999999999999"]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    got = [r.s for r in df.orderBy(ps.natural_key(F.col("s")), "s").collect()]
+    assert got == ["a9", "a009b", "a10", "a999999999999", "a2234567890123", "a9999999999999999999"]
+
+
+def test_a_data_row_like_the_header_stays(spark, tmp_path):
+    from cohortlift.sources import readers
+
+    (tmp_path / "x.csv").write_text("t,v\n1,2\nt,v\n3,4\n")
+    got = readers.read_tolerant_csv(spark, str(tmp_path), ["v"]).collect()
+    assert sorted(r.v for r in got) == ["2", "4", "v"]
+
+
+def test_clip_probability_leaves_missing_missing(spark):
+    from cohortlift.functions import cleaning as cl
+
+    df = spark.createDataFrame([(None,), (float("nan"),), (0.0,), (1.0,), (0.5,)], "p double")
+    got = [r.p for r in df.select(cl.clip_probability("p").alias("p")).collect()]
+    assert got == [None, None, 1e-6, 1 - 1e-6, 0.5]
+
+
+def test_two_predictions_of_a_side_fail(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 9.0), (1, "b", 2.0)], "k int, side string, v double")
+    with pytest.raises(Exception, match="key repeated"):
+        jn.paired_sides(df, ["k"], "side", "a", "b", "v", []).collect()
