@@ -8,9 +8,9 @@
 3. In every band bucket each class is paired with the bucket's smallest one. Pairs whose sketches
    allow the wanted similarity are confirmed on the full sets. In a group of copies this links
    nearly all members with one pair each.
-4. Buckets in which classes of different components remain are worked off in blocks: each pair of
-   blocks is one group, which compares sketches, confirms on the full sets and returns no more
-   links than it takes to join what belongs together.
+4. Buckets in which classes of different components remain are dealt to blocks. A block compares
+   sketches, confirms on the full sets and returns no more links than it takes to join what belongs
+   together; buckets of several blocks that are still mixed then do so for every pair of blocks.
 5. Links and classes give the components.
 
 Nothing is capped: a bucket of any size is covered by its blocks. Sets are held as sorted 64-bit
@@ -35,7 +35,7 @@ from cohortlift.sources.tables import staged
 BANDS, ROWS = 24, 4  # a pair at 0.85 shares no band once in 5e7 pairs, at 0.8 once in 3e5
 SAMPLES = 192
 SKETCH_BITS = 512
-BLOCK = 128  # members of a bucket in one block
+BLOCK = 512  # members of a bucket in one block
 
 
 @dataclass(frozen=True)
@@ -180,7 +180,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
 
 
 def _block_links(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Links between classes of different components in each pair of blocks of a bucket."""
+    """Links between components: between those of one block, or of each pair of blocks of a bucket."""
     most, percent = most_different_bits(plan.percent), plan.percent
     kind = rows.schema["rep"].dataType.simpleString()
 
@@ -191,7 +191,7 @@ def _block_links(rows: DataFrame, plan: Plan) -> DataFrame:
         left = np.flatnonzero(block == first)
         right = left if first == second else np.flatnonzero(block == second)
         sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint64).reshape(len(frame), -1)
-        size, rep = frame["n_shingles"].to_numpy(), frame["rep"].to_numpy()
+        size = frame["n_shingles"].to_numpy()
         parent = {c: c for c in frame["component"]}
         own = frame["component"].tolist()
         members = frame["members"].tolist()
@@ -212,7 +212,7 @@ def _block_links(rows: DataFrame, plan: Plan) -> DataFrame:
                 x, y = root(own[i]), root(own[j])
                 if x != y and linked(np.frombuffer(members[i], np.uint64), np.frombuffer(members[j], np.uint64), percent):
                     parent[x] = y
-                    out.append((rep[i], rep[j]))
+                    out.append((own[i], own[j]))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return rows.groupBy("bucket", "low", "high").applyInPandas(work, f"a {kind}, b {kind}")
@@ -234,9 +234,8 @@ def near_duplicates(
     shape = staged(profiles(texts, plan), "near-profiles")
     full = shape.where("key is not null and id is not null")
     # classes of equal sets: one row each, folded on the map side
-    classes = full.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    first = full.join(classes.withColumnRenamed("n", "copies"), "key")
-    copies = first.where("copies > 1 and id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    classes = full.groupBy("key").agg(F.min("id").alias("rep"))
+    first = full.join(classes, "key")
     reps = staged(
         first.where("id = rep").dropDuplicates(["key"]).select("rep", "n_shingles", "sketch", "bands"), "near-classes"
     )
@@ -251,33 +250,39 @@ def near_duplicates(
     wanted = wanted.unionAll(crowded.select(F.col("rep").alias("id"))).distinct()
     sets = staged(profiles(texts.join(wanted, "id", "left_semi"), plan, sets=True), "near-sets")
     links = staged(_confirm(pairs, sets, plan), "near-links")
-    joined = staged(components(links), "near-components")
-
-    # what the pairs with the smallest class could not settle
-    known = crowded.select("bucket", "rep").join(
-        joined.select(F.col("node").alias("rep"), "component"), "rep", "left"
-    ).select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = known.groupBy("bucket").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")
-    ).where("c0 <> c1")
-    open_ = staged(known.join(mixed.select("bucket", "n"), "bucket"), "near-open")
-    blocks = open_.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    )
-    spread = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    spread = spread.select(
-        "bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
-    spread = spread.join(reps.select("rep", "n_shingles", "sketch"), "rep").join(
-        sets.select(F.col("id").alias("rep"), "members"), "rep"
-    )
-    more = _block_links(spread, plan)
-    ends = links.unionByName(more).unionByName(copies)
-    final = components(ends)
-    out = shape.select("id", "n_shingles").join(
-        final.select(F.col("node").alias("id"), "component"), "id", "left"
-    )
+    labels = staged(_relabelled(reps.select("rep", F.col("rep").alias("component")), components(links)), "near-labels")
+
+    # what the pairs with the smallest class could not settle: first inside blocks, then across
+    shapes = reps.select("rep", "n_shingles", "sketch").join(sets.select(F.col("id").alias("rep"), "members"), "rep")
+    inside = _mixed(crowded, labels).withColumn("high", F.col("block")).withColumnRenamed("block", "low")
+    inside = inside.withColumn("block", F.col("low")).join(shapes, "rep")
+    labels = staged(_relabelled(labels, components(_block_links(inside, plan))), "near-labels")
+    across = staged(_mixed(crowded.where(F.col("n") > BLOCK), labels), "near-across")
+    if not across.isEmpty():
+        spread = across.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        spread = spread.where("block <> other").select(
+            "bucket", "rep", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+        )
+        labels = staged(_relabelled(labels, components(_block_links(spread.join(shapes, "rep"), plan))), "near-labels")
+    known = first.select("id", "rep").distinct().join(labels, "rep").groupBy("id").agg(F.min("component").alias("component"))
+    out = shape.select("id", "n_shingles").join(known, "id", "left")
     component = F.coalesce("component", "id")
     return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component == F.col("id")).alias("kept")
     )
+
+
+def _relabelled(labels: DataFrame, moved: DataFrame) -> DataFrame:
+    """(rep, component) after components have been joined to smaller ones."""
+    both = labels.join(moved.withColumnRenamed("component", "lower"), F.col("component") == F.col("node"), "left")
+    return both.select("rep", F.coalesce("lower", "component").alias("component"))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets that hold several components, each dealt to one block of its bucket."""
+    known = members.select("bucket", "rep").join(labels, "rep")
+    mixed = known.groupBy("bucket").agg(
+        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("n")
+    )
+    mixed = mixed.where("c0 <> c1").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    return known.join(mixed, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
