@@ -148,7 +148,7 @@ def fit_elastic_net(df: DataFrame, features: str, label: str, alpha: float, l1_r
     reg = alpha * l1_ratio / sigma + alpha * (1 - l1_ratio)
     model = LinearRegression(
         featuresCol="_vec", labelCol="_y", predictionCol="_p", standardization=False,
-        regParam=reg, elasticNetParam=(alpha * l1_ratio / sigma) / reg, maxIter=1000, tol=1e-10,
+        regParam=reg, elasticNetParam=(alpha * l1_ratio / sigma) / reg, maxIter=ELASTIC_ITERATIONS, tol=1e-10,
     ).fit(scaled)
     return model, sigma, mean
 
@@ -193,7 +193,7 @@ def fit_boosted(
     return kind(
         featuresCol="_vec", labelCol=label, predictionCol="_p", maxIter=rounds, stepSize=step,
         maxDepth=tree_depth(leaves), minInstancesPerNode=min_leaf, seed=seed,
-        checkpointInterval=-1,
+        checkpointInterval=10,
     ).fit(_assembled(df, features))
 
 
@@ -340,7 +340,7 @@ def standardised_moments(products: np.ndarray, fill: np.ndarray):
     mean = g[0] / n
     cov = g / n - np.outer(mean, mean)
     var = np.maximum(np.diag(cov)[1:-1], 0.0)
-    sd = np.where(var > 1e-12, np.sqrt(var), 0.0)
+    sd = np.where(var > 1e-12 * np.diag(g)[1:-1] / n, np.sqrt(var), 0.0)
     safe = np.where(sd > 0, sd, 1.0)
     keep = (sd > 0).astype(float)
     corr = cov[1:-1, 1:-1] / np.outer(safe, safe) * np.outer(keep, keep)

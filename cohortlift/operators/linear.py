@@ -37,7 +37,7 @@ def leave_fold_out_line(
 ) -> DataFrame:
     """Mean of y and of x, and the slope of y on x, over the rows outside each fold.
 
-    The slope is 0 when x does not vary in training. Output: by, fold, mean_y, mean_x, slope.
+    The slope is 0 when x does not vary in training, to twelve digits of its own size. Output: by, fold, mean_y, mean_x, slope.
     """
     by = list(by)
     a, b = F.col(x), F.col(y)
@@ -58,7 +58,7 @@ def leave_fold_out_line(
         *by, fold,
         (sy / n).alias("mean_y"),
         (sx / n).alias("mean_x"),
-        F.when(sxx > 1e-9, sxy / sxx).otherwise(F.lit(0.0)).alias("slope"),
+        F.when(sxx > 1e-12 * F.col("_xx"), sxy / sxx).otherwise(F.lit(0.0)).alias("slope"),
     )
 
 

@@ -43,14 +43,11 @@ def residual_target(df: DataFrame, y: str, context_pred: str = "context_pred") -
 def residual_corrector(train: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Per training set and cell: mean of y (context model) and the line of the residual on x."""
     r, a = F.col("residual"), F.col(x)
-    n = F.count(r).cast("double")
-    sxx = F.sum(a * a) - F.sum(a) * F.sum(a) / n
-    sxr = F.sum(a * r) - F.sum(a) * F.sum(r) / n
     return train.groupBy(*by).agg(
         F.avg(y).alias("context_mean"),
         F.avg(r).alias("residual_mean"),
         F.avg(a).alias("x_mean"),
-        F.when(sxx > 1e-9, sxr / sxx).otherwise(F.lit(0.0)).alias("residual_slope"),
+        F.when(F.max(a) > F.min(a), F.covar_pop(a, r) / F.var_pop(a)).otherwise(F.lit(0.0)).alias("residual_slope"),
     )
 
 
