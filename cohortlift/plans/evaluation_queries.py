@@ -409,13 +409,13 @@ def i1(spark, sf_dir):
 
 @query(
     "i2_bootstrap_replicates",
-    f"WITH {PAIR_SQL}, {boot_sql(300, 77)} SELECT anchor, replicate, {', '.join(DELTAS)} FROM bt",
+    f"WITH {PAIR_SQL}, {boot_sql(2000, 77)} SELECT anchor, replicate, {', '.join(DELTAS)} FROM bt",
     ["predictions"],
     DELTAS,
 )
 def i2(spark, sf_dir):
     """Deltas of each participant-cluster bootstrap replicate."""
-    return ic.bootstrap_replicates(pairs_of(spark, sf_dir), ["anchor"], "grp", "y_true", 300, 77)
+    return ic.bootstrap_replicates(pairs_of(spark, sf_dir), ["anchor"], "grp", "y_true", 2000, 77)
 
 
 @query(
@@ -510,13 +510,13 @@ def i4(spark, sf_dir):
     return fold_increments(spark, sf_dir)
 
 
-INC_SQL = f"""{PAIR_SQL}, {boot_sql(500, 80)}, ci AS (SELECT anchor, {CI_SQL} FROM bt GROUP BY anchor),
+INC_SQL = f"""{PAIR_SQL}, {boot_sql(2500, 80)}, ci AS (SELECT anchor, {CI_SQL} FROM bt GROUP BY anchor),
   ob AS (SELECT anchor, {DELTA_SQL} FROM gs GROUP BY anchor), inc AS (SELECT * FROM ob JOIN ci USING (anchor))"""
 
 
 def increments(spark, sf_dir):
     return ic.regression_increment_table(
-        pairs_of(spark, sf_dir), ["anchor"], "grp", "y_true", 500, 80
+        pairs_of(spark, sf_dir), ["anchor"], "grp", "y_true", 2500, 80
     )
 
 
