@@ -3,7 +3,7 @@
 Three patterns give the base findings. Their values are the labelled sample of random strings, all
 other long tokens of the corpus that of ordinary identifiers: each trains a Markov model of single
 characters. Tokens outside the base findings whose mean log-likelihood ratio per character is
-beyond a threshold, set so that hardly any ordinary token passes, are findings too.
+beyond a threshold, set half-way between both samples, are findings too.
 
 Only DataFrame and SQL expressions are used. Places come from the lengths of the stretches between
 matches; running sums are taken over slices of ``SLICE`` matches, so that a text with very many
@@ -31,9 +31,10 @@ KINDS = [
 TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
 LEAST_TOKEN = 20  # characters of a token that the models may report
 LEAST_RATIO = 0.25  # nats per character below which nothing is reported
-PASSING = 0.0005  # share of ordinary tokens that may pass
+TAIL = 0.01  # share of either sample that is left out when the threshold is set between them
 FIRST, SYMBOLS = 32, 95  # printable ASCII
 SMOOTHING = 0.5
+BACKOFF = 200.0  # pairs that the mere frequency of the second character stands for
 SLICE = 256
 _SPANS = "array<struct<start:bigint,stop:bigint,value:string>>"
 
@@ -92,11 +93,13 @@ def log_ratios(random: dict, ordinary: dict) -> list[float]:
     """log p(second | first) as a random string less as an identifier, by place of the pair."""
 
     def model(counts: dict) -> list[float]:
-        totals = [0.0] * SYMBOLS
-        for (a, _), n in counts.items():
-            totals[a] += n
+        before, after = [0.0] * SYMBOLS, [SMOOTHING] * SYMBOLS
+        for (a, b), n in counts.items():
+            before[a] += n
+            after[b] += n
+        total = sum(after)
         return [
-            math.log((counts.get((a, b), 0) + SMOOTHING) / (totals[a] + SMOOTHING * SYMBOLS))
+            math.log((counts.get((a, b), 0) + BACKOFF * after[b] / total) / (before[a] + BACKOFF))
             for a in range(SYMBOLS)
             for b in range(SYMBOLS)
         ]
@@ -133,8 +136,13 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ]
     if known and common:
         table = log_ratios(known, common)
-        passing = ordinary.select(ratio(F.col("value"), table).alias("r")).agg(F.percentile_approx("r", 1 - PASSING, 10_000))
-        least = max(LEAST_RATIO, passing.first()[0] or 0.0)
+        edge = lambda values, share: (
+            values.where("length(value) > 1")
+            .agg(F.percentile_approx(ratio(F.col("value"), table), share, 10_000))
+            .first()[0]
+        )
+        # half-way between where ordinary tokens end and where secrets begin
+        least = max(LEAST_RATIO, (edge(ordinary, 1 - TAIL) + edge(random, TAIL)) / 2)
         long = rows.withColumn("long", F.expr(f"filter(tokens, x -> length(x.value) >= {LEAST_TOKEN})"))
         parts = lambda x: F.struct(
             x.start.alias("start"), x.stop.alias("stop"), x.value.alias("value"), ratio(x.value, table).alias("ratio")
