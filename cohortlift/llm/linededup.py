@@ -3,18 +3,21 @@
 A text is cut into lines: at line breaks, and inside a long paragraph at the stops of its
 sentences and clauses, so that a passage is found wherever it was pasted. A rolling hash runs over
 the hashes of the lines, and a line whose rolling hash is the smallest of some window of lines ends a
-chunk. The ends depend on nearby lines only, so a passage gives the same chunks in every document
+chunk, as does the end of a long line and of the line before one. The ends depend on nearby lines only, so a passage gives the same chunks in every document
 that holds it, however its surroundings are shifted.
 
 1. Chunks are counted by hash over the whole corpus, folded on the map side.
-2. Chunks that occur more than once are read again with the chunks beside them. Each occurrence is
-   compared, byte by byte, with the first one (smallest id, then place), and grows into the
-   neighbouring chunks by whole words as far as the bytes agree.
+2. Chunks that occur more than once are read again, at the ends of a run of them together with the
+   chunks beside it; runs of under ``SEED_WORDS`` words, or that cannot come to ``min_words`` words, are passed over. Occurrences are
+   dealt by hash and a salt and compared, byte by byte, with the first one (smallest id, then
+   place); the first ones of all salts are then compared with each other. At the ends of runs an
+   occurrence grows into the neighbouring chunks by whole words as far as the bytes agree. All that
+   is cut thus stands in an earlier document, or earlier in the same one.
 3. The spans found join to runs; runs of at least ``min_words`` words are cut out. The first
    occurrence stays.
 
-A bit table of fixed size spares the second reading most chunks that occur once; those that slip
-through fall out in the join on the hash.
+Bit tables of fixed size spare the second reading most chunks that occur once, and the last join
+most documents that nothing is cut from; what slips through is settled by the exact steps.
 """
 
 from __future__ import annotations
@@ -23,17 +26,21 @@ import os
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.llm.scan import ALNUM, byte_class, flat, mix, slices, span_hashes
 from cohortlift.sources.tables import staged
 
 MIN_WORDS = 30
-WINDOW = 3  # of so many neighbouring lines at least one ends a chunk
-BESIDE = 2  # chunks on either side that an occurrence may grow into
-SHORT = 12  # bytes; a chunk this short proposes no copy by itself
-TABLE_BITS = 1 << 24
+SEED_WORDS = 8  # words of a run of repeated chunks from which it is compared at all
+WINDOW = 2  # of so many neighbouring lines at least one ends a chunk
+LONG = 96  # bytes from which a line is a chunk by itself
+BESIDE = 3  # chunks on either side that an occurrence may grow into
+NEAR = 6  # chunks from either end of a run whose occurrences may grow
+TABLE_BITS = 1 << 25
+SALTS, HOT = 64, 5_000  # tasks that a chunk with more occurrences than HOT is dealt to
 LINE_END = byte_class((0x0A, 0x0A))
 STOP = byte_class((0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F))
 BLANK = byte_class((0x20, 0x20), (0x09, 0x09))
@@ -72,12 +79,18 @@ class Chunks:
             whole = text[:m] == text[WINDOW - 1 :]
             for k in range(WINDOW):
                 smallest[k : k + m] |= whole & (rolling[k : k + m] == least)
+        long = stops - starts >= LONG
+        smallest |= long
+        smallest[:-1] |= long[1:]
         tail = np.ones(n, bool)
         tail[:-1] = head[1:]
         last = np.flatnonzero(smallest | tail)  # last line of each chunk
         self.last = last
         self.begin = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
         self.text = text[last]
+        inside = ALNUM[raw]
+        self.word_starts = inside.copy()
+        self.word_starts[1:] &= ~inside[:-1]
         self.chunk_hash = span_hashes(raw, starts[self.begin], stops[last]) if n else np.zeros(0, np.uint64)
 
     def span(self, c: int) -> tuple[int, int]:
@@ -88,69 +101,96 @@ def _chunk_rows(docs: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         for batch in slices(batches, "text"):
             chunks = Chunks(batch.column("text"))
-            big = np.flatnonzero(chunks.stops[chunks.last] - chunks.starts[chunks.begin] > SHORT)
-            if len(big):
-                ids = batch.column("id").take(pa.array(chunks.text[big]))
-                hashes = pa.array(chunks.chunk_hash[big].view(np.int64))
+            if len(chunks.text):
+                ids = batch.column("id").take(pa.array(chunks.text))
+                hashes = pa.array(chunks.chunk_hash.view(np.int64))
                 yield pa.RecordBatch.from_arrays([ids, hashes], names=["id", "hash"])
 
     return docs.mapInArrow(run, f"id {kind}, hash bigint")
 
 
-def bit_table(hashes: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
-    """``bits`` flags: set where a hash of the table falls. Its size does not grow with the data."""
-    slot = F.pmod(F.col("hash"), F.lit(bits))
-    words = hashes.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(hash, 64L) as int))").alias("b"))
-    rows = words.groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toPandas()
+def bit_table(rows: DataFrame, hashed: Column, bits: int = TABLE_BITS) -> np.ndarray:
+    """``bits`` flags: set where a hash falls. The size does not grow with the data."""
+    slot = F.pmod(hashed, F.lit(bits))
+    words = rows.select(F.shiftright(slot, 6).alias("w"), F.pmod(hashed, F.lit(64)).cast("int").alias("i"))
+    found = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, i))").alias("b")).toPandas()
     out = np.zeros(bits // 64, np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    out[found["w"].to_numpy(np.int64)] = found["b"].to_numpy(np.int64)
     return out
 
 
-def _read_again(docs: DataFrame, table: np.ndarray, kind: str) -> DataFrame:
-    """Chunks whose bit is set, with the bytes of the chunks beside them."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    schema = f"id {kind}, hash bigint, place int, size bigint, start bigint, body binary, before binary, after binary"
+def bits_of(hashes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    slot = np.mod(hashes, np.int64(len(flags) * 64))
+    return ((flags[slot >> 6] >> (slot & 63)) & 1).astype(bool)
+
+
+def split_by_bit(rows: DataFrame, key: str, flags: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key's bit is set, and the others, which need not be shuffled to be joined."""
+    shared = rows.sparkSession.sparkContext.broadcast(flags)
+    hashed = rows.withColumn("_hash", F.xxhash64(key))
+
+    def keep(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                at = batch.schema.names.index("_hash")
+                bit = bits_of(batch.column(at).to_numpy(), shared.value)
+                yield batch.remove_column(at).filter(pa.array(bit == wanted))
+
+        return hashed.mapInArrow(run, rows.schema)
+
+    return keep(True), keep(False)
+
+
+def _read_again(docs: DataFrame, tables: list[np.ndarray], min_words: int, kind: str) -> DataFrame:
+    """Chunks whose bit is set in the first table, with their bytes and, near the ends of a run of such chunks, the bytes
+    of the chunks beside them. Runs that have too few words together with what is beside them are
+    left out: nothing that they can grow to would be cut. Chunks in the second table get a salt."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+    names = ["hash", "salt", "place", "size", "start", "body", "before", "after"]
+    schema = f"id {kind}, hash bigint, salt int, place int, size bigint, start bigint, body binary, before binary, after binary"
 
     def run(batches):
-        flags = shared.value
+        flags, hot = shared.value
         for batch in slices(batches, "text"):
             c = Chunks(batch.column("text"))
             if not len(c.text):
                 continue
             signed = c.chunk_hash.view(np.int64)
-            slot = np.mod(signed, np.int64(len(flags) * 64))
-            hit = np.flatnonzero((flags[slot >> 6] >> (slot & 63)) & 1)
-            if not len(hit):
-                continue
+            hit = bits_of(signed, flags)
+            deal = np.where(bits_of(signed, hot), c.text % SALTS, -1)  # by row: copies part too
             head = np.searchsorted(c.text, np.arange(batch.num_rows + 1))
-            raw, out = c.raw.tobytes(), {k: [] for k in ("start", "size", "body", "before", "after")}
-            for i in hit.tolist():
-                a, b = c.span(i)
+            opens, closes = hit.copy(), hit.copy()
+            opens[1:] &= ~(hit[:-1] & (c.text[1:] == c.text[:-1]))
+            closes[:-1] &= ~(hit[1:] & (c.text[1:] == c.text[:-1]))
+            first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+            if not len(first):
+                continue
+            low = np.maximum(first - BESIDE, head[c.text[first]])
+            high = np.minimum(last + BESIDE, head[c.text[last] + 1] - 1)
+            words = np.concatenate([[0], np.cumsum(c.word_starts)])
+            own_words = words[c.stops[c.last[last]]] - words[c.starts[c.begin[first]]]
+            enough = words[c.stops[c.last[high]]] - words[c.starts[c.begin[low]]] >= min_words
+            enough &= own_words >= SEED_WORDS
+            raw = c.raw.tobytes()
+            out: dict[str, list] = {k: [] for k in names}
+            for i, j in zip(first[enough].tolist(), last[enough].tolist()):
                 own = c.text[i]
-                low = max(i - BESIDE, int(head[own]))
-                high = min(i + BESIDE, int(head[own + 1]) - 1)
-                p, q = c.span(low)[0], c.span(high)[1]
-                out["start"].append(a - int(c.at[own]))
-                out["size"].append(int(c.at[own + 1] - c.at[own]))
-                out["body"].append(raw[a:b])
-                out["before"].append(raw[p:a])
-                out["after"].append(raw[b:q])
-            place = hit - head[c.text[hit]]
-            ids = batch.column("id").take(pa.array(c.text[hit]))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids,
-                    pa.array(signed[hit]),
-                    pa.array(place, pa.int32()),
-                    pa.array(out["size"], pa.int64()),
-                    pa.array(out["start"], pa.int64()),
-                    pa.array(out["body"], pa.binary()),
-                    pa.array(out["before"], pa.binary()),
-                    pa.array(out["after"], pa.binary()),
-                ],
-                names=["id", "hash", "place", "size", "start", "body", "before", "after"],
-            )
+                left, right = int(head[own]), int(head[own + 1]) - 1
+                at, size = int(c.at[own]), int(c.at[own + 1] - c.at[own])
+                for k in range(i, j + 1):
+                    a, b = c.span(k)
+                    out["hash"].append(int(signed[k]))
+                    out["salt"].append(int(deal[k]))
+                    out["place"].append(k - int(head[own]))
+                    out["size"].append(size)
+                    out["start"].append(a - at)
+                    out["body"].append(raw[a:b])
+                    out["before"].append(raw[c.span(max(left, k - BESIDE))[0] : a] if k - i < NEAR else b"")
+                    out["after"].append(raw[b : c.span(min(right, k + BESIDE))[1]] if j - k < NEAR else b"")
+            rows = np.repeat(c.text[first[enough]], (last - first + 1)[enough])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            columns = [pa.array(out[k], t) for k, t in zip(names, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), *columns], names=["id", *names])
 
     return docs.mapInArrow(run, schema)
 
@@ -168,28 +208,51 @@ def grow_back(ours: bytes, theirs: bytes) -> int:
     return grow_on(ours[::-1], theirs[::-1])
 
 
-def _verified(pairs: DataFrame, kind: str) -> DataFrame:
-    """Spans (id, size, start, stop) that agree with the first occurrence byte by byte."""
+def _against_first(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """Rows dealt by ``keys`` and sorted, each compared with the first of its group byte by byte.
+
+    Gives the spans (id, size, start, stop) of those that agree, and the first row of each salted
+    group with a null stop and its bytes. A task holds one first row at a time, however large a
+    group is.
+    """
+    schema = (
+        f"id {kind}, hash bigint, place int, size bigint, start bigint, stop bigint, "
+        "body binary, before binary, after binary"
+    )
+    salted = "salt" in keys
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "id", "place")
 
     def run(batches):
+        group, first = None, None
         for batch in batches:
-            col = lambda n: batch.column(n).to_pylist()
-            starts, stops, keep = [], [], []
-            sides = zip(
-                col("start"), col("body"), col("before"), col("after"),
-                col("first_body"), col("first_before"), col("first_after"),
-            )
-            for start, body, before, after, body0, before0, after0 in sides:
-                keep.append(body == body0)
-                starts.append(start - grow_back(before, before0))
-                stops.append(start + len(body) + grow_on(after, after0))
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("size"), pa.array(starts, pa.int64()), pa.array(stops, pa.int64())],
-                names=["id", "size", "start", "stop"],
+            names = batch.schema.names
+            out: dict[str, list] = {k: [] for k in ("row", "start", "stop")}
+            columns = [batch.column(k).to_pylist() for k in (*keys, "id", "place", "start", "body", "before", "after")]
+            for row, (*key, own, place, start, body, before, after) in enumerate(zip(*columns)):
+                if key != group:
+                    group, first = key, (body, before, after, own, place)
+                    if salted and key[1] >= 0:
+                        out["row"].append(row)
+                        out["start"].append(start)
+                        out["stop"].append(None)
+                elif body == first[0] and (own, place) != first[3:]:  # a repeated row is no copy
+                    out["row"].append(row)
+                    out["start"].append(start - grow_back(before, first[1]))
+                    out["stop"].append(start + len(body) + grow_on(after, first[2]))
+            took = batch.take(pa.array(out["row"], pa.int64()))
+            head = pa.array([s is None for s in out["stop"]], pa.bool_())
+            nothing = pa.nulls(took.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[took.column(names.index(k)) for k in ("id", "hash", "place", "size")],
+                    pa.array(out["start"], pa.int64()),
+                    pa.array(out["stop"], pa.int64()),
+                    *[pc.if_else(head, took.column(names.index(k)), nothing) for k in ("body", "before", "after")],
+                ],
+                names=["id", "hash", "place", "size", "start", "stop", "body", "before", "after"],
             )
-            yield out.filter(pa.array(keep, pa.bool_()))
 
-    return pairs.mapInArrow(run, f"id {kind}, size bigint, start bigint, stop bigint")
+    return ordered.mapInArrow(run, schema)
 
 
 def runs(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -229,22 +292,20 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")
     )
     repeated = staged(
-        _chunk_rows(texts, kind).groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1"),
+        _chunk_rows(texts, kind).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"),
         "repeated-chunks",
     )
-    again = _read_again(texts, bit_table(repeated), kind)
-    occurrences = staged(again.join(repeated.drop("n"), "hash"), "chunk-occurrences")
-    first = occurrences.where("id = first_id")
-    earliest = first.groupBy("hash").agg(F.min("place").alias("place"))
-    first = first.join(earliest, ["hash", "place"]).dropDuplicates(["hash"]).select(
-        "hash", F.col("place").alias("first_place"), F.col("body").alias("first_body"),
-        F.col("before").alias("first_before"), F.col("after").alias("first_after"),
-    )
-    pairs = occurrences.join(first, "hash").where("id <> first_id or place <> first_place")
-    spans = _verified(pairs.drop("hash", "first_id", "first_place"), kind)
+    # a chunk that is everywhere is dealt to SALTS tasks; their first rows then meet each other
+    tables = [bit_table(repeated.where(f"n > {least}"), F.col("hash")) for least in (1, HOT)]
+    salted = _read_again(texts, tables, min_words, kind)
+    near = staged(_against_first(salted, ["hash", "salt"], kind), "salted-chunks")
+    far = _against_first(near.where("stop is null"), ["hash"], kind)
+    spans = near.where("stop is not null").unionByName(far.where("stop is not null"))
     per_text = spans.groupBy("id").agg(F.collect_set(F.struct("size", "start", "stop")).alias("spans"))
+    per_text = staged(per_text, "chunk-spans")
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in inner.items()])
-    joined = rows.join(per_text.withColumnRenamed("id", "span_id"), F.col(inner[id_col]) == F.col("span_id"), "left")
+    touched, untouched = split_by_bit(rows, inner[id_col], bit_table(per_text, F.xxhash64("id")))
+    joined = touched.join(per_text.withColumnRenamed("id", "span_id"), F.col(inner[id_col]) == F.col("span_id"), "left")
     joined = joined.drop("span_id")
     text_key = inner[text_col]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
@@ -279,5 +340,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "
                 names=[*inner.values(), "removed_words", "removed_spans"],
             )
 
-    result = joined.mapInArrow(run, f"{schema}, removed_words bigint, removed_spans {found}")
+    result = joined.mapInArrow(run, f"{schema}, removed_words bigint, removed_spans {found}").unionByName(
+        untouched.withColumns({"removed_words": F.lit(0).cast("bigint"), "removed_spans": F.array().cast(found)})
+    )
     return result.select(*[F.col(k).alias(c) for c, k in inner.items()], "removed_words", "removed_spans")
