@@ -25,6 +25,7 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -127,18 +128,13 @@ def bits_of(hashes: np.ndarray, flags: np.ndarray) -> np.ndarray:
 def split_by_bit(rows: DataFrame, key: str, flags: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Rows whose key's bit is set, and the others, which need not be shuffled to be joined."""
     shared = rows.sparkSession.sparkContext.broadcast(flags)
-    hashed = rows.withColumn("_hash", F.xxhash64(key))
 
-    def keep(wanted: bool):
-        def run(batches):
-            for batch in batches:
-                at = batch.schema.names.index("_hash")
-                bit = bits_of(batch.column(at).to_numpy(), shared.value)
-                yield batch.remove_column(at).filter(pa.array(bit == wanted))
+    @F.pandas_udf("boolean")
+    def bit(hashes: pd.Series) -> pd.Series:
+        return pd.Series(bits_of(hashes.to_numpy(), shared.value))
 
-        return hashed.mapInArrow(run, rows.schema)
-
-    return keep(True), keep(False)
+    there = bit(F.xxhash64(key))  # only the hashes go to Python
+    return rows.where(there), rows.where(~there)
 
 
 def _read_again(docs: DataFrame, tables: list[np.ndarray], min_words: int, kind: str) -> DataFrame:
@@ -223,34 +219,52 @@ def _against_first(rows: DataFrame, keys: list[str], kind: str) -> DataFrame:
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "id", "place")
 
     def run(batches):
-        group, first = None, None
+        carried = None  # the first row of the group that the last batch ended in
         for batch in batches:
-            names = batch.schema.names
-            out: dict[str, list] = {k: [] for k in ("row", "start", "stop")}
-            columns = [batch.column(k).to_pylist() for k in (*keys, "id", "place", "start", "body", "before", "after")]
-            for row, (*key, own, place, start, body, before, after) in enumerate(zip(*columns)):
-                if key != group:
-                    group, first = key, (body, before, after, own, place)
-                    if salted and key[1] >= 0:
-                        out["row"].append(row)
-                        out["start"].append(start)
-                        out["stop"].append(None)
-                elif body == first[0] and (own, place) != first[3:]:  # a repeated row is no copy
-                    out["row"].append(row)
-                    out["start"].append(start - grow_back(before, first[1]))
-                    out["stop"].append(start + len(body) + grow_on(after, first[2]))
-            took = batch.take(pa.array(out["row"], pa.int64()))
-            head = pa.array([s is None for s in out["stop"]], pa.bool_())
-            nothing = pa.nulls(took.num_rows, pa.binary())
+            if not batch.num_rows:
+                continue
+            extra = carried is not None
+            if extra:
+                batch = pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
+            col = {k: batch.column(k) for k in batch.schema.names}
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for k in keys:
+                values = col[k].to_numpy()
+                new[1:] |= values[1:] != values[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(batch.num_rows), 0))
+            of_first = {k: col[k].take(pa.array(first)) for k in ("id", "place", "body")}
+            same = pc.equal(col["body"], of_first["body"]).to_numpy(zero_copy_only=False)
+            # a repeated row is no copy
+            other = pc.or_(pc.not_equal(col["id"], of_first["id"]), pc.not_equal(col["place"], of_first["place"]))
+            found = np.flatnonzero(same & other.to_numpy(zero_copy_only=False))
+            start = col["start"].to_numpy()[found].copy()
+            stop = start + pc.binary_length(col["body"]).to_numpy()[found]
+            for side in ("before", "after"):
+                size = pc.binary_length(col[side]).to_numpy()
+                for i in np.flatnonzero((size[found] > 0) & (size[first[found]] > 0)):
+                    ours, theirs = col[side][found[i]].as_py(), col[side][first[found[i]]].as_py()
+                    if side == "before":
+                        start[i] -= grow_back(ours, theirs)
+                    else:
+                        stop[i] += grow_on(ours, theirs)
+            heads = np.zeros(0, np.int64)
+            if salted:
+                heads = np.flatnonzero(new & (col["salt"].to_numpy() >= 0))
+                heads = heads[heads > 0] if extra else heads
+            took = batch.take(pa.array(np.concatenate([found, heads])))
+            is_head = np.arange(took.num_rows) >= len(found)
+            none = pa.nulls(took.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    *[took.column(names.index(k)) for k in ("id", "hash", "place", "size")],
-                    pa.array(out["start"], pa.int64()),
-                    pa.array(out["stop"], pa.int64()),
-                    *[pc.if_else(head, took.column(names.index(k)), nothing) for k in ("body", "before", "after")],
+                    *[took.column(k) for k in ("id", "hash", "place", "size")],
+                    pa.array(np.concatenate([start, col["start"].to_numpy()[heads]])),
+                    pa.array(np.concatenate([stop, np.zeros(len(heads), np.int64)]), mask=is_head),
+                    *[pc.if_else(pa.array(is_head), took.column(k), none) for k in ("body", "before", "after")],
                 ],
                 names=["id", "hash", "place", "size", "start", "stop", "body", "before", "after"],
             )
+            carried = batch.slice(int(first[-1]), 1)
 
     return ordered.mapInArrow(run, schema)
 
