@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples (operator 2).
 
-Terms are words and word beginnings. Those that set toxic and clean labelled documents apart are
-kept; every document becomes the counts of its kept terms, weighted by TF-IDF with document
-frequencies over the whole corpus. The labelled examples form an inverted index in blocks of
-consecutive examples, each block with the largest weight of every term in it. A query bounds each
-block by those largest weights and reads blocks in falling order of their bound until no further
-block can reach the k-th best cosine, so the nearest examples are exact. Their votes, weighted by
+Terms are words and word beginnings; every document is the counts of all its terms, weighted by
+TF-IDF with document frequencies over the whole corpus. The labelled examples form an inverted
+index over every term that occurs in one of them; a term that no example holds adds nothing to a
+product with an example, only to the length of the document's own vector. The commonest terms of
+the examples are held as rows of a matrix, the others as postings. A block of documents is
+multiplied with all examples in single precision, and every example that its error could hide is
+multiplied again in double precision, so the nearest ones are exact. Their votes, weighted by
 closeness, are put on the scale of a probability by a monotone fit on left-out votes of the
 examples themselves.
 
@@ -15,7 +16,8 @@ the id); everything else covers all documents.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import zlib
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,15 @@ from cohortlift.llm.scan import ALNUM, Words, slices, span_hashes
 from cohortlift.sources.tables import staged
 
 PER_CLASS = 6_000  # labelled examples of each class at most
-TERMS = 4_096  # terms kept at most
 STARTS = (4, 5, 6)  # bytes of the word beginnings
-LEAST_G2 = 30.0  # likelihood ratio from which a term counts as telling
 NEIGHBOURS = 15
-BLOCK = 128  # consecutive examples in one block of the index
+QUERIES = 128  # documents that are multiplied with the matrix together
+FEW = 4  # documents whose postings are added up together
+MANY = 64  # postings of a term from which they are added by themselves
+COMMON = 0.05  # share of the examples from which a term is a row of the matrix
+ROWS = 1_024  # rows of the matrix at most; all other terms are postings
+#: No weight is negative, so a single-precision cosine is off by this part of itself at most.
+OFF = (ROWS + 64) * 2.0**-24
 
 
 def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,89 +54,129 @@ def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in (hashes, texts, starts, ends))
 
 
-def telling_terms(examples: DataFrame, most: int = TERMS) -> np.ndarray:
-    """Sorted hashes of the terms that set the classes apart, from (text, label, weight) rows."""
+class Vocabulary:
+    """Places of term hashes among the terms of the examples, by open addressing."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.mask = np.uint64((1 << max(4, (4 * len(terms)).bit_length())) - 1)
+        self.slots = np.full(int(self.mask) + 1, -1, np.int32)
+        left = np.arange(len(terms), dtype=np.int32)
+        at = terms & self.mask
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + np.uint64(1)) & self.mask
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, -1 for one that no example holds."""
+        at = hashes & self.mask
+        out = self.slots[at]
+        wrong = np.flatnonzero(out >= 0)
+        wrong = wrong[self.terms[out[wrong]] != hashes[wrong]]
+        while len(wrong):
+            at[wrong] = (at[wrong] + np.uint64(1)) & self.mask
+            out[wrong] = self.slots[at[wrong]]
+            wrong = wrong[out[wrong] >= 0]
+            wrong = wrong[self.terms[out[wrong]] != hashes[wrong]]
+        return out
+
+
+def distinct_terms(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, count) of the different terms of each text, in that order."""
+    order = np.lexsort((hashes, text))
+    h, t = hashes[order], text[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
+    at = np.flatnonzero(new)
+    return t[at], h[at], np.diff(np.append(at, len(h)))
+
+
+def count_terms(column: pa.Array, known: Vocabulary) -> tuple[tuple, tuple]:
+    """(text, place, count) of the known terms of a string column, and (text, hash, count) of the others."""
+    hashes, text, _, _ = term_hashes(Words(column, ALNUM))
+    at = known.places(hashes)
+    hit = at >= 0
+    n = max(1, len(known.terms))
+    key, count = np.unique(text[hit] * n + at[hit], return_counts=True)
+    return (key // n, key % n, count), distinct_terms(hashes[~hit], text[~hit])
+
+
+def example_terms(examples: DataFrame) -> np.ndarray:
+    """Sorted hashes of the terms that occur in an example; bounded by the sample."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            hashes, text, _, _ = term_hashes(Words(batch.column("text"), ALNUM))
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            order = np.lexsort((text, hashes))
-            h, t = hashes[order], text[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (t[1:] != t[:-1])
-            h, y = h[new], label[t[new]]
-            terms, at = np.unique(h, return_index=True)
-            if len(terms):
-                positive = np.add.reduceat(y.astype(np.int64), at)
-                total = np.diff(np.append(at, len(h)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms.view(np.int64)), pa.array(positive), pa.array(total - positive)],
-                    names=["term", "toxic", "clean"],
-                )
-
-    sums = examples.groupBy().agg(F.sum("label"), F.count("*")).first()
-    n1 = int(sums[0] or 0)
-    n0 = int(sums[1]) - n1
-    if not n1 or not n0:
-        return np.zeros(0, np.uint64)
-    counts = examples.select("text", "label").mapInArrow(run, "term bigint, toxic bigint, clean bigint")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    a, b = F.col("a"), F.col("b")
-    share = (a + b) / F.lit(n1 + n0)
-    part = lambda k, n: F.when(k > 0, k * F.log(k / (n * share))).otherwise(0.0)
-    g2 = 2 * (part(a, n1) + part(b, n0) + _rest(n1 - a, n1, share) + _rest(n0 - b, n0, share))
-    ranked = counts.withColumn("g2", g2).where((F.col("g2") >= LEAST_G2) & (a * n0 > 2 * b * n1))
-    rows = ranked.orderBy(F.desc("g2"), "term").limit(most).select("term").collect()
-    return np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64))
-
-
-def _rest(k, n: int, share):
-    """The part of the likelihood ratio that documents without the term give."""
-    return F.when((k > 0) & (share < 1), k * F.log(k / (n * (1 - share)))).otherwise(0.0)
-
-
-def count_terms(column: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in ``table``, count) of the kept terms of a string column, in that order."""
-    if not len(table):
-        return (np.zeros(0, np.int64),) * 3
-    hashes, text, _, _ = term_hashes(Words(column, ALNUM))
-    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-    hit = table[at] == hashes
-    key, count = np.unique(text[hit] * len(table) + at[hit], return_counts=True)
-    return key // len(table), key % len(table), count
+            hashes = np.unique(term_hashes(Words(batch.column("text"), ALNUM))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["term"])
+
+    found = examples.mapInArrow(run, "term bigint").distinct().toArrow()
+    return np.sort(found.column("term").to_numpy().view(np.uint64))
 
 
-def term_vectors(docs: DataFrame, terms: np.ndarray) -> DataFrame:
-    """(id, terms, counts) of each document: places in ``terms``, ascending, and their counts."""
-    kept = docs.sparkSession.sparkContext.broadcast(terms)
-    kind = docs.schema["id"].dataType.simpleString()
+def example_vectors(examples: DataFrame, terms: np.ndarray) -> list[tuple]:
+    """(id, places in ``terms``, counts, label) of (id, label, text) rows; bounded by the sample."""
+    shared = examples.sparkSession.sparkContext.broadcast(terms)
+    kind = examples.schema["id"].dataType.simpleString()
 
     def run(batches):
+        known = Vocabulary(shared.value)
         for batch in slices(batches, "text"):
-            owner, term, count = count_terms(batch.column("text"), kept.value)
+            (owner, place, count), _ = count_terms(batch.column("text"), known)
             offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.ListArray.from_arrays(offsets, pa.array(term, pa.int32())),
+                    batch.column("label"),
+                    pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
                     pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
                 ],
-                names=["id", "terms", "counts"],
+                names=["id", "label", "terms", "counts"],
             )
 
-    return docs.mapInArrow(run, f"id {kind}, terms array<int>, counts array<int>")
+    out = []
+    for batch in examples.mapInArrow(run, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().to_batches():
+        place, count = (batch.column(k).flatten().to_numpy() for k in ("terms", "counts"))
+        at = np.concatenate([[0], np.cumsum(batch.column("terms").value_lengths().to_numpy())]).astype(np.int64)
+        own = zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), at[:-1], at[1:])
+        out += [(i, place[a:b], count[a:b], y) for i, y, a, b in own]
+    return out
+
+
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> DataFrame:
+    """(known, term, n): texts that hold a term, by place in ``terms`` if known and else by hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
+
+    def rows(known, term, n):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(term), known)), pa.array(term.astype(np.int64)), pa.array(n.astype(np.int64))],
+            names=["known", "term", "n"],
+        )
+
+    def run(batches):
+        known = Vocabulary(shared.value)
+        total = np.zeros(len(known.terms), np.int64)
+        for batch in slices(batches, "text"):
+            (_, place, _), (_, other, _) = count_terms(batch.column("text"), known)
+            total += np.bincount(place, minlength=len(total))
+            other, n = np.unique(other, return_counts=True)
+            yield rows(False, other.view(np.int64), n)
+        there = np.flatnonzero(total)
+        yield rows(True, there, total[there])
+
+    found = texts.select("text").mapInArrow(run, "known boolean, term bigint, n bigint")
+    return found.groupBy("known", "term").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Index:
-    """Block-max inverted index over the examples, and what turns votes into scores."""
+    """All terms of the examples, and what turns votes into scores."""
 
     idf: np.ndarray
-    start: np.ndarray  # (terms, blocks + 1): where the postings of a term in a block begin
-    example: np.ndarray  # postings: example, by term and then example
-    weight: np.ndarray
-    largest: np.ndarray  # (terms, blocks): largest weight of a term in a block
+    first: np.ndarray  # example i holds terms[first[i]:first[i + 1]], so many times as counts says
+    terms: np.ndarray
+    counts: np.ndarray
     label: np.ndarray
     importance: np.ndarray  # labelled rows that each example stands for
     ids: list
@@ -138,43 +184,132 @@ class Index:
     votes: np.ndarray  # knots of the monotone fit
     scores: np.ndarray
 
+    def spread(self) -> None:
+        """Matrix and postings of the examples' terms."""
+        n = len(self.ids)
+        held = np.zeros(len(self.idf), np.int64)
+        for i in range(n):
+            held[self.terms[self.first[i] : self.first[i + 1]]] += 1  # the terms of an example differ
+        common = np.argsort(-held, kind="stable")[:ROWS]
+        common = common[held[common] > COMMON * n]
+        self.row = np.full(len(self.idf), -1, np.int32)  # row of a term in the matrix, -1 if it has postings
+        self.row[common] = np.arange(len(common))
+        held[common] = 0
+        self.start = np.concatenate([[0], np.cumsum(held)]).astype(np.int64)  # where the postings of a term begin
+        self.matrix = np.zeros((len(common), n), np.float32)
+        self.example, self.weight = np.zeros(self.start[-1], np.int32), np.zeros(self.start[-1], np.float32)
+        self.length = np.ones(n)  # of the examples' vectors
+        self.damped = 1 + np.log(np.maximum(1, np.arange(self.counts.max(initial=1) + 1)))  # weight of a count
+        self.scratch = np.zeros(len(self.idf))  # a weight for each term, 0 between calls
+        free = self.start[:-1].copy()
+        for i in range(n):
+            t = self.terms[self.first[i] : self.first[i + 1]]
+            own = self.damped[self.counts[self.first[i] : self.first[i + 1]]] * self.idf[t]
+            if len(t):
+                self.length[i] = np.sqrt((own * own).sum())
+            own /= self.length[i]
+            place = self.row[t]
+            self.matrix[place[place >= 0], i] = own[place >= 0]
+            t = t[place < 0]
+            self.example[free[t]], self.weight[free[t]] = i, own[place < 0]
+            free[t] += 1
+
+    def __getstate__(self) -> dict:
+        """Only the examples' terms are sent, packed; a worker spreads them once."""
+        state = {f.name: getattr(self, f.name) for f in fields(self)}
+        steps = np.diff(self.terms, prepend=np.int32(0))
+        return state | {"terms": zlib.compress(steps.tobytes(), 1), "counts": zlib.compress(self.counts.tobytes(), 1)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.terms = np.cumsum(np.frombuffer(zlib.decompress(state["terms"]), np.int32), dtype=np.int32)
+        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.int32)
+        self.spread()
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = (1 + np.log(counts)) * self.idf[terms]
         return weight / np.sqrt((weight * weight).sum())
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1, k: int = NEIGHBOURS):
+    def cosines(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        """Of texts that hold terms first[i]:first[i + 1]: the cosines with every example in single
+        precision, the weights, and the squared lengths of the vectors; all by the terms given."""
+        q, n = len(first) - 1, len(self.ids)
+        owner = np.repeat(np.arange(q), np.diff(first))
+        weight = (1 + np.log(counts)) * self.idf[terms]
+        square = np.bincount(owner, weight * weight, minlength=q)
+        weight = weight / np.sqrt(square)[owner]
+        row = self.row[terms]
+        common = row >= 0
+        wide = np.zeros((q, len(self.matrix)), np.float32)
+        wide[owner[common], row[common]] = weight[common]
+        out = wide @ self.matrix
+        for i in range(0, q, FEW):
+            own = slice(first[i], first[min(q, i + FEW)])
+            rare = ~common[own]
+            t, m = terms[own][rare], min(q, i + FEW) - i
+            many = self.start[t + 1] - self.start[t]
+            to, w = owner[own][rare], weight[own][rare].astype(np.float32)
+            alone = many >= MANY
+            for j, x, begin, stop in zip(to[alone].tolist(), w[alone], self.start[t[alone]].tolist(), self.start[t[alone] + 1].tolist()):
+                out[j][self.example[begin:stop]] += x * self.weight[begin:stop]
+            t, many, to, w = t[~alone], many[~alone], to[~alone] - i, w[~alone]
+            place = np.repeat(self.start[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            part = np.repeat(w, many) * self.weight[place]
+            sums = np.bincount(np.repeat(to * n, many) + self.example[place], part, minlength=m * n)
+            out[i : i + m] += sums.reshape(m, n)
+        return out, weight, square
+
+    def exact(self, at: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of a text's unit vector with some examples, in double precision."""
+        own = self.scratch
+        own[terms] = weight * self.idf[terms]
+        out = np.zeros(len(at))
+        for i in range(0, len(at), 256):
+            some = at[i : i + 256]
+            many = self.first[some + 1] - self.first[some]
+            place = np.repeat(self.first[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            part = own[self.terms[place]] * self.damped[self.counts[place]]
+            out[i : i + 256] = np.bincount(np.repeat(np.arange(len(some)), many), part, len(some)) / self.length[some]
+        own[terms] = 0
+        return out
+
+    def best(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
+        """(places, cosines, squared length) of each text: the k nearest examples with a cosine above
+        0, ties to the smaller place. Terms ascend in each text. From ``skip``, text i passes over example skip + i."""
+        close, weight, square = self.cosines(first, terms, counts)
+        q, n = close.shape
+        if skip >= 0:
+            close[np.arange(q), np.arange(skip, skip + q)] = 0
+        least = np.partition(close, n - k, axis=1)[:, n - k] if n > k else np.zeros(q)
+        for i in range(q):
+            at = np.flatnonzero((close[i] > 0) & (close[i] >= least[i] * (1 - 4 * OFF)))
+            own = slice(first[i], first[i + 1])
+            cosine = self.exact(at, terms[own], weight[own])
+            order = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
+            yield at[order], cosine[order], float(square[i])
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS):
         """The k nearest examples and their cosines, ties to the smaller place; exact."""
-        query = self.vector(terms, counts)
-        bound = query @ self.largest[terms]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-9):
-                break
-            gathered = np.zeros(BLOCK)
-            for q, t in zip(query, terms):
-                i, j = self.start[t, b], self.start[t, b + 1]
-                if j > i:
-                    gathered[self.example[i:j] - b * BLOCK] += q * self.weight[i:j]
-            at = np.flatnonzero(gathered)
-            at, cosine = at + b * BLOCK, gathered[at]
-            if skip >= 0:
-                cosine, at = cosine[at != skip], at[at != skip]
-            best_at, best = np.concatenate([best_at, at]), np.concatenate([best, cosine])
-            order = np.lexsort((best_at, -np.round(best, 12)))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
+        return next(self.best(np.array([0, len(terms)]), terms, counts, k))[:2]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine**2 * self.importance[at]
         return float((weight * self.label[at]).sum() / weight.sum())
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        if not len(terms):
-            return self.empty_score, np.zeros(0, np.int64), np.zeros(0)
-        at, cosine = self.nearest(terms, counts)
-        if not len(at):
-            return self.empty_score, at, cosine
-        return float(np.interp(self.vote(at, cosine), self.votes, self.scores)), at, cosine
+    def score_texts(self, n: int, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        """(score, places, cosines, squared length) of each of n texts, from (text, term, count) in that order."""
+        first = np.searchsorted(owner, np.arange(n + 1))
+        for i in range(0, n, QUERIES):
+            own = first[i : i + QUERIES + 1]
+            if not len(self.ids):
+                yield from [(self.empty_score, np.zeros(0, np.int64), np.zeros(0), 0.0)] * (len(own) - 1)
+                continue
+            found = self.best(own - own[0], terms[own[0] : own[-1]], counts[own[0] : own[-1]])
+            for at, close, square in found:
+                score = self.empty_score
+                if len(at):
+                    score = float(np.interp(self.vote(at, close), self.votes, self.scores))
+                yield min(1.0, max(0.0, score)), at, close, square
 
 
 def monotone_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,44 +329,33 @@ def monotone_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def build_index(rows: list, idf: np.ndarray, importance: dict[int, float]) -> Index:
-    """The index of (id, terms, counts, label) rows, at most a bounded sample of them."""
-    rows = sorted(rows, key=lambda r: (str(r[0]), r[1], r[2]))
+    """The index of (id, terms, counts, label) rows of different ids, at most a bounded sample of them."""
+    rows = sorted(rows, key=lambda r: str(r[0]))
+    n = len(rows)
     label = np.array([r[3] for r in rows], float)
-    weight_of = np.array([importance[int(y)] for y in label]) if len(rows) else np.zeros(0)
-    blocks = max(1, -(-len(rows) // BLOCK))
-    index = Index(
-        idf, None, None, None, None, label, weight_of, [r[0] for r in rows], 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0])
-    )
-    term, example, weight = [], [], []
-    for i, (_, terms, counts, _) in enumerate(rows):
-        if terms:
-            t = np.array(terms)
-            term.append(t)
-            example.append(np.full(len(t), i))
-            weight.append(index.vector(t, np.array(counts)))
-    joined = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-    term, example, weight = joined(term, np.int64), joined(example, np.int64), joined(weight, float)
-    order = np.lexsort((example, term))
-    term, example, weight = term[order], example[order], weight[order]
-    key = term * (blocks + 1) + example // BLOCK
-    cells = np.arange(len(idf))[:, None] * (blocks + 1) + np.arange(blocks + 1)[None, :]
-    index.start = np.searchsorted(key, cells).astype(np.int64)
-    index.example, index.weight = example, weight
-    index.largest = np.zeros((len(idf), blocks))
-    np.maximum.at(index.largest, (term, example // BLOCK), weight)
-
-    empty = np.array([not r[1] for r in rows], bool)
+    weight_of = np.array([importance[int(y)] for y in label]) if n else np.zeros(0)
+    size = np.array([len(r[1]) for r in rows], np.int64)
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    terms, counts = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int32)
+    for r, i, j in zip(rows, first[:-1], first[1:]):
+        terms[i:j], counts[i:j] = r[1], r[2]
+    knots = np.array([0.0, 1.0])
+    index = Index(idf, first, terms, counts, label, weight_of, [r[0] for r in rows], 0.0, knots, knots)
+    index.spread()
+
+    empty = size == 0
     total = weight_of[empty].sum()
-    base = (weight_of * label).sum() / weight_of.sum() if len(rows) else 0.0
+    base = (weight_of * label).sum() / weight_of.sum() if n else 0.0
     index.empty_score = float(((weight_of * label)[empty].sum() + base) / (total + 1))
     votes, truth, how_much = [], [], []
-    for i, (_, terms, counts, y) in enumerate(rows):
-        if terms:
-            at, cosine = index.nearest(np.array(terms), np.array(counts), skip=i)
+    for i in range(0, n, QUERIES):
+        own = first[i : i + QUERIES + 1]
+        found = index.best(own - own[0], terms[own[0] : own[-1]], counts[own[0] : own[-1]], skip=i)
+        for j, (at, close, _) in enumerate(found, i):
             if len(at):
-                votes.append(index.vote(at, cosine))
-                truth.append(y)
-                how_much.append(weight_of[i])
+                votes.append(index.vote(at, close))
+                truth.append(label[j])
+                how_much.append(weight_of[j])
     if votes:
         index.votes, index.scores = monotone_fit(np.array(votes), np.array(truth, float), np.array(how_much))
     return index
@@ -239,11 +363,14 @@ def build_index(rows: list, idf: np.ndarray, importance: dict[int, float]) -> In
 
 @dataclass
 class Fitted:
-    """A fitted scorer: the telling terms, the index, and the vectors it was fitted over."""
+    """A fitted scorer: the terms of the examples, the index, the texts it was fitted over and how
+    many of them hold each term that no example has."""
 
     terms: np.ndarray
     index: Index
-    vectors: DataFrame
+    texts: DataFrame
+    size: int
+    others: DataFrame
 
 
 def fit(
@@ -255,7 +382,7 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> Fitted:
-    """Choose terms, weigh them over all of ``docs`` and index the labelled examples.
+    """Index the labelled examples over all their terms, weighed over all of ``docs``.
 
     ``held_out`` is a condition on ``labels`` whose rows are not learnt from. Null labels and ids
     are not learnt from; of an id that is repeated, one row is.
@@ -272,71 +399,87 @@ def fit(
         sample = own if sample is None else sample.unionAll(own)
     sample = staged(sample.groupBy("id").agg(F.max("label").alias("label")), "toxic-sample")
     # at most 2 * per_class rows of two numbers
-    terms = telling_terms(texts.join(F.broadcast(sample), "id"))
-    vectors = staged(term_vectors(texts, terms), "toxic-vectors")
-    size = vectors.count()
-    frequency = vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()
+    chosen = texts.join(F.broadcast(sample), "id").groupBy("id")
+    chosen = staged(chosen.agg(F.max("label").alias("label"), F.min("text").alias("text")), "toxic-examples")
+    terms = example_terms(chosen)
+    size = texts.count()
+    frequency = staged(document_frequencies(texts, terms), "toxic-frequencies")
+    own = frequency.where("known").select("term", "n").toArrow()
     idf = np.full(len(terms), np.log(1.0 + size) + 1)
-    for r in frequency:
-        idf[r.t] = np.log((1.0 + size) / (1.0 + r.n)) + 1
-    rows = vectors.join(F.broadcast(sample), "id").select("id", "terms", "counts", "label")
-    taken = {r.id: r for r in sorted(rows.dropDuplicates().collect(), key=lambda r: (r.terms, r.counts))}
-    there = {y: sum(r.label == y for r in taken.values()) for y in (0, 1)}
-    importance = {y: totals.get(y, 0) / max(1, there[y]) for y in (0, 1)}
-    return Fitted(
-        terms, build_index([(r.id, r.terms, r.counts, r.label) for r in taken.values()], idf, importance), vectors
-    )
-
-
-class Scorer:
-    """Scores of term vectors in a task, remembered for vectors that come again."""
-
-    def __init__(self, index: Index, most: int = 50_000):
-        self.index, self.most, self.known = index, most, {}
-
-    def __call__(self, terms: list[int], counts: list[int]) -> tuple[float, list[dict]]:
-        key = (tuple(terms), tuple(counts))
-        if key not in self.known:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            own = self.index
-            score, at, cosine = own.score(np.array(terms, np.int64), np.array(counts, float))
-            near = [
-                {"id": own.ids[i], "cosine": float(c), "label": int(own.label[i])} for i, c in zip(at[:5], cosine[:5])
-            ]
-            self.known[key] = (min(1.0, max(0.0, score)), near)
-        return self.known[key]
+    idf[own.column("term").to_numpy()] = np.log((1.0 + size) / (1.0 + own.column("n").to_numpy())) + 1
+    rows = example_vectors(chosen, terms)
+    importance = {y: totals.get(y, 0) / max(1, sum(r[3] == y for r in rows)) for y in (0, 1)}
+    index = build_index(rows, idf, importance)
+    return Fitted(terms, index, texts, size, frequency.where("not known").select("term", "n"))
 
 
 def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """(doc_id, score, predicted, evidence) for each row that the scorer was fitted over.
 
-    Null and empty texts and texts without telling terms get the rate of toxic labels among such
-    examples; without labels of both classes every score is the rate of the one there is, 0 if
-    there is none. Repeated rows each give a row. Evidence lists the nearest examples, their
-    cosines and labels.
+    Null and empty texts and texts that share no term with any example get the rate of toxic
+    labels among examples without terms; without labels of both classes every score is the rate of
+    the one there is, 0 if there is none. Repeated rows each give a row. Evidence lists the nearest
+    examples, their cosines and labels.
     """
-    vectors = fitted.vectors
-    shared = vectors.sparkSession.sparkContext.broadcast(fitted.index)
-    kind = vectors.schema["id"].dataType.simpleString()
+    texts = fitted.texts
+    shared = texts.sparkSession.sparkContext.broadcast((fitted.terms, fitted.index))
+    kind = texts.schema["id"].dataType.simpleString()
+    # what tells rows apart; equal rows have equal vectors
+    keyed = texts.select("id", "text", F.xxhash64("id", "text").alias("k"), F.hash("id", "text").alias("l"))
+    near_kind = f"array<struct<id:{kind},cosine:double,label:int>>"
 
     def run(batches):
-        scorer = Scorer(shared.value)
-        for batch in batches:
-            both = [scorer(t, c) for t, c in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist())]
+        terms, index = shared.value
+        known = Vocabulary(terms)
+        for batch in slices(batches, "text"):
             nearest = pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())])
+            own, (owner, other, count) = count_terms(batch.column("text"), known)
+            both = list(index.score_texts(batch.num_rows, *own))
+            near = [
+                [{"id": index.ids[i], "cosine": float(c), "label": int(index.label[i])} for i, c in zip(at[:5], close[:5])]
+                for _, at, close, _ in both
+            ]
+            offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("id"),
-                    pa.array([s for s, _ in both], pa.float64()),
-                    pa.array([int(s >= threshold) for s, _ in both], pa.int32()),
-                    pa.array([near for _, near in both], pa.list_(nearest)),
+                    *[batch.column(c) for c in ("id", "k", "l")],
+                    pa.array([r[0] for r in both], pa.float64()),
+                    pa.array(near, pa.list_(nearest)),
+                    pa.array([r[3] for r in both], pa.float64()),
+                    pa.ListArray.from_arrays(offsets, pa.array(other.view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
                 ],
-                names=[id_col, "score", "predicted", "evidence"],
+                names=["id", "k", "l", "score", "near", "square", "others", "counts"],
             )
 
-    return vectors.mapInArrow(
-        run, f"{id_col} {kind}, score double, predicted int, evidence array<struct<id:{kind},cosine:double,label:int>>"
+    scored = staged(
+        keyed.mapInArrow(
+            run,
+            f"id {kind}, k bigint, l int, score double, near {near_kind}, square double, "
+            "others array<bigint>, counts array<int>",
+        ),
+        "toxic-scored",
+    )
+    # the part of a vector's length that lies in terms which no example holds
+    pairs = scored.select("k", "l", F.size("others").alias("own"), F.explode(F.arrays_zip("others", "counts")).alias("t"))
+    pairs = pairs.select("k", "l", "own", F.col("t.others").alias("term"), F.col("t.counts").alias("c"))
+    weight = (1 + F.log(F.col("c"))) * (F.log(F.lit(1.0 + fitted.size) / (1 + F.col("n"))) + 1)
+    rest = (
+        pairs.join(fitted.others, "term")
+        .groupBy("k", "l")
+        .agg((F.sum(weight * weight) * F.max("own") / F.count("*")).alias("rest"))  # equal rows once
+    )
+    joined = scored.select("id", "k", "l", "score", "near", "square").join(rest, ["k", "l"], "left")
+    shorter = F.sqrt(F.col("square") / (F.col("square") + F.coalesce("rest", F.lit(0.0))))
+    evidence = F.transform(
+        "near",
+        lambda x: F.struct(x["id"].alias("id"), F.round(x["cosine"] * shorter, 12).alias("cosine"), x["label"].alias("label")),
+    )
+    return joined.select(
+        F.col("id").alias(id_col),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        evidence.alias("evidence"),
     )
 
 
@@ -350,13 +493,9 @@ def not_toxic(docs: DataFrame, fitted: Fitted, text_col: str = "text", threshold
 
     def run(batches):
         terms, index = shared.value
-        scorer = Scorer(index)
+        known = Vocabulary(terms)
         for batch in slices(batches, text):
-            owner, term, count = count_terms(batch.column(text), terms)
-            at = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            scores = [
-                scorer(term[i:j].tolist(), count[i:j].tolist())[0] for i, j in zip(at[:-1].tolist(), at[1:].tolist())
-            ]
-            yield batch.filter(pa.array([s < threshold for s in scores], pa.bool_()))
+            own, _ = count_terms(batch.column(text), known)
+            yield batch.filter(pa.array([r[0] < threshold for r in index.score_texts(batch.num_rows, *own)], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

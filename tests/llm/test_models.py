@@ -71,6 +71,25 @@ def test_nearest_examples_are_exact():
         assert np.allclose(cosine, close[want])
 
 
+def test_rare_wording_finds_its_example(spark):
+    docs, labels = labelled(spark)
+    rare = "qqone qqtwo qqthree qqfour qqfive qqsix"  # in one toxic example, so of no likelihood ratio
+    more = spark.createDataFrame([(20_000, rare), (20_001, rare), (20_002, rare + " wwunseen wwunseen")], "doc_id long, text string")
+    docs = docs.unionByName(with_clashes(more))
+    labels = labels.unionByName(with_clashes(spark.createDataFrame([(20_000, 1, 1)], labels.schema[:3])))
+    got = {r.doc_id: r for r in toxicity.toxicity_scores(toxicity.fit(docs, labels)).collect()}
+    assert got[20_001].evidence[0].id == 20_000 and abs(got[20_001].evidence[0].cosine - 1) < 1e-9
+    size = docs.count()
+    idf = lambda n: math.log((1 + size) / (1 + n)) + 1
+    seen = 0.0
+    for n in (4, 5, 6, 99):
+        for w in {w[:n] for w in rare.split() if n == 99 or len(w) > n}:
+            seen += idf(3) ** 2
+    unseen = 4 * ((1 + math.log(2)) * idf(1)) ** 2  # the word and its three beginnings
+    assert abs(got[20_002].evidence[0].cosine - math.sqrt(seen / (seen + unseen))) < 1e-9
+    assert got[20_001].score == got[20_002].score
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in toxicity.toxicity_scores(toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
