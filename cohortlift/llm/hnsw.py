@@ -244,9 +244,11 @@ def nearest(
     """
     if k >= KEPT_COPIES:
         raise ValueError(f"k must be below {KEPT_COPIES}")
-    rows = staged(usable(vectors, id_col, vector_col), "vectors")
+    # a repeated row would take the places of other ids with its vector, and fill a shard or a block
+    rows = staged(usable(vectors, id_col, vector_col).dropDuplicates(["id", "vector"]), "vectors")
     index = staged(build_index(rows, shard_rows), "graphs")
-    asked = usable(queries, id_col, vector_col).withColumn("length", F.size("vector"))
+    asked = usable(queries, id_col, vector_col).dropDuplicates(["id", "vector"])
+    asked = staged(asked.withColumn("length", F.size("vector")), "queries")
     total = asked.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
     # the stated queries meet every shard in blocks: a block is one row, sent to each shard

@@ -185,3 +185,11 @@ def test_nearest_against_brute_force(spark):
             assert [i for _, i, _ in own] == best.tolist()
     assert hits / total >= 0.95 and not {5000, 5050, 5100, 5150} & set(got)
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_repeated_rows_leave_room_for_other_ids(spark):
+    same, other = [1.0, 2.0, 3.0], [3.0, -1.0, 0.5]
+    table = [(1, same)] * 20 + [(i, same) for i in range(2, 9)] + [(i, [float(i), 1.0, -2.0]) for i in range(20, 30)]
+    df = spark.createDataFrame(table + [(50, other)] * 20, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in hnsw.nearest(df, df.where("vec_id in (1, 2)")).collect())
+    assert got == [(1, i, i + 1) for i in range(1, 6)] + [(2, i, v) for i, v in enumerate((1, 3, 4, 5, 6), 1)]
