@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from cohortlift.llm.fim import middle_digest
 from cohortlift.llm.merkle import tamper_report
+from cohortlift.llm.mixing import mixing_report
 from cohortlift.llm.registry import query, table
 
 
@@ -89,3 +90,27 @@ CRC_SQL = """crc AS (SELECT id, key, 0 AS step, 4294967295::BIGINT AS c FROM row
 def op12_merkle_manifest(spark, sf_dir):
     """Hash tree over every language's documents and over the languages, each row proved against it."""
     return tamper_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_source_mixing",
+    r"""WITH d AS MATERIALIZED (SELECT doc_id, source,
+        len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+    weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS room FROM totals),
+    placed AS (SELECT *, row_number() OVER (ORDER BY room / weight, source NULLS LAST) AS pos FROM weighed),
+    shares AS MATERIALIZED (SELECT *, ((SELECT sum(source_size) FROM totals) - coalesce(sum(room) OVER earlier, 0))::HUGEINT AS rest,
+      ((SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER earlier, 0))::HUGEINT AS heavy FROM placed
+      WINDOW earlier AS (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    stop AS (SELECT * FROM shares WHERE room * heavy >= rest * weight ORDER BY pos LIMIT 1),
+    rates AS (SELECT s.source, s.source_size, CASE WHEN s.pos < stop.pos THEN s.room::DOUBLE
+      ELSE (stop.rest * s.weight)::DOUBLE / stop.heavy::DOUBLE END AS target FROM shares s, stop)
+    SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN
+      ('0x' || substr(md5('13:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate - floor(rate)
+      THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate
+      FROM d JOIN rates ON rates.source IS NOT DISTINCT FROM d.source)""",
+)
+def op13_source_mixing(spark, sf_dir):
+    """How many words of each document a mix takes whose sources stand in weights 1, 2, 3, ..."""
+    return mixing_report(table(spark, sf_dir, "documents"))
