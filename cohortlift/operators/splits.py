@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.operators.ordered import positions
+from cohortlift.sources.tables import staged
+
 
 def group_sizes(df: DataFrame, group: str, outcome: str | None = None) -> DataFrame:
     """One row per group: rows, and for a 0/1 outcome its positives and negatives."""
@@ -24,47 +27,69 @@ def with_seeds(groups: DataFrame, base_seed: int, step: int, repeats: int) -> Da
     return spread.withColumn("seed", F.lit(base_seed) + (F.col("repeat") - 1) * step)
 
 
-def _dealt(groups: DataFrame, keys: Sequence[str], n_folds: int, size: str) -> DataFrame:
-    """Fold of every group: largest first by ``size``, ties in seeded hash order, dealt back and
-    forth. Nothing depends on the groups before, so one rule holds at every number of groups."""
-    keys = list(keys)
-    order = F.md5(F.concat_ws("|", F.col("seed").cast("string"), F.col("grp").cast("string")))
-    sized = groups.withColumn("_big", -F.col(size)).withColumn("_h", order)
+def _placed(groups: DataFrame, keys: Sequence[str], size: str) -> DataFrame:
+    """Place of every group by falling ``size`` and the number of groups; no seed takes part."""
+    sized = groups.withColumn("_big", -F.col(size)).withColumn("_h", F.md5(F.col("grp").cast("string")))
     # the chunk rises along (size, hash): groups of one size are spread over 256 of them
     chunk = F.col("_big") * 256 + F.conv(F.substring("_h", 1, 2), 16, 10).cast("bigint")
-    placed = positions(sized, keys, ["_big", "_h", "grp"], chunk, out="_place", total="_groups")
-    turn = (F.col("_place") - 1) % (2 * n_folds)
-    fold = F.when(turn < n_folds, turn).otherwise(2 * n_folds - 1 - turn) + 1
-    return placed.withColumn("fold", fold.cast("int")).drop("_big", "_h", "_place")
+    placed = positions(sized, list(keys), ["_big", "_h", "grp"], chunk, out="_place", total="_groups")
+    return placed.drop("_big", "_h")
+
+
+def _dealt(placed: DataFrame, keys: Sequence[str], n_folds: int) -> DataFrame:
+    """Fold of every placed group: each run of ``n_folds`` groups of like size gives one group to
+    every fold, in an order drawn by the seed. Runs do not depend on each other, so one rule holds
+    at every number of groups, and another seed deals every run anew."""
+    runs = placed.withColumn("_run", F.floor((F.col("_place") - 1) / n_folds))
+    text = [F.col(c).cast("string") for c in ("seed", "_run", "grp")]
+    runs = runs.withColumn("_draw", F.md5(F.concat_ws("|", *text)))
+    fold = F.row_number().over(W.partitionBy(*keys, "_run").orderBy("_draw", "grp"))
+    return runs.withColumn("fold", fold).drop("_place", "_run", "_draw")
 
 
 def shuffled_folds(groups: DataFrame, keys: Sequence[str], n_folds: int) -> DataFrame:
-    """Outcome-blind k-fold of groups, balanced on rows; another seed deals equal sizes anew.
+    """Outcome-blind k-fold of groups, balanced on rows and dealt by the seed.
 
     ``groups``: keys, seed, grp, n. A split with fewer groups than folds fails the job.
     """
     few = F.raise_error(F.concat(F.lit(f"need at least {n_folds} groups, found "), F.col("_groups").cast("string")))
-    placed = _dealt(groups, keys, n_folds, "n")
-    return placed.withColumn("fold", F.when(F.col("_groups") >= n_folds, F.col("fold")).otherwise(few)).drop("_groups")
+    dealt = _dealt(_placed(groups, keys, "n"), keys, n_folds)
+    return dealt.withColumn("fold", F.when(F.col("_groups") >= n_folds, F.col("fold")).otherwise(few)).drop("_groups")
 
 
 def stratified_folds(groups: DataFrame, keys: Sequence[str], n_folds: int, attempts: int) -> DataFrame:
     """k-fold of groups balanced on positives, under the first seed whose folds are usable.
 
-    Candidate seeds seed, seed+1, … are evaluated side by side; a seed is usable when every
-    fold holds both classes inside and outside. Groups with positives are dealt by their number of
-    positives, groups without by their rows; a split without a usable seed fails the job.
+    Candidate seeds seed, seed+1, … are judged side by side, ten times as many in each round until
+    every split has one; a seed is usable when every fold holds both classes inside and outside.
+    Groups with positives are dealt by their number of positives, groups without by their rows; a
+    split without a usable seed fails the job.
     """
     keys = list(keys)
-    spread = groups.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
-    tried = spread.withColumn("seed", F.col("seed") + F.col("attempt"))
-    tried = tried.withColumn("_some", F.col("n_pos") > 0)
-    tried = tried.withColumn("_load", F.when(F.col("_some"), F.col("n_pos")).otherwise(F.col("n")))
-    folds = _dealt(tried, [*keys, "attempt", "_some"], n_folds, "_load").drop("_some", "_load", "_groups")
-    inside = folds.groupBy(*keys, "attempt", "fold").agg(
-        F.sum("n_pos").alias("p"), F.sum("n_neg").alias("q")
-    )
-    usable = inside.groupBy(*keys, "attempt").agg(
+    strata = groups.withColumn("_some", F.col("n_pos") > 0)
+    load = F.when(F.col("_some"), F.col("n_pos")).otherwise(F.col("n"))
+    placed = _placed(strata.withColumn("_load", load), [*keys, "_some"], "_load")
+    placed = staged(placed.drop("_load", "_groups"), "strata")
+    todo, done, low, high = placed, None, 0, 1
+    while True:
+        spread = todo.withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(min(high, attempts) - 1))))
+        tried = _dealt(spread.withColumn("seed", F.col("seed") + F.col("attempt")), [*keys, "attempt", "_some"], n_folds)
+        tried = staged(tried.drop("_some"), "seeds-tried")
+        first = _usable(tried, keys, n_folds)
+        found = tried.join(first, [*keys, "attempt"])
+        done = found if done is None else done.unionByName(found)
+        todo = todo.join(first, keys, "left_anti")
+        if todo.isEmpty():
+            return done
+        if high >= attempts:
+            raise ValueError(f"no usable seed among {attempts}")
+        low, high = high, high * 10
+
+
+def _usable(folds: DataFrame, keys: Sequence[str], n_folds: int) -> DataFrame:
+    """(keys, attempt): the first usable attempt of each split that has one."""
+    inside = folds.groupBy(*keys, "attempt", "fold").agg(F.sum("n_pos").alias("p"), F.sum("n_neg").alias("q"))
+    good = inside.groupBy(*keys, "attempt").agg(
         (
             (F.count(F.lit(1)) == n_folds)
             & (F.min("p") > 0)
@@ -73,10 +98,7 @@ def stratified_folds(groups: DataFrame, keys: Sequence[str], n_folds: int, attem
             & (F.sum("q") - F.max("q") > 0)
         ).alias("usable")
     )
-    none = F.raise_error(F.lit(f"no usable seed among {attempts}"))
-    best = F.min(F.when(F.col("usable"), F.col("attempt")))
-    first = usable.groupBy(*keys).agg(F.coalesce(best, none).alias("attempt"))
-    return folds.join(first, [*keys, "attempt"])
+    return good.where("usable").groupBy(*keys).agg(F.min("attempt").alias("attempt"))
 
 
 def serpentine_folds(

@@ -19,9 +19,10 @@ SEEDS = 500
 # --- splits -----------------------------------------------------------------------------------
 def dealt_sql(groups: str, keys: str, k: int) -> str:
     """SQL of the dealt split: ``groups`` is a CTE with keys, seed, grp, n."""
-    return f"""ordered AS (SELECT {keys}, grp, (row_number() OVER (PARTITION BY {keys}
-      ORDER BY n DESC, md5(seed || '|' || grp), grp) - 1) % {2 * k} AS t FROM {groups}),
-    folds AS (SELECT {keys}, grp, (CASE WHEN t < {k} THEN t ELSE {2 * k - 1} - t END + 1)::INT AS fold FROM ordered)"""
+    return f"""ordered AS (SELECT {keys}, seed, grp, (row_number() OVER (PARTITION BY {keys}
+      ORDER BY n DESC, md5(grp::VARCHAR), grp) - 1) // {k} AS run FROM {groups}),
+    folds AS (SELECT {keys}, grp, row_number() OVER (PARTITION BY {keys}, run
+      ORDER BY md5(seed || '|' || run || '|' || grp), grp)::INT AS fold FROM ordered)"""
 
 
 GROUPS_SQL = """sizes AS (SELECT user_id AS grp, count(*) AS n FROM events GROUP BY user_id),
@@ -70,9 +71,9 @@ X2_SQL = f"""labelled AS (SELECT user_id AS grp, count(*) AS n,
   tries AS (SELECT repeat, attempt, 42 + (repeat - 1) * 10000 + attempt AS seed, grp, n, n_pos, n_neg
     FROM labelled, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat), (SELECT unnest(range({SEEDS})) AS attempt)),
   turns AS (SELECT *, (row_number() OVER (PARTITION BY repeat, attempt, n_pos > 0
-    ORDER BY CASE WHEN n_pos > 0 THEN n_pos ELSE n END DESC, md5(seed || '|' || grp), grp) - 1) % 10 AS t FROM tries),
-  placed AS (SELECT repeat, attempt, grp, (CASE WHEN t < 5 THEN t ELSE 9 - t END + 1)::INT AS fold, n, n_pos, n_neg
-    FROM turns),
+    ORDER BY CASE WHEN n_pos > 0 THEN n_pos ELSE n END DESC, md5(grp::VARCHAR), grp) - 1) // 5 AS run FROM tries),
+  placed AS (SELECT repeat, attempt, grp, row_number() OVER (PARTITION BY repeat, attempt, n_pos > 0, run
+    ORDER BY md5(seed || '|' || run || '|' || grp), grp)::INT AS fold, n, n_pos, n_neg FROM turns),
   inside AS (SELECT repeat, attempt, fold, sum(n_pos) AS p, sum(n_neg) AS q FROM placed GROUP BY ALL),
   usable AS (SELECT repeat, min(attempt) AS attempt FROM (SELECT repeat, attempt FROM inside
     GROUP BY repeat, attempt HAVING count(*) = 5 AND min(p) > 0 AND min(q) > 0 AND sum(p) > max(p)

@@ -76,10 +76,50 @@ def test_one_rule_at_every_number_of_groups(spark):
     seeded = sp.with_seeds(groups(spark, 6000), 42, 10000, 1)
     folds = sp.shuffled_folds(seeded, ["repeat"], 3).toPandas()
     assert len(folds) == 6000 and folds.groupby("fold").size().eq(2000).all()
-    by_hand = folds.assign(h=[hashlib.md5(f"42|{g}".encode()).hexdigest() for g in folds.grp])
-    by_hand = by_hand.sort_values(["n", "h"], ascending=[False, True]).reset_index(drop=True)
-    turn = by_hand.index % 6
-    assert (by_hand.fold == np.where(turn < 3, turn, 5 - turn) + 1).all()
+    assert dealt_by_hand([(g, n) for g, n in zip(folds.grp, folds.n)], 42, 3) == dict(zip(folds.grp, folds.fold))
+
+
+def dealt_by_hand(sizes, seed, k):
+    digest = lambda *parts: hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()
+    ranked = sorted(sizes, key=lambda r: (-r[1], digest(r[0]), r[0]))
+    out = {}
+    for run in range(0, len(ranked), k):
+        drawn = sorted((digest(seed, run // k, g), g) for g, _ in ranked[run : run + k])
+        out |= {g: i + 1 for i, (_, g) in enumerate(drawn)}
+    return out
+
+
+def test_repeats_differ_where_all_sizes_differ(spark):
+    df = spark.createDataFrame([(f"g{i}", 10 + 3 * i) for i in range(40)], "grp string, n bigint")
+    folds = sp.shuffled_folds(sp.with_seeds(df, 42, 10000, 5), ["repeat"], 5).toPandas()
+    splits = {tuple(f.sort_values("grp").fold) for _, f in folds.groupby("repeat")}
+    assert len(splits) == 5
+    moved = folds.groupby("grp").fold.nunique()
+    assert (moved > 1).mean() > 0.9
+    sizes = folds.groupby(["repeat", "fold"]).n.sum().unstack()
+    assert (sizes.max(axis=1) - sizes.min(axis=1) <= 10 + 3 * 39).all()
+
+
+def test_a_bad_first_seed_is_followed_by_a_good_one(spark):
+    # a fold of g1 and g3 alone has no negatives, so about half of the seeds cannot be used
+    rows = [("g1", 10, 10, 0), ("g2", 10, 9, 1), ("g3", 9, 8, 0), ("g4", 9, 7, 2)]
+    df = spark.createDataFrame(rows, "grp string, n bigint, n_pos bigint, n_neg bigint")
+
+    def good(seed):
+        fold = dealt_by_hand([(g, p) for g, _, p, _ in rows], seed, 2)
+        return fold["g1"] != fold["g3"]
+
+    wanted = {}
+    for base in range(1, 60):
+        wanted[base] = next(a for a in range(500) if good(base + a))
+    assert {0, 1, 2} <= set(wanted.values())
+    one_each = [next(b for b, a in wanted.items() if a == k) for k in (0, 1, 2)]
+    seeded = df.crossJoin(spark.createDataFrame([(b, b) for b in one_each], "repeat int, seed int"))
+    folds = sp.stratified_folds(seeded, ["repeat"], 2, attempts=500).toPandas()
+    assert len(folds) == 12 and folds.groupby(["repeat", "fold"]).n_neg.sum().gt(0).all()
+    for b, own in folds.groupby("repeat"):
+        assert set(own.attempt) == {wanted[b]}
+        assert dict(zip(own.grp, own.fold)) == dealt_by_hand([(g, p) for g, _, p, _ in rows], b + wanted[b], 2)
 
 
 def test_no_usable_seed_fails(spark):
