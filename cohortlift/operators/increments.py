@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import hash_int
-from cohortlift.operators.joining import lookup_side, spread_side
 from cohortlift.operators.metrics import (
     error_statistics,
-    ranking_from_counts,
+    probability_statistics,
+    score_counts,
     total_squares,
 )
-from cohortlift.operators.ordered import positions
+from cohortlift.operators.ordered import positions, value_bucket
 from cohortlift.sources.tables import staged
 
 PREDS = {"_base": "pred_base", "_comb": "pred_comb"}
@@ -89,18 +92,29 @@ def group_statistics(pairs: DataFrame, by: Sequence[str], group: str, y: str) ->
     return staged(_indexed(error_statistics(pairs, by, group, y, PREDS), by, group), "group-stats")
 
 
+def draw_lists(indexed: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """by, _idx, reps: the replicates that drew a group, one entry a draw.
+
+    Draws are gathered to arrays in the task that makes them, so what is shuffled is one number a
+    draw in rows of whole groups, not a row a draw.
+    """
+    return _draws(indexed, by, replicates, seed).groupBy(*by, "_idx").agg(
+        F.collect_list(F.col("replicate").cast("int")).alias("reps")
+    )
+
+
 def replicates_from_statistics(
     stats: DataFrame, by: Sequence[str], replicates: int, seed: int
 ) -> DataFrame:
     """Deltas of every participant-cluster bootstrap replicate.
 
-    A draw is a join of one number to the group statistics, and a group drawn twice counts as
-    two groups; no row is ever copied.
+    A group drawn twice counts as two groups. Group statistics meet their draws as one array and
+    are added up per replicate in the task that spreads it; no row is ever copied.
     """
     kept = ["n", "my", "vy", "ylo", "yhi", *[f"{k}{s}" for s in PREDS for k in ("ae", "se")]]
-    lookup = lookup_side(stats.select(*by, "_idx", *kept))
-    drawn = _draws(stats, by, replicates, seed).join(lookup, [*by, "_idx"])
-    return drawn.groupBy(*by, "replicate").agg(*_improvements())
+    drawn = draw_lists(stats, by, replicates, seed).join(stats.select(*by, "_idx", *kept), [*by, "_idx"])
+    spread = drawn.select(*by, *kept, F.explode("reps").alias("replicate"))
+    return spread.groupBy(*by, "replicate").agg(*_improvements())
 
 
 def bootstrap_replicates(
@@ -179,34 +193,102 @@ def probability_bootstrap(
 ) -> DataFrame:
     """Deltas of AP, AUC, Brier and log loss per replicate.
 
-    Ranking metrics need the scores, so a replicate weights (group, score) counts by how often
-    the group was drawn; a replicate with one class only has missing ranking deltas.
+    Losses are added up per replicate like the regression statistics. Ranking metrics need the
+    scores: an ordered pass over all of them serves all replicates at once (``weighted_ranking``).
+    A replicate with one class only has missing ranking deltas.
     """
-    from cohortlift.operators.metrics import probability_statistics, score_counts
-
     by = list(by)
     both = probability_sides(pairs)
     keys = [*by, "side"]
     losses = staged(probability_statistics(both, keys, group, y, "prob"), "group-losses")
     groups = staged(_indexed(losses.select(*by, group).distinct(), by, group), "group-index")
-    drawn = _draws(groups, by, replicates, seed)
-    weights = drawn.groupBy(*by, "replicate", "_idx").agg(
-        F.count(F.lit(1)).cast("double").alias("_w")
+    lists = draw_lists(groups, by, replicates, seed).join(groups.drop("_groups"), [*by, "_idx"]).drop("_idx")
+    lists = staged(lists, "draws")
+    n = F.col("n")
+    spread = losses.join(lists, [*by, group]).select(
+        *keys, (F.col("brier") / n).alias("_b"), (F.col("logloss") / n).alias("_l"), F.explode("reps").alias("replicate")
+    )
+    balanced = spread.groupBy(*keys, "replicate").agg(F.avg("_b").alias("brier_pb"), F.avg("_l").alias("logloss_pb"))
+    counts = score_counts(both, [*keys, group], y, "prob")
+    ranked = weighted_ranking(counts, lists, keys, by, group, replicates)
+    return _probability_deltas(balanced.join(ranked, [*keys, "replicate"]), [*by, "replicate"])
+
+
+SCORES_A_CHUNK = 256
+
+
+def weighted_ranking(
+    counts: DataFrame, lists: DataFrame, keys: Sequence[str], by: Sequence[str], group: str, replicates: int
+) -> DataFrame:
+    """Average precision and ROC-AUC of every replicate: keys, replicate, pr_auc, roc_auc.
+
+    ``counts``: keys, group, score, pos, neg. ``lists``: by, group, reps. Scores are cut into
+    chunks in falling order. A chunk's task turns counts per (score, group) and the groups' draws
+    into weighted counts per score and replicate by one matrix product. First the chunks' totals
+    are taken and carried across, replicate by replicate; then each chunk adds its part.
+    """
+    keys, at = list(keys), [*keys, "_chunk"]
+    scores = counts.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_cells")).withColumn("_f", -F.col("score"))
+    scores = positions(scores, keys, ["_f"], value_bucket(F.col("_f"), 1 << 14), out="_place")
+    scores = scores.select(*keys, "score", F.floor((F.col("_place") - 1) / SCORES_A_CHUNK).alias("_chunk"))
+    cells = staged(counts.join(scores, [*keys, "score"]).withColumnRenamed(group, "grp"), "score-cells")
+    drawn = cells.select(*at, "grp").distinct().join(lists.withColumnRenamed(group, "grp"), [*by, "grp"])
+    drawn = staged(drawn.select(*at, "grp", "reps"), "chunk-draws")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*at).schema)
+
+    def weighted(rows: pd.DataFrame, weights: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Weighted positives and negatives, scores falling by replicates."""
+        known = {g: i for i, g in enumerate(weights["grp"])}
+        w = np.zeros((len(known) + 1, replicates))
+        for i, reps in enumerate(weights["reps"]):
+            w[i] = np.bincount(np.asarray(reps) - 1, minlength=replicates)
+        order, place = np.unique(-rows["score"].to_numpy(), return_inverse=True)
+        who = rows["grp"].map(known).fillna(len(known)).astype(int).to_numpy()  # a group never drawn weighs 0
+        out = []
+        for c in ("pos", "neg"):
+            m = np.zeros((len(order), len(w)))
+            np.add.at(m, (place, who), rows[c].to_numpy())
+            out.append(m @ w)
+        return out[0], out[1]
+
+    def labelled(rows: pd.DataFrame, **columns) -> pd.DataFrame:
+        first = {c: rows[c].iloc[0] for c in at}
+        return pd.DataFrame({**first, "replicate": np.arange(1, replicates + 1), **columns})[[*at, "replicate", *columns]]
+
+    def totals(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        pos, neg = weighted(rows, weights)
+        return labelled(rows, pos=pos.sum(0), neg=neg.sum(0))
+
+    def parts(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        carried = weights["carried"].notna()
+        before = np.array([[r["pos"], r["neg"]] for r in weights.loc[carried, "carried"].iloc[0]])
+        pos, neg = weighted(rows, weights[~carried])
+        tp, fp = before[:, 0] + pos.cumsum(0), before[:, 1] + neg.cumsum(0)
+        seen = tp + fp
+        ap = np.divide(pos * tp, seen, out=np.zeros_like(pos), where=seen > 0).sum(0)
+        return labelled(rows, pos=pos.sum(0), neg=neg.sum(0), ap=ap, auc=(neg * (tp - pos / 2)).sum(0))
+
+    own = staged(
+        cells.groupBy(*at).cogroup(drawn.groupBy(*at)).applyInPandas(
+            totals, f"{shape}, replicate int, pos double, neg double"
+        ), "chunk-totals",
+    )
+    earlier = W.partitionBy(*keys, "replicate").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    carried = own.select(
+        *at, "replicate", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(c) for c in ("pos", "neg")]
     )
-    weights = weights.join(lookup_side(groups.drop("_groups")), [*by, "_idx"]).drop("_idx")
-    weights = spread_side(weights)
-    losses = losses.join(weights, [*by, group])
-    w, n = F.col("_w"), F.col("n")
-    balanced = losses.groupBy(*keys, "replicate").agg(
-        (F.sum(w * F.col("brier") / n) / F.sum(w)).alias("brier_pb"),
-        (F.sum(w * F.col("logloss") / n) / F.sum(w)).alias("logloss_pb"),
+    one = F.array_sort(F.collect_list(F.struct("replicate", "pos", "neg"))).alias("carried")  # as many as replicates
+    side = drawn.unionByName(carried.groupBy(*at).agg(one), allowMissingColumns=True)
+    done = cells.groupBy(*at).cogroup(side.groupBy(*at)).applyInPandas(
+        parts, f"{shape}, replicate int, pos double, neg double, ap double, auc double"
     )
-    counts = score_counts(both, [*keys, group], y, "prob").join(weights, [*by, group])
-    counts = counts.groupBy(*keys, "replicate", "score").agg(
-        F.sum(w * F.col("pos")).alias("pos"), F.sum(w * F.col("neg")).alias("neg")
+    sums = done.groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "ap", "auc")])
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return sums.select(
+        *keys, "replicate",
+        F.when(both, F.col("ap") / F.col("pos")).alias("pr_auc"),
+        F.when(both, F.col("auc") / (F.col("pos") * F.col("neg"))).alias("roc_auc"),
     )
-    ranked = ranking_from_counts(counts, [*keys, "replicate"])
-    return _probability_deltas(balanced.join(ranked, [*keys, "replicate"]), [*by, "replicate"])
 
 
 # --- folds and anchors ------------------------------------------------------------------------

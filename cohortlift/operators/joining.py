@@ -27,12 +27,6 @@ def unique_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def lookup_side(table: DataFrame) -> DataFrame:
-    """A written (staged) lookup table: its size is known, so the planner and the runtime re-plan
-    choose how it is joined. A side that is multiplied by explode is marked by ``spread_side``."""
-    return table
-
-
 def spread_side(df: DataFrame) -> DataFrame:
     """A side multiplied by explode: never broadcast, its size estimate is that of its source.
 

@@ -1,27 +1,31 @@
-"""Learners: fold-local preprocessing, Spark ML models, and thousands of linear fits at once.
+"""Learners: fold-local preprocessing and Spark ML models, also many at once.
 
-Nested cross-validation asks for tens of thousands of small linear fits. One Spark job per fit
-would be all scheduling, so linear models are fitted from per-group sums of products: the rows
-are read once, a training set is a sum over its groups, and the fits of a fold are one small
-task. Tree and logistic models go to Spark ML, one distributed fit each.
+Nested cross-validation asks for thousands of linear fits. The rows are folded to sums of products
+per group; a training set is a sum over its groups, and Spark ML fits every candidate on a few rows
+that have the set's moments, so a fit costs the same at any number of rows. Logistic and tree
+models need the rows: one distributed fit each, on a filter of one staged table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import partial
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.operators.embeddings import dot_n, sum_vector
+from cohortlift.functions.cleaning import is_finite
+from cohortlift.operators.embeddings import dot, sum_vector
 from cohortlift.operators.joining import spread_side
-from cohortlift.operators.ordered import exact_quantiles
 from cohortlift.operators.sets import best_candidate
+from cohortlift.operators.training import imputed_statistics, level_counts
 from cohortlift.sources.tables import staged
 
 # Search grids and budgets.
@@ -43,61 +47,43 @@ def task_grid(units: DataFrame, *axes: Mapping[str, Sequence]) -> DataFrame:
 
 
 # --- fold-local preprocessing -------------------------------------------------------------------
-def fit_preprocessing(
-    train: DataFrame, sets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str]
+def fit_training_sets(
+    rows: DataFrame, members: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str]
 ) -> DataFrame:
     """Medians, means and population deviations after imputation, modes and categories per set.
 
-    ``sets`` names the training set of each row. One output row per set.
+    ``members``: key, sets (the training sets that the key's rows belong to). One output row per
+    set, numbered ``set``; the rows are read once, whatever the number of sets.
     """
-    sets = list(sets)
-    long = train.unpivot(sets, list(numeric), "_col", "_v")
-    by = [*sets, "_col"]
-    moments = long.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count("_v").alias("_m"),
-        F.avg("_v").alias("_avg"),
-        F.var_pop("_v").alias("_var"),
-    )
-    filled = moments.join(exact_quantiles(long, by, "_v", {"_med": 0.5}), by, "left")
-    share = F.col("_m") / F.col("_n")
-    gap = F.col("_avg") - F.col("_med")
-    stats = filled.select(
-        *by,
-        F.coalesce("_med", F.lit(0.0)).alias("median"),
-        F.coalesce(F.col("_med") + share * gap, F.lit(0.0)).alias("mean"),
-        F.sqrt(
-            F.coalesce(share * F.col("_var") + share * (1 - share) * gap * gap, F.lit(0.0))
-        ).alias("sd"),
-    )
-    wide = stats.groupBy(*sets).agg(
-        *[
-            F.max(F.when(F.col("_col") == c, F.struct("median", "mean", "sd"))).alias(f"_num_{c}")
-            for c in numeric
-        ]
+    long = rows.unpivot([key], list(numeric), "_col", "_v")
+    stats = imputed_statistics(long, members, key, ["_col"], "_v")
+    wide = stats.groupBy("set").agg(
+        *[F.max(F.when(F.col("_col") == c, F.struct("median", "mean", "sd"))).alias(f"_num_{c}") for c in numeric]
     )
     if not categorical:
         return wide
-    counts = (
-        train.unpivot(sets, list(categorical), "_col", "_v")
-        .where("_v IS NOT NULL")
-        .groupBy(*by, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    counts = level_counts(rows.unpivot([key], list(categorical), "_col", "_v"), members, key, ["_col"], "_v")
     # categories are few by nature; counts have one row per category
-    levels = counts.groupBy(*sets).agg(
+    levels = counts.groupBy("set").agg(
         *[
             F.array_sort(F.collect_list(F.when(F.col("_col") == c, F.col("_v")))).alias(f"_cat_{c}")
             for c in categorical
         ],
         *[
-            F.min(
-                F.when(F.col("_col") == c, F.struct((-F.col("_n")).alias("_n"), F.col("_v")))
-            )["_v"].alias(f"_mode_{c}")
+            F.min(F.when(F.col("_col") == c, F.struct((-F.col("n")).alias("n"), F.col("_v"))))["_v"].alias(f"_mode_{c}")
             for c in categorical
         ],
     )
-    return wide.join(levels, sets, "left")
+    return wide.join(levels, "set", "left")
+
+
+def fit_preprocessing(
+    train: DataFrame, sets: Sequence[str], numeric: Sequence[str], categorical: Sequence[str]
+) -> DataFrame:
+    """The same where ``sets`` names the one training set of each row. One output row per set."""
+    keyed = train.withColumn("_key", F.struct(*sets))
+    members = keyed.select("_key").distinct().withColumn("sets", F.array("_key"))
+    return fit_training_sets(keyed, members, "_key", numeric, categorical).select("set.*", "*").drop("set")
 
 
 def apply_preprocessing(
@@ -135,6 +121,15 @@ def _assembled(df: DataFrame, features: str) -> DataFrame:
     return df.withColumn("_vec", array_to_vector(F.col(features)))
 
 
+def _elastic_model(df: DataFrame, sigma: float, alpha: float, l1_ratio: float, max_iter: int):
+    """Spark's elastic net of ``_y`` (unit deviation; sigma is what it had) on ``_vec``."""
+    reg = alpha * l1_ratio / sigma + alpha * (1 - l1_ratio)
+    return LinearRegression(
+        featuresCol="_vec", labelCol="_y", predictionCol="_p", standardization=False, solver="normal",
+        regParam=reg, elasticNetParam=(alpha * l1_ratio / sigma) / reg, maxIter=max_iter, tol=1e-10,
+    ).fit(df)
+
+
 def fit_elastic_net(df: DataFrame, features: str, label: str, alpha: float, l1_ratio: float):
     """Elastic net with the objective mse/2 + alpha*(l1*|b| + (1-l1)/2*b^2) on features as given.
 
@@ -145,12 +140,7 @@ def fit_elastic_net(df: DataFrame, features: str, label: str, alpha: float, l1_r
     row = df.agg(F.stddev_pop(label).alias("s"), F.avg(label).alias("m")).first()
     sigma, mean = row.s or 1.0, row.m
     scaled = _assembled(df, features).withColumn("_y", (F.col(label) - mean) / sigma)
-    reg = alpha * l1_ratio / sigma + alpha * (1 - l1_ratio)
-    model = LinearRegression(
-        featuresCol="_vec", labelCol="_y", predictionCol="_p", standardization=False,
-        regParam=reg, elasticNetParam=(alpha * l1_ratio / sigma) / reg, maxIter=ELASTIC_ITERATIONS, tol=1e-10,
-    ).fit(scaled)
-    return model, sigma, mean
+    return _elastic_model(scaled, sigma, alpha, l1_ratio, ELASTIC_ITERATIONS), sigma, mean
 
 
 def predict_elastic_net(fitted, df: DataFrame, features: str, out: str = "y_pred") -> DataFrame:
@@ -223,9 +213,7 @@ def candidates(grid: Mapping[str, Sequence] = ELASTIC_GRID) -> list[tuple[float,
     ]
 
 
-def design(
-    df: DataFrame, numeric: Sequence[str], categorical: Mapping[str, Sequence[str]]
-) -> DataFrame:
+def design(df: DataFrame, numeric: Sequence[str], categorical: Mapping[str, Sequence[str]]) -> DataFrame:
     """Observed values and missing marks as two arrays of one length (``obs``, ``miss``).
 
     A missing number is 0 with mark 1; the median of whatever training set is in force is put in
@@ -242,194 +230,191 @@ def design(
     return df.withColumn("obs", F.array(*obs)).withColumn("miss", F.array(*miss))
 
 
-def group_products(rows: DataFrame, group: str, y: str, width: int) -> DataFrame:
+def group_products(rows: DataFrame, group: str, y: str) -> DataFrame:
     """Per group: the sum of v v' over its rows, v = (1, obs, miss, y), as one flat array.
 
-    ``width`` is the length of obs; a narrow design is written out so that it compiles.
+    Folded batch by batch with matrix products, then added up.
     """
-    last = 2 * width + 1
-    if width > 10:
-        v = F.concat(F.array(F.lit(1.0)), "obs", "miss", F.array(F.col(y).cast("double")))
-        made = rows.select(group, v.alias("_v"))
-        outer = F.flatten(F.transform("_v", lambda a: F.transform("_v", lambda b: a * b)))
-        return made.groupBy(group).agg(sum_vector(outer).alias("products"))
-    cells = [F.lit(1.0), *[F.col("obs")[i] for i in range(width)],
-             *[F.col("miss")[i] for i in range(width)], F.col(y).cast("double")]
-    sums = {
-        (i, j): F.sum(cells[i] * cells[j]).alias(f"_{i}_{j}")
-        for i in range(last + 1) for j in range(i, last + 1)
-    }
-    summed = rows.groupBy(group).agg(*sums.values())
-    flat = [F.col(f"_{min(i, j)}_{max(i, j)}") for i in range(last + 1) for j in range(last + 1)]
-    return summed.select(group, F.array(*flat).alias("products"))
-
-
-def fill_values(
-    rows: DataFrame,
-    inner: DataFrame,
-    group: str,
-    numeric: Sequence[str],
-    categorical: Mapping[str, Sequence[str]],
-    incomplete: Sequence[str],
-    n_inner: int,
-) -> DataFrame:
-    """Imputation value of every design column for every training set.
-
-    A training set is (repeat, outer_fold, inner_fold): the outer training rows without that
-    inner fold, or all of them for inner_fold 0. Only ``incomplete`` columns cost a pass.
+    kind = rows.schema[group].dataType.simpleString()
+
+    def fold(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v = np.column_stack([np.ones(len(pdf)), np.stack(pdf["obs"]), np.stack(pdf["miss"]), pdf["_y"]])
+            # a batch has few groups where groups are large
+            codes, names = pd.factorize(pdf["grp"])
+            order = np.argsort(codes, kind="stable")
+            ends = np.searchsorted(codes[order], np.arange(len(names)), "right")
+            parts = np.split(v[order], ends[:-1])
+            yield pd.DataFrame({"grp": names, "products": [(x.T @ x).ravel() for x in parts]})
+
+    made = rows.select(F.col(group).alias("grp"), "obs", "miss", F.col(y).cast("double").alias("_y"))
+    parts = made.mapInPandas(fold, f"grp {kind}, products array<double>")
+    return parts.groupBy(F.col("grp").alias(group)).agg(sum_vector(F.col("products")).alias("products"))
+
+
+def set_numbers(inner: DataFrame, group: str, n_outer: int, n_inner: int) -> DataFrame:
+    """(group, sets): the numbers of the training sets that each group belongs to.
+
+    A training set is (repeat, outer_fold, inner_fold): the groups that train for the outer fold
+    without that inner fold, or all of them for inner_fold 0.
     """
-    sets = ["repeat", "outer_fold", "inner_fold"]
-    others = F.filter(F.sequence(F.lit(0), F.lit(n_inner)), lambda f: f != F.col("own"))
-    members = inner.select(group, "repeat", "outer_fold", F.col("inner_fold").alias("own"))
-    members = members.withColumn("inner_fold", F.explode(others)).drop("own")
-    out = members.select(*sets).distinct()
-    low = [c for c in numeric if c in incomplete]
-    if low:
-        long = rows.unpivot([group], low, "_col", "_v").where("_v IS NOT NULL")
-        long = long.join(spread_side(members), group)
-        med = exact_quantiles(long, [*sets, "_col"], "_v", {"_med": 0.5})
-        wide = med.groupBy(*sets).agg(
-            *[F.max(F.when(F.col("_col") == c, F.col("_med"))).alias(f"_f_{c}") for c in low]
-        )
-        out = out.join(wide, sets, "left")
-    cats = [c for c in categorical if c in incomplete]
-    if cats:
-        # one row per group and level before the training sets are spread
-        counts = rows.unpivot([group], cats, "_col", "_v").where("_v IS NOT NULL")
-        counts = counts.groupBy(group, "_col", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        counts = counts.join(spread_side(members), group).groupBy(*sets, "_col", "_v").agg(F.sum("_n").alias("_n"))
-        mode = F.struct((-F.col("_n")).alias("_n"), F.col("_v"))
-        wide = counts.groupBy(*sets).agg(
-            *[F.min(F.when(F.col("_col") == c, mode))["_v"].alias(f"_f_{c}") for c in cats]
-        )
-        out = out.join(wide, sets, "left")
-    fills = [F.coalesce(F.col(f"_f_{c}"), F.lit(0.0)) if c in low else F.lit(0.0) for c in numeric]
+    number = (F.col("repeat") * (n_outer + 1) + F.col("outer_fold")) * (n_inner + 1)
+    sets = F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(n_inner)), lambda f: f != F.col("inner_fold")), lambda f: number + f
+    )
+    return inner.groupBy(group).agg(F.flatten(F.collect_list(sets)).alias("sets"))
+
+
+def set_parts(number: Column, n_outer: int, n_inner: int) -> list[Column]:
+    """repeat, outer_fold and inner_fold of a set number."""
+    whole = F.floor(number / (n_inner + 1))
+    return [
+        F.floor(whole / (n_outer + 1)).cast("int").alias("repeat"),
+        (whole % (n_outer + 1)).cast("int").alias("outer_fold"),
+        (number % (n_inner + 1)).cast("int").alias("inner_fold"),
+    ]
+
+
+def set_fills(
+    rows: DataFrame, members: DataFrame, group: str, numeric: Sequence[str], categorical: Mapping[str, Sequence[str]]
+) -> DataFrame:
+    """set, fill (value put in for a missing entry of every design column) and vary (whether the
+    column has two values in the training set), in the order of ``design``."""
+    fitted = fit_training_sets(rows, members, group, numeric, list(categorical))
+    fills = [F.col(f"_num_{c}")["median"] for c in numeric]
+    vary = [F.col(f"_num_{c}")["sd"] > 0 for c in numeric]
     for c, levels in categorical.items():
         for level in levels:
-            hit = (F.col(f"_f_{c}") == level).cast("double") if c in cats else F.lit(0.0)
-            fills.append(F.coalesce(hit, F.lit(0.0)))
-    return out.select(*sets, F.array(*fills).alias("fill"))
-
-
-def soft_threshold_descent(c, d, alpha, l1_ratio, max_iter, tol):
-    """Cyclic coordinate descent for b'Cb/2 - d'b + alpha*(l1*|b|_1 + (1-l1)/2*|b|^2)."""
-    b = np.zeros(len(d))
-    live = [j for j in range(len(d)) if c[j, j] > 0]
-    for step in range(1, max_iter + 1):
-        moved = 0.0
-        for j in live:
-            g = d[j] - c[j] @ b + c[j, j] * b[j]
-            new = np.sign(g) * max(abs(g) - alpha * l1_ratio, 0.0)
-            new /= c[j, j] + alpha * (1.0 - l1_ratio)
-            moved = max(moved, abs(new - b[j]))
-            b[j] = new
-        if moved <= tol:
-            return b, step, True
-    return b, max_iter, False
-
-
-def standardised_moments(products: np.ndarray, fill: np.ndarray):
-    """Mean and scale of the imputed features, their correlations, and those with y."""
+            fills.append(F.coalesce((F.col(f"_mode_{c}") == level).cast("double"), F.lit(0.0)))
+            seen = F.coalesce(F.col(f"_cat_{c}"), F.array().cast("array<string>"))
+            vary.append(F.array_contains(seen, level) & (F.size(seen) > 1))
+    return fitted.select("set", F.array(*fills).alias("fill"), F.array(*vary).alias("vary"))
+
+
+def standardised_moments(products: np.ndarray, fill: np.ndarray, vary: np.ndarray):
+    """Means and scales of the imputed features and of y, and their joint correlations."""
     p = len(fill)
     take = np.zeros((p + 2, 2 * p + 2))
     take[0, 0] = take[p + 1, 2 * p + 1] = 1.0
     for j in range(p):
         take[j + 1, 1 + j], take[j + 1, 1 + p + j] = 1.0, fill[j]
     g = take @ products.reshape(2 * p + 2, 2 * p + 2) @ take.T
-    n = g[0, 0]
-    mean = g[0] / n
-    cov = g / n - np.outer(mean, mean)
-    var = np.maximum(np.diag(cov)[1:-1], 0.0)
-    sd = np.where(var > 1e-12 * np.diag(g)[1:-1] / n, np.sqrt(var), 0.0)
-    safe = np.where(sd > 0, sd, 1.0)
-    keep = (sd > 0).astype(float)
-    corr = cov[1:-1, 1:-1] / np.outer(safe, safe) * np.outer(keep, keep)
-    with_y = cov[1:-1, -1] / safe * keep
-    return mean[1:-1], safe, mean[-1], corr, with_y
-
-
-FIT_SCHEMA = (
-    "repeat int, outer_fold int, inner_fold int, candidate int, params string, intercept double, "
-    "coef array<double>, fill array<double>, n_iter int, converged boolean"
-)
-
-
-def fit_all(
-    products: DataFrame,
-    inner: DataFrame,
-    fills: DataFrame,
-    group: str,
-    grid: Mapping[str, Sequence] = ELASTIC_GRID,
-    max_iter: int = ELASTIC_ITERATIONS,
-    tol: float = 1e-9,
-) -> DataFrame:
-    """Every candidate on every training set, one small task per outer fold."""
-    sets = ["repeat", "outer_fold", "inner_fold"]
-    own = inner.join(products, group).groupBy(*sets).agg(sum_vector(F.col("products")).alias("products"))
-    total = own.groupBy("repeat", "outer_fold").agg(sum_vector(F.col("products")).alias("_total"))
-    without = own.join(total, ["repeat", "outer_fold"]).select(
-        *sets, F.zip_with("_total", "products", lambda a, b: a - b).alias("products")
-    )
-    whole = total.select(
-        "repeat", "outer_fold", F.lit(0).alias("inner_fold"), F.col("_total").alias("products")
-    )
-    training = without.unionByName(whole).join(fills, sets)
-    points = candidates(grid)
+    mean = g[0, 1:] / g[0, 0]
+    cov = g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    live = np.append(vary, True) & (sd > 0)
+    scale = np.where(live, sd, 1.0)
+    return mean, scale, cov / np.outer(scale, scale) * np.outer(live, live)
+
+
+def equal_moments(corr: np.ndarray) -> np.ndarray:
+    """As few rows as can be (one more than columns) with mean 0 and these second moments.
+
+    Corners of a regular simplex, stretched by a root of the matrix. A squared-error model depends
+    on its rows only through these moments, so it fits these rows as it would the training set.
+    """
+    m = len(corr)
+    values, vectors = np.linalg.eigh(corr)
+    root = vectors * np.sqrt(np.maximum(values, 0.0))
+    steps = np.arange(1, m + 1)
+    simplex = np.tril(np.ones((m, m + 1)))  # Helmert rows: orthonormal, each of sum 0
+    simplex[np.arange(m), steps] = -steps
+    simplex /= np.sqrt(steps * (steps + 1))[:, None]
+    return np.sqrt(m + 1) * simplex.T @ root.T
+
+
+SAME_ROWS = "set bigint, mean array<double>, scale array<double>, fill array<double>, z array<double>, y double"
+
+
+def rows_with_moments(products: DataFrame, members: DataFrame, fills: DataFrame, group: str) -> DataFrame:
+    """For every training set a few standardised rows with the moments of its own rows."""
+    spread = members.select(group, F.explode("sets").alias("set"))
+    totals = products.join(spread_side(spread), group).groupBy("set").agg(sum_vector(F.col("products")).alias("products"))
+
+    def shrink(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                mean, scale, corr = standardised_moments(np.asarray(r.products), np.asarray(r.fill), np.asarray(r.vary))
+                z = equal_moments(corr)
+                n = len(z)
+                yield pd.DataFrame({
+                    "set": [r.set] * n, "mean": [mean] * n, "scale": [scale] * n, "fill": [r.fill] * n,
+                    "z": list(z[:, :-1]), "y": z[:, -1],
+                })
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    return totals.join(fills, "set").mapInPandas(shrink, SAME_ROWS)
+
+
+def fit_sets(
+    same: DataFrame, wanted: Mapping[int, Sequence[tuple[float, float, str]]], max_iter: int, side_by_side: int = 8
+) -> list[tuple]:
+    """(set, params, intercept, coef, fill, n_iter, converged) of every candidate wanted of a set.
+
+    One Spark ML fit each, some side by side. Sets x candidates numbers come back, as the grid asks.
+    """
+    spark = same.sparkSession
+    scales = {r["set"]: r for r in same.select("set", "mean", "scale", "fill").dropDuplicates(["set"]).collect()}
+
+    def run(number: int) -> list[tuple]:
+        s = scales[number]
+        df = same.where(F.col("set") == number).select(array_to_vector("z").alias("_vec"), F.col("y").alias("_y"))
+        df = df.coalesce(1).persist()
+        sd_y, scale = s["scale"][-1], np.asarray(s["scale"][:-1])
         out = []
-        for row in pdf.itertuples():
-            fill = np.asarray(row.fill, dtype=float)
-            mean, sd, mean_y, corr, with_y = standardised_moments(np.asarray(row.products), fill)
-            for k, (alpha, l1, text) in enumerate(points):
-                b, steps, ok = soft_threshold_descent(corr, with_y, alpha, l1, max_iter, tol)
-                coef = b / sd
-                out.append((
-                    row.repeat, row.outer_fold, row.inner_fold, k, text,
-                    float(mean_y - mean @ coef), coef.tolist(), fill.tolist(), steps, ok,
-                ))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
-
-    return training.groupBy("repeat", "outer_fold").applyInPandas(fit, FIT_SCHEMA)
-
-
-def imputed(fill: Column, width: int) -> Column:
+        for alpha, l1_ratio, text in wanted[number]:
+            model = _elastic_model(df, sd_y, alpha, l1_ratio, max_iter)
+            coef = model.coefficients.toArray() * sd_y / scale
+            intercept = s["mean"][-1] + sd_y * model.intercept - coef @ np.asarray(s["mean"][:-1])
+            steps = int(model.summary.totalIterations)
+            out.append((number, text, float(intercept), coef.tolist(), list(s["fill"]), steps, steps < max_iter))
+        df.unpersist()
+        return out
+
+    parts = [inheritable_thread_target(spark)(partial(run, number)) for number in sorted(wanted)]
+    with ThreadPool(min(side_by_side, max(1, len(parts)))) as pool:
+        return [r for part in pool.map(lambda part: part(), parts) for r in part]
+
+
+FITS = "set bigint, params string, intercept double, coef array<double>, fill array<double>, n_iter int, converged boolean"
+
+
+def imputed(fill: Column) -> Column:
     """obs with the fill value wherever miss is marked."""
-    if width <= 32:
-        o, m = F.col("obs"), F.col("miss")
-        return F.array(*[o[i] + m[i] * fill[i] for i in range(width)])
     return F.zip_with("obs", F.zip_with("miss", fill, lambda m, f: m * f), lambda a, b: a + b)
 
 
-def inner_scores(
-    rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, y: str, width: int,
-    n_candidates: int,
-) -> DataFrame:
+def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, y: str) -> DataFrame:
     """Balanced MAE of every candidate on every inner fold.
 
-    The candidates of a fold sit in one array beside the row, so a row is not copied per
-    candidate: it yields one error column each, averaged per group and then over groups.
+    Every group carries what it is judged by in an array, and a row yields one array of errors,
+    summed per group: no row is copied for a fold or a candidate. ``fits`` has a row per training
+    set and candidate.
     """
-    sets = ["repeat", "outer_fold", "inner_fold"]
-    one = F.struct("candidate", "params", "intercept", "coef")
-    options = fits.where("inner_fold > 0").groupBy(*sets).agg(
+    one = F.struct("params", "intercept", "coef")
+    options = fits.where("inner_fold > 0").groupBy("repeat", "outer_fold", "inner_fold").agg(
         F.array_sort(F.collect_list(one)).alias("options"), F.any_value("fill").alias("fill")
     )
-    placed = rows.select(group, y, "obs", "miss").join(inner, group).join(options, sets)
-    x = placed.withColumn("_x", imputed(F.col("fill"), width))
+    # a design-bounded table: one row per training set
+    placed = inner.join(F.broadcast(options), ["repeat", "outer_fold", "inner_fold"])
+    judged = placed.groupBy(group).agg(
+        F.array_sort(F.collect_list(F.struct("repeat", "outer_fold", "inner_fold", "fill", "options"))).alias("judges")
+    )
 
-    def error(o: Column) -> Column:
-        return F.abs(F.col(y) - o["intercept"] - dot_n(F.col("_x"), o["coef"], width))
+    def errors(j: Column) -> Column:
+        x = imputed(j["fill"])
+        return F.transform(j["options"], lambda o: F.abs(F.col(y) - o["intercept"] - dot(x, o["coef"])))
 
-    by_candidate = [f"_e{k}" for k in range(n_candidates)]
-    per_group = x.groupBy(*sets, group).agg(
-        *[F.avg(error(F.col("options")[k])).alias(c) for k, c in enumerate(by_candidate)]
-    )
-    per_fold = per_group.groupBy(*sets).agg(*[F.avg(c).alias(c) for c in by_candidate])
-    long = per_fold.unpivot(sets, by_candidate, "_c", "mae_pb")
-    long = long.withColumn("candidate", F.substring("_c", 3, 9).cast("int")).drop("_c")
-    names = fits.select("candidate", "params").distinct()
-    return long.join(names, "candidate").drop("candidate")
+    x = rows.select(group, y, "obs", "miss").join(judged, group)
+    per_row = x.select(group, F.flatten(F.transform("judges", errors)).alias("_e"))
+    per_group = per_row.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), sum_vector(F.col("_e")).alias("_e"))
+    names = F.flatten(F.transform("judges", lambda j: F.transform(j["options"], lambda o: F.struct(
+        j["repeat"].alias("repeat"), j["outer_fold"].alias("outer_fold"), j["inner_fold"].alias("inner_fold"),
+        o["params"].alias("params")))))
+    long = per_group.join(judged, group).select("_n", F.explode(F.arrays_zip(names.alias("_k"), F.col("_e"))).alias("_z"))
+    long = long.select("_z._k.*", (F.col("_z._e") / F.col("_n")).alias("_mae"))
+    return long.groupBy("repeat", "outer_fold", "inner_fold", "params").agg(F.avg("_mae").alias("mae_pb"))
 
 
 def nested_elastic_net(
@@ -441,27 +426,45 @@ def nested_elastic_net(
     y: str,
     numeric: Sequence[str],
     categorical: Mapping[str, Sequence[str]],
-    incomplete: Sequence[str] = (),
+    n_outer: int = 5,
     n_inner: int = 4,
     grid: Mapping[str, Sequence] = ELASTIC_GRID,
+    max_iter: int = ELASTIC_ITERATIONS,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tune on outer-training groups, refit, predict the held-out groups.
 
     ``outer``: repeat, group, outer_fold. ``inner``: repeat, outer_fold, group, inner_fold (the
     groups that train for that outer fold). Returns (fit log, selected parameters, predictions).
-    The fits are small and feed three outputs, so they are written once.
+    The rows are read for their statistics, for the scores and for the predictions, however many
+    fits there are: Spark ML fits each candidate on a few rows with the training set's moments.
     """
-    x = design(rows, numeric, categorical)
-    fills = fill_values(rows, inner, group, numeric, categorical, incomplete, n_inner)
-    width = len(numeric) + sum(len(levels) for levels in categorical.values())
-    products = staged(group_products(x, group, y, width), "products")
-    fits = staged(fit_all(products, inner, fills, group, grid), "fits")
     task = ["repeat", "outer_fold"]
-    scores = inner_scores(x, inner, fits, group, y, width, len(candidates(grid)))
-    chosen = select_candidates(scores, task, "params", "mae_pb")
-    final = fits.where("inner_fold = 0").join(chosen, [*task, "params"])
+    # numbers around their middle, so that products keep a small spread far from zero
+    known = {c: F.when(is_finite(c), F.col(c).cast("double")) for c in [*numeric, y]}
+    middle = rows.agg(*[F.avg(v).alias(c) for c, v in known.items()]).first()
+    middle = {c: middle[c] if middle[c] is not None else 0.0 for c in known}
+    rows = rows.withColumns({c: known[c] - F.lit(middle[c]) for c in numeric}).withColumn("_yc", F.col(y) - middle[y])
+    x = design(rows, numeric, categorical)
+    members = staged(set_numbers(inner, group, n_outer, n_inner), "training-sets")
+    fills = set_fills(rows, members, group, numeric, categorical)
+    products = staged(group_products(x, group, "_yc"), "products")
+    same = staged(rows_with_moments(products, members, fills, group), "same-moments")
+    points = candidates(grid)
+    spark = rows.sparkSession
+    numbers = [r["set"] for r in same.select("set").distinct().collect()]
+
+    def logged(found: list[tuple]) -> DataFrame:
+        log = spark.createDataFrame(found, FITS)
+        return staged(log.select(*set_parts(F.col("set"), n_outer, n_inner), *log.columns[1:]), "fits")
+
+    tuned = logged(fit_sets(same, {n: points for n in numbers if n % (n_inner + 1)}, max_iter))
+    chosen = staged(select_candidates(inner_scores(x, inner, tuned, group, "_yc"), task, "params", "mae_pb"), "chosen")
+    by_text = {text: (a, r, text) for a, r, text in points}
+    number = ((F.col("repeat") * (n_outer + 1) + F.col("outer_fold")) * (n_inner + 1)).alias("set")
+    refit = {r["set"]: [by_text[r.params]] for r in chosen.select(number, "params").collect()}
+    final = logged(fit_sets(same, refit, max_iter))
     test = x.select(row_id, group, y, "obs", "miss").join(outer, group)
-    scored = test.join(final, task)
-    pred = F.col("intercept") + dot_n(imputed(F.col("fill"), width), F.col("coef"), width)
-    predictions = scored.select(*task, row_id, group, y, pred.alias("y_pred"))
-    return fits, chosen, predictions
+    scored = test.join(F.broadcast(final.select(*task, "params", "intercept", "coef", "fill")), task)  # a row per outer fold
+    pred = F.col("intercept") + dot(imputed(F.col("fill")), F.col("coef")) + middle[y]
+    predictions = scored.select(*task, row_id, group, y, "params", pred.alias("y_pred"))
+    return tuned.unionByName(final), chosen, predictions

@@ -1,14 +1,14 @@
-"""Nested cross-validation of Spark ML models, one resumable task per outer fold.
+"""Cross-validation of Spark ML models out of fold, one resumable part per fold.
 
-Linear models go through ``learners.nested_elastic_net``, which fits everything from group sums.
-Models that need the rows (logistic, boosted trees) are fitted here, one distributed fit after
-the other; a few outer folds may run side by side, as Spark's own cross-validator does.
+Nested linear models go through ``learners.nested_elastic_net``, which fits everything from group
+sums. Models that need the rows (logistic, boosted trees) are fitted here, one distributed fit
+after the other; folds may run side by side, as Spark's own cross-validator does.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from cohortlift.operators import learners as lr
 from cohortlift.operators import metrics as mt
+from cohortlift.operators.training import others
 from cohortlift.sources.tables import remaining, staged
 
-Model = tuple[Callable[[DataFrame], object], Callable[[object, DataFrame], DataFrame]]
+#: fit (rows with ``features``) -> model, and predict (model, rows, name of the new column)
+Model = tuple[Callable[[DataFrame], object], Callable[[object, DataFrame, str], DataFrame]]
 
 
 def logistic_candidates(y: str, grid: Mapping[str, Sequence] = lr.LOGISTIC_GRID) -> dict[str, Model]:
@@ -27,7 +29,7 @@ def logistic_candidates(y: str, grid: Mapping[str, Sequence] = lr.LOGISTIC_GRID)
     def one(penalty: str, c: float) -> Model:
         return (
             lambda df: lr.fit_logistic(df, "features", y, penalty, c),
-            lambda m, df: lr.predict_probability(m, df, "features", "pred"),
+            lambda m, df, out: lr.predict_probability(m, df, "features", out),
         )
 
     return {
@@ -40,9 +42,9 @@ def boosting_candidates(
     grid: Mapping[str, Sequence] = lr.BOOSTING_GRID,
 ) -> dict[str, Model]:
     """Parameter text -> (fit, predict) for every boosting grid point."""
-    def predict(m, df):
+    def predict(m, df, out):
         scored = lr.predict_probability if binary else lr.predict_value
-        return scored(m, df, "features", "pred")
+        return scored(m, df, "features", out)
 
     def one(step: float, leaves: int) -> Model:
         return (
@@ -63,6 +65,86 @@ def average_precision(df: DataFrame, by: Sequence[str], group: str, y: str) -> D
     return mt.ranking_metrics(df, by, y, "pred").select(*by, F.col("pr_auc").alias("score"))
 
 
+def elastic_candidates(y: str, grid: Mapping[str, Sequence] = lr.ELASTIC_GRID) -> dict[str, Model]:
+    """Parameter text -> (fit, predict) for every elastic-net grid point."""
+    def one(alpha: float, l1_ratio: float) -> Model:
+        return (
+            lambda df: lr.fit_elastic_net(df, "features", y, alpha, l1_ratio),
+            lambda m, df, out: lr.predict_elastic_net(m, df, "features", out),
+        )
+
+    return {text: one(a, r) for a, r, text in lr.candidates(grid)}
+
+
+def _predicted(models: Mapping[str, Model], fitted: Mapping[str, object], held: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep, params, pred): every held-out row once per candidate, all candidates in one read."""
+    names = {f"_p{k}": text for k, text in enumerate(fitted)}
+    for column, text in names.items():
+        held = models[text][1](fitted[text], held, column)
+    each = F.array(*[F.struct(F.lit(text).alias("params"), F.col(c).alias("pred")) for c, text in names.items()])
+    return held.select(*keep, F.explode(each).alias("_e")).select(*keep, "_e.params", "_e.pred")
+
+
+def _stored(spark, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """What an earlier run left below ``path``; nothing where no part has been finished."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder) or not files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*" + "/*" * len(keys))):
+        return None
+    return spark.read.parquet(path)
+
+
+def _finish(spark, grid: DataFrame, path: str, keys: Sequence[str], run: Callable, side_by_side: int) -> DataFrame:
+    """Run the parts of ``grid`` that are not stored yet, some side by side; all parts' rows."""
+    done = _stored(spark, path, keys)
+    grid = grid if done is None else remaining(grid, done, keys)
+    todo = [tuple(r) for r in grid.select(*keys).collect()]  # as many as there are folds
+    if todo:
+        # wrapped one by one: parts that share their local properties would mix up their jobs
+        parts = [inheritable_thread_target(spark)(partial(run, *part)) for part in todo]
+        with ThreadPool(min(side_by_side, len(todo))) as pool:
+            pool.map(lambda part: part(), parts)
+    return spark.read.parquet(path)
+
+
+def out_of_fold(
+    rows: DataFrame,
+    folds: DataFrame,
+    row_id: str,
+    group: str,
+    y: str,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    models: Mapping[str, Model],
+    path: str,
+    n_folds: int = 5,
+    side_by_side: int = 5,
+) -> DataFrame:
+    """(fold, row_id, group, y, params, pred): each row scored by every candidate, fitted on the
+    other folds' groups only, with preprocessing learnt there too.
+
+    ``folds``: group, fold. The rows are written once with their fold; a training set is a filter
+    on it. A finished fold is kept below ``path``; a rerun does the rest.
+    """
+    spark = rows.sparkSession
+    placed = staged(rows.join(folds.select(group, "fold"), group), "placed-rows")
+    members = folds.select("fold").distinct().withColumn("sets", others("fold", n_folds))
+    fitted = staged(lr.fit_training_sets(placed, members, "fold", numeric, categorical), "preprocessing")
+
+    def run(fold: int) -> None:
+        def made(d: DataFrame) -> DataFrame:
+            one = fitted.where(F.col("set") == fold)
+            return lr.apply_preprocessing(d.withColumn("set", F.lit(fold)), one, ["set"], numeric, categorical)
+
+        train = made(placed.where(F.col("fold") != fold)).select("features", y).persist()
+        found = {text: fit(train) for text, (fit, _) in models.items()}
+        held = made(placed.where(F.col("fold") == fold)).select(row_id, group, y, "features")
+        _predicted(models, found, held, [row_id, group, y]).write.mode("overwrite").parquet(f"{path}/fold={fold}")
+        train.unpersist()
+
+    return _finish(spark, folds.select("fold").distinct(), path, ["fold"], run, side_by_side)
+
+
 def nested_models(
     rows: DataFrame,
     outer: DataFrame,
@@ -76,66 +158,51 @@ def nested_models(
     score: Callable[..., DataFrame],
     path: str,
     lower_is_better: bool = True,
-    side_by_side: int = 2,
+    side_by_side: int = 8,
 ) -> DataFrame:
     """Out-of-fold predictions with the selected parameters and inner score of their fold.
 
-    Results of an outer fold are written below ``path`` when it is done; a rerun does the rest.
+    The rows are written once with the folds they are in, under every split; a training set is a
+    filter on them and statistics of all training sets come out of one read. Results of an outer
+    fold are written below ``path`` when it is done; a rerun does the rest.
     """
     spark = rows.sparkSession
     task = ["repeat", "outer_fold"]
-    grid = outer.select(*task).distinct()
-    try:
-        grid = remaining(grid, spark.read.parquet(path), task)
-    except Exception as err:  # nothing stored yet
-        if not any(c in str(err) for c in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
-            raise
-    todo = [(r.repeat, r.outer_fold) for r in grid.collect()]  # repeats x folds
-
-    def features(fit_rows: DataFrame, *others: DataFrame) -> list[DataFrame]:
-        def mark(d):
-            return d.withColumn("_set", F.lit(1))
-
-        fitted = staged(
-            lr.fit_preprocessing(mark(fit_rows), ["_set"], numeric, categorical), "preprocessing"
-        )
-        return [
-            lr.apply_preprocessing(mark(d), fitted, ["_set"], numeric, categorical)
-            for d in (fit_rows, *others)
-        ]
+    name = F.concat_ws("|", *[F.col(c).cast("string") for c in task])
+    held_in = outer.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("repeat", "outer_fold"))).alias("_outer"))
+    trains = inner.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(name, "inner_fold"))).alias("_inner"))
+    placed = staged(rows.join(held_in, group, "left").join(trains, group, "left"), "placed-rows")
+    n_outer, n_inner = inner.agg(F.max("outer_fold"), F.max("inner_fold")).first()
+    members = lr.set_numbers(inner, group, n_outer, n_inner)
+    fitted = staged(lr.fit_training_sets(placed, members, group, numeric, categorical), "preprocessing")
 
     def run(repeat: int, fold: int) -> None:
-        here = (F.col("repeat") == repeat) & (F.col("outer_fold") == fold)
-        members = inner.where(here).select(group, "inner_fold")
-        train = staged(rows.join(members, group), "outer-train")
-        test = rows.join(outer.where(here).select(group), group)
-        folds = [r.inner_fold for r in members.select("inner_fold").distinct().collect()]
+        own = F.col("_inner")[f"{repeat}|{fold}"]  # missing where the group is held out
+        first = (repeat * (n_outer + 1) + fold) * (n_inner + 1)
+
+        def made(d: DataFrame, inner_fold: int) -> DataFrame:
+            number = first + inner_fold
+            one = fitted.where(F.col("set") == number)
+            d = d.withColumn("set", F.lit(number).cast("bigint"))
+            return lr.apply_preprocessing(d, one, ["set"], numeric, categorical)
+
         scored = []
-        for f in sorted(folds):
-            fit_x, held_x = features(
-                train.where(F.col("inner_fold") != f), train.where(F.col("inner_fold") == f)
-            )
-            fit_x = staged(fit_x, "inner-train")
-            for text, (fit, predict) in models.items():
-                pred = predict(fit(fit_x), held_x)
-                scored.append(pred.select(
-                    F.lit(text).alias("params"), F.lit(f).alias("inner_fold"), group, y, "pred"
-                ))
-        every = reduce(DataFrame.unionByName, scored)
-        folds_scored = score(every, ["params", "inner_fold"], group, y)
+        for f in range(1, n_inner + 1):
+            train = made(placed.where(own != f), f).select("features", y).persist()
+            found = {text: fit(train) for text, (fit, _) in models.items()}
+            held = made(placed.where(own == f), f).select(group, y, "features")
+            scored.append(_predicted(models, found, held, [group, y]).withColumn("inner_fold", F.lit(f)))
+            train.unpersist()
+        folds_scored = score(reduce(DataFrame.unionByName, scored), ["params", "inner_fold"], group, y)
         chosen = lr.select_candidates(
             folds_scored.withColumn("_t", F.lit(0)), ["_t"], "params", "score", lower_is_better
         ).first()
-        fit, predict = models[chosen.params]
-        train_x, test_x = features(train, test)
-        pred = predict(fit(train_x), test_x).select(
-            row_id, group, y, "pred",
-            F.lit(chosen.params).alias("params"), F.lit(chosen.inner_score).alias("inner_score"),
-        )
+        train = made(placed.where(own.isNotNull()), 0).select("features", y).persist()
+        found = {chosen.params: models[chosen.params][0](train)}
+        held = made(placed.where(F.col("_outer")[repeat] == fold), 0).select(row_id, group, y, "features")
+        pred = _predicted(models, found, held, [row_id, group, y]).withColumn("inner_score", F.lit(chosen.inner_score))
         # a folder per fold: folds that finish together never share a commit
         pred.write.mode("overwrite").parquet(f"{path}/repeat={repeat}/outer_fold={fold}")
+        train.unpersist()
 
-    if todo:
-        with ThreadPool(min(side_by_side, len(todo))) as pool:
-            pool.map(inheritable_thread_target(spark)(lambda t: run(*t)), todo)
-    return spark.read.parquet(path)
+    return _finish(spark, outer.select(*task).distinct(), path, task, run, side_by_side)

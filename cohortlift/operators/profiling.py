@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import near
-from cohortlift.operators.joining import lookup_side
+from cohortlift.operators.joining import spread_side
 from cohortlift.operators.ordered import exact_quantiles, positions
+from cohortlift.operators.training import imputed_statistics, others
 from cohortlift.sources.tables import staged
 
 
@@ -329,7 +330,7 @@ def sampling_rates(
     rate = exact_quantiles(usable, keys, "_ratio", {"rate": 0.5})
     rate = rate.withColumn("rate_int", F.bround("rate").cast("bigint"))
     err = F.col(rows) / F.nullif(F.col("rate_int"), F.lit(0)) - F.col(duration)
-    timed = ratio.join(lookup_side(staged(rate, "rates")), list(keys)).withColumn("_err", err)
+    timed = ratio.join(staged(rate, "rates"), list(keys)).withColumn("_err", err)
     return timed.groupBy(*keys, "rate", "rate_int").agg(
         F.count(F.lit(1)).alias("n_trials"),
         F.min("_err").alias("error_min"),
@@ -448,34 +449,26 @@ def held_out_scale(
     """Largest |z| of held-out rows under their training fold's median-imputed mean and std.
 
     ``long``: keys (e.g. anchor, feature), ``group``, value. ``folds``: repeat, group, fold.
-    Training statistics of a fold are taken over the rows of all other folds.
+    Training statistics of a fold are taken over the rows of all other folds; rows are folded to
+    one cell per group before anything is spread over folds.
     """
     keys = list(keys)
-    placed = long.join(folds, group)
-    others = F.filter(F.sequence(F.lit(1), F.lit(n_folds)), lambda f: f != F.col("fold"))
-    train = placed.withColumn("test_fold", F.explode(others))
     by = ["repeat", "test_fold", *keys]
-    medians = exact_quantiles(train, by, "value", {"median": 0.5})
-    sums = train.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count("value").alias("_m"),
-        F.sum("value").alias("_s"),
-        F.avg("value").alias("_avg"),
-        F.var_pop("value").alias("_var"),
-    )
-    stats = sums.join(medians, by, "left").withColumn("median", F.coalesce("median", F.lit(0.0)))
-    share = F.col("_m") / F.col("_n")
-    gap = F.col("_avg") - F.col("median")
-    # mean and variance of the imputed column out of the present values' mean and variance
-    mean = F.when(F.col("_m") > 0, F.col("median") + share * gap).otherwise(F.col("median"))
-    var = F.when(F.col("_m") > 0, share * F.col("_var") + share * (1 - share) * gap * gap)
+    # a training set is a (repeat, held-out fold); a group belongs to all of a repeat but its own
+    number = F.transform(others("fold", n_folds), lambda f: F.col("repeat") * (n_folds + 1) + f)
+    members = folds.groupBy(group).agg(F.flatten(F.collect_list(number)).alias("sets"))
+    stats = imputed_statistics(long, members, group, keys, "value")
     stats = stats.select(
-        *by, "median", mean.alias("train_mean"), F.sqrt(F.coalesce(var, F.lit(0.0))).alias("train_std")
+        F.floor(F.col("set") / (n_folds + 1)).cast("int").alias("repeat"),
+        (F.col("set") % (n_folds + 1)).alias("test_fold"),
+        *keys, "median", F.col("mean").alias("train_mean"), F.col("sd").alias("train_std"),
     )
+    own = long.groupBy(group, *keys).agg(
+        F.max("value").alias("_max"), F.min("value").alias("_min"), F.count_if(F.col("value").isNull()).alias("_null")
+    )
+    placed = own.join(spread_side(folds), group)
     test = placed.groupBy("repeat", F.col("fold").alias("test_fold"), *keys).agg(
-        F.max("value").alias("_max"),
-        F.min("value").alias("_min"),
-        F.count_if(F.col("value").isNull()).alias("nonfinite_n"),
+        F.max("_max").alias("_max"), F.min("_min").alias("_min"), F.sum("_null").alias("nonfinite_n")
     )
     joined = test.join(stats, by)
     filled = F.when(F.col("nonfinite_n") > 0, F.col("median"))

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.operators.joining import lookup_side
 from cohortlift.operators.linear import training_sums
 from cohortlift.sources.tables import staged
 
@@ -33,7 +32,7 @@ def cross_fitted_context(
     means = means.select(
         *by, inner_fold, (F.col("_y") / F.nullif(F.col("_n"), F.lit(0.0))).alias("context_pred")
     )
-    return train.join(lookup_side(staged(means, "context-means")), [*by, inner_fold])
+    return train.join(staged(means, "context-means"), [*by, inner_fold])
 
 
 def residual_target(df: DataFrame, y: str, context_pred: str = "context_pred") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlift.operators.joining import lookup_side
 from cohortlift.operators.ordered import (
     chunk_of,
     exact_quantiles,
@@ -163,7 +162,7 @@ def tail_multiples(
     base = F.when(F.col("abs_q999") > 0, F.col("abs_q999")).otherwise(
         F.greatest(F.col("abs_q50"), F.lit(1e-12))
     )
-    levels = lookup_side(staged(levels.withColumn("_base", base), "tail-levels"))
+    levels = staged(levels.withColumn("_base", base), "tail-levels")
     counts = sized.join(levels, keys).groupBy(
         *keys, "abs_q999", "_base"
     ).agg(*[F.count_if(F.col("_a") > F.col("_base") * m).alias(f"_m{i}") for i, m in enumerate(multiples)])

@@ -435,7 +435,7 @@ PPAIR_SQL = f"""{PROB_AVG_SQL}, sides AS (SELECT feature_set AS side, grp, y_tru
 PBOOT_SQL = """gi AS (SELECT grp, row_number() OVER (ORDER BY md5(grp::VARCHAR), grp) - 1 AS idx,
     count(*) OVER () AS g FROM (SELECT DISTINCT grp FROM sides)),
   wt AS (SELECT replicate, gi.grp, w FROM (SELECT b AS replicate, ('0x' || substr(md5('79|' || b || '|' || idx), 1, 8))::BIGINT % g
-    AS pick, count(*) AS w FROM gi, range(1, 41) t(b) GROUP BY ALL) JOIN gi ON pick = idx),
+    AS pick, count(*) AS w FROM gi, range(1, 3001) t(b) GROUP BY ALL) JOIN gi ON pick = idx),
   ls AS (SELECT side, grp, avg((y_true - p) ** 2) AS br, avg(-(y_true * ln(p) + (1 - y_true) * ln(1 - p))) AS ll
     FROM sides GROUP BY ALL),
   bl AS (SELECT side, replicate, sum(w * br) / sum(w) AS brier_pb, sum(w * ll) / sum(w) AS logloss_pb
@@ -468,7 +468,7 @@ def prob_pairs(spark, sf_dir):
 def i2_prob(spark, sf_dir):
     """Deltas of average precision, AUC, Brier score and log loss per replicate."""
     pairs = prob_pairs(spark, sf_dir).withColumn("model", F.lit("m"))
-    return ic.probability_bootstrap(pairs, ["model"], "grp", "y_true", 40, 79).drop("model")
+    return ic.probability_bootstrap(pairs, ["model"], "grp", "y_true", 3000, 79).drop("model")
 
 
 @query(

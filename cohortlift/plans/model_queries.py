@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from cohortlift.operators import increments as ic
 from cohortlift.operators import learners as lr
 from cohortlift.operators import linear as ln
 from cohortlift.operators import metrics as mt
+from cohortlift.operators import nested as ns
 from cohortlift.operators import residuals as rs
 from cohortlift.operators import splits as sp
 from cohortlift.operators.ordered import exact_quantiles, with_previous
+from cohortlift.operators.training import others
 from cohortlift.plans import fixtures as fx
 from cohortlift.plans.evaluation_queries import dealt_sql
 from cohortlift.plans.registry import query
@@ -82,7 +86,7 @@ FLOW_CI = [f"{d}_{s}" for d in ic.DELTAS for s in ("ci_low", "ci_high", "positiv
       sum(abs(y - pc)) AS aec, sum((y - pb) ** 2) AS seb, sum((y - pc) ** 2) AS sec FROM pairs GROUP BY grp),
     gi AS (SELECT *, row_number() OVER (ORDER BY md5(grp::VARCHAR), grp) - 1 AS idx, count(*) OVER () AS g FROM gs),
     dr AS (SELECT b AS replicate, ('0x' || substr(md5('81|' || b || '|' || idx), 1, 8))::BIGINT % g AS idx
-      FROM gi, range(1, 201) t(b)),
+      FROM gi, range(1, 2001) t(b)),
     bt AS (SELECT replicate, avg(aeb / n) - avg(aec / n) AS delta_mae_pb,
       sqrt(avg(seb / n)) - sqrt(avg(sec / n)) AS delta_rmse_pb,
       (sum(seb) - sum(sec)) / (sum(n * vy) + sum(n * my * my) - sum(n * my) ** 2 / sum(n)) AS delta_r2_rep
@@ -108,7 +112,7 @@ def flow(spark, sf_dir):
         F.avg("pred_base").alias("pred_base"), F.avg("pred_comb").alias("pred_comb"),
     )
     pairs = pairs.withColumn("comparison", F.lit("lagged signal"))
-    return ic.regression_increment_table(pairs, ["comparison"], "grp", "y", 200, 81)
+    return ic.regression_increment_table(pairs, ["comparison"], "grp", "y", 2000, 81)
 
 
 @query(
@@ -160,11 +164,10 @@ def l1(spark, sf_dir):
         F.when(F.col("trial") % 10 != 0, F.col("wrist_rms")).alias("wrist"),
         F.when(F.col("trial") % 37 != 0, F.col("task")).alias("task"),
     )
-    others = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda f: f != F.col("fold"))
-    train = t.withColumn("test_fold", F.explode(others))
-    fitted = lr.fit_preprocessing(train, ["test_fold"], ["hr_mean", "wrist"], ["task"])
-    rows = t.withColumn("test_fold", F.col("fold"))
-    done = lr.apply_preprocessing(rows, fitted, ["test_fold"], ["hr_mean", "wrist"], ["task"])
+    members = spark.range(1, 6).select(F.col("id").cast("int").alias("fold")).withColumn("sets", others("fold", 5))
+    fitted = lr.fit_training_sets(t, members, "fold", ["hr_mean", "wrist"], ["task"])
+    rows = t.withColumn("set", F.col("fold"))
+    done = lr.apply_preprocessing(rows, fitted, ["set"], ["hr_mean", "wrist"], ["task"])
     return done.select(
         "trial", "time1", "fold",
         F.col("features")[0].alias("z_hr"), F.col("features")[1].alias("z_wrist"),
@@ -174,39 +177,32 @@ def l1(spark, sf_dir):
 
 
 # --- learners -------------------------------------------------------------------------------------
-def unit_features(spark, sf_dir):
-    """Units with a standardised feature array: lagged level, sample count, task indicators."""
-    u = units(spark, sf_dir).withColumn("one", F.lit(1))
-    fitted = lr.fit_preprocessing(u, ["one"], ["x", "n_samples"], ["task"])
-    return lr.apply_preprocessing(u, fitted, ["one"], ["x", "n_samples"], ["task"])
+def out_of_fold(spark, sf_dir, y, models, name):
+    """Every unit scored by every candidate, in five folds of participants; features: lagged level,
+    sample count and task."""
+    u = units(spark, sf_dir).withColumn("label", (F.col("y") >= 60).cast("double"))
+    folds = sp.shuffled_folds(sp.with_seeds(sp.group_sizes(u, "grp"), 42, 10000, 1), ["repeat"], 5)
+    folds = tables.staged(folds.select("grp", "fold"), "folds")
+    path = tables.scratch_path(spark, name)
+    return ns.out_of_fold(u, folds, "row_id", "grp", y, ["x", "n_samples"], ["task"], models, path, side_by_side=8)
 
 
 @query("l2_elastic_net")
 def l2(spark, sf_dir):
-    """Elastic net by Spark ML with the rebalanced penalty; predictions per unit."""
-    df = unit_features(spark, sf_dir)
-    fitted = lr.fit_elastic_net(df, "features", "y", 0.1, 0.5)
-    return lr.predict_elastic_net(fitted, df, "features").select("row_id", "y", "y_pred")
-
-
-def labelled_units(spark, sf_dir):
-    return unit_features(spark, sf_dir).withColumn("label", (F.col("y") >= 60).cast("double"))
+    """Out-of-fold predictions of every elastic-net candidate."""
+    return out_of_fold(spark, sf_dir, "y", ns.elastic_candidates("y"), "elastic-oof")
 
 
 @query("l3_logistic")
 def l3(spark, sf_dir):
-    """L2 logistic model by Spark ML; probability per unit."""
-    df = labelled_units(spark, sf_dir)
-    model = lr.fit_logistic(df, "features", "label", "l2", 1.0)
-    return lr.predict_probability(model, df, "features").select("row_id", "label", "y_prob")
+    """Out-of-fold probabilities of every logistic candidate."""
+    return out_of_fold(spark, sf_dir, "label", ns.logistic_candidates("label"), "logistic-oof")
 
 
 @query("l4_boosted_trees")
 def l4(spark, sf_dir):
-    """Boosted trees by Spark ML; prediction per unit (ten rounds keep the check short)."""
-    df = unit_features(spark, sf_dir)
-    model = lr.fit_boosted(df, "features", "y", 0.08, 7, rounds=10)
-    return lr.predict_value(model, df, "features").select("row_id", "y", "y_pred")
+    """Out-of-fold predictions of every boosting candidate, 250 rounds each."""
+    return out_of_fold(spark, sf_dir, "y", ns.boosting_candidates("y", binary=False), "boosted-oof")
 
 
 @query(
@@ -244,25 +240,28 @@ def l6(spark, sf_dir):
     return lr.select_candidates(folds, ["outer_fold"], "params", "mae_pb")
 
 
-def nested(spark, sf_dir, repeats=2):
-    """Nested elastic net on the units: task and sample count, then the lagged level as well."""
-    u = units(spark, sf_dir).withColumn(
-        "x", F.when(F.hash("row_id") % 11 != 0, F.col("x"))
-    )
+def splits(spark, u, repeats=5, outer_folds=5, inner_folds=4):
+    """Outer folds of every repeat and the inner folds of every outer training set."""
     groups = sp.group_sizes(u, "grp")
-    outer = tables.staged(
-        sp.shuffled_folds(sp.with_seeds(groups, 42, 10000, repeats), ["repeat"], 5), "outer-folds"
-    )
+    seeded = sp.with_seeds(groups, 42, 10000, repeats)
+    outer = tables.staged(sp.shuffled_folds(seeded, ["repeat"], outer_folds), "outer-folds")
     seed = F.col("seed") + 1000 * F.col("outer_fold") + 11
-    inner = sp.shuffled_folds(sp.inner_groups(outer, groups, 5, seed), ["repeat", "outer_fold"], 4)
-    inner = tables.staged(
-        inner.select("repeat", "outer_fold", "grp", F.col("fold").alias("inner_fold")), "inner-folds"
+    inner = sp.inner_groups(outer, groups, outer_folds, seed)
+    inner = sp.shuffled_folds(inner, ["repeat", "outer_fold"], inner_folds)
+    inner = inner.select("repeat", "outer_fold", "grp", F.col("fold").alias("inner_fold"))
+    return outer.select("repeat", "grp", F.col("fold").alias("outer_fold")), tables.staged(inner, "inner-folds")
+
+
+@lru_cache(maxsize=1)
+def nested(spark, sf_dir):
+    """The three output tables of one job, made once in a session: nested elastic net on the units, 5 x 5 x 4 folds and 12 candidates: task, sample count and
+    the lagged level, which is missing in every eleventh row by its md5."""
+    u = units(spark, sf_dir).withColumn(
+        "x", F.when(F.conv(F.substring(F.md5("row_id"), 1, 6), 16, 10).cast("int") % 11 != 0, F.col("x"))
     )
-    outer = outer.select("repeat", "grp", F.col("fold").alias("outer_fold"))
+    outer, inner = splits(spark, u)
     tasks = ["click", "error", "purchase", "signup", "view"]
-    return lr.nested_elastic_net(
-        u, outer, inner, "row_id", "grp", "y", ["x", "n_samples"], {"task": tasks}, incomplete=["x"]
-    )
+    return lr.nested_elastic_net(u, outer, inner, "row_id", "grp", "y", ["x", "n_samples"], {"task": tasks})
 
 
 @query("l7_nested_elastic_net")
@@ -288,24 +287,12 @@ def v2_fits(spark, sf_dir):
 
 @query("l7_nested_logistic")
 def l7_logistic(spark, sf_dir):
-    """Out-of-fold probabilities of a logistic model tuned on average precision (two candidates)."""
-    from cohortlift.operators import nested as ns
-
+    """Out-of-fold probabilities of a logistic model tuned on average precision, 8 candidates."""
     u = units(spark, sf_dir).withColumn("label", (F.col("y") >= 60).cast("double"))
-    groups = sp.group_sizes(u, "grp")
-    outer = tables.staged(
-        sp.shuffled_folds(sp.with_seeds(groups, 42, 10000, 1), ["repeat"], 2), "outer-folds"
-    )
-    seed = F.col("seed") + 1000 * F.col("outer_fold") + 11
-    inner = sp.shuffled_folds(sp.inner_groups(outer, groups, 2, seed), ["repeat", "outer_fold"], 2)
-    inner = tables.staged(
-        inner.select("repeat", "outer_fold", "grp", F.col("fold").alias("inner_fold")), "inner-folds"
-    )
-    outer = outer.select("repeat", "grp", F.col("fold").alias("outer_fold"))
+    outer, inner = splits(spark, u)
     return ns.nested_models(
         u, outer, inner, "row_id", "grp", "label", ["x", "n_samples"], ["task"],
-        ns.logistic_candidates("label", {"penalty": ["l1", "l2"], "c": [1.0]}),
-        ns.average_precision, tables.scratch_path(spark, "oof"), lower_is_better=False,
+        ns.logistic_candidates("label"), ns.average_precision, tables.scratch_path(spark, "oof"), lower_is_better=False,
     )
 
 

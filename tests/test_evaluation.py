@@ -230,9 +230,9 @@ def test_nested_elastic_net_against_brute_force(spark, panel):
     inner = train.withColumn("inner_fold", (F.floor(F.col("grp") / 3) % 2 + 1).cast("int"))
     grid = {"alpha": [0.05, 1.0], "l1_ratio": [0.5]}
     fits, chosen, preds = lr.nested_elastic_net(
-        df, outer, inner, "row_id", "grp", "y", ["a", "b"], {}, ["a"], n_inner=2, grid=grid
+        df, outer, inner, "row_id", "grp", "y", ["a", "b"], {}, n_outer=3, n_inner=2, grid=grid
     )
-    assert fits.count() == 3 * 3 * 2 and fits.where("NOT converged").count() == 0
+    assert fits.count() == 3 * 2 * 2 + 3 and fits.where("NOT converged").count() == 0
     preds = preds.toPandas().set_index("row_id").y_pred
     chosen = chosen.toPandas().set_index("outer_fold").params
     pdf = pdf.assign(o=pdf.grp % 3 + 1, i=pdf.grp // 3 % 2 + 1)
