@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.operators.embeddings import doubles, sum_vector
@@ -37,38 +38,57 @@ def leave_fold_out_line(
 ) -> DataFrame:
     """Mean of y and of x, and the slope of y on x, over the rows outside each fold.
 
-    The slope is 0 when x does not vary in training, to twelve digits of its own size. Output: by, fold, mean_y, mean_x, slope.
+    Moments are taken around each fold's own means and put together around a common middle, so a
+    small spread far from zero keeps its slope; it is 0 only where all training values of x are
+    equal. Output: by, fold, mean_y, mean_x, slope.
     """
     by = list(by)
     a, b = F.col(x), F.col(y)
-    sums = ["_n", "_x", "_y", "_xy", "_xx"]
+    n = F.col("_n")
     stats = df.groupBy(*by, fold).agg(
-        F.count(F.lit(1)).cast("double").alias("_n"),
-        F.sum(a).alias("_x"),
-        F.sum(b).alias("_y"),
-        F.sum(a * b).alias("_xy"),
-        F.sum(a * a).alias("_xx"),
-    )
-    t = training_sums(stats, by, fold, sums)
+        F.count(F.lit(1)).cast("double").alias("_n"), F.avg(a).alias("_mx"), F.avg(b).alias("_my"),
+        F.var_pop(a).alias("_vx"), F.covar_pop(a, b).alias("_cxy"),
+        F.struct(F.min(a).alias("lo"), F.max(a).alias("hi")).alias("_ends"),
+    )
+    all_folds = W.partitionBy(*by)  # a row per fold
+    for c in ("_mx", "_my"):
+        middle = F.sum(n * F.col(c)).over(all_folds) / F.sum(n).over(all_folds)
+        stats = stats.withColumn(f"{c}0", middle).withColumn(c, F.col(c) - F.col(f"{c}0"))
+    sums = {
+        "_sn": n, "_sx": n * F.col("_mx"), "_sy": n * F.col("_my"),
+        "_sxx": n * (F.col("_vx") + F.col("_mx") * F.col("_mx")),
+        "_sxy": n * (F.col("_cxy") + F.col("_mx") * F.col("_my")),
+    }
+    # the total without the fold's own part
+    t = stats.select(
+        *by, fold, "_mx0", "_my0",
+        *[(F.sum(s).over(all_folds) - s).alias(k) for k, s in sums.items()],
+        F.filter(
+            F.collect_list(F.struct(F.col(fold).alias("fold"), F.col("_ends"))).over(all_folds),
+            lambda e: ~e["fold"].eqNullSafe(F.col(fold)),
+        ).alias("_others"),
+    )
+    lo = F.array_min(F.transform("_others", lambda e: e["_ends"]["lo"]))
+    hi = F.array_max(F.transform("_others", lambda e: e["_ends"]["hi"]))
     # a cell that one fold holds alone has no training rows: its line is missing
-    n, sx, sy = F.nullif(F.col("_n"), F.lit(0.0)), F.col("_x"), F.col("_y")
-    sxx = F.col("_xx") - sx * sx / n
-    sxy = F.col("_xy") - sx * sy / n
+    m = F.when(F.size("_others") > 0, F.col("_sn"))
+    mx, my = F.col("_sx") / m, F.col("_sy") / m
+    sxx, sxy = F.col("_sxx") - m * mx * mx, F.col("_sxy") - m * mx * my
     return t.select(
         *by, fold,
-        (sy / n).alias("mean_y"),
-        (sx / n).alias("mean_x"),
-        F.when(sxx > 1e-12 * F.col("_xx"), sxy / sxx).otherwise(F.lit(0.0)).alias("slope"),
-    )
+        (F.col("_my0") + my).alias("mean_y"),
+        (F.col("_mx0") + mx).alias("mean_x"),
+        F.when(hi > lo, sxy / sxx).otherwise(F.lit(0.0)).alias("slope"),
+    )
 
 
 def ridge_coefficients(
-    df: DataFrame, fold: str, context: Sequence[str], vector: str, alpha: float
+    df: DataFrame, fold: str, context: Sequence[str], vector: str, alpha: float, by: Sequence[str] = ()
 ) -> DataFrame:
     """Ridge of every vector dimension on the standardised context, per held-out fold.
 
     One pass gives n, sum x, sum x x' and, per context column, the vector sum of x * e. What is
-    solved per fold is as small as the context is wide; all dimensions share it. Output: fold,
+    solved per fold is as small as the context is wide; all dimensions share it. Output: by, fold,
     intercept (vector) and coef (one vector per context column, on the raw scale).
     """
     p = len(context)
@@ -80,15 +100,16 @@ def ridge_coefficients(
     cross = [
         sum_vector(F.transform(e, _times(c))).alias(f"xe_{i}") for i, c in enumerate(cols)
     ]
-    stats = df.groupBy(fold).agg(
+    by = list(by)
+    stats = df.groupBy(*by, fold).agg(
         F.count(F.lit(1)).cast("double").alias("n"),
         *[F.sum(c).alias(f"x_{i}") for i, c in enumerate(cols)],
         *gram,
         sum_vector(e).alias("e"),
         *cross,
     )
-    kind = dict(df.dtypes)[fold]
-    schema = f"{fold} {kind}, intercept array<double>, coef array<array<double>>"
+    names = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in [*by, fold])
+    schema = f"{names}, intercept array<double>, coef array<array<double>>"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         def vec(c):
@@ -113,19 +134,20 @@ def ridge_coefficients(
             sd = np.where(sd > 0, sd, 1.0)
             z = np.linalg.solve(xx / np.outer(sd, sd) + alpha * np.eye(p), xe / sd[:, None])
             coef = z / sd[:, None]
-            out.append((pdf[fold].iloc[r], me - mean @ coef, [c.tolist() for c in coef]))
-        return pd.DataFrame(out, columns=[fold, "intercept", "coef"])
+            own = [pdf[c].iloc[r] for c in [*by, fold]]
+            out.append((*own, me - mean @ coef, [c.tolist() for c in coef]))
+        return pd.DataFrame(out, columns=[*by, fold, "intercept", "coef"])
 
-    # one row per fold, so this single group is as small as the split
-    return stats.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(solve, schema)
+    # one row per fold, so a group is as small as the split
+    return stats.withColumn("_one", F.lit(0)).groupBy("_one", *by).applyInPandas(solve, schema)
 
 
 def residual_vectors(
-    df: DataFrame, coefficients: DataFrame, fold: str, context: Sequence[str], vector: str
+    df: DataFrame, coefficients: DataFrame, fold: str, context: Sequence[str], vector: str, by: Sequence[str] = ()
 ) -> DataFrame:
     """Vector minus its context prediction under the coefficients of the row's held-out fold."""
     # one row per fold
-    joined = df.join(F.broadcast(coefficients), fold)
+    joined = df.join(F.broadcast(coefficients), [*by, fold])
     pred = F.col("intercept")
     for i, c in enumerate(context):
         x = F.col(c).cast("double")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from cohortlift.operators import learners as lr
 from cohortlift.operators import metrics as mt
 from cohortlift.operators.training import others
-from cohortlift.sources.tables import remaining, staged
+from cohortlift.sources.tables import remaining, staged, stored
 
 #: fit (rows with ``features``) -> model, and predict (model, rows, name of the new column)
 Model = tuple[Callable[[DataFrame], object], Callable[[object, DataFrame, str], DataFrame]]
@@ -85,18 +85,9 @@ def _predicted(models: Mapping[str, Model], fitted: Mapping[str, object], held:
     return held.select(*keep, F.explode(each).alias("_e")).select(*keep, "_e.params", "_e.pred")
 
 
-def _stored(spark, path: str, keys: Sequence[str]) -> DataFrame | None:
-    """What an earlier run left below ``path``; nothing where no part has been finished."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder) or not files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*" + "/*" * len(keys))):
-        return None
-    return spark.read.parquet(path)
-
-
 def _finish(spark, grid: DataFrame, path: str, keys: Sequence[str], run: Callable, side_by_side: int) -> DataFrame:
     """Run the parts of ``grid`` that are not stored yet, some side by side; all parts' rows."""
-    done = _stored(spark, path, keys)
+    done = stored(spark, path)
     grid = grid if done is None else remaining(grid, done, keys)
     todo = [tuple(r) for r in grid.select(*keys).collect()]  # as many as there are folds
     if todo:

@@ -165,35 +165,35 @@ def e7(spark, sf_dir):
 
 @query(
     "e7_embedding_columns",
-    """SELECT row_id, grp, embedding[1]::DOUBLE AS emb_000, embedding[2]::DOUBLE AS emb_001,
-      embedding[3]::DOUBLE AS emb_002, embedding[4]::DOUBLE AS emb_003 FROM representations WHERE anchor = 'START'""",
+    "SELECT row_id, grp, anchor, "
+    + ", ".join(f"embedding[{i + 1}]::DOUBLE AS emb_{i:03d}" for i in range(32))
+    + " FROM representations",
     ["representations"],
-    ["emb_000", "emb_001", "emb_002", "emb_003"],
+    [f"emb_{i:03d}" for i in range(32)],
 )
 def e7_columns(spark, sf_dir):
-    """First dimensions as named columns."""
-    df = fx.representations(spark, sf_dir).where("anchor = 'START'").drop("anchor")
-    return em.to_columns(df, "embedding", 4)
+    """Every dimension as a named column."""
+    return em.to_columns(fx.representations(spark, sf_dir), "embedding", 32)
 
 
 # --- residual representation -------------------------------------------------------------------
-RIDGE_SQL = """r AS (SELECT row_id, (row_id % 5 + 1)::INT AS fold, (row_id % 7)::DOUBLE AS x1, grp::DOUBLE AS x2,
-    unnest(embedding)::DOUBLE AS e, unnest(range(1, 33)) AS dim FROM representations WHERE anchor = 'START'),
-  tr AS (SELECT f AS fold, dim, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+RIDGE_SQL = """r AS (SELECT anchor, row_id, (row_id % 5 + 1)::INT AS fold, (row_id % 7)::DOUBLE AS x1, grp::DOUBLE AS x2,
+    unnest(embedding)::DOUBLE AS e, unnest(range(1, 33)) AS dim FROM representations),
+  tr AS (SELECT anchor, f AS fold, dim, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
     covar_pop(x1, x2) AS c12, avg(e) AS me, covar_pop(x1, e) AS c1e, covar_pop(x2, e) AS c2e
-    FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS f) WHERE fold <> f GROUP BY f, dim),
+    FROM r, (SELECT unnest([1, 2, 3, 4, 5]) AS f) WHERE fold <> f GROUP BY anchor, f, dim),
   z AS (SELECT *, n + 1.0 AS a11, n * c12 / (s1 * s2) AS a12, n + 1.0 AS a22, n * c1e / s1 AS y1, n * c2e / s2 AS y2 FROM tr),
-  b AS (SELECT fold, dim, m1, m2, me, (a22 * y1 - a12 * y2) / (a11 * a22 - a12 * a12) / s1 AS b1,
+  b AS (SELECT anchor, fold, dim, m1, m2, me, (a22 * y1 - a12 * y2) / (a11 * a22 - a12 * a12) / s1 AS b1,
     (a11 * y2 - a12 * y1) / (a11 * a22 - a12 * a12) / s2 AS b2 FROM z),
-  res AS (SELECT r.row_id, r.fold, r.dim, r.e, me + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted FROM r
-    JOIN b ON r.fold = b.fold AND r.dim = b.dim)"""
+  res AS (SELECT r.anchor, r.row_id, r.fold, r.dim, r.e, me + b1 * (x1 - m1) + b2 * (x2 - m2) AS predicted FROM r
+    JOIN b ON r.fold = b.fold AND r.dim = b.dim AND r.anchor = b.anchor)"""
 
 
 def contextual(spark, sf_dir):
     return (
         fx.representations(spark, sf_dir)
-        .where("anchor = 'START'")
         .select(
+            "anchor",
             "row_id",
             (F.col("row_id") % 5 + 1).cast("int").alias("fold"),
             (F.col("row_id") % 7).cast("double").alias("x1"),
@@ -205,47 +205,47 @@ def contextual(spark, sf_dir):
 
 @query(
     "l5_multi_output_ridge",
-    f"WITH {RIDGE_SQL} SELECT fold, dim, me - m1 * b1 - m2 * b2 AS intercept, b1, b2 FROM b",
+    f"WITH {RIDGE_SQL} SELECT anchor, fold, dim, me - m1 * b1 - m2 * b2 AS intercept, b1, b2 FROM b",
     ["representations"],
     ["intercept", "b1", "b2"],
 )
 def l5(spark, sf_dir):
     """Ridge of every vector dimension on two context columns, per held-out fold."""
-    c = ln.ridge_coefficients(contextual(spark, sf_dir), "fold", ["x1", "x2"], "embedding", 1.0)
+    c = ln.ridge_coefficients(contextual(spark, sf_dir), "fold", ["x1", "x2"], "embedding", 1.0, ["anchor"])
     zipped = F.arrays_zip("intercept", F.col("coef")[0].alias("b1"), F.col("coef")[1].alias("b2"))
-    return c.select("fold", F.posexplode(zipped).alias("dim", "t")).select(
-        "fold", (F.col("dim") + 1).alias("dim"), "t.intercept", "t.b1", "t.b2"
+    return c.select("anchor", "fold", F.posexplode(zipped).alias("dim", "t")).select(
+        "anchor", "fold", (F.col("dim") + 1).alias("dim"), "t.intercept", "t.b1", "t.b2"
     )
 
 
 def residuals(spark, sf_dir):
     df = contextual(spark, sf_dir)
-    coef = ln.ridge_coefficients(df, "fold", ["x1", "x2"], "embedding", 1.0)
-    return ln.residual_vectors(df, coef, "fold", ["x1", "x2"], "embedding")
+    coef = ln.ridge_coefficients(df, "fold", ["x1", "x2"], "embedding", 1.0, ["anchor"])
+    return ln.residual_vectors(df, coef, "fold", ["x1", "x2"], "embedding", ["anchor"])
 
 
 @query(
     "r4_residual_representation",
-    f"WITH {RIDGE_SQL} SELECT row_id, fold, dim, e - predicted AS residual FROM res",
+    f"WITH {RIDGE_SQL} SELECT anchor, row_id, fold, dim, e - predicted AS residual FROM res",
     ["representations"],
     ["residual"],
 )
 def r4(spark, sf_dir):
     """Vector minus what the context predicts of it out of fold."""
-    df = residuals(spark, sf_dir).select("row_id", "fold", F.posexplode("residual").alias("dim", "residual"))
+    df = residuals(spark, sf_dir).select("anchor", "row_id", "fold", F.posexplode("residual").alias("dim", "residual"))
     return df.withColumn("dim", F.col("dim") + 1)
 
 
 @query(
     "r5_residual_diagnostics",
-    f"""WITH {RIDGE_SQL} SELECT fold, 1 - avg((e - predicted) ** 2) / var_pop(e) AS context_explained_r2,
-      sum((e - predicted) ** 2) / sum(e * e) AS residual_energy_ratio FROM res GROUP BY fold""",
+    f"""WITH {RIDGE_SQL} SELECT anchor, fold, 1 - avg((e - predicted) ** 2) / var_pop(e) AS context_explained_r2,
+      sum((e - predicted) ** 2) / sum(e * e) AS residual_energy_ratio FROM res GROUP BY anchor, fold""",
     ["representations"],
     ["context_explained_r2", "residual_energy_ratio"],
 )
 def r5(spark, sf_dir):
     """How much of the vectors the context explains, per fold."""
-    return ln.residual_diagnostics(residuals(spark, sf_dir), ["fold"])
+    return ln.residual_diagnostics(residuals(spark, sf_dir), ["anchor", "fold"])
 
 
 # --- audits --------------------------------------------------------------------------------------

@@ -153,25 +153,28 @@ def x6(spark, sf_dir):
 
 @query(
     "x7_split_verification",
-    """SELECT repeat, ((user_id * 7 + repeat * 3) % 5 + 1)::INT AS outer_fold, 0::BIGINT AS only_first,
+    """SELECT anchor, feature_set, repeat, ((user_id * 7 + repeat * 3) % 5 + 1)::INT AS outer_fold, 0::BIGINT AS only_first,
       count(*) FILTER (WHERE event_id % 601 = 0) AS only_second, count(*) AS n_keys,
       count(*) FILTER (WHERE event_id % 601 = 0) = 0 AS equal
-    FROM events, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat) GROUP BY ALL""",
+    FROM events, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat), (SELECT unnest(['START', 'END']) AS anchor),
+      (SELECT unnest(['base', 'comb']) AS feature_set) GROUP BY ALL""",
 )
 def x7(spark, sf_dir):
-    """Rebuilt test rows against the stored ones, per repeat and fold."""
-    df = fx.predictions(spark, sf_dir).where("anchor = 'START' AND feature_set = 'base'")
-    stored = df.where("row_id % 601 <> 0").select("repeat", "outer_fold", "row_id")
+    """Rebuilt test rows against the stored ones, per stored table, repeat and fold."""
+    by = ["anchor", "feature_set", "repeat", "outer_fold"]
+    stored = fx.predictions(spark, sf_dir).where("row_id % 601 <> 0").select(*by, "row_id")
     rebuilt = (
         fx.table(spark, sf_dir, "events")
         .withColumn("repeat", fx.explode_of(1, 2, 3, 4, 5))
+        .withColumn("anchor", fx.explode_of("START", "END"))
+        .withColumn("feature_set", fx.explode_of("base", "comb"))
         .select(
-            "repeat",
+            "anchor", "feature_set", "repeat",
             ((F.col("user_id") * 7 + F.col("repeat") * 3) % 5 + 1).cast("int").alias("outer_fold"),
             F.col("event_id").alias("row_id"),
         )
     )
-    return st.key_equality(stored, rebuilt, ["row_id"], by=["repeat", "outer_fold"])
+    return st.key_equality(stored, rebuilt, ["row_id"], by=by)
 
 
 # --- metrics ----------------------------------------------------------------------------------
@@ -248,18 +251,17 @@ def m3(spark, sf_dir):
 
 @query(
     "w10_cumulative_true_false_positives",
-    f"""WITH {PROB_SQL} SELECT feature_set, p AS score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
-    FROM (SELECT feature_set, p, sum(y_true)::DOUBLE AS pos, sum(1 - y_true)::DOUBLE AS neg FROM clipped
-      WHERE repeat = 1 GROUP BY ALL) WINDOW w AS (PARTITION BY feature_set ORDER BY p DESC)""",
+    f"""WITH {PROB_SQL} SELECT feature_set, repeat, p AS score, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp
+    FROM (SELECT feature_set, repeat, p, sum(y_true)::DOUBLE AS pos, sum(1 - y_true)::DOUBLE AS neg FROM clipped
+      GROUP BY ALL) WINDOW w AS (PARTITION BY feature_set, repeat ORDER BY p DESC)""",
     ["prob_predictions"],
     ["score"],
     digits=9,
 )
 def w10(spark, sf_dir):
     """True and false positives by falling score."""
-    df = fx.prob_predictions(spark, sf_dir).where("repeat = 1")
-    counts = mt.score_counts(df, ["feature_set"], "y_true", "y_prob")
-    return mt.cumulative_counts(counts, ["feature_set"])
+    counts = mt.score_counts(fx.prob_predictions(spark, sf_dir), ["feature_set", "repeat"], "y_true", "y_prob")
+    return mt.cumulative_counts(counts, ["feature_set", "repeat"])
 
 
 @query(

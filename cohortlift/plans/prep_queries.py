@@ -16,6 +16,10 @@ from cohortlift.plans import profile_queries as pq
 from cohortlift.plans.registry import query
 from cohortlift.sources import readers, tables
 
+SUPPLIED = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
 
 # --- sources and sinks -----------------------------------------------------------------------
 @query(
@@ -32,45 +36,86 @@ def s1(spark, sf_dir):
     return readers.typed(raw, ["value"])
 
 
-@query("s2_file_discovery")
+def archive(spark, sf_dir):
+    """The events written as an archive: a folder per participant and task, one text file in each."""
+    root = tables.scratch_path(spark, "archive")
+    lines = fx.table(spark, sf_dir, "events").select(
+        F.concat(F.lit("P"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("participant"),
+        F.col("event_type").alias("task"),
+        F.concat_ws(";", F.col("event_id").cast("string"), F.col("event_type")).alias("value"),
+    )
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(tasks, "participant", "task").write.partitionBy("participant", "task").text(root)
+    return root
+
+
+@query(
+    "s2_file_discovery",
+    """SELECT 'P' || lpad(user_id::VARCHAR, 6, '0') AS participant, event_type AS task, 'txt' AS suffix, 1::BIGINT AS n_files,
+      sum(length(event_id::VARCHAR) + 1 + length(event_type) + 1)::BIGINT AS n_bytes FROM events GROUP BY user_id, event_type""",
+)
 def s2(spark, sf_dir):
-    """Every stored file with its suffix and size."""
-    return readers.inventory(spark, sf_dir, "*.parquet").select("name", "suffix", "n_bytes")
+    """Every file of a written archive with what its path says of participant and task, and its size."""
+    found = readers.discovered(spark, archive(spark, sf_dir), {
+        "participant": "participant=([^/]+)/", "task": "task=([^/]+)/",
+    }, "*.txt")
+    return found.groupBy("participant", "task", "suffix").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("n_bytes").alias("n_bytes")
+    )
 
 
 @query(
     "s3_header_tolerant_read",
-    """SELECT event_id, event_type, CASE WHEN user_id % 2 = 0 THEN value END AS value,
-      NULL::VARCHAR AS absent FROM events""",
+    """SELECT event_id, event_type, CASE WHEN user_id % 3 <> 1 THEN value END AS value, NULL::VARCHAR AS absent FROM events""",
 )
 def s3(spark, sf_dir):
-    """Two header variants read as one table cut to the wanted columns."""
+    """Events written as csv, tsv and txt with three headers (order and columns differ), read as one
+    table cut to the wanted columns."""
     ev = fx.table(spark, sf_dir, "events")
-    even = ev.where("user_id % 2 = 0").drop("props")
-    odd = ev.where("user_id % 2 <> 0").drop("value")
-    return readers.wanted_columns([even, odd], ["event_id", "event_type", "value", "absent"])
+    headers = {
+        "csv": (",", ["event_id", "value", "event_type"]),
+        "tsv": ("\t", ["event_type", "props", "event_id"]),
+        "txt": ("|", ["user_id", "event_type", "value", "event_id"]),
+    }
+    parts = []
+    for i, (suffix, (sep, columns)) in enumerate(headers.items()):
+        path = tables.scratch_path(spark, f"events-{suffix}")
+        ev.where(F.col("user_id") % 3 == i).select(*columns).write.option("header", True).option("sep", sep).csv(path)
+        parts.append(readers.read_tolerant_csv(spark, path, ["event_id", "event_type", "value", "absent"], sep))
+    rows = readers.typed(st.aligned_union(*parts), ["value"])
+    return rows.select(F.col("event_id").cast("bigint").alias("event_id"), "event_type", "value", "absent")
 
 
 @query(
     "s4_reader_by_suffix",
-    "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment",
+    """SELECT suffix, c_mktsegment, count(*) AS n, sum(c_custkey)::BIGINT AS keys, max(c_name) AS last_name,
+      sum(c_acctbal) AS balance FROM customer, (SELECT unnest(['csv', 'tsv', 'txt', 'parquet']) AS suffix) GROUP BY ALL""",
+    rounded=["balance"],
+    digits=2,
 )
 def s4(spark, sf_dir):
-    """The customer table through the one-call reader."""
-    df = readers.read_any(spark, f"{sf_dir}/customer.parquet", "parquet")
-    return df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    """The customers written in every format and read back whole by the one call."""
+    customers, parts = fx.table(spark, sf_dir, "customer"), []
+    for suffix in ("csv", "tsv", "txt", "parquet"):
+        path = tables.scratch_path(spark, f"customers-{suffix}")
+        kind, options = readers.FORMATS[suffix]
+        customers.write.format(kind).options(**options).save(path)
+        back = readers.typed(readers.read_any(spark, path, suffix), ["c_custkey", "c_acctbal"])
+        parts.append(back.select(F.lit(suffix).alias("suffix"), "c_mktsegment", "c_custkey", "c_name", "c_acctbal"))
+    return st.aligned_union(*parts).groupBy("suffix", "c_mktsegment").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("c_custkey").cast("bigint").alias("keys"),
+        F.max("c_name").alias("last_name"), F.sum("c_acctbal").alias("balance"),
+    )
 
 
 @query(
     "s5_rows_per_file",
-    """SELECT 'orders.parquet' AS file, count(*) AS n_rows FROM orders
-    UNION ALL SELECT 'events.parquet', count(*) FROM events""",
+    " UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS n_rows FROM {t}" for t in SUPPLIED),
 )
 def s5(spark, sf_dir):
-    """Data rows of each source file."""
-    return readers.rows_per_file(fx.table(spark, sf_dir, "orders")).unionByName(
-        readers.rows_per_file(fx.table(spark, sf_dir, "events"))
-    )
+    """Data rows of every supplied file."""
+    counts = [readers.rows_per_file(fx.table(spark, sf_dir, t)) for t in SUPPLIED]
+    return st.aligned_union(*counts)
 
 
 @query(
@@ -154,6 +199,38 @@ def s10(spark, sf_dir):
     return tables.remaining(grid, done, ["grp", "repeat"])
 
 
+@query(
+    "s10_interrupted_append",
+    """SELECT grp, repeat, count(*) AS n_rows, 1::BIGINT AS n_stored, 2::BIGINT AS n_runs FROM predictions
+    GROUP BY grp, repeat""",
+    ["predictions"],
+)
+def s10_append(spark, sf_dir):
+    """Tasks stored in three runs: a part, a run that fails midway, and one that does the rest."""
+    keys, rows = ["grp", "repeat"], fx.predictions(spark, sf_dir)
+    grid, path = rows.select(*keys).distinct(), tables.scratch_path(spark, "resumed")
+
+    def work(run, broken="false"):
+        def do(todo):
+            done = rows.join(todo, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("run", F.lit(run))
+            fails = F.when(F.expr(broken), F.raise_error(F.lit("interrupted"))).otherwise(F.col("n_rows"))
+            return done.withColumn("n_rows", fails.cast("bigint"))
+
+        return do
+
+    tables.resume_append(grid.where("grp % 3 = 0"), path, keys, work(1))
+    try:
+        tables.resume_append(grid, path, keys, work(2, "grp % 5 = 1"))
+    except Exception as err:
+        if "interrupted" not in str(err):
+            raise
+    tables.resume_append(grid, path, keys, work(3))
+    stored = spark.read.parquet(path)
+    runs = stored.agg(F.count_distinct("run").alias("n_runs"))
+    per = stored.groupBy(*keys).agg(F.max("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_stored"))
+    return per.join(F.broadcast(runs), F.lit(True))
+
+
 # --- projection and parsing ------------------------------------------------------------------
 @query(
     "p1_clean_numeric",
@@ -465,6 +542,34 @@ def p20(spark, sf_dir):
     return hits.join(catalog, ["table", "column"])
 
 
+@query(
+    "p20_aliased_columns",
+    """WITH filled AS (SELECT count(subject) AS subject, count(task_order) AS task_order, count(before_task) AS before_task,
+      count("10_sec") AS "10_sec" FROM rating_grid),
+    sampled AS (SELECT count(participant) AS participant, count(t_us) AS t_us, count(channel) AS channel FROM signals)
+    SELECT 'fields' AS "table", CASE "column" WHEN 'subject' THEN 'participant' WHEN 'task_order' THEN 'task'
+      WHEN 'before_task' THEN 'start' ELSE 'rating' END AS meaning, "column", filled_n
+    FROM (UNPIVOT filled ON COLUMNS(*) INTO NAME "column" VALUE filled_n)
+    UNION ALL SELECT 'samples', CASE "column" WHEN 't_us' THEN 'time' WHEN 'channel' THEN 'task' ELSE "column" END, "column",
+      filled_n FROM (UNPIVOT sampled ON COLUMNS(*) INTO NAME "column" VALUE filled_n)""",
+    ["rating_grid", "signals"],
+)
+def p20_alias(spark, sf_dir):
+    """The column of each table that fits a meaning best (an exact alias, else one that holds it),
+    with its filled cells."""
+    parts = []
+    for name, df in (("fields", fx.rating_grid(spark, sf_dir)), ("samples", fx.signals(spark, sf_dir))):
+        one = df.agg(*[F.count(c).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "filled_n")
+        place = F.array_position(F.array(*[F.lit(c) for c in df.columns]), F.col("column"))
+        parts.append(one.select(F.lit(name).alias("table"), place.alias("place"), "column", "filled_n"))
+    catalog = st.aligned_union(*parts)
+    best = rl.aliased_columns(catalog.drop("filled_n"), {
+        "participant": ["subject", "participant"], "task": ["channel", "task order"], "time": ["t_us", "timestamp"],
+        "start": ["before"], "rating": ["sec"],
+    })
+    return best.join(catalog.drop("place"), ["table", "column"])
+
+
 @query(
     "p21_clip_probability",
     """SELECT row_id, repeat, feature_set, greatest(least(y_prob, 1 - 1e-6::DOUBLE), 1e-6::DOUBLE) AS p
@@ -611,24 +716,22 @@ def f5(spark, sf_dir):
 
 @query(
     "f6_anchor_pairing",
-    """WITH s AS (SELECT * FROM predictions WHERE anchor = 'START' AND repeat = 1 AND feature_set = 'comb'
-      AND row_id % 401 <> 0),
-    e AS (SELECT * FROM predictions WHERE anchor = 'END' AND repeat = 1 AND feature_set = 'comb'
-      AND row_id % 503 <> 0)
+    """WITH s AS (SELECT * FROM predictions WHERE anchor = 'START' AND row_id % 401 <> 0),
+    e AS (SELECT * FROM predictions WHERE anchor = 'END' AND row_id % 503 <> 0)
     SELECT count(*) FILTER (WHERE s.row_id IS NOT NULL AND e.row_id IS NOT NULL) AS n_paired,
       count(*) FILTER (WHERE e.row_id IS NULL) AS start_only, count(*) FILTER (WHERE s.row_id IS NULL) AS end_only,
       count(*) FILTER (WHERE s.grp <> e.grp) AS unequal_grp,
       count(*) FILTER (WHERE abs(s.y_true - e.y_true) > 1e-8) AS unequal_y_true,
       count(*) FILTER (WHERE abs(s.y_pred - e.y_pred) > 1e-8) AS unequal_y_pred, false AS ok
-    FROM s FULL JOIN e ON s.row_id = e.row_id""",
+    FROM s FULL JOIN e ON s.row_id = e.row_id AND s.repeat = e.repeat AND s.feature_set = e.feature_set""",
     ["predictions"],
 )
 def f6(spark, sf_dir):
     """Ids, groups and targets of the two anchors compared."""
-    df = fx.predictions(spark, sf_dir).where("repeat = 1 AND feature_set = 'comb'")
+    df = fx.predictions(spark, sf_dir).withColumn("key", F.struct("row_id", "repeat", "feature_set"))
     start = df.where("anchor = 'START' AND row_id % 401 <> 0")
     end = df.where("anchor = 'END' AND row_id % 503 <> 0")
-    return gd.pairing(start, end, "row_id", ["grp", "y_true", "y_pred"])
+    return gd.pairing(start, end, "key", ["grp", "y_true", "y_pred"])
 
 
 @query(
@@ -711,9 +814,9 @@ def j1(spark, sf_dir):
 
 @query(
     "j2_paired_sides",
-    """SELECT b.row_id, b.repeat, b.anchor, b.y_pred AS pred_base, c.y_pred AS pred_comb, b.grp, b.y_true
-    FROM predictions b JOIN predictions c ON b.row_id = c.row_id AND b.repeat = c.repeat AND b.anchor = c.anchor
-    WHERE b.feature_set = 'base' AND c.feature_set = 'comb'""",
+    """SELECT row_id, repeat, anchor, max(y_pred) FILTER (WHERE feature_set = 'base') AS pred_base,
+      max(y_pred) FILTER (WHERE feature_set = 'comb') AS pred_comb, max(grp) AS grp, max(y_true) AS y_true
+    FROM predictions GROUP BY row_id, repeat, anchor""",
     ["predictions"],
     ["pred_comb"],
     digits=8,
@@ -846,20 +949,19 @@ def j11(spark, sf_dir):
 
 @query(
     "j12_locked_baseline",
-    """WITH b AS (SELECT row_id, repeat, y_true, y_pred FROM predictions WHERE anchor = 'START' AND feature_set = 'base'),
-    c AS (SELECT row_id, repeat, y_pred FROM predictions WHERE anchor = 'START' AND feature_set = 'comb')
-    SELECT b.repeat, count(*) AS n, avg(abs(y_true - b.y_pred)) AS mae_base, avg(abs(y_true - c.y_pred)) AS mae_comb
-    FROM b JOIN c ON b.row_id = c.row_id AND b.repeat = c.repeat GROUP BY b.repeat""",
+    """SELECT anchor, repeat, count(*) AS n, avg(abs(y_true - b)) AS mae_base, avg(abs(y_true - c)) AS mae_comb
+    FROM (SELECT anchor, repeat, row_id, max(y_true) AS y_true, max(y_pred) FILTER (WHERE feature_set = 'base') AS b,
+      max(y_pred) FILTER (WHERE feature_set = 'comb') AS c FROM predictions GROUP BY ALL) GROUP BY anchor, repeat""",
     ["predictions"],
     ["mae_base", "mae_comb"],
 )
 def j12(spark, sf_dir):
     """Stored baseline predictions used in place of a refit."""
-    df = fx.predictions(spark, sf_dir).where("anchor = 'START'")
-    stored = df.where("feature_set = 'base'").select("row_id", "repeat", "y_true", "y_pred")
+    df = fx.predictions(spark, sf_dir)
+    stored = df.where("feature_set = 'base'").select("anchor", "row_id", "repeat", "y_true", "y_pred")
     fresh = df.where("feature_set = 'comb'")
-    pairs = jn.paired_with_stored(stored, fresh, ["row_id", "repeat"], "y_pred")
-    return pairs.groupBy("repeat").agg(
+    pairs = jn.paired_with_stored(stored, fresh, ["anchor", "row_id", "repeat"], "y_pred")
+    return pairs.groupBy("anchor", "repeat").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(F.col("y_true") - F.col("pred_base"))).alias("mae_base"),
         F.avg(F.abs(F.col("y_true") - F.col("pred_comb"))).alias("mae_comb"),
@@ -997,14 +1099,13 @@ def u3(spark, sf_dir):
 
 @query(
     "u4_key_equality",
-    """SELECT repeat, count(*) FILTER (WHERE row_id % 701 = 0) AS only_first, 0::BIGINT AS only_second,
-      count(*) AS n_keys, false AS equal FROM predictions WHERE anchor = 'START' AND feature_set = 'base'
-    GROUP BY repeat""",
+    """SELECT anchor, repeat, count(*) FILTER (WHERE row_id % 701 = 0) AS only_first, 0::BIGINT AS only_second,
+      count(*) AS n_keys, false AS equal FROM predictions WHERE feature_set = 'base' GROUP BY anchor, repeat""",
     ["predictions"],
 )
 def u4(spark, sf_dir):
-    """Row keys of two tables compared per repeat."""
-    df = fx.predictions(spark, sf_dir).where("anchor = 'START'")
+    """Row keys of two tables compared per anchor and repeat."""
+    df = fx.predictions(spark, sf_dir)
     a = df.where("feature_set = 'base'")
     b = df.where("feature_set = 'comb' AND row_id % 701 <> 0")
-    return st.key_equality(a, b, ["repeat", "row_id"], by=["repeat"])
+    return st.key_equality(a, b, ["repeat", "row_id"], by=["anchor", "repeat"])

@@ -433,16 +433,16 @@ def a29(spark, sf_dir):
     return pf.duplicate_rows(fx.axes(spark, sf_dir), ["trial", "line"])
 
 
-LONG_SQL = """lng AS (SELECT anchor, task AS feature, task IN ('view', 'click') AS motion,
-    row_id, grp, CASE WHEN row_id % 97 = 0 THEN NULL ELSE y_pred END AS value
-    FROM predictions WHERE feature_set = 'comb' AND repeat = 1)"""
+LONG_SQL = """lng AS (SELECT anchor, task || '__' || feature_set || '__' || repeat AS feature,
+    task IN ('view', 'click') AS motion, row_id, grp, CASE WHEN row_id % 97 = 0 THEN NULL ELSE y_pred END AS value
+    FROM predictions)"""
 
 
 def anchored(spark, sf_dir):
-    df = fx.predictions(spark, sf_dir).where("feature_set = 'comb' AND repeat = 1")
-    return df.select(
+    """Every stored prediction as a feature of its row: task, feature set and repeat name it."""
+    return fx.predictions(spark, sf_dir).select(
         "anchor",
-        F.col("task").alias("feature"),
+        F.concat_ws("__", "task", "feature_set", F.col("repeat").cast("string")).alias("feature"),
         F.col("task").isin("view", "click").alias("motion"),
         "row_id",
         "grp",
@@ -549,7 +549,7 @@ def a39(spark, sf_dir):
 @query(
     "a40_held_out_scale",
     f"""WITH {LONG_SQL}, p AS (SELECT lng.*, repeat, ((grp * 7 + repeat * 3) % 5 + 1)::INT AS fold
-      FROM lng, (SELECT unnest([1, 2]) AS repeat)),
+      FROM lng, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat)),
     tr AS (SELECT repeat, f AS test_fold, anchor, feature, value FROM p,
       (SELECT unnest([1, 2, 3, 4, 5]) AS f) WHERE fold <> f),
     md AS (SELECT repeat, test_fold, anchor, feature, coalesce(quantile_cont(value, 0.5), 0) AS med
@@ -570,7 +570,7 @@ def a39(spark, sf_dir):
 def a40(spark, sf_dir):
     """Largest held-out z-score per fold and feature."""
     long = anchored(spark, sf_dir).select("anchor", "feature", "grp", "value")
-    groups = long.select("grp").distinct().withColumn("repeat", fx.explode_of(1, 2))
+    groups = long.select("grp").distinct().withColumn("repeat", fx.explode_of(*range(1, fx.REPEATS + 1)))
     folds = groups.withColumn("fold", ((F.col("grp") * 7 + F.col("repeat") * 3) % 5 + 1).cast("int"))
     return pf.held_out_scale(long, folds, ["anchor", "feature"], "grp", 5)
 
@@ -578,7 +578,7 @@ def a40(spark, sf_dir):
 @query(
     "a40_scale_ranking",
     f"""WITH {LONG_SQL}, p AS (SELECT lng.*, repeat, ((grp * 7 + repeat * 3) % 5 + 1)::INT AS fold
-      FROM lng, (SELECT unnest([1, 2]) AS repeat)),
+      FROM lng, (SELECT unnest([1, 2, 3, 4, 5]) AS repeat)),
     tr AS (SELECT repeat, f AS test_fold, anchor, feature, value FROM p,
       (SELECT unnest([1, 2, 3, 4, 5]) AS f) WHERE fold <> f),
     md AS (SELECT repeat, test_fold, anchor, feature, coalesce(quantile_cont(value, 0.5), 0) AS med

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +50,16 @@ def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
+def discovered(
+    spark: SparkSession, root: str, from_path: Mapping[str, str], pattern: str = "*"
+) -> DataFrame:
+    """The inventory with what each path says: a column per pattern, its first group, or missing."""
+    files = inventory(spark, root, pattern)
+    return files.withColumns({
+        name: F.nullif(F.regexp_extract("path", regex, 1), F.lit("")) for name, regex in from_path.items()
+    })
+
+
 def rows_per_file(df: DataFrame) -> DataFrame:
     """Data rows per source file of a freshly read table (no column is decoded)."""
     return df.groupBy(F.col("_metadata.file_name").alias("file")).agg(

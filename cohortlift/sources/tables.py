@@ -81,6 +81,18 @@ def audit_facts(*sections: tuple[str, DataFrame, Sequence[str]]) -> DataFrame:
     return out
 
 
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table below ``path``; None where no run has finished writing a part of it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = system.listFiles(folder, True) if system.exists(folder) else None
+    while files is not None and files.hasNext():
+        name = files.next().getPath().toString()
+        if name.endswith(".parquet") and "/_temporary/" not in name:
+            return spark.read.parquet(path)
+    return None
+
+
 def remaining(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Task keys not stored yet."""
     return grid.join(done.select(*keys).distinct(), list(keys), "left_anti")
@@ -91,11 +103,6 @@ def resume_append(grid: DataFrame, path: str, keys: Sequence[str], work) -> None
 
     A rerun after a crash skips what is stored: parquet appends are committed whole.
     """
-    spark = grid.sparkSession
-    try:
-        todo = remaining(grid, spark.read.parquet(path), keys)
-    except Exception as err:  # nothing stored yet
-        if "PATH_NOT_FOUND" not in str(err):
-            raise
-        todo = grid
+    done = stored(grid.sparkSession, path)
+    todo = grid if done is None else remaining(grid, done, keys)
     work(todo).write.mode("append").parquet(path)
