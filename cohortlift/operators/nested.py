@@ -20,6 +20,7 @@ from cohortlift.operators import metrics as mt
 from cohortlift.operators.training import others
 from cohortlift.sources.tables import remaining, staged, stored
 
+ROWS_A_TASK = 100_000
 #: fit (rows with ``features``) -> model, and predict (model, rows, name of the new column)
 Model = tuple[Callable[[DataFrame], object], Callable[[object, DataFrame, str], DataFrame]]
 
@@ -98,6 +99,11 @@ def _finish(spark, grid: DataFrame, path: str, keys: Sequence[str], run: Callabl
     return spark.read.parquet(path)
 
 
+def _tasks(rows: DataFrame) -> int:
+    """Tasks of a fit: an iterative fit pays for each in every step, so small tables have one."""
+    return max(1, -(-rows.count() // ROWS_A_TASK))
+
+
 def out_of_fold(
     rows: DataFrame,
     folds: DataFrame,
@@ -119,6 +125,7 @@ def out_of_fold(
     """
     spark = rows.sparkSession
     placed = staged(rows.join(folds.select(group, "fold"), group), "placed-rows")
+    tasks = _tasks(placed)
     members = folds.select("fold").distinct().withColumn("sets", others("fold", n_folds))
     fitted = staged(lr.fit_training_sets(placed, members, "fold", numeric, categorical), "preprocessing")
 
@@ -127,7 +134,7 @@ def out_of_fold(
             one = fitted.where(F.col("set") == fold)
             return lr.apply_preprocessing(d.withColumn("set", F.lit(fold)), one, ["set"], numeric, categorical)
 
-        train = made(placed.where(F.col("fold") != fold)).select("features", y).persist()
+        train = made(placed.where(F.col("fold") != fold)).select("features", y).coalesce(tasks).persist()
         found = {text: fit(train) for text, (fit, _) in models.items()}
         held = made(placed.where(F.col("fold") == fold)).select(row_id, group, y, "features")
         _predicted(models, found, held, [row_id, group, y]).write.mode("overwrite").parquet(f"{path}/fold={fold}")
@@ -163,6 +170,7 @@ def nested_models(
     held_in = outer.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("repeat", "outer_fold"))).alias("_outer"))
     trains = inner.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(name, "inner_fold"))).alias("_inner"))
     placed = staged(rows.join(held_in, group, "left").join(trains, group, "left"), "placed-rows")
+    tasks = _tasks(placed)
     n_outer, n_inner = inner.agg(F.max("outer_fold"), F.max("inner_fold")).first()
     members = lr.set_numbers(inner, group, n_outer, n_inner)
     fitted = staged(lr.fit_training_sets(placed, members, group, numeric, categorical), "preprocessing")
@@ -179,7 +187,7 @@ def nested_models(
 
         scored = []
         for f in range(1, n_inner + 1):
-            train = made(placed.where(own != f), f).select("features", y).persist()
+            train = made(placed.where(own != f), f).select("features", y).coalesce(tasks).persist()
             found = {text: fit(train) for text, (fit, _) in models.items()}
             held = made(placed.where(own == f), f).select(group, y, "features")
             scored.append(_predicted(models, found, held, [group, y]).withColumn("inner_fold", F.lit(f)))
@@ -188,7 +196,7 @@ def nested_models(
         chosen = lr.select_candidates(
             folds_scored.withColumn("_t", F.lit(0)), ["_t"], "params", "score", lower_is_better
         ).first()
-        train = made(placed.where(own.isNotNull()), 0).select("features", y).persist()
+        train = made(placed.where(own.isNotNull()), 0).select("features", y).coalesce(tasks).persist()
         found = {chosen.params: models[chosen.params][0](train)}
         held = made(placed.where(F.col("_outer")[repeat] == fold), 0).select(row_id, group, y, "features")
         pred = _predicted(models, found, held, [row_id, group, y]).withColumn("inner_score", F.lit(chosen.inner_score))

@@ -3,13 +3,13 @@
 A plain ``Window.partitionBy(key)`` or ``percentile`` puts a whole group into one task. One
 participant or one channel may own a third of all samples, so the operators here cut each
 group into *chunks* (runs of the order column), do the ordered work inside the chunk, reduce
-each chunk to one row, and carry the few chunk rows across. The chunk column must be a
+each chunk to one row, and carry the chunk rows across in two levels. The chunk column must be a
 monotone, deterministic function of the order column, so lost executors recompute the same cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cohortlift.functions.cleaning import is_finite
 
 CHUNK_WIDTH = 65_536
+RUN = 1_024
 
 
 def chunk_of(order: Column | str, width: float = CHUNK_WIDTH) -> Column:
@@ -46,6 +47,54 @@ def join_on_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Data
     return left.join(other, same).drop(*[f"_key_{k}" for k in keys])
 
 
+def across_chunks(
+    parts: DataFrame,
+    keys: Sequence[str],
+    sums: Mapping[str, str] = {},
+    totals: Mapping[str, str] = {},
+    nearest: Mapping[str, str] = {},
+    forward: bool = False,
+) -> DataFrame:
+    """``parts`` (one row per keys and _chunk) with what lies beyond each chunk.
+
+    ``sums``: new column -> column summed over all earlier chunks; ``totals``: over all chunks;
+    ``nearest``: new column -> last value of the earlier chunks that is not missing (first of the
+    later ones if ``forward``). Chunks are scanned inside runs of ``RUN`` chunk numbers, and runs,
+    a row each, across the group: however many chunks a hot group has, no window holds them all.
+    """
+    keys = list(keys)
+    run = [*keys, "_run"]
+    parts = parts.withColumn("_run", F.floor(F.col("_chunk") / RUN))
+
+    def towards(c: str) -> Column:
+        return F.col(c).desc() if forward else F.col(c).asc()
+
+    inner = W.partitionBy(*run).orderBy(towards("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    outer = W.partitionBy(*keys).orderBy(towards("_run")).rowsBetween(W.unboundedPreceding, -1)
+    near = F.min_by if forward else F.max_by
+    runs = parts.groupBy(*run).agg(
+        *[F.sum(c).alias(f"_rs_{o}") for o, c in {**sums, **totals}.items()],
+        *[near(c, F.when(F.col(c).isNotNull(), F.col("_chunk"))).alias(f"_rn_{o}") for o, c in nearest.items()],
+    )
+    runs = runs.select(
+        *run,
+        *[F.coalesce(F.sum(f"_rs_{o}").over(outer), F.lit(0)).alias(f"_us_{o}") for o in sums],
+        *[F.sum(f"_rs_{o}").over(W.partitionBy(*keys)).alias(o) for o in totals],
+        *[F.last(f"_rn_{o}", ignorenulls=True).over(outer).alias(f"_un_{o}") for o in nearest],
+    )
+    local = parts.select(
+        "*",
+        *[F.coalesce(F.sum(c).over(inner), F.lit(0)).alias(f"_ls_{o}") for o, c in sums.items()],
+        *[F.last(c, ignorenulls=True).over(inner).alias(f"_ln_{o}") for o, c in nearest.items()],
+    )
+    return join_on_keys(local, runs, run).select(
+        *[c for c in parts.columns if c != "_run"],
+        *[(F.col(f"_ls_{o}") + F.col(f"_us_{o}")).alias(o) for o in sums],
+        *totals,
+        *[F.coalesce(f"_ln_{o}", f"_un_{o}").alias(o) for o in nearest],
+    )
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -58,14 +107,7 @@ def positions(
     keys = list(keys)
     base = with_chunk(df, chunk)
     per_chunk = base.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
-    before = F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
-    offsets = per_chunk.select(
-        *keys,
-        "_chunk",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_n").over(W.partitionBy(*keys)).alias("_total"),
-    )
+    offsets = across_chunks(per_chunk, keys, {"_before": "_n"}, {"_total": "_n"} if total else {}).drop("_n")
     local = F.row_number().over(W.partitionBy(*keys, "_chunk").orderBy(*order))
     ranked = join_on_keys(base.withColumn("_local", local), offsets, [*keys, "_chunk"])
     ranked = ranked.withColumn(out, (F.col("_local") + F.col("_before")).cast("bigint"))
@@ -81,15 +123,9 @@ def _neighbour(df, keys, order, chunk, columns, prefix, forward, place=None) ->
     rank = F.struct(*order)
     edge = F.min_by(record, rank) if forward else F.max_by(record, rank)
     edges = base.groupBy(*keys, "_chunk").agg(edge.alias("_edge"), F.count(F.lit(1)).alias("_n"))
-    by_chunk = W.partitionBy(*keys).orderBy("_chunk")
     shift = F.lead if forward else F.lag
-    before = F.sum("_n").over(by_chunk.rowsBetween(W.unboundedPreceding, -1))
-    edges = edges.select(
-        *keys,
-        "_chunk",
-        shift("_edge").over(by_chunk).alias("_carried"),
-        F.coalesce(before, F.lit(0)).alias("_before"),
-    )
+    sums = {"_before": "_n"} if place else {}
+    edges = across_chunks(edges, keys, sums, nearest={"_carried": "_edge"}, forward=forward).drop("_edge", "_n")
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     out = base.withColumn("_rec", record).withColumn("_near", shift("_rec").over(inside))
     extra = []
@@ -149,12 +185,7 @@ def running_sums(
     per_chunk = base.groupBy(*keys, "_chunk").agg(
         *[F.sum(src).alias(f"_s_{out}") for out, src in sums.items()]
     )
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    per_chunk = per_chunk.select(
-        *keys,
-        "_chunk",
-        *[F.coalesce(F.sum(f"_s_{o}").over(earlier), F.lit(0)).alias(f"_b_{o}") for o in sums],
-    )
+    per_chunk = across_chunks(per_chunk, keys, {f"_b_{o}": f"_s_{o}" for o in sums}).drop(*[f"_s_{o}" for o in sums])
     inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = base
@@ -177,10 +208,7 @@ def forward_fill(
     tails = base.groupBy(*keys, "_chunk").agg(
         F.max_by(column, F.when(known, F.col(position))).alias("_tail")
     )
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    tails = tails.select(
-        *keys, "_chunk", F.last("_tail", ignorenulls=True).over(earlier).alias("_carried")
-    )
+    tails = across_chunks(tails, keys, nearest={"_carried": "_tail"}).drop("_tail")
     inside = W.partitionBy(*keys, "_chunk").orderBy(position)
     inside = inside.rowsBetween(W.unboundedPreceding, W.currentRow)
     local = F.last(column, ignorenulls=True).over(inside)

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.operators.ordered import (
+    across_chunks,
     chunk_of,
     exact_quantiles,
     with_chunk,
@@ -53,11 +54,8 @@ def chunk_moments(
             F.sum(x * F.col("_r")).alias("_sxr"),
         )
     )
-    whole = W.partitionBy(*keys)
-    earlier = whole.orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).withColumn(
-        "_mean", F.sum("_sx").over(whole) / F.nullif(F.sum("_n").over(whole), F.lit(0))
-    )
+    parts = across_chunks(parts, keys, {"_off": "_n"}, {"_tx": "_sx", "_tn": "_n"})
+    parts = parts.withColumn("_mean", F.col("_tx") / F.nullif(F.col("_tn"), F.lit(0)))
     gap = F.col("_avg") - F.col("_mean")
     total = parts.groupBy(*keys).agg(
         F.sum("_n").cast("double").alias("_n"),

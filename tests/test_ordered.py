@@ -148,3 +148,28 @@ def test_missing_keys_are_groups(spark):
     assert od.forward_fill(df, ["k"], "t", "x", "f", 2).count() == 10
     medians = {r.k: r.m for r in od.exact_median(df, ["k"], "x", "m").collect()}
     assert medians == {None: 2.0, "a": 15.0}
+
+
+def test_thousands_of_sparse_chunks_of_one_key(spark, monkeypatch):
+    """One key whose rows each lie in a chunk of their own, far apart: scanned in runs of chunks."""
+    monkeypatch.setattr(od, "RUN", 50_000)
+    rng = np.random.default_rng(8)
+    pos = np.sort(rng.choice(10_000_000, 4_000, replace=False))
+    pdf = pd.DataFrame({"g": "one", "pos": pos, "v": np.round(rng.normal(0, 9, len(pos)), 2)})
+    df = spark.createDataFrame(pdf)
+    per_run = pdf.groupby(pdf.pos // 4 // 50_000).size()
+    assert len(per_run) < 60 and per_run.max() < 120  # rows of the largest windows, of 4,000
+    got = collect(od.positions(df, ["g"], ["pos"], CHUNK, "rn", "total"), "pos")
+    assert (got.rn == np.arange(1, 4_001)).all() and (got.total == 4_000).all()
+    back = collect(od.with_previous(df, ["g"], ["pos"], CHUNK, ["v"], place="n"), "pos")
+    pd.testing.assert_series_equal(back.prev_v, pdf.v.shift(1), check_names=False)
+    assert (back.n == got.rn).all()
+    ahead = collect(od.with_next(df, ["g"], ["pos"], CHUNK, ["v"]), "pos")
+    pd.testing.assert_series_equal(ahead.next_v, pdf.v.shift(-1), check_names=False)
+    sums = collect(od.running_sums(df, ["g"], ["pos"], F.floor(F.col("pos") / 4), {"s": "v"}), "pos")
+    np.testing.assert_allclose(sums.s, pdf.v.cumsum(), atol=1e-6)
+    marked = df.withColumn("m", F.when(F.col("pos") % 97 == 0, F.col("v")))
+    filled = collect(od.forward_fill(marked, ["g"], "pos", "m", "full", width=4), "pos")
+    pd.testing.assert_series_equal(filled.full, pdf.v.where(pdf.pos % 97 == 0).ffill(), check_names=False)
+    slope = sg.rank_slope(df, ["g"], "v", ["pos"], CHUNK).first().slope
+    assert slope == pytest.approx(np.polyfit(np.linspace(-0.5, 0.5, 4_000), pdf.v, 1)[0])
