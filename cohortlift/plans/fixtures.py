@@ -82,9 +82,11 @@ def intervals(spark, sf_dir) -> DataFrame:
     )
 
 
-def trials(spark, sf_dir) -> DataFrame:
+def trials(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    """Short records; ``rows`` are the intervals where they are at hand."""
     key = F.col("o_orderkey")
-    ends = intervals(spark, sf_dir).groupBy("trial").agg(
+    rows = intervals(spark, sf_dir) if rows is None else rows
+    ends = rows.groupBy("trial").agg(
         F.max("time2").alias("last_time2"), F.max("state").alias("ever")
     )
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")

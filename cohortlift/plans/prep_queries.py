@@ -672,8 +672,8 @@ def f1(spark, sf_dir):
 )
 def f2(spark, sf_dir):
     """Intervals left after quarantined trials are taken out."""
-    bad = pq.quality(spark, sf_dir).where("quarantine")
-    return qr.drop_rows(fx.intervals(spark, sf_dir), bad, "trial")
+    rows, verdicts = pq.quality(spark, sf_dir)
+    return qr.drop_rows(rows, verdicts.where("quarantine"), "trial")
 
 
 MANIFEST_SQL = """manifest AS (SELECT row_id, anchor FROM predictions WHERE repeat = 1 AND feature_set = 'comb'
@@ -787,7 +787,7 @@ def f9(spark, sf_dir):
 )
 def f10(spark, sf_dir):
     """Named checks folded to one verdict per task."""
-    per = pq.quality(spark, sf_dir).groupBy("task").agg(
+    per = pq.quality(spark, sf_dir)[1].groupBy("task").agg(
         (~F.bool_or(F.col("quarantine_reason").contains("index_mismatch"))).alias("no_index_mismatch"),
         (F.count(F.lit(1)) > 100).alias("enough_trials"),
     )

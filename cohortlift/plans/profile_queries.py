@@ -10,6 +10,7 @@ from cohortlift.operators import windows as wn
 from cohortlift.operators.ordered import exact_quantiles, with_previous
 from cohortlift.plans import fixtures as fx
 from cohortlift.plans.registry import query
+from cohortlift.sources.tables import staged
 
 POS = "floor(pos / 65536)"
 TIME = "floor(time1 / 655360)"
@@ -224,13 +225,15 @@ QC_SQL = """g AS (SELECT trial, arg_min(worker, time1) AS worker, arg_min(task,
 
 
 def quality(spark, sf_dir):
-    return pf.trial_quality(fx.intervals(spark, sf_dir), fx.trials(spark, sf_dir), TIME)
+    """The intervals, put together once for every check, and the verdict on each trial."""
+    rows = staged(fx.intervals(spark, sf_dir), "intervals")
+    return rows, pf.trial_quality(rows, fx.trials(spark, sf_dir, rows), TIME)
 
 
 @query("a17_trial_quality", f"WITH {QC_SQL} SELECT * FROM qc", ["trials"])
 def a17(spark, sf_dir):
     """Eight coded checks per trial with the quarantine verdict."""
-    return quality(spark, sf_dir)
+    return quality(spark, sf_dir)[1]
 
 
 SEQ_SQL = """seq AS (SELECT i.trial, i.worker, i.task, count(*) AS n_rows,
