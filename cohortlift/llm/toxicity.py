@@ -1,42 +1,39 @@
 """Toxicity by nearest labelled examples (operator 2).
 
 Terms are words and word beginnings; every document is the counts of all its terms, weighted by
-TF-IDF with document frequencies over the whole corpus. The labelled examples form an inverted
-index over every term that occurs in one of them; a term that no example holds adds nothing to a
-product with an example, only to the length of the document's own vector. The commonest terms of
-the examples are held as rows of a matrix, the others as postings. A block of documents is
-multiplied with all examples in single precision, and every example that its error could hide is
-multiplied again in double precision, so the nearest ones are exact. Their votes, weighted by
-closeness, are put on the scale of a probability by a monotone fit on left-out votes of the
-examples themselves.
+TF-IDF with document frequencies over the whole corpus. The labelled examples form a block-max
+inverted index over every term that occurs in one of them (``blockmax``); a term that no example
+holds adds nothing to a product with an example, only to the length of the document's own vector.
+The votes of the nearest ones, weighted by closeness, are put on the scale of a probability by a
+monotone fit on left-out votes of the examples themselves.
 
 The examples are a bounded sample of the labelled rows (``per_class`` of each label, by hash of
-the id); everything else covers all documents.
+the id); everything else covers all documents. Tasks fold the examples, take their left-out votes
+and score the texts; the driver passes the folded examples on, packed, and fits the votes.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlift.llm.blockmax import BlockMaxIndex
 from cohortlift.llm.scan import ALNUM, Words, slices, span_hashes
 from cohortlift.sources.tables import staged
 
 PER_CLASS = 6_000  # labelled examples of each class at most
 STARTS = (4, 5, 6)  # bytes of the word beginnings
 NEIGHBOURS = 15
-QUERIES = 128  # documents that are multiplied with the matrix together
-FEW = 4  # documents whose postings are added up together
-MANY = 64  # postings of a term from which they are added by themselves
-COMMON = 0.05  # share of the examples from which a term is a row of the matrix
-ROWS = 1_024  # rows of the matrix at most; all other terms are postings
-#: No weight is negative, so a single-precision cosine is off by this part of itself at most.
-OFF = (ROWS + 64) * 2.0**-24
+QUERIES = 128  # texts that ask the index together
+VOTERS = 500  # left-out votes of a task
 
 
 def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,45 +100,43 @@ def count_terms(column: pa.Array, known: Vocabulary) -> tuple[tuple, tuple]:
     return (key // n, key % n, count), distinct_terms(hashes[~hit], text[~hit])
 
 
-def example_terms(examples: DataFrame) -> np.ndarray:
-    """Sorted hashes of the terms that occur in an example; bounded by the sample."""
+def packed(hashes: np.ndarray, rows: list[tuple]) -> bytes:
+    """Examples folded to arrays and compressed: (id, places in ``hashes``, counts, label) rows."""
+    rows = sorted(rows, key=lambda r: str(r[0]))
+    size = np.array([len(r[1]) for r in rows], np.int64)
+    terms = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r[1], np.int32) for r in rows]])
+    counts = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r[2], np.int32) for r in rows]])
+    steps = np.diff(terms, prepend=np.int32(0)).astype(np.int32)
+    body = (hashes.tobytes(), size, steps.tobytes(), counts.tobytes(), [r[3] for r in rows], [r[0] for r in rows])
+    return zlib.compress(pickle.dumps(body), 1)
 
-    def run(batches):
-        for batch in slices(batches, "text"):
-            hashes = np.unique(term_hashes(Words(batch.column("text"), ALNUM))[0])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], names=["term"])
 
-    found = examples.mapInArrow(run, "term bigint").distinct().toArrow()
-    return np.sort(found.column("term").to_numpy().view(np.uint64))
+PACK = "hashes binary, body binary, n0 bigint, n1 bigint, empty0 bigint, empty1 bigint"
 
 
-def example_vectors(examples: DataFrame, terms: np.ndarray) -> list[tuple]:
-    """(id, places in ``terms``, counts, label) of (id, label, text) rows; bounded by the sample."""
-    shared = examples.sparkSession.sparkContext.broadcast(terms)
-    kind = examples.schema["id"].dataType.simpleString()
+def fold_examples(examples: DataFrame) -> DataFrame:
+    """One row: the sorted hashes of all terms of the (id, label, text) rows, the rows packed, and
+    how many of each label there are, in all and without terms. The rows are a bounded sample."""
 
     def run(batches):
-        known = Vocabulary(shared.value)
+        ids, labels, found = [], [], []
         for batch in slices(batches, "text"):
-            (owner, place, count), _ = count_terms(batch.column("text"), known)
-            offsets = pa.array(np.searchsorted(owner, np.arange(batch.num_rows + 1)), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    batch.column("label"),
-                    pa.ListArray.from_arrays(offsets, pa.array(place, pa.int32())),
-                    pa.ListArray.from_arrays(offsets, pa.array(count, pa.int32())),
-                ],
-                names=["id", "label", "terms", "counts"],
-            )
+            hashes, text, _, _ = term_hashes(Words(batch.column("text"), ALNUM))
+            owner, term, count = distinct_terms(hashes, text)
+            first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            found += [(term[a:b], count[a:b].astype(np.int32)) for a, b in zip(first[:-1], first[1:])]
+            ids += batch.column("id").to_pylist()
+            labels += batch.column("label").to_pylist()
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in found]]))
+        rows = [(i, np.searchsorted(every, t), c, y) for i, y, (t, c) in zip(ids, labels, found)]
+        n = [sum(y == k for y in labels) for k in (0, 1)]
+        empty = [sum(y == k and not len(t) for y, (t, _) in zip(labels, found)) for k in (0, 1)]
+        yield pa.RecordBatch.from_pylist(
+            [{"hashes": every.tobytes(), "body": packed(every, rows), "n0": n[0], "n1": n[1], "empty0": empty[0], "empty1": empty[1]}],
+            pa.schema([("hashes", pa.binary()), ("body", pa.binary()), *[(c, pa.int64()) for c in ("n0", "n1", "empty0", "empty1")]]),
+        )
 
-    out = []
-    for batch in examples.mapInArrow(run, f"id {kind}, label int, terms array<int>, counts array<int>").toArrow().to_batches():
-        place, count = (batch.column(k).flatten().to_numpy() for k in ("terms", "counts"))
-        at = np.concatenate([[0], np.cumsum(batch.column("terms").value_lengths().to_numpy())]).astype(np.int64)
-        own = zip(batch.column("id").to_pylist(), batch.column("label").to_pylist(), at[:-1], at[1:])
-        out += [(i, place[a:b], count[a:b], y) for i, y, a, b in own]
-    return out
+    return examples.repartition(1).mapInArrow(run, PACK)
 
 
 def document_frequencies(texts: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -166,136 +161,78 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> DataFrame:
         yield rows(True, there, total[there])
 
     found = texts.select("text").mapInArrow(run, "known boolean, term bigint, n bigint")
-    return found.groupBy("known", "term").agg(F.sum("n").alias("n"))
+    counted = staged(found.groupBy("known", "term").agg(F.sum("n").alias("n")), "toxic-frequencies")
+    shared.destroy()
+    return counted
 
 
-@dataclass
 class Index:
-    """All terms of the examples, and what turns votes into scores."""
-
-    idf: np.ndarray
-    first: np.ndarray  # example i holds terms[first[i]:first[i + 1]], so many times as counts says
-    terms: np.ndarray
-    counts: np.ndarray
-    label: np.ndarray
-    importance: np.ndarray  # labelled rows that each example stands for
-    ids: list
-    empty_score: float
-    votes: np.ndarray  # knots of the monotone fit
-    scores: np.ndarray
-
-    def spread(self) -> None:
-        """Matrix and postings of the examples' terms."""
-        n = len(self.ids)
-        held = np.zeros(len(self.idf), np.int64)
-        for i in range(n):
-            held[self.terms[self.first[i] : self.first[i + 1]]] += 1  # the terms of an example differ
-        common = np.argsort(-held, kind="stable")[:ROWS]
-        common = common[held[common] > COMMON * n]
-        self.row = np.full(len(self.idf), -1, np.int32)  # row of a term in the matrix, -1 if it has postings
-        self.row[common] = np.arange(len(common))
-        held[common] = 0
-        self.start = np.concatenate([[0], np.cumsum(held)]).astype(np.int64)  # where the postings of a term begin
-        self.matrix = np.zeros((len(common), n), np.float32)
-        self.example, self.weight = np.zeros(self.start[-1], np.int32), np.zeros(self.start[-1], np.float32)
-        self.length = np.ones(n)  # of the examples' vectors
-        self.damped = 1 + np.log(np.maximum(1, np.arange(self.counts.max(initial=1) + 1)))  # weight of a count
-        self.scratch = np.zeros(len(self.idf))  # a weight for each term, 0 between calls
-        free = self.start[:-1].copy()
-        for i in range(n):
-            t = self.terms[self.first[i] : self.first[i + 1]]
-            own = self.damped[self.counts[self.first[i] : self.first[i + 1]]] * self.idf[t]
-            if len(t):
-                self.length[i] = np.sqrt((own * own).sum())
-            own /= self.length[i]
-            place = self.row[t]
-            self.matrix[place[place >= 0], i] = own[place >= 0]
-            t = t[place < 0]
-            self.example[free[t]], self.weight[free[t]] = i, own[place < 0]
-            free[t] += 1
+    """The examples as a worker uses them, and what turns votes into scores. Sent packed; what is
+    made from the examples is made when it is first asked for."""
+
+    def __init__(self, body: bytes, idf: np.ndarray, importance: dict[int, float]):
+        self.body, self.idf, self.share = body, idf, importance
+        self.empty_score, self.votes, self.scores = 0.0, np.array([0.0, 1.0]), np.array([0.0, 1.0])
 
     def __getstate__(self) -> dict:
-        """Only the examples' terms are sent, packed; a worker spreads them once."""
-        state = {f.name: getattr(self, f.name) for f in fields(self)}
-        steps = np.diff(self.terms, prepend=np.int32(0))
-        return state | {"terms": zlib.compress(steps.tobytes(), 1), "counts": zlib.compress(self.counts.tobytes(), 1)}
+        return {k: self.__dict__[k] for k in ("body", "idf", "share", "empty_score", "votes", "scores")}
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.terms = np.cumsum(np.frombuffer(zlib.decompress(state["terms"]), np.int32), dtype=np.int32)
-        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.int32)
-        self.spread()
+    @cached_property
+    def unpacked(self) -> tuple:
+        hashes, size, steps, counts, label, ids = pickle.loads(zlib.decompress(self.body))
+        first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        terms = np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32)
+        return np.frombuffer(hashes, np.uint64), first, terms, np.frombuffer(counts, np.int32), np.array(label, float), ids
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        weight = (1 + np.log(counts)) * self.idf[terms]
-        return weight / np.sqrt((weight * weight).sum())
+    @cached_property
+    def known(self) -> Vocabulary:
+        return Vocabulary(self.unpacked[0])
 
-    def cosines(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray):
-        """Of texts that hold terms first[i]:first[i + 1]: the cosines with every example in single
-        precision, the weights, and the squared lengths of the vectors; all by the terms given."""
-        q, n = len(first) - 1, len(self.ids)
-        owner = np.repeat(np.arange(q), np.diff(first))
-        weight = (1 + np.log(counts)) * self.idf[terms]
-        square = np.bincount(owner, weight * weight, minlength=q)
-        weight = weight / np.sqrt(square)[owner]
-        row = self.row[terms]
-        common = row >= 0
-        wide = np.zeros((q, len(self.matrix)), np.float32)
-        wide[owner[common], row[common]] = weight[common]
-        out = wide @ self.matrix
-        for i in range(0, q, FEW):
-            own = slice(first[i], first[min(q, i + FEW)])
-            rare = ~common[own]
-            t, m = terms[own][rare], min(q, i + FEW) - i
-            many = self.start[t + 1] - self.start[t]
-            to, w = owner[own][rare], weight[own][rare].astype(np.float32)
-            alone = many >= MANY
-            for j, x, begin, stop in zip(to[alone].tolist(), w[alone], self.start[t[alone]].tolist(), self.start[t[alone] + 1].tolist()):
-                out[j][self.example[begin:stop]] += x * self.weight[begin:stop]
-            t, many, to, w = t[~alone], many[~alone], to[~alone] - i, w[~alone]
-            place = np.repeat(self.start[t] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            part = np.repeat(w, many) * self.weight[place]
-            sums = np.bincount(np.repeat(to * n, many) + self.example[place], part, minlength=m * n)
-            out[i : i + m] += sums.reshape(m, n)
-        return out, weight, square
-
-    def exact(self, at: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Cosines of a text's unit vector with some examples, in double precision."""
-        own = self.scratch
-        own[terms] = weight * self.idf[terms]
-        out = np.zeros(len(at))
-        for i in range(0, len(at), 256):
-            some = at[i : i + 256]
-            many = self.first[some + 1] - self.first[some]
-            place = np.repeat(self.first[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            part = own[self.terms[place]] * self.damped[self.counts[place]]
-            out[i : i + 256] = np.bincount(np.repeat(np.arange(len(some)), many), part, len(some)) / self.length[some]
-        own[terms] = 0
-        return out
+    @property
+    def ids(self) -> list:
+        return self.unpacked[5]
+
+    @property
+    def label(self) -> np.ndarray:
+        return self.unpacked[4]
 
-    def best(self, first: np.ndarray, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
-        """(places, cosines, squared length) of each text: the k nearest examples with a cosine above
-        0, ties to the smaller place. Terms ascend in each text. From ``skip``, text i passes over example skip + i."""
-        close, weight, square = self.cosines(first, terms, counts)
-        q, n = close.shape
-        if skip >= 0:
-            close[np.arange(q), np.arange(skip, skip + q)] = 0
-        least = np.partition(close, n - k, axis=1)[:, n - k] if n > k else np.zeros(q)
-        for i in range(q):
-            at = np.flatnonzero((close[i] > 0) & (close[i] >= least[i] * (1 - 4 * OFF)))
-            own = slice(first[i], first[i + 1])
-            cosine = self.exact(at, terms[own], weight[own])
-            order = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
-            yield at[order], cosine[order], float(square[i])
+    @cached_property
+    def importance(self) -> np.ndarray:
+        """Labelled rows that each example stands for."""
+        return np.where(self.label == 1, self.share[1], self.share[0])
+
+    @cached_property
+    def blocks(self) -> BlockMaxIndex:
+        _, first, terms, counts, _, _ = self.unpacked
+        return BlockMaxIndex(len(self.idf), first, terms, self.weights(terms, counts))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return (1 + np.log(counts)) * self.idf[terms]
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        weight = self.weights(terms, counts)
+        return weight / np.sqrt((weight * weight).sum())
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS):
         """The k nearest examples and their cosines, ties to the smaller place; exact."""
-        return next(self.best(np.array([0, len(terms)]), terms, counts, k))[:2]
+        return next(self.blocks.best(np.array([0, len(terms)]), terms, self.weights(terms, counts), k))[:2]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine**2 * self.importance[at]
         return float((weight * self.label[at]).sum() / weight.sum())
 
+    def left_out_votes(self, places: np.ndarray):
+        """(vote, label, importance) of examples by their nearest others, where there are any."""
+        _, first, terms, counts, _, _ = self.unpacked
+        for i in range(0, len(places), QUERIES):
+            own = places[i : i + QUERIES]
+            at = np.concatenate([np.arange(first[p], first[p + 1]) for p in own])
+            here = np.concatenate([[0], np.cumsum(first[own + 1] - first[own])])
+            found = self.blocks.best(here, terms[at], self.weights(terms[at], counts[at]), NEIGHBOURS, skip=own)
+            for p, (near, close, _) in zip(own, found):
+                if len(near):
+                    yield self.vote(near, close), self.label[p], self.importance[p]
+
     def score_texts(self, n: int, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray):
         """(score, places, cosines, squared length) of each of n texts, from (text, term, count) in that order."""
         first = np.searchsorted(owner, np.arange(n + 1))
@@ -304,7 +241,8 @@ class Index:
             if not len(self.ids):
                 yield from [(self.empty_score, np.zeros(0, np.int64), np.zeros(0), 0.0)] * (len(own) - 1)
                 continue
-            found = self.best(own - own[0], terms[own[0] : own[-1]], counts[own[0] : own[-1]])
+            some = slice(own[0], own[-1])
+            found = self.blocks.best(own - own[0], terms[some], self.weights(terms[some], counts[some]), NEIGHBOURS)
             for at, close, square in found:
                 score = self.empty_score
                 if len(at):
@@ -329,50 +267,38 @@ def monotone_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.n
 
 
 def build_index(rows: list, idf: np.ndarray, importance: dict[int, float]) -> Index:
-    """The index of (id, terms, counts, label) rows of different ids, at most a bounded sample of them."""
-    rows = sorted(rows, key=lambda r: str(r[0]))
-    n = len(rows)
-    label = np.array([r[3] for r in rows], float)
-    weight_of = np.array([importance[int(y)] for y in label]) if n else np.zeros(0)
-    size = np.array([len(r[1]) for r in rows], np.int64)
-    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    terms, counts = np.zeros(first[-1], np.int32), np.zeros(first[-1], np.int32)
-    for r, i, j in zip(rows, first[:-1], first[1:]):
-        terms[i:j], counts[i:j] = r[1], r[2]
-    knots = np.array([0.0, 1.0])
-    index = Index(idf, first, terms, counts, label, weight_of, [r[0] for r in rows], 0.0, knots, knots)
-    index.spread()
-
-    empty = size == 0
-    total = weight_of[empty].sum()
-    base = (weight_of * label).sum() / weight_of.sum() if n else 0.0
-    index.empty_score = float(((weight_of * label)[empty].sum() + base) / (total + 1))
-    votes, truth, how_much = [], [], []
-    for i in range(0, n, QUERIES):
-        own = first[i : i + QUERIES + 1]
-        found = index.best(own - own[0], terms[own[0] : own[-1]], counts[own[0] : own[-1]], skip=i)
-        for j, (at, close, _) in enumerate(found, i):
-            if len(at):
-                votes.append(index.vote(at, close))
-                truth.append(label[j])
-                how_much.append(weight_of[j])
-    if votes:
-        index.votes, index.scores = monotone_fit(np.array(votes), np.array(truth, float), np.array(how_much))
-    return index
+    """The index of (id, terms, counts, label) rows of different ids; terms ascend in each."""
+    return Index(packed(np.zeros(0, np.uint64), rows), idf, importance)
 
 
 @dataclass
 class Fitted:
-    """A fitted scorer: the terms of the examples, the index, the texts it was fitted over and how
-    many of them hold each term that no example has."""
+    """A fitted scorer: the index as the tasks read it, the texts it was fitted over and how many
+    of them hold each term that no example has."""
 
-    terms: np.ndarray
+    shared: Broadcast
     index: Index
     texts: DataFrame
     size: int
     others: DataFrame
 
 
+def calibrated(index: Index, n: int, spark) -> Broadcast:
+    """The index with a monotone fit of its examples' left-out votes, sent to the tasks."""
+    shared = spark.sparkContext.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            found = list(shared.value.left_out_votes(batch.column("id").to_numpy()))
+            vote, label, weight = (np.array(x, float) for x in zip(*found)) if found else [np.zeros(0)] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.float64()) for x in (vote, label, weight)], names=["v", "y", "w"])
+
+    votes = spark.range(0, n, 1, max(1, n // VOTERS)).mapInArrow(run, "v double, y double, w double").toArrow()
+    if votes.num_rows:  # a bounded sample
+        index.votes, index.scores = monotone_fit(*[votes.column(c).to_numpy() for c in ("v", "y", "w")])
+    return shared
+
+
 def fit(
     docs: DataFrame,
     labels: DataFrame,
@@ -387,6 +313,7 @@ def fit(
     ``held_out`` is a condition on ``labels`` whose rows are not learnt from. Null labels and ids
     are not learnt from; of an id that is repeated, one row is.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     if held_out is not None:
@@ -401,16 +328,35 @@ def fit(
     # at most 2 * per_class rows of two numbers
     chosen = texts.join(F.broadcast(sample), "id").groupBy("id")
     chosen = staged(chosen.agg(F.max("label").alias("label"), F.min("text").alias("text")), "toxic-examples")
-    terms = example_terms(chosen)
+    packs = fold_examples(chosen).collect()
+    pack = packs[0].asDict() if packs else {"hashes": b"", "body": packed(np.zeros(0, np.uint64), []), "n0": 0, "n1": 0, "empty0": 0, "empty1": 0}
+    terms = np.frombuffer(bytes(pack["hashes"]), np.uint64)
     size = texts.count()
-    frequency = staged(document_frequencies(texts, terms), "toxic-frequencies")
+    frequency = document_frequencies(texts, terms)
     own = frequency.where("known").select("term", "n").toArrow()
     idf = np.full(len(terms), np.log(1.0 + size) + 1)
     idf[own.column("term").to_numpy()] = np.log((1.0 + size) / (1.0 + own.column("n").to_numpy())) + 1
-    rows = example_vectors(chosen, terms)
-    importance = {y: totals.get(y, 0) / max(1, sum(r[3] == y for r in rows)) for y in (0, 1)}
-    index = build_index(rows, idf, importance)
-    return Fitted(terms, index, texts, size, frequency.where("not known").select("term", "n"))
+    share = {y: totals.get(y, 0) / max(1, pack[f"n{y}"]) for y in (0, 1)}
+    index = Index(bytes(pack["body"]), idf, share)
+    n, lost = pack["n0"] + pack["n1"], share[0] * pack["empty0"] + share[1] * pack["empty1"]
+    rate = share[1] * pack["n1"] / (share[0] * pack["n0"] + share[1] * pack["n1"]) if n else 0.0
+    index.empty_score = float((share[1] * pack["empty1"] + rate) / (lost + 1))
+    shared = calibrated(index, n, spark)
+    return Fitted(shared, index, texts, size, frequency.where("not known").select("term", "n"))
+
+
+def scorer(fitted: Fitted):
+    """What a task scores with: the index from the broadcast, with the fit of the votes, which came
+    later and is small."""
+    index, shared = fitted.index, fitted.shared
+    late = (index.empty_score, index.votes, index.scores)
+
+    def make() -> Index:
+        own = shared.value
+        own.empty_score, own.votes, own.scores = late
+        return own
+
+    return make
 
 
 def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
@@ -421,19 +367,17 @@ def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0
     the one there is, 0 if there is none. Repeated rows each give a row. Evidence lists the nearest
     examples, their cosines and labels.
     """
-    texts = fitted.texts
-    shared = texts.sparkSession.sparkContext.broadcast((fitted.terms, fitted.index))
+    texts, made = fitted.texts, scorer(fitted)
     kind = texts.schema["id"].dataType.simpleString()
     # what tells rows apart; equal rows have equal vectors
     keyed = texts.select("id", "text", F.xxhash64("id", "text").alias("k"), F.hash("id", "text").alias("l"))
     near_kind = f"array<struct<id:{kind},cosine:double,label:int>>"
 
     def run(batches):
-        terms, index = shared.value
-        known = Vocabulary(terms)
+        index = made()
         for batch in slices(batches, "text"):
             nearest = pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())])
-            own, (owner, other, count) = count_terms(batch.column("text"), known)
+            own, (owner, other, count) = count_terms(batch.column("text"), index.known)
             both = list(index.score_texts(batch.num_rows, *own))
             near = [
                 [{"id": index.ids[i], "cosine": float(c), "label": int(index.label[i])} for i, c in zip(at[:5], close[:5])]
@@ -460,6 +404,7 @@ def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0
         ),
         "toxic-scored",
     )
+    fitted.shared.unpersist()
     # the part of a vector's length that lies in terms which no example holds
     pairs = scored.select("k", "l", F.size("others").alias("own"), F.explode(F.arrays_zip("others", "counts")).alias("t"))
     pairs = pairs.select("k", "l", "own", F.col("t.others").alias("term"), F.col("t.counts").alias("c"))
@@ -486,16 +431,15 @@ def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0
 def not_toxic(docs: DataFrame, fitted: Fitted, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns; texts are read
     again rather than shuffled to meet their scores."""
-    shared = docs.sparkSession.sparkContext.broadcast((fitted.terms, fitted.index))
+    made = scorer(fitted)
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     text = names[docs.columns.index(text_col)]
 
     def run(batches):
-        terms, index = shared.value
-        known = Vocabulary(terms)
+        index = made()
         for batch in slices(batches, text):
-            own, _ = count_terms(batch.column(text), known)
+            own, _ = count_terms(batch.column(text), index.known)
             yield batch.filter(pa.array([r[0] < threshold for r in index.score_texts(batch.num_rows, *own)], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
