@@ -2,10 +2,11 @@
 
 Examples of like wording stand in a block. Of each block the index keeps the largest weight of
 every term that occurs in it: a text's weights times these bound its cosine with any example of the
-block. Blocks are read in falling order of their bounds, and a text stops at the first bound that
-its k-th best cosine so far beats. Inside a block the commonest terms are rows of a matrix, the
-others postings; a block is read in single precision for all texts of a batch that ask for it, and
-whatever its rounding could hide is multiplied again in double precision.
+block. The quarter of the blocks with the highest bounds is read first; of the others a text reads
+those whose bounds its k-th best cosine so far does not beat. Inside a block the commonest terms are
+rows of a matrix, of which only those are multiplied that occur in a batch of like texts; the others
+are postings. Blocks are read in single precision, and whatever its rounding could hide is multiplied
+again in double precision.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 
 BLOCK = 512  # examples of a block on average
+BATCH = 64  # texts that read blocks together
+PIECE = 512  # vectors that are folded, and texts that are bounded, together
 ROWS = 2_048  # rows of a block's matrix at most; all other terms are postings
 COMMON = 8  # examples of a block from which a term may be a row
 WIDTH = 128  # of the vectors by which examples are sorted into blocks
@@ -26,15 +29,20 @@ def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
-def sorted_into_blocks(owner: np.ndarray, terms: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Block of every example: vectors folded to ``WIDTH`` columns, leaders far apart, then means."""
+    n = len(first) - 1
     blocks = max(1, -(-n // BLOCK))
     if blocks == 1:
         return np.zeros(n, np.int64)
-    spread = (terms.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    column = (spread >> np.uint64(40)) % np.uint64(WIDTH)
-    sign = np.where(spread >> np.uint64(63), 1.0, -1.0)
-    x = np.bincount(owner * WIDTH + column.astype(np.int64), weight * sign, minlength=n * WIDTH).reshape(n, WIDTH)
+    x = np.zeros((n, WIDTH))
+    for i in range(0, n, PIECE):
+        ends = first[i : i + PIECE + 1]
+        own = slice(ends[0], ends[-1])
+        spread = (terms[own].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        column = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * WIDTH + (spread >> np.uint64(40)).astype(np.int64) % WIDTH
+        signed = np.where(spread >> np.uint64(63), weight[own], -weight[own])
+        x[i : i + PIECE] = np.bincount(column, signed, minlength=(len(ends) - 1) * WIDTH).reshape(-1, WIDTH)
     x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
     leaders, close = [0], x @ x[0]
     while len(leaders) < blocks:
@@ -55,129 +63,128 @@ class BlockMaxIndex:
 
     def __init__(self, size: int, first: np.ndarray, terms: np.ndarray, weights: np.ndarray):
         self.n, self.first, self.terms = len(first) - 1, first, terms
-        owner = np.repeat(np.arange(self.n), np.diff(first))
-        length = np.sqrt(np.bincount(owner, weights * weights, minlength=self.n))
-        self.unit = weights / np.where(length > 0, length, 1.0)[owner]
-        self.block = sorted_into_blocks(owner, terms, self.unit, self.n)
+        self.unit = np.array(weights, float)
+        for i in range(self.n):
+            own = self.unit[first[i] : first[i + 1]]
+            own /= np.sqrt(own @ own) if len(own) else 1.0
+        self.block = sorted_into_blocks(first, terms, self.unit)
         self.members = [np.flatnonzero(self.block == b) for b in range(int(self.block.max(initial=0)) + 1)]
-        self.place = np.zeros(self.n, np.int64)  # of an example in its block
-        for own in self.members:
-            self.place[own] = np.arange(len(own))
+        # examples stand in columns, block after block
+        self.order = np.concatenate(self.members)
+        self.column = np.zeros(self.n, np.int64)
+        self.column[self.order] = np.arange(self.n)
+        self.edges = np.concatenate([[0], np.cumsum([len(m) for m in self.members])])
         self.scratch = np.zeros(size)  # a weight for each term, 0 between calls
-
-        key = self.block[owner] * size + terms
-        order = np.argsort(key, kind="stable")
-        key, example, unit = key[order], self.place[owner[order]].astype(np.int32), self.unit[order]
-        at = np.flatnonzero(np.diff(key, prepend=-1))
-        held, of = np.diff(np.append(at, len(key))), key[at]
-        edges = np.searchsorted(of, np.arange(len(self.members) + 1) * size)
-        self.parts = [self._part(at[a:b], held[a:b], of[a:b] - i * size, example, unit, len(self.members[i]))
-                      for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
+        self.row = np.full((len(self.members), size), -1, np.int16)  # of a term in a block's matrix
+        self.matrices, rest, highest = [], [], []
+        for b, own in enumerate(self.members):
+            matrix, postings, most = self._block(b, own)
+            self.matrices.append(matrix)
+            rest.append(postings)
+            highest.append(most)
+        # the other postings of all blocks, by term
+        term, self.example, self.weight = (np.concatenate(x) for x in zip(*rest))
+        by_term = np.argsort(term, kind="stable")
+        self.example, self.weight = self.example[by_term], self.weight[by_term]
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
         # the largest weight of every (term, block) that occurs, by term
-        highest = np.maximum.reduceat(unit, at) if len(at) else unit
-        by_term = np.argsort(of % size, kind="stable")
-        self.most, self.where = highest[by_term], (of // size)[by_term]
-        self.start = np.searchsorted((of % size)[by_term], np.arange(size + 1))
-
-    @staticmethod
-    def _part(at, held, terms, example, unit, size):
-        """Of a block: its terms, the row of each in the matrix or -1, its postings, the matrix."""
+        term, self.where, self.most = (np.concatenate(x) for x in zip(*highest))
+        by_term = np.argsort(term, kind="stable")
+        self.where, self.most = self.where[by_term], self.most[by_term]
+        self.limits = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+
+    def _block(self, b: int, own: np.ndarray):
+        """Matrix of a block's commonest terms, postings of the others, largest weights of all."""
+        many = self.first[own + 1] - self.first[own]
+        at = ranges(self.first[own], many)
+        term, unit = self.terms[at], self.unit[at]
+        column = np.repeat(np.arange(len(own)), many)
+        order = np.argsort(term, kind="stable")
+        term, unit, column = term[order], unit[order], column[order]
+        head = np.flatnonzero(np.diff(term, prepend=-1))
+        held, names = np.diff(np.append(head, len(term))), term[head]
         common = np.argsort(-held, kind="stable")[:ROWS]
         common = common[held[common] >= COMMON]
-        row = np.full(len(terms), -1, np.int32)
-        row[common] = np.arange(len(common))
-        matrix = np.zeros((len(common), size), np.float32)
-        place = ranges(at[common], held[common])
-        matrix[np.repeat(np.arange(len(common)), held[common]), example[place]] = unit[place]
-        held = np.where(row >= 0, 0, held)
-        place = ranges(at, held)
-        start = np.concatenate([[0], np.cumsum(held)])
-        return terms, row, start, example[place], unit[place].astype(np.float32), matrix
+        self.row[b, names[common]] = np.arange(len(common))
+        row = self.row[b, term]
+        dense = row >= 0
+        matrix = np.zeros((len(common), len(own)), np.float32)
+        matrix[row[dense], column[dense]] = unit[dense]
+        rest = ~dense
+        postings = term[rest], (column[rest] + self.edges[b]).astype(np.int32), unit[rest].astype(np.float32)
+        most = np.maximum.reduceat(unit, head) if len(head) else unit
+        return matrix, postings, (names, np.full(len(names), b, np.int32), most)
 
     def bounds(self, q: int, owner: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each text and block a number that no cosine of the text with a member exceeds."""
-        many = self.start[terms + 1] - self.start[terms]
-        at, k = ranges(self.start[terms], many), len(self.members)
+        many, k = self.limits[terms + 1] - self.limits[terms], len(self.members)
+        at = ranges(self.limits[terms], many)
         return np.bincount(np.repeat(owner * k, many) + self.where[at], np.repeat(weight, many) * self.most[at],
                            minlength=q * k).reshape(q, k)
 
-    def _read(self, b: int, texts: np.ndarray, first: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Single-precision cosines of some texts with the members of a block."""
-        held, row, start, example, unit, matrix = self.parts[b]
-        many = first[texts + 1] - first[texts]
-        at, to = ranges(first[texts], many), np.repeat(np.arange(len(texts)), many)
-        t, w = terms[at], weight[at]
-        place = np.searchsorted(held, t)
-        there = place < len(held)
-        there[there] = held[place[there]] == t[there]
-        place, to, w = place[there], to[there], w[there]
-        common = row[place] >= 0
-        wide = np.zeros((len(texts), len(matrix)), np.float32)
-        wide[to[common], row[place[common]]] = w[common]
-        out = wide @ matrix
-        place, to, w = place[~common], to[~common], w[~common]
-        many, size = start[place + 1] - start[place], matrix.shape[1]
-        at = ranges(start[place], many)
-        out += np.bincount(np.repeat(to * size, many) + example[at], np.repeat(w, many) * unit[at],
-                           minlength=out.size).reshape(out.shape)
-        return out
-
     def exact(self, at: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Cosines of a text's unit vector with some examples, in double precision."""
         self.scratch[terms] = weight
-        many = self.first[at + 1] - self.first[at]
-        place = ranges(self.first[at], many)
-        out = np.bincount(np.repeat(np.arange(len(at)), many), self.scratch[self.terms[place]] * self.unit[place], len(at))
+        spans = zip(self.first[at].tolist(), self.first[at + 1].tolist())
+        out = np.array([self.scratch[self.terms[a:b]] @ self.unit[a:b] for a, b in spans])
         self.scratch[terms] = 0
         return out
 
+    def _batch(self, bound: np.ndarray, to: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int, skip):
+        """Single-precision cosines of like texts, by column, and the least that one of the k nearest
+        can show; columns of blocks that were not read show less."""
+        m, n = len(bound), self.n
+        many = self.start[terms + 1] - self.start[terms]
+        at = ranges(self.start[terms], many)
+        out = np.bincount(np.repeat(to * n, many) + self.example[at], np.repeat(weight, many) * self.weight[at], minlength=m * n)
+        out = out.reshape(m, n).astype(np.float32)
+        least, turn = np.zeros(m), np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        few = -(-bound.shape[1] // 4)
+        for low, high in ((0, few), (few, bound.shape[1])):  # the likeliest blocks tell how far the others reach
+            wanted = (turn >= low) & (turn < high) & (bound > 0) & (bound >= least[:, None])
+            self.read += int(wanted.sum())
+            for b in np.flatnonzero(wanted.any(0)):
+                row = self.row[b, terms]
+                mine = (row >= 0) & wanted[to, b]
+                if mine.any():
+                    row, text = row[mine], to[mine]
+                    used = np.zeros(len(self.matrices[b]), bool)
+                    used[row] = True
+                    place, there = np.cumsum(used) - 1, np.flatnonzero(wanted[:, b])
+                    line = np.cumsum(wanted[:, b]) - 1
+                    wide = np.zeros((len(there), int(place[-1]) + 1), np.float32)
+                    wide[line[text], place[row]] = weight[mine]
+                    out[there, self.edges[b] : self.edges[b + 1]] += wide @ self.matrices[b][used]
+            if skip is not None:
+                out[np.arange(m), self.column[skip]] = 0
+            if n > k:
+                least = np.partition(out, n - k, axis=1)[:, n - k] * (1 - 4 * OFF)
+        return out, least
+
     def best(self, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None):
-        """(places, cosines, squared length) of each text: the k nearest examples with a cosine above
+        """[(places, cosines, squared length)] of each text: the k nearest examples with a cosine above
         0, ties to the smaller place. Text i passes over example skip[i]."""
         q = len(first) - 1
         owner = np.repeat(np.arange(q), np.diff(first))
         square = np.bincount(owner, weights * weights, minlength=q)
         weight = weights / np.sqrt(square)[owner]
-        bound = self.bounds(q, owner, terms, weight) * (1 + 4 * OFF)
-        order = np.argsort(-bound, axis=1, kind="stable")
-        least, found = np.zeros(q), [[] for _ in range(q)]
-        tops = [np.zeros(0)] * q
-        asking = np.arange(q)
+        bound = np.zeros((q, len(self.members)))
+        for i in range(0, q, PIECE):
+            own = slice(first[i], first[min(q, i + PIECE)])
+            bound[i : i + PIECE] = self.bounds(min(q - i, PIECE), owner[own] - i, terms[own], weight[own])
+        bound *= 1 + 4 * OFF
+        like = np.argsort(np.argmax(bound, axis=1), kind="stable")  # texts of one leading block together
+        found: list = [None] * q
         self.read = 0  # blocks that the last call read
-        for turn in range(len(self.members)):
-            reach = bound[asking, order[asking, turn]]
-            asking = asking[(reach > 0) & (reach >= least[asking])]  # bounds fall: who stops has all
-            if not len(asking):
-                break
-            wanted = order[asking, turn]
-            self.read += len(asking)
-            for b in np.unique(wanted):
-                texts = asking[wanted == b]
-                close = self._read(b, texts, first, terms, weight)
-                if skip is not None:
-                    own = np.flatnonzero(self.block[skip[texts]] == b)
-                    close[own, self.place[skip[texts[own]]]] = 0
-                for i, c in zip(texts.tolist(), close):
-                    if len(c) > k:
-                        floor = max(least[i], np.partition(c, len(c) - k)[len(c) - k] * (1 - 4 * OFF))
-                    else:
-                        floor = least[i]
-                    at = np.flatnonzero((c > 0) & (c >= floor))
-                    if len(at):
-                        found[i].append((self.members[b][at], c[at]))
-                        top = np.concatenate([tops[i], c[at]])
-                        if len(top) > k:
-                            top = np.partition(top, len(top) - k)[len(top) - k :]
-                        tops[i] = top
-                        if len(top) == k:
-                            least[i] = top.min() * (1 - 4 * OFF)
-        for i in range(q):
-            if found[i]:
-                at, c = (np.concatenate(x) for x in zip(*found[i]))
-                at = np.sort(at[c >= least[i]])
-            else:
-                at = np.zeros(0, np.int64)
-            own = slice(first[i], first[i + 1])
-            cosine = self.exact(at, terms[own], weight[own])
-            best = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
-            yield at[best], cosine[best], float(square[i])
+        for i in range(0, q, BATCH):
+            texts = like[i : i + BATCH]
+            many = first[texts + 1] - first[texts]
+            at, to = ranges(first[texts], many), np.repeat(np.arange(len(texts)), many)
+            close, least = self._batch(bound[texts], to, terms[at], weight[at], k, None if skip is None else skip[texts])
+            for j, text in enumerate(texts.tolist()):
+                some = np.sort(self.order[(close[j] > 0) & (close[j] >= least[j])])
+                own = slice(first[text], first[text + 1])
+                cosine = self.exact(some, terms[own], weight[own])
+                best = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
+                found[text] = some[best], cosine[best], float(square[text])
+        return found

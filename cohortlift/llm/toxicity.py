@@ -25,14 +25,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.blockmax import BlockMaxIndex
+from cohortlift.llm.blockmax import BlockMaxIndex, ranges
 from cohortlift.llm.scan import ALNUM, Words, slices, span_hashes
 from cohortlift.sources.tables import staged
 
 PER_CLASS = 6_000  # labelled examples of each class at most
 STARTS = (4, 5, 6)  # bytes of the word beginnings
 NEIGHBOURS = 15
-QUERIES = 128  # texts that ask the index together
 VOTERS = 500  # left-out votes of a task
 
 
@@ -215,47 +214,47 @@ class Index:
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEIGHBOURS):
         """The k nearest examples and their cosines, ties to the smaller place; exact."""
-        return next(self.blocks.best(np.array([0, len(terms)]), terms, self.weights(terms, counts), k))[:2]
+        return self.blocks.best(np.array([0, len(terms)]), terms, self.weights(terms, counts), k)[0][:2]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         weight = cosine**2 * self.importance[at]
         return float((weight * self.label[at]).sum() / weight.sum())
 
-    def left_out_votes(self, places: np.ndarray):
-        """(vote, label, importance) of examples by their nearest others, where there are any."""
+    def left_out_votes(self, turns: np.ndarray):
+        """(vote, label, importance) of examples by their nearest others, where there are any;
+        ``turns`` counts examples block by block, so that like ones come together."""
         _, first, terms, counts, _, _ = self.unpacked
-        for i in range(0, len(places), QUERIES):
-            own = places[i : i + QUERIES]
-            at = np.concatenate([np.arange(first[p], first[p + 1]) for p in own])
-            here = np.concatenate([[0], np.cumsum(first[own + 1] - first[own])])
-            found = self.blocks.best(here, terms[at], self.weights(terms[at], counts[at]), NEIGHBOURS, skip=own)
-            for p, (near, close, _) in zip(own, found):
-                if len(near):
-                    yield self.vote(near, close), self.label[p], self.importance[p]
+        places = self.blocks.order[turns]
+        many = first[places + 1] - first[places]
+        at = ranges(first[places], many)
+        here = np.concatenate([[0], np.cumsum(many)])
+        found = self.blocks.best(here, terms[at], self.weights(terms[at], counts[at]), NEIGHBOURS, skip=places)
+        for p, (near, close, _) in zip(places, found):
+            if len(near):
+                yield self.vote(near, close), self.label[p], self.importance[p]
 
     def score_texts(self, n: int, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray):
         """(score, places, cosines, squared length) of each of n texts, from (text, term, count) in that order."""
         first = np.searchsorted(owner, np.arange(n + 1))
-        for i in range(0, n, QUERIES):
-            own = first[i : i + QUERIES + 1]
-            if not len(self.ids):
-                yield from [(self.empty_score, np.zeros(0, np.int64), np.zeros(0), 0.0)] * (len(own) - 1)
-                continue
-            some = slice(own[0], own[-1])
-            found = self.blocks.best(own - own[0], terms[some], self.weights(terms[some], counts[some]), NEIGHBOURS)
-            for at, close, square in found:
-                score = self.empty_score
-                if len(at):
-                    score = float(np.interp(self.vote(at, close), self.votes, self.scores))
-                yield min(1.0, max(0.0, score)), at, close, square
+        if not len(self.ids):
+            return [(self.empty_score, np.zeros(0, np.int64), np.zeros(0), 0.0)] * n
+        out = []
+        for at, close, square in self.blocks.best(first, terms, self.weights(terms, counts), NEIGHBOURS):
+            score = self.empty_score
+            if len(at):
+                score = float(np.interp(self.vote(at, close), self.votes, self.scores))
+            out.append((min(1.0, max(0.0, score)), at, close, square))
+        return out
 
 
 def monotone_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the rising step function nearest to y (adjacent violators pooled)."""
-    order = np.argsort(x, kind="stable")
+    """Knots of the rising step function nearest to y (adjacent violators pooled); equal votes are
+    one knot, so their order does not matter."""
+    x, at = np.unique(np.round(x, 12), return_inverse=True)
+    heavy, sums = np.bincount(at, weight, len(x)), np.bincount(at, weight * y, len(x))
     pools: list[list[float]] = []
-    for a, b, w in zip(x[order], y[order], weight[order]):
-        pools.append([b * w, w, a * w])
+    for a, s, w in zip(x, sums, heavy):
+        pools.append([s, w, a * w])
         while len(pools) > 1 and (pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]):
             s, w2, c = pools.pop()
             pools[-1][0] += s
@@ -378,7 +377,7 @@ def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0
         for batch in slices(batches, "text"):
             nearest = pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())])
             own, (owner, other, count) = count_terms(batch.column("text"), index.known)
-            both = list(index.score_texts(batch.num_rows, *own))
+            both = index.score_texts(batch.num_rows, *own)
             near = [
                 [{"id": index.ids[i], "cosine": float(c), "label": int(index.label[i])} for i, c in zip(at[:5], close[:5])]
                 for _, at, close, _ in both
