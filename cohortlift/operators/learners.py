@@ -8,8 +8,8 @@ models need the rows: one distributed fit each, on a filter of one staged table.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from functools import partial
+from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
@@ -230,10 +230,10 @@ def design(df: DataFrame, numeric: Sequence[str], categorical: Mapping[str, Sequ
     return df.withColumn("obs", F.array(*obs)).withColumn("miss", F.array(*miss))
 
 
-def group_products(rows: DataFrame, group: str, y: str) -> DataFrame:
-    """Per group: the sum of v v' over its rows, v = (1, obs, miss, y), as one flat array.
+def group_products(rows: DataFrame, group: str, targets: str) -> DataFrame:
+    """Per group: the sum of v v' over its rows, v = (1, obs, miss, targets), as one flat array.
 
-    Folded batch by batch with matrix products, then added up.
+    ``targets`` is an array column. Folded batch by batch with matrix products, then added up.
     """
     kind = rows.schema[group].dataType.simpleString()
 
@@ -241,7 +241,7 @@ def group_products(rows: DataFrame, group: str, y: str) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            v = np.column_stack([np.ones(len(pdf)), np.stack(pdf["obs"]), np.stack(pdf["miss"]), pdf["_y"]])
+            v = np.column_stack([np.ones(len(pdf)), np.stack(pdf["obs"]), np.stack(pdf["miss"]), np.stack(pdf["_y"])])
             # a batch has few groups where groups are large
             codes, names = pd.factorize(pdf["grp"])
             order = np.argsort(codes, kind="stable")
@@ -249,7 +249,7 @@ def group_products(rows: DataFrame, group: str, y: str) -> DataFrame:
             parts = np.split(v[order], ends[:-1])
             yield pd.DataFrame({"grp": names, "products": [(x.T @ x).ravel() for x in parts]})
 
-    made = rows.select(F.col(group).alias("grp"), "obs", "miss", F.col(y).cast("double").alias("_y"))
+    made = rows.select(F.col(group).alias("grp"), "obs", "miss", F.col(targets).alias("_y"))
     parts = made.mapInPandas(fold, f"grp {kind}, products array<double>")
     return parts.groupBy(F.col("grp").alias(group)).agg(sum_vector(F.col("products")).alias("products"))
 
@@ -293,14 +293,14 @@ def set_fills(
     return fitted.select("set", F.array(*fills).alias("fill"), F.array(*vary).alias("vary"))
 
 
-def standardised_moments(products: np.ndarray, fill: np.ndarray, vary: np.ndarray):
-    """Means and scales of the imputed features and of y, and their joint correlations."""
-    p = len(fill)
-    take = np.zeros((p + 2, 2 * p + 2))
-    take[0, 0] = take[p + 1, 2 * p + 1] = 1.0
+def standardised_moments(products: np.ndarray, fill: np.ndarray, vary: np.ndarray, target: int = 0):
+    """Means and scales of the imputed features and of one target, and their joint correlations."""
+    p, width = len(fill), int(round(len(products) ** 0.5))
+    take = np.zeros((p + 2, width))
+    take[0, 0] = take[p + 1, 2 * p + 1 + target] = 1.0
     for j in range(p):
         take[j + 1, 1 + j], take[j + 1, 1 + p + j] = 1.0, fill[j]
-    g = take @ products.reshape(2 * p + 2, 2 * p + 2) @ take.T
+    g = take @ products.reshape(width, width) @ take.T
     mean = g[0, 1:] / g[0, 0]
     cov = g[1:, 1:] / g[0, 0] - np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
@@ -328,15 +328,20 @@ def equal_moments(corr: np.ndarray) -> np.ndarray:
 SAME_ROWS = "set bigint, mean array<double>, scale array<double>, fill array<double>, z array<double>, y double"
 
 
-def rows_with_moments(products: DataFrame, members: DataFrame, fills: DataFrame, group: str) -> DataFrame:
-    """For every training set a few standardised rows with the moments of its own rows."""
+def rows_with_moments(
+    products: DataFrame, members: DataFrame, fills: DataFrame, group: str, target_of: Callable[[int], int] = lambda s: 0
+) -> DataFrame:
+    """For every training set a few standardised rows with the moments of its own rows;
+    ``target_of`` tells which of the targets a set is fitted to."""
     spread = members.select(group, F.explode("sets").alias("set"))
     totals = products.join(spread_side(spread), group).groupBy("set").agg(sum_vector(F.col("products")).alias("products"))
 
     def shrink(batches):
         for pdf in batches:
             for r in pdf.itertuples():
-                mean, scale, corr = standardised_moments(np.asarray(r.products), np.asarray(r.fill), np.asarray(r.vary))
+                mean, scale, corr = standardised_moments(
+                    np.asarray(r.products), np.asarray(r.fill), np.asarray(r.vary), target_of(r.set)
+                )
                 z = equal_moments(corr)
                 n = len(z)
                 yield pd.DataFrame({
@@ -385,12 +390,14 @@ def imputed(fill: Column) -> Column:
     return F.zip_with("obs", F.zip_with("miss", fill, lambda m, f: m * f), lambda a, b: a + b)
 
 
-def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, y: str) -> DataFrame:
+def inner_scores(
+    rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, targets: str, target: Column
+) -> DataFrame:
     """Balanced MAE of every candidate on every inner fold.
 
     Every group carries what it is judged by in an array, and a row yields one array of errors,
     summed per group: no row is copied for a fold or a candidate. ``fits`` has a row per training
-    set and candidate.
+    set and candidate; ``target`` is the place of a fold's outcome in the array ``targets``.
     """
     one = F.struct("params", "intercept", "coef")
     options = fits.where("inner_fold > 0").groupBy("repeat", "outer_fold", "inner_fold").agg(
@@ -399,14 +406,17 @@ def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str,
     # a design-bounded table: one row per training set
     placed = inner.join(F.broadcast(options), ["repeat", "outer_fold", "inner_fold"])
     judged = placed.groupBy(group).agg(
-        F.array_sort(F.collect_list(F.struct("repeat", "outer_fold", "inner_fold", "fill", "options"))).alias("judges")
+        F.array_sort(
+            F.collect_list(F.struct("repeat", "outer_fold", "inner_fold", target.alias("target"), "fill", "options"))
+        ).alias("judges")
     )
 
     def errors(j: Column) -> Column:
         x = imputed(j["fill"])
-        return F.transform(j["options"], lambda o: F.abs(F.col(y) - o["intercept"] - dot(x, o["coef"])))
+        own = F.get(F.col(targets), j["target"])
+        return F.transform(j["options"], lambda o: F.abs(own - o["intercept"] - dot(x, o["coef"])))
 
-    x = rows.select(group, y, "obs", "miss").join(judged, group)
+    x = rows.select(group, targets, "obs", "miss").join(judged, group)
     per_row = x.select(group, F.flatten(F.transform("judges", errors)).alias("_e"))
     per_group = per_row.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), sum_vector(F.col("_e")).alias("_e"))
     names = F.flatten(F.transform("judges", lambda j: F.transform(j["options"], lambda o: F.struct(
@@ -417,6 +427,51 @@ def inner_scores(rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str,
     return long.groupBy("repeat", "outer_fold", "inner_fold", "params").agg(F.avg("_mae").alias("mae_pb"))
 
 
+class TrainingSets:
+    """Rows folded for every training set of a split, ready for any number of linear fits.
+
+    ``inner``: repeat, outer_fold, group, inner_fold (the groups that train for that outer fold).
+    ``y`` is a number, or an array with an outcome for every outer training set, by
+    (repeat - 1) * n_outer + outer_fold - 1.
+    """
+
+    def __init__(self, rows, group, y, numeric, categorical, n_outer, n_inner):
+        self.group, self.n_outer, self.n_inner = group, n_outer, n_inner
+        self.each = rows.schema[y].dataType.typeName() == "array"
+        known = {c: F.when(is_finite(c), F.col(c).cast("double")) for c in [*numeric, *([] if self.each else [y])]}
+        # numbers around their middle, so that products keep a small spread far from zero
+        middle = rows.agg(*[F.avg(v).alias(c) for c, v in known.items()]).first().asDict()
+        middle = {c: v if v is not None else 0.0 for c, v in middle.items()}
+        self.middle = middle.get(y, 0.0)
+        targets = F.col(y) if self.each else F.array(F.col(y).cast("double") - self.middle)
+        rows = rows.withColumns({c: known[c] - F.lit(middle[c]) for c in numeric}).withColumn("_ys", targets)
+        self.rows, self.numeric, self.categorical = rows, numeric, categorical
+        self.x = design(rows, numeric, categorical)
+        self.products = staged(group_products(self.x, group, "_ys"), "products")
+
+    def target(self, repeat: Column, fold: Column) -> Column:
+        return ((repeat - 1) * self.n_outer + fold - 1 if self.each else F.lit(0)).cast("int")
+
+    def same(self, inner: DataFrame) -> DataFrame:
+        """Few rows with the moments of every training set of ``inner``, and the whole ones."""
+        members = staged(set_numbers(inner, self.group, self.n_outer, self.n_inner), "training-sets")
+        fills = set_fills(self.rows, members, self.group, self.numeric, self.categorical)
+        n_outer, parts, each = self.n_outer, self.n_inner + 1, self.each
+
+        def target_of(number: int) -> int:
+            repeat, fold = divmod(int(number) // parts, n_outer + 1)
+            return (repeat - 1) * n_outer + fold - 1 if each else 0
+
+        return staged(rows_with_moments(self.products, members, fills, self.group, target_of), "same-moments")
+
+    def fitted(self, same: DataFrame, wanted: Mapping[int, Sequence], max_iter: int) -> DataFrame:
+        log = same.sparkSession.createDataFrame(fit_sets(same, wanted, max_iter), FITS)
+        return staged(log.select(*set_parts(F.col("set"), self.n_outer, self.n_inner), *log.columns[1:]), "fits")
+
+    def number(self, inner_fold: int = 0) -> Column:
+        return (F.col("repeat") * (self.n_outer + 1) + F.col("outer_fold")) * (self.n_inner + 1) + inner_fold
+
+
 def nested_elastic_net(
     rows: DataFrame,
     outer: DataFrame,
@@ -433,38 +488,103 @@ def nested_elastic_net(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tune on outer-training groups, refit, predict the held-out groups.
 
-    ``outer``: repeat, group, outer_fold. ``inner``: repeat, outer_fold, group, inner_fold (the
-    groups that train for that outer fold). Returns (fit log, selected parameters, predictions).
-    The rows are read for their statistics, for the scores and for the predictions, however many
-    fits there are: Spark ML fits each candidate on a few rows with the training set's moments.
+    ``outer``: repeat, group, outer_fold. ``inner`` and ``y``: see ``TrainingSets``. Returns (fit
+    log, selected parameters, predictions). The rows are read for their statistics, for the scores
+    and for the predictions, however many fits there are: Spark ML fits each candidate on a few rows
+    with the training set's moments.
     """
-    task = ["repeat", "outer_fold"]
-    # numbers around their middle, so that products keep a small spread far from zero
-    known = {c: F.when(is_finite(c), F.col(c).cast("double")) for c in [*numeric, y]}
-    middle = rows.agg(*[F.avg(v).alias(c) for c, v in known.items()]).first()
-    middle = {c: middle[c] if middle[c] is not None else 0.0 for c in known}
-    rows = rows.withColumns({c: known[c] - F.lit(middle[c]) for c in numeric}).withColumn("_yc", F.col(y) - middle[y])
-    x = design(rows, numeric, categorical)
-    members = staged(set_numbers(inner, group, n_outer, n_inner), "training-sets")
-    fills = set_fills(rows, members, group, numeric, categorical)
-    products = staged(group_products(x, group, "_yc"), "products")
-    same = staged(rows_with_moments(products, members, fills, group), "same-moments")
-    points = candidates(grid)
-    spark = rows.sparkSession
-    numbers = [r["set"] for r in same.select("set").distinct().collect()]
+    sets = TrainingSets(rows, group, y, numeric, categorical, n_outer, n_inner)
+    same = sets.same(inner)
+    return _tuned(sets, same, outer, inner, row_id, y, grid, max_iter)
 
-    def logged(found: list[tuple]) -> DataFrame:
-        log = spark.createDataFrame(found, FITS)
-        return staged(log.select(*set_parts(F.col("set"), n_outer, n_inner), *log.columns[1:]), "fits")
 
-    tuned = logged(fit_sets(same, {n: points for n in numbers if n % (n_inner + 1)}, max_iter))
-    chosen = staged(select_candidates(inner_scores(x, inner, tuned, group, "_yc"), task, "params", "mae_pb"), "chosen")
+def _tuned(sets, same, outer, inner, row_id, y, grid, max_iter) -> tuple[DataFrame, DataFrame, DataFrame]:
+    task, group, points = ["repeat", "outer_fold"], sets.group, candidates(grid)
+    numbers = [r["set"] for r in same.select("set").distinct().collect()]
+    tuned = sets.fitted(same, {n: points for n in numbers if n % (sets.n_inner + 1)}, max_iter)
+    target = sets.target(F.col("repeat"), F.col("outer_fold"))
+    scores = inner_scores(sets.x, inner, tuned, group, "_ys", target)
+    chosen = staged(select_candidates(scores, task, "params", "mae_pb"), "chosen")
     by_text = {text: (a, r, text) for a, r, text in points}
-    number = ((F.col("repeat") * (n_outer + 1) + F.col("outer_fold")) * (n_inner + 1)).alias("set")
-    refit = {r["set"]: [by_text[r.params]] for r in chosen.select(number, "params").collect()}
-    final = logged(fit_sets(same, refit, max_iter))
-    test = x.select(row_id, group, y, "obs", "miss").join(outer, group)
+    refit = {r["set"]: [by_text[r.params]] for r in chosen.select(sets.number().alias("set"), "params").collect()}
+    final = sets.fitted(same, refit, max_iter)
+    test = sets.x.select(row_id, group, y, "obs", "miss").join(outer, group)
     scored = test.join(F.broadcast(final.select(*task, "params", "intercept", "coef", "fill")), task)  # a row per outer fold
-    pred = F.col("intercept") + dot(imputed(F.col("fill")), F.col("coef")) + middle[y]
+    pred = F.col("intercept") + dot(imputed(F.col("fill")), F.col("coef")) + sets.middle
     predictions = scored.select(*task, row_id, group, y, "params", pred.alias("y_pred"))
     return tuned.unionByName(final), chosen, predictions
+
+
+# --- residual correctors ---------------------------------------------------------------------------
+def cross_fitted(
+    sets: TrainingSets, cross: DataFrame, chosen: DataFrame, grid: Mapping[str, Sequence], max_iter: int
+) -> DataFrame:
+    """The rows with ``context_preds``: for every outer training set, by the place of its target, the
+    prediction of a model fitted to the other cross folds with the parameters chosen there; missing
+    where the row's group is held out. ``cross`` is a split like ``inner``."""
+    same = sets.same(cross)
+    by_text = {text: (a, r, text) for a, r, text in candidates(grid)}
+    each = chosen.select("params", F.explode(F.array(*[sets.number(f) for f in range(1, sets.n_inner + 1)])).alias("set"))
+    fits = sets.fitted(same, {r["set"]: [by_text[r.params]] for r in each.collect()}, max_iter)
+    place = ((F.col("repeat") - 1) * sets.n_outer + F.col("outer_fold") - 1).cast("int")
+    judge = F.struct(place.alias("place"), F.struct("intercept", "coef", "fill").alias("fit"))
+    judged = cross.join(F.broadcast(fits), ["repeat", "outer_fold", "inner_fold"]).groupBy(sets.group).agg(
+        F.map_from_entries(F.collect_list(judge)).alias("_by")
+    )
+    last = chosen.agg(F.max(place)).first()[0]
+
+    def predicted(i: Column) -> Column:
+        fit = F.col("_by")[i]
+        return F.when(fit.isNotNull(), fit["intercept"] + dot(imputed(fit["fill"]), fit["coef"]) + sets.middle)
+
+    every = F.transform(F.sequence(F.lit(0), F.lit(last)), predicted)
+    return sets.x.join(judged, sets.group).withColumn("context_preds", every)
+
+
+def residual_chain(
+    rows: DataFrame,
+    outer: DataFrame,
+    inner: DataFrame,
+    cross: DataFrame,
+    family_inner: Mapping[str, DataFrame],
+    row_id: str,
+    group: str,
+    y: str,
+    numeric: Sequence[str],
+    categorical: Mapping[str, Sequence[str]],
+    families: Mapping[str, Sequence[str]],
+    n_outer: int = 5,
+    n_inner: int = 4,
+    grid: Mapping[str, Sequence] = ELASTIC_GRID,
+    max_iter: int = ELASTIC_ITERATIONS,
+) -> tuple[DataFrame, DataFrame]:
+    """What each family of sensors explains beyond the context, out of fold.
+
+    A context model is tuned per outer training set; its predictions inside that set are
+    cross-fitted with the parameters chosen, and each family's corrector is tuned and fitted to what
+    they leave (``family_inner``: its inner folds). A held-out row gets the context prediction plus
+    the residual its sensors predict. Row ids must be unique. Returns (repeat, outer_fold, row_id, group, variant, params,
+    y_true, y_pred) and the training rows' (row_id, repeat, outer_fold, context_pred, residual).
+    """
+    task = ["repeat", "outer_fold"]
+    sets = TrainingSets(rows, group, y, numeric, categorical, n_outer, n_inner)
+    _, chosen, context = _tuned(sets, sets.same(inner), outer, inner, row_id, y, grid, max_iter)
+    context = staged(context.withColumnRenamed(y, "y_true"), "context-predictions")
+    inside = staged(cross_fitted(sets, cross, chosen, grid, max_iter).select(row_id, "context_preds"), "cross-fitted")
+    left = F.transform("context_preds", lambda p: F.coalesce(F.col(y) - p, F.lit(0.0)))
+    placed = staged(rows.join(inside, row_id).withColumn("_left", left), "residual-rows")
+    variants = [context.withColumn("variant", F.lit("ContextOnly"))]
+    for family, columns in families.items():
+        _, _, extra = nested_elastic_net(
+            placed, outer, family_inner[family], row_id, group, "_left", columns, {}, n_outer, n_inner, grid, max_iter
+        )
+        extra = extra.select(*task, row_id, "params", F.col("y_pred").alias("_extra"))
+        both = context.drop("params").join(extra, [*task, row_id]).withColumn("y_pred", F.col("y_pred") + F.col("_extra"))
+        variants.append(both.drop("_extra").withColumn("variant", F.lit(f"Residualized_{family}")))
+    training = placed.select(row_id, y, F.posexplode("context_preds").alias("_at", "context_pred")).where("context_pred IS NOT NULL")
+    training = training.select(
+        row_id, (F.floor(F.col("_at") / n_outer) + 1).cast("int").alias("repeat"),
+        (F.col("_at") % n_outer + 1).cast("int").alias("outer_fold"), "context_pred",
+        (F.col(y) - F.col("context_pred")).alias("residual"),
+    )
+    return reduce(DataFrame.unionByName, variants), training

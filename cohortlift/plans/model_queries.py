@@ -240,12 +240,12 @@ def l6(spark, sf_dir):
     return lr.select_candidates(folds, ["outer_fold"], "params", "mae_pb")
 
 
-def splits(spark, u, repeats=5, outer_folds=5, inner_folds=4):
-    """Outer folds of every repeat and the inner folds of every outer training set."""
+def splits(spark, u, repeats=5, outer_folds=5, inner_folds=4, offset=11):
+    """Outer folds of every repeat and the inner folds of every outer training set, by a seed of its own."""
     groups = sp.group_sizes(u, "grp")
     seeded = sp.with_seeds(groups, 42, 10000, repeats)
     outer = tables.staged(sp.shuffled_folds(seeded, ["repeat"], outer_folds), "outer-folds")
-    seed = F.col("seed") + 1000 * F.col("outer_fold") + 11
+    seed = F.col("seed") + 1000 * F.col("outer_fold") + offset
     inner = sp.inner_groups(outer, groups, outer_folds, seed)
     inner = sp.shuffled_folds(inner, ["repeat", "outer_fold"], inner_folds)
     inner = inner.select("repeat", "outer_fold", "grp", F.col("fold").alias("inner_fold"))
@@ -356,3 +356,50 @@ def r3(spark, sf_dir):
     test = u.withColumn("outer_fold", F.col("fold"))
     done = rs.corrected_predictions(test, corrector, ["outer_fold", "task"], "x")
     return done.select("row_id", "grp", "task", "y", "outer_fold", "pred_base", "pred_comb")
+
+
+# Sensor families by the beginnings of column names.
+FAMILIES = {
+    "Level": ("sensor__level__",),
+    "Variation": ("sensor__spread__",),
+    "Sampling": ("sensor__count__",),
+    "AllWearable": ("sensor__",),
+}
+
+
+def sensor_units(spark, sf_dir):
+    """Outcome: mean of a participant's day in a channel. Context: channel and number of samples.
+    Sensors: level, spread and count of the day before."""
+    valid = fx.signals(spark, sf_dir).where("value IS NOT NULL").select(
+        F.col("participant").alias("grp"), F.col("channel").alias("task"), "day", "value"
+    )
+    keys = ["grp", "task", "day"]
+    days = valid.groupBy(*keys).agg(
+        F.avg("value").alias("y"), F.stddev_pop("value").alias("spread__std"),
+        (F.max("value") - F.min("value")).alias("spread__range"), F.count(F.lit(1)).alias("n_samples"),
+    )
+    days = days.join(exact_quantiles(valid, keys, "value", {"level__median": 0.5}), keys)
+    days = tables.staged(days.withColumns({"level__mean": F.col("y"), "count__samples": F.col("n_samples")}), "sensor-days")
+    sensors = ["level__median", "level__mean", "spread__std", "spread__range", "count__samples"]
+    months = "cast(replace(substring(day, 1, 7), '-', '') as bigint)"
+    lagged = with_previous(days, ["grp", "task"], ["day"], months, sensors, prefix="sensor__")
+    rows = lagged.where("sensor__count__samples IS NOT NULL").select(
+        F.concat_ws("__", F.col("grp").cast("string"), "task", "day").alias("row_id"),
+        "grp", "task", "y", "n_samples", *[f"sensor__{c}" for c in sensors],
+    )
+    return tables.staged(rows, "sensor-units")
+
+
+@query("r3_family_correctors")
+def r3_families(spark, sf_dir):
+    """Context model and its correctors by sensor family: tuned, cross-fitted, 5 x 5 x 4 folds, 12 candidates."""
+    u = sensor_units(spark, sf_dir)
+    families = {name: [c for c in u.columns if c.startswith(heads)] for name, heads in FAMILIES.items()}
+    outer, inner = splits(spark, u)
+    cross = splits(spark, u, offset=61)[1]
+    own = {name: splits(spark, u, offset=10 * i + 3)[1] for i, name in enumerate(families)}
+    tasks = ["click", "error", "purchase", "signup", "view"]
+    predictions, _ = lr.residual_chain(
+        u, outer, inner, cross, own, "row_id", "grp", "y", ["n_samples"], {"task": tasks}, families
+    )
+    return predictions

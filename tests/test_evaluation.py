@@ -258,6 +258,56 @@ def test_nested_elastic_net_against_brute_force(spark, panel):
         np.testing.assert_allclose(preds.loc[te.row_id], fit_predict(tr, te, best), atol=1e-5)
 
 
+def test_residual_chain_against_brute_force(spark, panel):
+    df, pdf = panel
+    outer = df.select("grp").distinct().select(
+        F.lit(1).alias("repeat"), "grp", (F.col("grp") % 3 + 1).cast("int").alias("outer_fold")
+    )
+    train = outer.select("repeat", "grp", F.explode(
+        F.filter(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda f: f != F.col("outer_fold"))
+    ).alias("outer_fold"))
+    inner = train.withColumn("inner_fold", (F.floor(F.col("grp") / 3) % 2 + 1).cast("int"))
+    cross = train.withColumn("inner_fold", (F.floor(F.col("grp") / 6) + 1).cast("int"))
+    families, grid = {"A": ["a"], "Both": ["a", "b"]}, {"alpha": [0.05, 1.0], "l1_ratio": [0.5]}
+    preds, training = lr.residual_chain(
+        df, outer, inner, cross, dict.fromkeys(families, inner), "row_id", "grp", "y", ["b"], {}, families,
+        n_outer=3, n_inner=2, grid=grid,
+    )
+    preds, training = preds.toPandas(), training.toPandas().set_index(["outer_fold", "row_id"])
+    pdf = pdf.assign(o=pdf.grp % 3 + 1, i=pdf.grp // 3 % 2 + 1, c=pdf.grp // 6 + 1)
+
+    def fit_predict(tr, te, y, cols, alpha):
+        med = tr.a.median()
+        x, t = tr.assign(a=tr.a.fillna(med)), te.assign(a=te.a.fillna(med))
+        coef, b0 = direct_elastic_net(x[cols].to_numpy(), tr[y].to_numpy(), alpha, 0.5)
+        return t[cols].to_numpy() @ coef + b0
+
+    def tuned(tr, y, cols):
+        scores = {}
+        for alpha in grid["alpha"]:
+            folds = [(va, (va[y] - fit_predict(tr[tr.i != i], va, y, cols, alpha)).abs()) for i in (1, 2) for va in [tr[tr.i == i]]]
+            scores[alpha] = np.mean([e.groupby(va.grp).mean().mean() for va, e in folds])
+        return min(scores, key=scores.get)
+
+    assert set(preds.variant) == {"ContextOnly", "Residualized_A", "Residualized_Both"}
+    for f in (1, 2, 3):
+        tr, te = pdf[pdf.o != f].copy(), pdf[pdf.o == f]
+        alpha = tuned(tr, "y", ["b"])
+        base = fit_predict(tr, te, "y", ["b"], alpha)
+        tr["left"] = 0.0
+        for c in (1, 2):
+            own = tr.c == c
+            tr.loc[own, "left"] = tr[own].y - fit_predict(tr[~own], tr[own], "y", ["b"], alpha)
+        got = training.loc[f]
+        assert set(got.index) == set(tr.row_id)
+        np.testing.assert_allclose(got.residual.loc[tr.row_id], tr.left, atol=1e-5)
+        for variant, cols in (("ContextOnly", None), ("Residualized_A", ["a"]), ("Residualized_Both", ["a", "b"])):
+            own = preds[(preds.variant == variant) & (preds.outer_fold == f)].set_index("row_id")
+            want = base if cols is None else base + fit_predict(tr, te, "left", cols, tuned(tr, "left", cols))
+            np.testing.assert_allclose(own.y_pred.loc[te.row_id], want, atol=1e-5)
+            np.testing.assert_allclose(own.y_true.loc[te.row_id], te.y)
+
+
 def test_spark_elastic_net_has_the_stated_objective(spark, panel):
     pdf = panel[1].dropna()
     x = pdf[["a", "b"]].to_numpy()
