@@ -83,7 +83,8 @@ def fit_preprocessing(
     """The same where ``sets`` names the one training set of each row. One output row per set."""
     keyed = train.withColumn("_key", F.struct(*sets))
     members = keyed.select("_key").distinct().withColumn("sets", F.array("_key"))
-    return fit_training_sets(keyed, members, "_key", numeric, categorical).select("set.*", "*").drop("set")
+    fitted = fit_training_sets(keyed, members, "_key", numeric, categorical).withColumnRenamed("set", "_set")
+    return fitted.select("_set.*", "*").drop("_set")
 
 
 def apply_preprocessing(
