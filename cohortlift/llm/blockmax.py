@@ -11,6 +11,8 @@ again in double precision.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 BLOCK = 512  # examples of a block on average
@@ -29,7 +31,7 @@ def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
 
 
-def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, vectors: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Block of every example: vectors folded to ``WIDTH`` columns, leaders far apart, then means."""
     n = len(first) - 1
     blocks = max(1, -(-n // BLOCK))
@@ -41,7 +43,8 @@ def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, weight: np.ndarray)
         own = slice(ends[0], ends[-1])
         spread = (terms[own].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         column = np.repeat(np.arange(len(ends) - 1), np.diff(ends)) * WIDTH + (spread >> np.uint64(40)).astype(np.int64) % WIDTH
-        signed = np.where(spread >> np.uint64(63), weight[own], -weight[own])
+        weight = vectors(np.arange(i, i + len(ends) - 1))
+        signed = np.where(spread >> np.uint64(63), weight, -weight)
         x[i : i + PIECE] = np.bincount(column, signed, minlength=(len(ends) - 1) * WIDTH).reshape(-1, WIDTH)
     x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
     leaders, close = [0], x @ x[0]
@@ -59,15 +62,16 @@ def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, weight: np.ndarray)
 
 
 class BlockMaxIndex:
-    """Vectors first[i]:first[i + 1] of (terms, weights), terms ascending and different in each."""
+    """Vectors first[i]:first[i + 1] of terms, ascending and different in each; ``weigh`` gives the
+    weights of a slice of them, which are not kept."""
 
-    def __init__(self, size: int, first: np.ndarray, terms: np.ndarray, weights: np.ndarray):
-        self.n, self.first, self.terms = len(first) - 1, first, terms
-        self.unit = np.array(weights, float)
+    def __init__(self, size: int, first: np.ndarray, terms: np.ndarray, weigh: Callable[[slice], np.ndarray]):
+        self.n, self.first, self.terms, self.weigh = len(first) - 1, first, terms, weigh
+        self.length = np.ones(self.n)
         for i in range(self.n):
-            own = self.unit[first[i] : first[i + 1]]
-            own /= np.sqrt(own @ own) if len(own) else 1.0
-        self.block = sorted_into_blocks(first, terms, self.unit)
+            own = weigh(slice(first[i], first[i + 1]))
+            self.length[i] = np.sqrt(own @ own) if len(own) else 1.0
+        self.block = sorted_into_blocks(first, terms, self.vectors)
         self.members = [np.flatnonzero(self.block == b) for b in range(int(self.block.max(initial=0)) + 1)]
         # examples stand in columns, block after block
         self.order = np.concatenate(self.members)
@@ -88,16 +92,24 @@ class BlockMaxIndex:
         self.example, self.weight = self.example[by_term], self.weight[by_term]
         self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
         # the largest weight of every (term, block) that occurs, by term
+        del rest
         term, self.where, self.most = (np.concatenate(x) for x in zip(*highest))
+        del highest
         by_term = np.argsort(term, kind="stable")
         self.where, self.most = self.where[by_term], self.most[by_term]
         self.limits = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
 
+    def vector(self, i: int) -> np.ndarray:
+        return self.weigh(slice(self.first[i], self.first[i + 1])) / self.length[i]
+
+    def vectors(self, some: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *[self.vector(i) for i in some]])
+
     def _block(self, b: int, own: np.ndarray):
         """Matrix of a block's commonest terms, postings of the others, largest weights of all."""
         many = self.first[own + 1] - self.first[own]
         at = ranges(self.first[own], many)
-        term, unit = self.terms[at], self.unit[at]
+        term, unit = self.terms[at], self.vectors(own)
         column = np.repeat(np.arange(len(own)), many)
         order = np.argsort(term, kind="stable")
         term, unit, column = term[order], unit[order], column[order]
@@ -125,8 +137,7 @@ class BlockMaxIndex:
     def exact(self, at: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Cosines of a text's unit vector with some examples, in double precision."""
         self.scratch[terms] = weight
-        spans = zip(self.first[at].tolist(), self.first[at + 1].tolist())
-        out = np.array([self.scratch[self.terms[a:b]] @ self.unit[a:b] for a, b in spans])
+        out = np.array([self.scratch[self.terms[self.first[i] : self.first[i + 1]]] @ self.vector(i) for i in at.tolist()])
         self.scratch[terms] = 0
         return out
 

@@ -203,7 +203,8 @@ class Index:
     @cached_property
     def blocks(self) -> BlockMaxIndex:
         _, first, terms, counts, _, _ = self.unpacked
-        return BlockMaxIndex(len(self.idf), first, terms, self.weights(terms, counts))
+        damped = 1 + np.log(np.maximum(1, np.arange(counts.max(initial=1) + 1)))  # weight of a count
+        return BlockMaxIndex(len(self.idf), first, terms, lambda own: damped[counts[own]] * self.idf[terms[own]])
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return (1 + np.log(counts)) * self.idf[terms]

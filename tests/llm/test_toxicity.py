@@ -101,12 +101,11 @@ def languages(n, seed=3, words=400):
 
 def test_blocks_are_skipped_and_nothing_is_lost():
     size, first, terms, weights = languages(3_000)
-    index = blockmax.BlockMaxIndex(size, first, terms, weights)
+    index = blockmax.BlockMaxIndex(size, first, terms, weights.__getitem__)
     assert len(index.members) == 6 and sorted(np.concatenate(index.members)) == list(range(3_000))
     full = np.zeros((3_000, size))
     for i in range(3_000):
-        own = slice(first[i], first[i + 1])
-        full[i, terms[own]] = index.unit[own]
+        full[i, terms[first[i] : first[i + 1]]] = index.vector(i)
     asked = np.arange(0, 3_000, 37)
     _, q_first, q_terms, q_weights = languages(len(asked), seed=9)
     for skip in (None, asked):
@@ -126,11 +125,10 @@ def test_blocks_are_skipped_and_nothing_is_lost():
 
 def test_bounds_are_bounds():
     size, first, terms, weights = languages(1_500, seed=5)
-    index = blockmax.BlockMaxIndex(size, first, terms, weights)
+    index = blockmax.BlockMaxIndex(size, first, terms, weights.__getitem__)
     owner = np.repeat(np.arange(20), np.diff(first[:21]))
-    some = slice(0, first[20])
-    bound = index.bounds(20, owner, terms[some], index.unit[some])
+    bound = index.bounds(20, owner, terms[: first[20]], index.vectors(np.arange(20)))
     for b, own in enumerate(index.members):
         for i in range(20):
             mine = slice(first[i], first[i + 1])
-            assert (index.exact(own, terms[mine], index.unit[mine]) <= bound[i, b] + 1e-12).all()
+            assert (index.exact(own, terms[mine], index.vector(i)) <= bound[i, b] + 1e-12).all()
