@@ -105,9 +105,9 @@ def packed(hashes: np.ndarray, rows: list[tuple]) -> bytes:
     size = np.array([len(r[1]) for r in rows], np.int64)
     terms = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r[1], np.int32) for r in rows]])
     counts = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r[2], np.int32) for r in rows]])
-    steps = np.diff(terms, prepend=np.int32(0)).astype(np.int32)
-    body = (hashes.tobytes(), size, steps.tobytes(), counts.tobytes(), [r[3] for r in rows], [r[0] for r in rows])
-    return zlib.compress(pickle.dumps(body), 1)
+    terms[1:] -= terms[:-1].copy()  # steps, which pack well
+    arrays = [zlib.compress(x, 1) for x in (hashes, terms, counts)]
+    return pickle.dumps((*arrays, size, [r[3] for r in rows], [r[0] for r in rows]))
 
 
 PACK = "hashes binary, body binary, n0 bigint, n1 bigint, empty0 bigint, empty1 bigint"
@@ -118,16 +118,19 @@ def fold_examples(examples: DataFrame) -> DataFrame:
     how many of each label there are, in all and without terms. The rows are a bounded sample."""
 
     def run(batches):
-        ids, labels, found = [], [], []
+        ids, labels, found, every = [], [], [], np.zeros(0, np.uint64)
         for batch in slices(batches, "text"):
             hashes, text, _, _ = term_hashes(Words(batch.column("text"), ALNUM))
             owner, term, count = distinct_terms(hashes, text)
+            every = np.union1d(every, term)
+            count = count.astype(np.int32)
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
-            found += [(term[a:b], count[a:b].astype(np.int32)) for a, b in zip(first[:-1], first[1:])]
+            found += [(term[a:b], count[a:b]) for a, b in zip(first[:-1], first[1:])]
             ids += batch.column("id").to_pylist()
             labels += batch.column("label").to_pylist()
-        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *[t for t, _ in found]]))
-        rows = [(i, np.searchsorted(every, t), c, y) for i, y, (t, c) in zip(ids, labels, found)]
+        for i, (term, count) in enumerate(found):  # places are half as wide as hashes
+            found[i] = np.searchsorted(every, term).astype(np.int32), count
+        rows = [(i, t, c, y) for i, y, (t, c) in zip(ids, labels, found)]
         n = [sum(y == k for y in labels) for k in (0, 1)]
         empty = [sum(y == k and not len(t) for y, (t, _) in zip(labels, found)) for k in (0, 1)]
         yield pa.RecordBatch.from_pylist(
@@ -178,10 +181,11 @@ class Index:
 
     @cached_property
     def unpacked(self) -> tuple:
-        hashes, size, steps, counts, label, ids = pickle.loads(zlib.decompress(self.body))
+        hashes, steps, counts, size, label, ids = pickle.loads(self.body)
         first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-        terms = np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32)
-        return np.frombuffer(hashes, np.uint64), first, terms, np.frombuffer(counts, np.int32), np.array(label, float), ids
+        terms = np.cumsum(np.frombuffer(zlib.decompress(steps), np.int32), dtype=np.int32)
+        hashes, counts = np.frombuffer(zlib.decompress(hashes), np.uint64), np.frombuffer(zlib.decompress(counts), np.int32)
+        return hashes, first, terms, counts, np.array(label, float), ids
 
     @cached_property
     def known(self) -> Vocabulary:
