@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from cohortlift.plans import catalog
 from cohortlift.plans.catalog import ORACLES, QUERIES
 from tools.compare import compare, connect
 
@@ -18,7 +19,7 @@ def con():
 
 
 #: minutes of fits without a twin; their operators are tested on small tables in test_evaluation.py
-LONG = set() if os.environ.get("TEST_LONG") else {"l4_boosted_trees", "l7_nested_logistic", "r3_family_correctors"}
+LONG = set() if os.environ.get("TEST_LONG") else set(catalog.LONG)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - LONG))
