@@ -67,6 +67,16 @@ def rows_per_file(df: DataFrame) -> DataFrame:
     )
 
 
+def rows_per_table(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Data rows of every named table, be it one file, a folder of part files or empty."""
+    out = None
+    for name, df in tables.items():
+        total = rows_per_file(df).agg(F.coalesce(F.sum("n_rows"), F.lit(0).cast("bigint")).alias("n_rows"))
+        one = total.select(F.lit(name).alias("file"), "n_rows")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 def wanted_columns(tables: Sequence[DataFrame], wanted: Sequence[str]) -> DataFrame:
     """Union of tables with differing headers, cut to the wanted columns each one has."""
     cut = [t.select(*[c for c in wanted if c in t.columns]) for t in tables]

@@ -125,3 +125,11 @@ def test_two_predictions_of_a_side_fail(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 9.0), (1, "b", 2.0)], "k int, side string, v double")
     with pytest.raises(Exception, match="key repeated"):
         jn.paired_sides(df, ["k"], "side", "a", "b", "v", []).collect()
+
+
+def test_a_supplied_table_in_several_files_or_without_rows_is_one_count(spark, tmp_path):
+    spark.range(7).repartition(3).write.parquet(str(tmp_path / "parts.parquet"))
+    spark.range(0).write.parquet(str(tmp_path / "empty.parquet"))
+    named = {f"{t}.parquet": spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("parts", "empty")}
+    got = {r.file: r.n_rows for r in readers.rows_per_table(named).collect()}
+    assert got == {"parts.parquet": 7, "empty.parquet": 0}
