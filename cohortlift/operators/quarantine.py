@@ -28,12 +28,17 @@ def drop_rows(df: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
 def before_and_after(
     before: DataFrame, after: DataFrame, manifest: DataFrame, key: str
 ) -> DataFrame:
-    """One row: listed ids, how many were present before, how many are left after."""
+    """One row: listed ids, how many were present before, how many are left after.
+
+    The rows stream past the listed ids; the planner must not broadcast them on an estimate
+    that does not see an explosion.
+    """
     listed = manifest.select(key).distinct()
-    present = listed.join(before.select(key), key, "left_semi").select(
-        F.lit("present_before").alias("check")
-    )
-    left = listed.join(after.select(key), key, "left_semi").select(F.lit("left_after").alias("check"))
+
+    def found(rows: DataFrame, check: str) -> DataFrame:
+        return rows.select(key).join(listed, key, "left_semi").distinct().select(F.lit(check).alias("check"))
+
+    present, left = found(before, "present_before"), found(after, "left_after")
     total = listed.select(F.lit("listed").alias("check"))
     counts = total.unionAll(present).unionAll(left).groupBy().agg(
         F.count_if(F.col("check") == "listed").alias("n_listed"),

@@ -133,3 +133,21 @@ def test_a_supplied_table_in_several_files_or_without_rows_is_one_count(spark, t
     named = {f"{t}.parquet": spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("parts", "empty")}
     got = {r.file: r.n_rows for r in readers.rows_per_table(named).collect()}
     assert got == {"parts.parquet": 7, "empty.parquet": 0}
+
+
+def test_exploded_rows_are_not_broadcast_to_the_listed_ids(spark):
+    from cohortlift.operators import quarantine as qr
+
+    spark.range(1000).write.mode("overwrite").parquet(path := tables.scratch_path(spark, "ids"))
+    rows = spark.read.parquet(path).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    listed = spark.read.parquet(path).where("id % 100 = 0")
+    check = qr.before_and_after(rows, qr.drop_rows(rows, listed, "id"), listed, "id")
+    assert tuple(check.first()) == (10, 10, 0, True)
+    depth = None
+    for line in check._jdf.queryExecution().sparkPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if "LeftSemi" in line:
+            depth = at
+        elif depth is not None and at <= depth:
+            depth = None
+        assert depth is None or "Generate" not in line
