@@ -94,8 +94,9 @@ def stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def remaining(grid: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Task keys not stored yet."""
-    return grid.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    """Task keys not stored yet. Both sides grow with the grid, and stored keys are far smaller as
+    files than in memory: neither is broadcast."""
+    return grid.join(done.select(*keys).distinct().hint("merge"), list(keys), "left_anti")
 
 
 def resume_append(grid: DataFrame, path: str, keys: Sequence[str], work) -> None:

@@ -151,3 +151,10 @@ def test_exploded_rows_are_not_broadcast_to_the_listed_ids(spark):
         elif depth is not None and at <= depth:
             depth = None
         assert depth is None or "Generate" not in line
+
+
+def test_neither_side_of_a_resumed_grid_is_broadcast(spark):
+    grid = spark.range(100).withColumnRenamed("id", "task")
+    todo = tables.remaining(grid, grid.where("task < 90"), ["task"])
+    assert "Broadcast" not in todo._jdf.queryExecution().sparkPlan().toString()
+    assert sorted(r.task for r in todo.collect()) == list(range(90, 100))
