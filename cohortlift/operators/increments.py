@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from cohortlift.operators.metrics import (
     score_counts,
     total_squares,
 )
-from cohortlift.operators.ordered import positions, value_bucket
+from cohortlift.operators.ordered import positions, running_sums, value_bucket
 from cohortlift.sources.tables import staged
 
 PREDS = {"_base": "pred_base", "_comb": "pred_comb"}
@@ -92,14 +94,108 @@ def group_statistics(pairs: DataFrame, by: Sequence[str], group: str, y: str) ->
     return staged(_indexed(error_statistics(pairs, by, group, y, PREDS), by, group), "group-stats")
 
 
-def draw_lists(indexed: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
-    """by, _idx, reps: the replicates that drew a group, one entry a draw.
+GROUPS_A_BLOCK = 1024
+DRAWS_A_BATCH = 2_000_000
 
-    Draws are gathered to arrays in the task that makes them, so what is shuffled is one number a
-    draw in rows of whole groups, not a row a draw.
+
+def drawn_blocks(indexed: DataFrame, by: Sequence[str], replicates: int, seed: int) -> DataFrame:
+    """by, _block, codes: the draws (``_draws``) of each run of ``GROUPS_A_BLOCK`` groups, packed as 32-bit
+    numbers (place in the run * replicates + replicate - 1).
+
+    Draws are made and dealt to the runs in one task, so what is shuffled is four bytes a draw in
+    rows of many draws, not a row a draw; a seat's hash is taken once for all comparisons.
+    """
+    by, block, at_once = list(by), GROUPS_A_BLOCK, max(1, DRAWS_A_BATCH // replicates)
+    tasks = int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seats = indexed.select(*by, F.col("_idx").alias("_j"), "_groups").repartition(tasks, "_j").sortWithinPartitions("_j")
+    known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in seats.select(*by).schema)
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                yield from dealt(batch.slice(at, at_once))
+
+    def dealt(rows):
+        js, which = np.unique(rows.column("_j").to_numpy(zero_copy_only=False), return_inverse=True)
+        texts, groups = [b"%d" % j for j in js], rows.column("_groups").to_numpy(zero_copy_only=False)
+        drawn = np.empty((replicates, len(js)), np.uint32)
+        for b in range(replicates):
+            head = b"%d|%d|" % (seed, b + 1)
+            digests = b"".join([md5(head + j).digest() for j in texts])
+            drawn[b] = np.frombuffer(digests, ">u4")[::4]
+        pick = drawn[:, which] % groups
+        code = (pick % block * replicates + np.arange(replicates)[:, None]).astype(np.int32).ravel()
+        own = np.zeros(rows.num_rows, np.int64)
+        for c in by:  # a number for each combination of the keys
+            column = rows.column(c).dictionary_encode(null_encoding="encode")
+            own = own * len(column.dictionary) + column.indices.to_numpy(zero_copy_only=False)
+        runs = int(pick.max()) // block + 1
+        place = (own * runs + pick // block).ravel()
+        order = np.argsort(place, kind="stable")
+        starts = np.flatnonzero(np.diff(place[order], prepend=-1))
+        parts = [x.tobytes() for x in np.split(code[order], starts[1:])]
+        first = order[starts]
+        seat = pa.array(first % rows.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [
+                *[rows.column(c).take(seat) for c in by],
+                pa.array(place[first] % runs, pa.int32()),
+                pa.array(parts, pa.binary()),
+            ],
+            names=[*by, "_block", "codes"],
+        )
+
+    return seats.mapInArrow(packed, f"{known}, _block int, codes binary")
+
+
+def _weights(pieces: pd.Series, block: int, replicates: int) -> np.ndarray:
+    """How often each group of a run was drawn: groups by replicates."""
+    codes = [np.frombuffer(x, np.int32) for x in pieces]
+    codes = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+    return np.bincount(codes, minlength=block * replicates).reshape(block, replicates)
+
+
+def drawn_sums(
+    rows: DataFrame, blocks: DataFrame, by: Sequence[str], within: Sequence[str], replicates: int,
+    sums: Sequence[str], lows: Sequence[str] = (), highs: Sequence[str] = (),
+) -> DataFrame:
+    """by, within, replicate: columns of ``rows`` (a row per by, within, _idx) added up over the draws,
+    or their extremes over the drawn groups.
+
+    A run of groups meets its draws in one task, as a matrix product.
     """
-    return _draws(indexed, by, replicates, seed).groupBy(*by, "_idx").agg(
-        F.collect_list(F.col("replicate").cast("int")).alias("reps")
+    at, block = [*by, *within], GROUPS_A_BLOCK
+    cells = rows.select(
+        *at, F.floor(F.col("_idx") / block).cast("int").alias("_block"),
+        F.pmod("_idx", F.lit(block)).cast("int").alias("_place"),
+        *[F.col(c).cast("double").alias(c) for c in [*sums, *lows, *highs]],
+    )
+    names = [*sums, *lows, *highs]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*at).schema)
+
+    def one_run(mine: pd.DataFrame, pieces: pd.DataFrame) -> pd.DataFrame:
+        if not len(mine):
+            return pd.DataFrame(columns=[*at, "replicate", *names])
+        weights = _weights(pieces["codes"], block, replicates)
+        out = []
+        for _, part in mine.groupby(list(within), dropna=False, sort=False) if within else [((), mine)]:
+            w = weights[part["_place"].to_numpy()]
+            done = {c: [part[c].iloc[0]] * replicates for c in at} | {"replicate": np.arange(1, replicates + 1)}
+            added = w.T.astype(float) @ part[list(sums)].to_numpy()
+            done |= {c: added[:, i] for i, c in enumerate(sums)}
+            for c in lows:
+                done[c] = np.where(w > 0, part[c].to_numpy()[:, None], np.inf).min(0)
+            for c in highs:
+                done[c] = np.where(w > 0, part[c].to_numpy()[:, None], -np.inf).max(0)
+            out.append(pd.DataFrame(done))
+        return pd.concat(out)[[*at, "replicate", *names]]
+
+    keys = [*by, "_block"]
+    partial = cells.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInPandas(
+        one_run, f"{schema}, replicate int, " + ", ".join(f"`{c}` double" for c in names)
+    )
+    return partial.groupBy(*at, "replicate").agg(
+        *[F.sum(c).alias(c) for c in sums], *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]
     )
 
 
@@ -108,13 +204,23 @@ def replicates_from_statistics(
 ) -> DataFrame:
     """Deltas of every participant-cluster bootstrap replicate.
 
-    A group drawn twice counts as two groups. Group statistics meet their draws as one array and
-    are added up per replicate in the task that spreads it; no row is ever copied.
+    A group drawn twice counts as two groups. Outcomes are taken around the mean of all rows.
     """
-    kept = ["n", "my", "vy", "ylo", "yhi", *[f"{k}{s}" for s in PREDS for k in ("ae", "se")]]
-    drawn = draw_lists(stats, by, replicates, seed).join(stats.select(*by, "_idx", *kept), [*by, "_idx"])
-    spread = drawn.select(*by, *kept, F.explode("reps").alias("replicate"))
-    return spread.groupBy(*by, "replicate").agg(*_improvements())
+    by, n = list(by), F.col("n")
+    centre = stats.groupBy(*by).agg((F.sum(n * F.col("my")) / F.sum("n")).alias("_centre"))
+    d = F.col("my") - F.col("_centre")
+    terms = {"_k": F.lit(1.0), "n": n, "_s1": n * d, "_s2": n * (d * d + F.col("vy"))}
+    for s in PREDS:
+        terms |= {f"_ae{s}": F.col(f"ae{s}") / n, f"_ms{s}": F.col(f"se{s}") / n, f"se{s}": F.col(f"se{s}")}
+    rows = stats.join(centre, by).select(*by, "_idx", "ylo", "yhi", *[e.alias(c) for c, e in terms.items()])
+    sums = drawn_sums(rows, drawn_blocks(stats, by, replicates, seed), by, [], replicates, list(terms), ["ylo"], ["yhi"])
+    mae = (F.col("_ae_base") - F.col("_ae_comb")) / F.col("_k")
+    rmse = F.sqrt(F.col("_ms_base") / F.col("_k")) - F.sqrt(F.col("_ms_comb") / F.col("_k"))
+    gain = (F.col("se_base") - F.col("se_comb")) / (F.col("_s2") - F.col("_s1") * F.col("_s1") / n)
+    return sums.select(
+        *by, "replicate", mae.alias("delta_mae_pb"), rmse.alias("delta_rmse_pb"),
+        F.when(F.col("yhi") > F.col("ylo"), gain).alias("delta_r2_rep"),
+    )
 
 
 def bootstrap_replicates(
@@ -202,84 +308,130 @@ def probability_bootstrap(
     keys = [*by, "side"]
     losses = staged(probability_statistics(both, keys, group, y, "prob"), "group-losses")
     groups = staged(_indexed(losses.select(*by, group).distinct(), by, group), "group-index")
-    lists = draw_lists(groups, by, replicates, seed).join(groups.drop("_groups"), [*by, "_idx"]).drop("_idx")
-    lists = staged(lists, "draws")
+    blocks = staged(drawn_blocks(groups, by, replicates, seed), "draws")
+    index = groups.select(*by, group, "_idx")
     n = F.col("n")
-    spread = losses.join(lists, [*by, group]).select(
-        *keys, (F.col("brier") / n).alias("_b"), (F.col("logloss") / n).alias("_l"), F.explode("reps").alias("replicate")
+    rows = losses.join(index, [*by, group]).select(
+        *keys, "_idx", F.lit(1.0).alias("_k"), (F.col("brier") / n).alias("_b"), (F.col("logloss") / n).alias("_l")
+    )
+    added = drawn_sums(rows, blocks, by, ["side"], replicates, ["_k", "_b", "_l"])
+    balanced = added.select(
+        *keys, "replicate", (F.col("_b") / F.col("_k")).alias("brier_pb"), (F.col("_l") / F.col("_k")).alias("logloss_pb")
     )
-    balanced = spread.groupBy(*keys, "replicate").agg(F.avg("_b").alias("brier_pb"), F.avg("_l").alias("logloss_pb"))
-    counts = score_counts(both, [*keys, group], y, "prob")
-    ranked = weighted_ranking(counts, lists, keys, by, group, replicates)
+    counts = score_counts(both, [*keys, group], y, "prob").join(index, [*by, group]).drop(group)
+    n_groups = groups.agg(F.max("_groups")).first()[0] or 1
+    ranked = weighted_ranking(counts, blocks, keys, by, n_groups, replicates)
     return _probability_deltas(balanced.join(ranked, [*keys, "replicate"]), [*by, "replicate"])
 
 
 SCORES_A_CHUNK = 256
+CELLS_A_CHUNK = 2_000_000
+CELLS_A_PIECE = 100_000
+WEIGHTS_A_SLICE = 96_000_000
+# How the counts of a chunk are packed.
+COUNTS = {"score": np.float64, "_idx": np.int32, "pos": np.float64, "neg": np.float64}
 
 
 def weighted_ranking(
-    counts: DataFrame, lists: DataFrame, keys: Sequence[str], by: Sequence[str], group: str, replicates: int
+    counts: DataFrame, blocks: DataFrame, keys: Sequence[str], by: Sequence[str], n_groups: int, replicates: int
 ) -> DataFrame:
     """Average precision and ROC-AUC of every replicate: keys, replicate, pr_auc, roc_auc.
 
-    ``counts``: keys, group, score, pos, neg. ``lists``: by, group, reps. Scores are cut into
-    chunks in falling order. A chunk's task turns counts per (score, group) and the groups' draws
-    into weighted counts per score and replicate by one matrix product. First the chunks' totals
-    are taken and carried across, replicate by replicate; then each chunk adds its part.
+    ``counts``: keys, _idx, score, pos, neg. ``blocks``: by, _block, codes (``drawn_blocks``). Scores
+    are cut into chunks of like many counts in falling order, replicates into slices. The chunks'
+    totals come from ``drawn_sums`` and are carried across, replicate by replicate; then the task of
+    a chunk and slice, which holds the slice's weights of all groups as one number each, turns
+    counts per (score, group) into weighted counts per score and replicate and adds its part. What
+    is shuffled is every count once a slice and every weight once a chunk.
     """
-    keys, at = list(keys), [*keys, "_chunk"]
+    keys, at, block = list(keys), [*keys, "_chunk"], GROUPS_A_BLOCK
+    within = [c for c in at if c not in by]
+    width = int(min(replicates, max(1, WEIGHTS_A_SLICE // max(n_groups, block))))
+    slices = -(-replicates // width)
+    step, batch = SCORES_A_CHUNK, 4096
     scores = counts.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("_cells")).withColumn("_f", -F.col("score"))
-    scores = positions(scores, keys, ["_f"], value_bucket(F.col("_f"), 1 << 14), out="_place")
-    scores = scores.select(*keys, "score", F.floor((F.col("_place") - 1) / SCORES_A_CHUNK).alias("_chunk"))
-    cells = staged(counts.join(scores, [*keys, "score"]).withColumnRenamed(group, "grp"), "score-cells")
-    drawn = cells.select(*at, "grp").distinct().join(lists.withColumnRenamed(group, "grp"), [*by, "grp"])
-    drawn = staged(drawn.select(*at, "grp", "reps"), "chunk-draws")
+    scores = running_sums(scores, keys, ["_f"], value_bucket(F.col("_f"), 1 << 14), {"_upto": "_cells"})
+    scores = scores.select(*keys, "score", F.floor((F.col("_upto") - F.col("_cells")) / CELLS_A_CHUNK).alias("_chunk"))
+    cells = staged(counts.join(scores, [*keys, "score"]).select(*at, "_idx", "score", "pos", "neg"), "score-cells")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.select(*at).schema)
 
-    def weighted(rows: pd.DataFrame, weights: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Weighted positives and negatives, scores falling by replicates."""
-        known = {g: i for i, g in enumerate(weights["grp"])}
-        w = np.zeros((len(known) + 1, replicates))
-        for i, reps in enumerate(weights["reps"]):
-            w[i] = np.bincount(np.asarray(reps) - 1, minlength=replicates)
-        order, place = np.unique(-rows["score"].to_numpy(), return_inverse=True)
-        who = rows["grp"].map(known).fillna(len(known)).astype(int).to_numpy()  # a group never drawn weighs 0
-        out = []
-        for c in ("pos", "neg"):
-            m = np.zeros((len(order), len(w)))
-            np.add.at(m, (place, who), rows[c].to_numpy())
-            out.append(m @ w)
-        return out[0], out[1]
-
-    def labelled(rows: pd.DataFrame, **columns) -> pd.DataFrame:
-        first = {c: rows[c].iloc[0] for c in at}
-        return pd.DataFrame({**first, "replicate": np.arange(1, replicates + 1), **columns})[[*at, "replicate", *columns]]
-
-    def totals(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
-        pos, neg = weighted(rows, weights)
-        return labelled(rows, pos=pos.sum(0), neg=neg.sum(0))
-
-    def parts(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
-        carried = weights["carried"].notna()
-        before = np.array([[r["pos"], r["neg"]] for r in weights.loc[carried, "carried"].iloc[0]])
-        pos, neg = weighted(rows, weights[~carried])
-        tp, fp = before[:, 0] + pos.cumsum(0), before[:, 1] + neg.cumsum(0)
-        seen = tp + fp
-        ap = np.divide(pos * tp, seen, out=np.zeros_like(pos), where=seen > 0).sum(0)
-        return labelled(rows, pos=pos.sum(0), neg=neg.sum(0), ap=ap, auc=(neg * (tp - pos / 2)).sum(0))
-
-    own = staged(
-        cells.groupBy(*at).cogroup(drawn.groupBy(*at)).applyInPandas(
-            totals, f"{shape}, replicate int, pos double, neg double"
-        ), "chunk-totals",
-    )
+    per_group = cells.groupBy(*at, "_idx").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    own = staged(drawn_sums(per_group, blocks, by, within, replicates, ["pos", "neg"]), "chunk-totals")
     earlier = W.partitionBy(*keys, "replicate").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = own.select(
-        *at, "replicate", *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(c) for c in ("pos", "neg")]
+        *at, "replicate", F.floor((F.col("replicate") - 1) / width).cast("int").alias("_slice"),
+        *[F.coalesce(F.sum(c).over(earlier), F.lit(0.0)).alias(c) for c in ("pos", "neg")],
     )
     one = F.array_sort(F.collect_list(F.struct("replicate", "pos", "neg"))).alias("carried")  # as many as replicates
-    side = drawn.unionByName(carried.groupBy(*at).agg(one), allowMissingColumns=True)
-    done = cells.groupBy(*at).cogroup(side.groupBy(*at)).applyInPandas(
+    carried = carried.groupBy(*at, "_slice").agg(one)
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("score", ascending=False)
+        first = {c: [rows[c].iloc[0]] for c in at}
+        values = {c: [rows[c].to_numpy().astype(kind).tobytes()] for c, kind in COUNTS.items()}
+        return pd.DataFrame(first | values)
+
+    parts_of = 1 + CELLS_A_CHUNK // CELLS_A_PIECE
+    packed = cells.groupBy(*at, F.pmod(F.hash("_idx", "score"), F.lit(parts_of)).alias("_piece")).applyInPandas(
+        pack, f"{shape}, " + ", ".join(f"{c} binary" for c in COUNTS)
+    )
+    packed = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+
+    def cut(rows: pd.DataFrame) -> pd.DataFrame:
+        w = _weights(rows["codes"], block, replicates)
+        w = w.astype(np.uint8 if w.max() < 256 else np.uint32)
+        first = {c: [rows[c].iloc[0]] * slices for c in [*by, "_block"]}
+        own = [np.ascontiguousarray(w[:, i * width : (i + 1) * width]).tobytes() for i in range(slices)]
+        return pd.DataFrame(first | {"_slice": range(slices), "weights": own})
+
+    known = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.select(*by).schema)
+    weights = blocks.groupBy(*by, "_block").applyInPandas(cut, f"{known}, _block int, _slice int, weights binary")
+    weights = staged(weights, "weights").join(F.broadcast(cells.select(*at).distinct()), list(by))  # a row per chunk
+    side = weights.select(*at, "_slice", "_block", "weights").unionByName(carried, allowMissingColumns=True)
+
+    def parts(pieces: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
+        head = side["carried"].notna()
+        before = side.loc[head, "carried"].iloc[0]
+        replicate = np.array([r["replicate"] for r in before])
+        tp, fp = (np.array([r[c] for r in before]) for c in ("pos", "neg"))
+        mine, wide = side[~head], len(replicate)
+        large = any(len(x) > block * wide for x in mine["weights"])
+        w = np.zeros((block * (1 + int(mine["_block"].max() if len(mine) else 0)), wide), np.uint32 if large else np.uint8)
+        for at_block, raw in zip(mine["_block"].astype(int), mine["weights"]):
+            kind = np.uint32 if len(raw) > block * wide else np.uint8
+            w[at_block * block : (at_block + 1) * block] = np.frombuffer(raw, kind).reshape(block, wide)
+        rows = {c: np.concatenate([np.frombuffer(x, kind) for x in pieces[c]]) for c, kind in COUNTS.items()}
+        order = np.argsort(-rows["score"], kind="stable")
+        rows = {c: v[order] for c, v in rows.items()}
+        place = np.cumsum(np.diff(rows["score"], prepend=rows["score"][0]) != 0)
+        kept = rows["_idx"] < len(w)  # a group never drawn weighs 0
+        columns = []
+        for c in ("pos", "neg"):
+            some = np.flatnonzero(kept & (rows[c] != 0))
+            columns.append((place[some], rows["_idx"][some], rows[c][some]))
+        sums = np.zeros((4, wide))
+        for a in range(0, int(place[-1]) + 1, step):
+            n, counted = min(step, int(place[-1]) + 1 - a), []
+            for score, who, times in columns:
+                m = np.zeros((n, wide))
+                low, high = np.searchsorted(score, [a, a + n])
+                for i in range(low, high, batch):
+                    j = min(i + batch, high)
+                    s = score[i:j] - a
+                    first = np.flatnonzero(np.diff(s, prepend=-1))
+                    m[s[first]] += np.add.reduceat(w[who[i:j]] * times[i:j, None], first, axis=0)
+                counted.append(m)
+            pos, neg = counted
+            up, down = tp + pos.cumsum(0), fp + neg.cumsum(0)
+            seen = up + down
+            ap = np.divide(pos * up, seen, out=np.zeros_like(pos), where=seen > 0).sum(0)
+            sums += np.array([pos.sum(0), neg.sum(0), ap, (neg * (up - pos / 2)).sum(0)])
+            tp, fp = up[-1], down[-1]
+        first = {c: [side[c].iloc[0]] * wide for c in at}
+        return pd.DataFrame(first | {"replicate": replicate} | dict(zip(("pos", "neg", "ap", "auc"), sums)))
+
+    tile = [*at, "_slice"]
+    done = packed.groupBy(*tile).cogroup(side.groupBy(*tile)).applyInPandas(
         parts, f"{shape}, replicate int, pos double, neg double, ap double, auc double"
     )
     sums = done.groupBy(*keys, "replicate").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "ap", "auc")])

@@ -128,3 +128,22 @@ def test_ranking_bootstrap_equals_concatenated_draws(spark, monkeypatch):
         assert got.loc[b, "delta_pr_auc"] == pytest.approx(comb[0] - base[0])
         assert got.loc[b, "delta_roc_auc"] == pytest.approx(comb[1] - base[1])
         assert got.loc[b, "delta_brier_pb"] == pytest.approx(base[2] - comb[2])
+
+
+def test_ranking_bootstrap_is_the_same_in_small_runs_chunks_and_slices(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"g": rng.integers(0, 23, 300).astype(str), "y": rng.integers(0, 2, 300)})
+    pdf["pred_base"], pdf["pred_comb"] = np.round(rng.random(300), 2), rng.random(300)
+    df = spark.createDataFrame(pdf).withColumn("k", F.when(F.col("g") < 5, "a").otherwise("b"))
+
+    def boot():
+        return ic.probability_bootstrap(df, ["k"], "g", "y", 11, 5).toPandas().sort_values(["k", "replicate"])
+
+    whole = boot()
+    small = {"GROUPS_A_BLOCK": 4, "DRAWS_A_BATCH": 30, "SCORES_A_CHUNK": 3, "CELLS_A_CHUNK": 70, "CELLS_A_PIECE": 20}
+    for name, size in (small | {"WEIGHTS_A_SLICE": 80}).items():
+        monkeypatch.setattr(ic, name, size)
+    groups = ic._indexed(df.select("k", "g").distinct(), ["k"], "g")
+    rows = ic.drawn_blocks(groups, ["k"], 11, 5).toPandas()
+    assert sum(len(x) for x in rows["codes"]) == 4 * 11 * groups.count()
+    pd.testing.assert_frame_equal(whole.reset_index(drop=True), boot().reset_index(drop=True))
