@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import clean_numeric
+from cohortlift.sources.tables import staged
 
 # How each suffix is read.
 FORMATS = {
@@ -32,15 +38,58 @@ def typed(df: DataFrame, numeric: Sequence[str]) -> DataFrame:
     return df.select(*[clean_numeric(c).alias(c) if c in numeric else F.col(c) for c in df.columns])
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Hadoop writes it, and the path within it."""
+    return fs.FileSystem.from_uri(re.sub("^file:/*", "/", path))
+
+
+def _listed(folders: DataFrame) -> DataFrame:
+    """(path, length, folder) of what lies in every folder, names that Spark hides left out."""
+
+    def children(batches):
+        for pdf in batches:
+            for path in pdf["path"]:
+                system, inner = file_system(path)
+                head = path[: len(path) - len(inner)] if path.endswith(inner) else ""
+                found = [f for f in system.get_file_info(fs.FileSelector(inner))
+                         if "=" in f.base_name or f.base_name[0] not in "._"]
+                yield pd.DataFrame({
+                    "path": [head + f.path for f in found],
+                    "length": [f.size if f.is_file else 0 for f in found],
+                    "folder": [not f.is_file for f in found],
+                })
+
+    return folders.mapInPandas(children, "path string, length bigint, folder boolean")
+
+
+def files_below(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder, listed in tasks level by level.
+
+    The driver sees no path, and there is no task or file handle per file.
+    """
+    qualified = spark._jvm.org.apache.hadoop.fs.Path(root)
+    qualified = qualified.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(qualified).toString()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, levels = spark.createDataFrame([(qualified,)], "path string"), []
+    while not folders.isEmpty():
+        level = staged(_listed(folders), "listed")
+        levels.append(level.where("NOT folder").drop("folder"))
+        folders = level.where("folder").select("path").repartition(tasks)
+    regex = "|".join(fnmatch.translate(p) for p in _braces(pattern))
+    return reduce(DataFrame.unionByName, levels).where(F.element_at(F.split("path", "/"), -1).rlike(regex))
+
+
+def _braces(pattern: str) -> list[str]:
+    """A glob with {a,b} as the globs without."""
+    met = re.search(r"\{([^{}]*)\}", pattern)
+    if not met:
+        return [pattern]
+    return [q for p in met[1].split(",") for q in _braces(pattern[: met.start()] + p + pattern[met.end() :])]
+
+
 def inventory(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """Path, name, suffix and size of every file below ``root``; contents are never read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path", "length")
-    )
+    files = files_below(spark, root, pattern)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(
         "path",

@@ -6,7 +6,10 @@ import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from itertools import groupby
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_archive(df: DataFrame, root: str, folders: Sequence[str], line: str, suffix: str) -> None:
+    """One text file for every combination of ``folders``, below a folder for each (name=value).
+
+    Spark's writer lists, renames and checks every file on its own in the driver when it commits,
+    which takes longer than all else where there are many small files. Here a task has its
+    combinations in order and streams each into its file; a task that is run again writes the same
+    files again.
+    """
+    names = list(folders)
+
+    def write(rows) -> None:
+        system, top = fs.FileSystem.from_uri(re.sub("^file:/*", "/", root))
+        for key, lines in groupby(rows, lambda r: tuple(r[: len(names)])):
+            parts = [f"{n}={'__HIVE_DEFAULT_PARTITION__' if v is None else quote(str(v), safe=' ')}" for n, v in zip(names, key)]
+            folder = "/".join([top.rstrip("/"), *parts])
+            system.create_dir(folder, recursive=True)
+            with system.open_output_stream(f"{folder}/part-00000.{suffix}") as out:
+                for r in lines:
+                    out.write(f"{r[-1]}\n".encode())
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(*names, line).repartition(tasks, *names).sortWithinPartitions(*names)
+    placed.foreachPartition(write)
+
+
 def write_embeddings(
     df: DataFrame, path: str, row_id: str, vector: str, scalars: Sequence[str]
 ) -> None:

@@ -158,3 +158,19 @@ def test_neither_side_of_a_resumed_grid_is_broadcast(spark):
     todo = tables.remaining(grid, grid.where("task < 90"), ["task"])
     assert "Broadcast" not in todo._jdf.queryExecution().sparkPlan().toString()
     assert sorted(r.task for r in todo.collect()) == list(range(90, 100))
+
+
+def test_an_archive_of_many_files_makes_no_task_per_file(spark, tmp_path):
+    df = spark.range(6000).selectExpr("id % 1500 AS p", "id % 2 AS t", "concat('x', id) AS v")
+    root = str(tmp_path / "archive")
+    tables.write_archive(df, root, ["p", "t"], "v", "txt")
+    (tmp_path / "archive" / "_hidden").mkdir()
+    (tmp_path / "archive" / "_hidden" / "no.txt").write_text("x")
+    (tmp_path / "archive" / "p=0" / "more.csv").write_text("abc")
+    found = readers.discovered(spark, root, {"p": "p=([^/]+)/", "t": "/t=([^/]+)/"}, "*.txt")
+    assert found.rdd.getNumPartitions() <= 16
+    assert (found.count(), found.select("p", "t").distinct().count()) == (1500, 1500)
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root + "/p=*")
+    assert sorted(r.value for r in lines.collect()) == sorted(f"x{i}" for i in range(6000))
+    sizes = {r.path: r.n_bytes for r in readers.inventory(spark, root, "*.{csv,txt}").collect()}
+    assert len(sizes) == 1501 and sizes[f"file:{root}/p=0/more.csv"] == 3
