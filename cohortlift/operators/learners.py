@@ -1,20 +1,17 @@
 """Learners: fold-local preprocessing and Spark ML models, also many at once.
 
 Nested cross-validation asks for thousands of linear fits. The rows are folded to sums of products
-per group; a training set is a sum over its groups, and Spark ML fits every candidate on a few rows
-that have the set's moments, so a fit costs the same at any number of rows. Logistic and tree
-models need the rows: one distributed fit each, on a filter of one staged table.
+per group; a training set is a sum over its groups, and a task fits all its candidates from those
+moments, so a fit costs the same at any number of rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from functools import partial, reduce
-from multiprocessing.pool import ThreadPool
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -353,34 +350,44 @@ def rows_with_moments(
     return totals.join(fills, "set").mapInPandas(shrink, SAME_ROWS)
 
 
-def fit_sets(
-    same: DataFrame, wanted: Mapping[int, Sequence[tuple[float, float, str]]], max_iter: int, side_by_side: int = 8
-) -> list[tuple]:
-    """(set, params, intercept, coef, fill, n_iter, converged) of every candidate wanted of a set.
-
-    One Spark ML fit each, some side by side. Sets x candidates numbers come back, as the grid asks.
-    """
-    spark = same.sparkSession
-    scales = {r["set"]: r for r in same.select("set", "mean", "scale", "fill").dropDuplicates(["set"]).collect()}
-
-    def run(number: int) -> list[tuple]:
-        s = scales[number]
-        df = same.where(F.col("set") == number).select(array_to_vector("z").alias("_vec"), F.col("y").alias("_y"))
-        df = df.coalesce(1).persist()
-        sd_y, scale = s["scale"][-1], np.asarray(s["scale"][:-1])
-        out = []
-        for alpha, l1_ratio, text in wanted[number]:
-            model = _elastic_model(df, sd_y, alpha, l1_ratio, max_iter)
-            coef = model.coefficients.toArray() * sd_y / scale
-            intercept = s["mean"][-1] + sd_y * model.intercept - coef @ np.asarray(s["mean"][:-1])
-            steps = int(model.summary.totalIterations)
-            out.append((number, text, float(intercept), coef.tolist(), list(s["fill"]), steps, steps < max_iter))
-        df.unpersist()
-        return out
-
-    parts = [inheritable_thread_target(spark)(partial(run, number)) for number in sorted(wanted)]
-    with ThreadPool(min(side_by_side, max(1, len(parts)))) as pool:
-        return [r for part in pool.map(lambda part: part(), parts) for r in part]
+def coordinate_descent(corr: np.ndarray, alpha: float, l1_ratio: float, sd_y: float, max_iter: int):
+    """Elastic net on standardised features, from their correlations with one another and with the
+    label in the last place: coefficients for the unit label, sweeps, and whether they settled."""
+    c, own = corr[:-1, :-1], corr[:-1, -1]
+    l1, l2 = alpha * l1_ratio / sd_y, alpha * (1 - l1_ratio)
+    coef, pull = np.zeros(len(own)), np.zeros(len(own))  # pull = c @ coef
+    live = [j for j in range(len(own)) if c[j, j] > 0]
+    for sweep in range(1, max_iter + 1):
+        most = 0.0
+        for j in live:
+            left = own[j] - pull[j] + c[j, j] * coef[j]
+            new = np.sign(left) * max(abs(left) - l1, 0.0) / (c[j, j] + l2)
+            if new != coef[j]:
+                most = max(most, abs(new - coef[j]))
+                pull += c[:, j] * (new - coef[j])
+                coef[j] = new
+        if most <= 1e-12:
+            return coef, sweep, True
+    return coef, max_iter, False
+
+
+def fit_sets(same: DataFrame, wanted: Mapping[int, Sequence[tuple[float, float, str]]], max_iter: int) -> DataFrame:
+    """``FITS`` of every candidate wanted of a set: one task a set, from the moments of its few rows."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        number, first = int(pdf["set"].iloc[0]), pdf.iloc[0]
+        mean, scale = np.asarray(first["mean"]), np.asarray(first["scale"])
+        rows = np.column_stack([np.stack(pdf["z"]), pdf["y"]])
+        corr, out = rows.T @ rows / len(rows), []
+        corr[np.abs(corr) < 1e-14] = 0.0
+        for alpha, l1_ratio, text in wanted.get(number, ()):
+            unit, sweeps, settled = coordinate_descent(corr, alpha, l1_ratio, scale[-1], max_iter)
+            coef = unit * scale[-1] / scale[:-1]
+            intercept = mean[-1] - coef @ mean[:-1]
+            out.append((number, text, float(intercept), coef, first["fill"], sweeps, settled))
+        return pd.DataFrame(out, columns=["set", "params", "intercept", "coef", "fill", "n_iter", "converged"])
+
+    return same.where(F.col("set").isin(list(wanted))).groupBy("set").applyInPandas(fit, FITS)
 
 
 FITS = "set bigint, params string, intercept double, coef array<double>, fill array<double>, n_iter int, converged boolean"
@@ -396,36 +403,57 @@ def inner_scores(
 ) -> DataFrame:
     """Balanced MAE of every candidate on every inner fold.
 
-    Every group carries what it is judged by in an array, and a row yields one array of errors,
-    summed per group: no row is copied for a fold or a candidate. ``fits`` has a row per training
-    set and candidate; ``target`` is the place of a fold's outcome in the array ``targets``.
+    All candidates of all folds are one matrix, as large as the design asks; a batch of rows meets
+    it in one product, and a row's errors count where its group is held out, each by one over the
+    rows of its group. A batch yields one row of sums: no row is copied for a fold or a candidate.
     """
-    one = F.struct("params", "intercept", "coef")
-    options = fits.where("inner_fold > 0").groupBy("repeat", "outer_fold", "inner_fold").agg(
-        F.array_sort(F.collect_list(one)).alias("options"), F.any_value("fill").alias("fill")
-    )
-    # a design-bounded table: one row per training set
-    placed = inner.join(F.broadcast(options), ["repeat", "outer_fold", "inner_fold"])
-    judged = placed.groupBy(group).agg(
-        F.array_sort(
-            F.collect_list(F.struct("repeat", "outer_fold", "inner_fold", target.alias("target"), "fill", "options"))
-        ).alias("judges")
+    spark, folds = rows.sparkSession, ["repeat", "outer_fold", "inner_fold"]
+    log = fits.where("inner_fold > 0").withColumn("_at", target).orderBy(*folds, "params").collect()
+    coef, fill = np.array([r["coef"] for r in log]), np.array([r["fill"] for r in log])
+    matrix = spark.sparkContext.broadcast((
+        np.column_stack([[r["intercept"] for r in log], coef, coef * fill]).T, np.array([r["_at"] for r in log]),
+    ))
+    names = {}
+    for i, r in enumerate(log):
+        names.setdefault(tuple(r[c] for c in folds), []).append(i)
+    place = {name: k for k, name in enumerate(names)}
+    spans = [names[name] for name in place]
+    known = spark.createDataFrame([(*name, k) for name, k in place.items()], "repeat int, outer_fold int, inner_fold int, _k int")
+    judged = inner.join(F.broadcast(known), folds).groupBy(group).agg(F.collect_list("_k").alias("_judges"))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    held = rows.select(group, targets, "obs", "miss").join(sizes.join(judged, group), group)
+    held = held.withColumnRenamed(targets, "_y")
+
+    def errors(batches):
+        weights, at = matrix.value
+        total = np.zeros(len(at))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 1000):
+                part = pdf.iloc[lo : lo + 1000]
+                x = np.column_stack([np.ones(len(part)), np.stack(part["obs"]), np.stack(part["miss"])])
+                y, judges = np.stack(part["_y"]), part["_judges"]
+                row = np.repeat(np.arange(len(part)), judges.str.len())
+                held_out = np.zeros((len(part), len(spans)))
+                held_out[row, np.concatenate(judges.to_numpy())] = 1.0
+                held_out /= part["_n"].to_numpy()[:, None]
+                share = held_out[:, span_of]
+                total += (np.abs(y[:, at] - x @ weights) * share).sum(0)
+        yield pd.DataFrame({"_k": np.arange(len(at)), "_e": total})
+
+    span_of = np.zeros(len(log), dtype=np.int64)
+    for k, span in enumerate(spans):
+        span_of[span] = k
+    # few bytes but much work a row: not to be drawn together into few tasks
+    held = held.select("_y", "obs", "miss", "_n", "_judges").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sums = held.mapInPandas(errors, "_k bigint, _e double")
+    sums = sums.groupBy("_k").agg(F.sum("_e").alias("_e"))
+    counts = inner.join(rows.select(group).distinct(), group).groupBy(*folds).agg(F.count(F.lit(1)).alias("_groups"))
+    text = spark.createDataFrame(
+        [(i, *(r[c] for c in folds), r["params"]) for i, r in enumerate(log)],
+        "_k bigint, repeat int, outer_fold int, inner_fold int, params string",
     )
-
-    def errors(j: Column) -> Column:
-        x = imputed(j["fill"])
-        own = F.get(F.col(targets), j["target"])
-        return F.transform(j["options"], lambda o: F.abs(own - o["intercept"] - dot(x, o["coef"])))
-
-    x = rows.select(group, targets, "obs", "miss").join(judged, group)
-    per_row = x.select(group, F.flatten(F.transform("judges", errors)).alias("_e"))
-    per_group = per_row.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), sum_vector(F.col("_e")).alias("_e"))
-    names = F.flatten(F.transform("judges", lambda j: F.transform(j["options"], lambda o: F.struct(
-        j["repeat"].alias("repeat"), j["outer_fold"].alias("outer_fold"), j["inner_fold"].alias("inner_fold"),
-        o["params"].alias("params")))))
-    long = per_group.join(judged, group).select("_n", F.explode(F.arrays_zip(names.alias("_k"), F.col("_e"))).alias("_z"))
-    long = long.select("_z._k.*", (F.col("_z._e") / F.col("_n")).alias("_mae"))
-    return long.groupBy("repeat", "outer_fold", "inner_fold", "params").agg(F.avg("_mae").alias("mae_pb"))
+    scored = text.join(sums, "_k").join(F.broadcast(counts), folds)
+    return scored.select(*folds, "params", (F.col("_e") / F.col("_groups")).alias("mae_pb"))
 
 
 class TrainingSets:
@@ -466,7 +494,7 @@ class TrainingSets:
         return staged(rows_with_moments(self.products, members, fills, self.group, target_of), "same-moments")
 
     def fitted(self, same: DataFrame, wanted: Mapping[int, Sequence], max_iter: int) -> DataFrame:
-        log = same.sparkSession.createDataFrame(fit_sets(same, wanted, max_iter), FITS)
+        log = fit_sets(same, wanted, max_iter)
         return staged(log.select(*set_parts(F.col("set"), self.n_outer, self.n_inner), *log.columns[1:]), "fits")
 
     def number(self, inner_fold: int = 0) -> Column:
@@ -491,8 +519,8 @@ def nested_elastic_net(
 
     ``outer``: repeat, group, outer_fold. ``inner`` and ``y``: see ``TrainingSets``. Returns (fit
     log, selected parameters, predictions). The rows are read for their statistics, for the scores
-    and for the predictions, however many fits there are: Spark ML fits each candidate on a few rows
-    with the training set's moments.
+    and for the predictions, however many fits there are: a task fits a training set's candidates
+    from its moments.
     """
     sets = TrainingSets(rows, group, y, numeric, categorical, n_outer, n_inner)
     same = sets.same(inner)

@@ -73,6 +73,26 @@ def test_rows_of_equal_moments():
     np.testing.assert_allclose(z.T @ z / 5, corr, atol=1e-12)
 
 
+def test_thousands_of_candidates_are_one_job(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 3)) @ rng.normal(size=(3, 3))
+    y = x @ [1.0, -2.0, 0.0] + rng.normal(size=300)
+    z, unit = (x - x.mean(0)) / x.std(0), (y - y.mean()) / y.std()
+    corr = np.corrcoef(np.column_stack([z, unit]).T)
+    rows = lr.equal_moments(corr)
+    mean, scale = [*x.mean(0).tolist(), float(y.mean())], [*x.std(0).tolist(), float(y.std())]
+    flat = [(s, mean, scale, [0.0] * 3, r[:3].tolist(), float(r[3])) for s in range(40) for r in rows]
+    points = [(a, 0.5, f"p{i}") for i, a in enumerate(np.linspace(0.01, 3, 30).tolist())]
+    same = spark.createDataFrame(flat, lr.SAME_ROWS)
+    fits = lr.fit_sets(same, {s: points for s in range(40)}, 1000)
+    assert fits.count() == 1200 and fits.where("NOT converged").count() == 0
+    df = spark.createDataFrame([(r.tolist(), float(v)) for r, v in zip(z, y)], "f array<double>, y double").coalesce(1)
+    for k in (3, 20):
+        model, sigma, _ = lr.fit_elastic_net(df, "f", "y", points[k][0], 0.5)
+        one = fits.where(f"set = 7 AND params = 'p{k}'").first()
+        np.testing.assert_allclose(np.array(one.coef) * x.std(0), np.array(model.coefficients) * sigma, atol=1e-5)
+
+
 def test_no_row_is_scored_by_a_model_that_saw_it(spark, tmp_path):
     # the label of a group is known to a model only if it saw the group: out of fold nothing is learnt
     rng = np.random.default_rng(2)
