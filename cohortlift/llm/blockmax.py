@@ -17,7 +17,8 @@ import numpy as np
 
 BLOCK = 512  # examples of a block on average
 BATCH = 64  # texts that read blocks together
-PIECE = 512  # vectors that are folded, and texts that are bounded, together
+PIECE = 64  # vectors that are folded, and texts that are bounded, together
+READ = 8  # texts whose postings are read together
 ROWS = 2_048  # rows of a block's matrix at most; all other terms are postings
 COMMON = 8  # examples of a block from which a term may be a row
 WIDTH = 128  # of the vectors by which examples are sorted into blocks
@@ -26,6 +27,11 @@ ROUNDS = 4
 OFF = (ROWS + 64) * 2.0**-24
 
 
+def least_int(largest: int) -> type:
+    """The narrowest unsigned integers that hold numbers up to ``largest``."""
+    return np.min_scalar_type(largest).type
+
+
 def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, … (many[0] of them), first[1], … as one array."""
     return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -61,6 +67,23 @@ def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, vectors: Callable[[
     return block
 
 
+def by_term(size: int, terms: list, *columns: list) -> list[np.ndarray]:
+    """Edges of each term's entries, and the columns in that order; the pieces are used up one
+    column after the other."""
+    term = np.concatenate(terms)
+    terms.clear()
+    edges = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+    order = np.argsort(term, kind="stable")
+    order = order.astype(least_int(len(order)))
+    del term
+    out = [edges]
+    for pieces in columns:
+        whole = np.concatenate(pieces)
+        pieces.clear()
+        out.append(whole[order])
+    return out
+
+
 class BlockMaxIndex:
     """Vectors first[i]:first[i + 1] of terms, ascending and different in each; ``weigh`` gives the
     weights of a slice of them, which are not kept."""
@@ -80,24 +103,16 @@ class BlockMaxIndex:
         self.edges = np.concatenate([[0], np.cumsum([len(m) for m in self.members])])
         self.scratch = np.zeros(size)  # a weight for each term, 0 between calls
         self.row = np.full((len(self.members), size), -1, np.int16)  # of a term in a block's matrix
-        self.matrices, rest, highest = [], [], []
+        self.matrices, rest, highest = [], ([], [], []), ([], [], [])
         for b, own in enumerate(self.members):
             matrix, postings, most = self._block(b, own)
             self.matrices.append(matrix)
-            rest.append(postings)
-            highest.append(most)
+            for pieces, x in zip((*rest, *highest), (*postings, *most)):
+                pieces.append(x)
         # the other postings of all blocks, by term
-        term, self.example, self.weight = (np.concatenate(x) for x in zip(*rest))
-        by_term = np.argsort(term, kind="stable")
-        self.example, self.weight = self.example[by_term], self.weight[by_term]
-        self.start = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+        self.start, self.example, self.weight = by_term(size, *rest)
         # the largest weight of every (term, block) that occurs, by term
-        del rest
-        term, self.where, self.most = (np.concatenate(x) for x in zip(*highest))
-        del highest
-        by_term = np.argsort(term, kind="stable")
-        self.where, self.most = self.where[by_term], self.most[by_term]
-        self.limits = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
+        self.limits, self.where, self.most = by_term(size, *highest)
 
     def vector(self, i: int) -> np.ndarray:
         return self.weigh(slice(self.first[i], self.first[i + 1])) / self.length[i]
@@ -123,9 +138,9 @@ class BlockMaxIndex:
         matrix = np.zeros((len(common), len(own)), np.float32)
         matrix[row[dense], column[dense]] = unit[dense]
         rest = ~dense
-        postings = term[rest], (column[rest] + self.edges[b]).astype(np.int32), unit[rest].astype(np.float32)
+        postings = term[rest], (column[rest] + self.edges[b]).astype(least_int(self.n)), unit[rest].astype(np.float32)
         most = np.maximum.reduceat(unit, head) if len(head) else unit
-        return matrix, postings, (names, np.full(len(names), b, np.int32), most)
+        return matrix, postings, (names, np.full(len(names), b, least_int(len(self.members))), most)
 
     def bounds(self, q: int, owner: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each text and block a number that no cosine of the text with a member exceeds."""
@@ -145,10 +160,13 @@ class BlockMaxIndex:
         """Single-precision cosines of like texts, by column, and the least that one of the k nearest
         can show; columns of blocks that were not read show less."""
         m, n = len(bound), self.n
-        many = self.start[terms + 1] - self.start[terms]
-        at = ranges(self.start[terms], many)
-        out = np.bincount(np.repeat(to * n, many) + self.example[at], np.repeat(weight, many) * self.weight[at], minlength=m * n)
-        out = out.reshape(m, n).astype(np.float32)
+        out = np.zeros((m, n), np.float32)
+        for i in range(0, m, READ):
+            own = slice(*np.searchsorted(to, (i, i + READ)))
+            many = self.start[terms[own] + 1] - self.start[terms[own]]
+            at, few = ranges(self.start[terms[own]], many), min(READ, m - i)
+            to_example = np.repeat((to[own] - i) * n, many) + self.example[at]
+            out[i : i + few] = np.bincount(to_example, np.repeat(weight[own], many) * self.weight[at], minlength=few * n).reshape(few, n)
         least, turn = np.zeros(m), np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
         few = -(-bound.shape[1] // 4)
         for low, high in ((0, few), (few, bound.shape[1])):  # the likeliest blocks tell how far the others reach

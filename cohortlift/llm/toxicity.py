@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlift.llm.blockmax import BlockMaxIndex, ranges
+from cohortlift.llm.blockmax import BlockMaxIndex, least_int, ranges
 from cohortlift.llm.scan import ALNUM, Words, slices, span_hashes
 from cohortlift.sources.tables import staged
 
@@ -33,6 +33,7 @@ PER_CLASS = 6_000  # labelled examples of each class at most
 STARTS = (4, 5, 6)  # bytes of the word beginnings
 NEIGHBOURS = 15
 VOTERS = 500  # left-out votes of a task
+TEXT_BYTES = 500_000  # of text that is scored together
 
 
 def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,9 +106,10 @@ def packed(hashes: np.ndarray, rows: list[tuple]) -> bytes:
     size = np.array([len(r[1]) for r in rows], np.int64)
     terms = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r[1], np.int32) for r in rows]])
     counts = np.concatenate([np.zeros(0, np.int32), *[np.asarray(r[2], np.int32) for r in rows]])
+    counts = counts.astype(least_int(counts.max(initial=0)))  # most are below 256
     terms[1:] -= terms[:-1].copy()  # steps, which pack well
     arrays = [zlib.compress(x, 1) for x in (hashes, terms, counts)]
-    return pickle.dumps((*arrays, size, [r[3] for r in rows], [r[0] for r in rows]))
+    return pickle.dumps((*arrays, counts.dtype.str, size, [r[3] for r in rows], [r[0] for r in rows]))
 
 
 PACK = "hashes binary, body binary, n0 bigint, n1 bigint, empty0 bigint, empty1 bigint"
@@ -119,7 +121,7 @@ def fold_examples(examples: DataFrame) -> DataFrame:
 
     def run(batches):
         ids, labels, found, every = [], [], [], np.zeros(0, np.uint64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             hashes, text, _, _ = term_hashes(Words(batch.column("text"), ALNUM))
             owner, term, count = distinct_terms(hashes, text)
             every = np.union1d(every, term)
@@ -154,7 +156,7 @@ def document_frequencies(texts: DataFrame, terms: np.ndarray) -> DataFrame:
     def run(batches):
         known = Vocabulary(shared.value)
         total = np.zeros(len(known.terms), np.int64)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             (_, place, _), (_, other, _) = count_terms(batch.column("text"), known)
             total += np.bincount(place, minlength=len(total))
             other, n = np.unique(other, return_counts=True)
@@ -181,12 +183,18 @@ class Index:
 
     @cached_property
     def unpacked(self) -> tuple:
-        hashes, steps, counts, size, label, ids = pickle.loads(self.body)
+        hashes, steps, counts, kind, size, label, ids = pickle.loads(self.body)
         first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
         terms = np.cumsum(np.frombuffer(zlib.decompress(steps), np.int32), dtype=np.int32)
-        hashes, counts = np.frombuffer(zlib.decompress(hashes), np.uint64), np.frombuffer(zlib.decompress(counts), np.int32)
+        hashes, counts = np.frombuffer(zlib.decompress(hashes), np.uint64), np.frombuffer(zlib.decompress(counts), kind)
         return hashes, first, terms, counts, np.array(label, float), ids
 
+    def settle(self) -> None:
+        """Unpack for good, where the index is sent no further."""
+        if self.body:
+            self.unpacked
+            self.body = b""
+
     @cached_property
     def known(self) -> Vocabulary:
         return Vocabulary(self.unpacked[0])
@@ -211,7 +219,7 @@ class Index:
         return BlockMaxIndex(len(self.idf), first, terms, lambda own: damped[counts[own]] * self.idf[terms[own]])
 
     def weights(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return (1 + np.log(counts)) * self.idf[terms]
+        return (1 + np.log(counts, dtype=np.float64)) * self.idf[terms]
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
         weight = self.weights(terms, counts)
@@ -292,6 +300,7 @@ def calibrated(index: Index, n: int, spark) -> Broadcast:
     shared = spark.sparkContext.broadcast(index)
 
     def run(batches):
+        shared.value.settle()
         for batch in batches:
             found = list(shared.value.left_out_votes(batch.column("id").to_numpy()))
             vote, label, weight = (np.array(x, float) for x in zip(*found)) if found else [np.zeros(0)] * 3
@@ -357,6 +366,7 @@ def scorer(fitted: Fitted):
 
     def make() -> Index:
         own = shared.value
+        own.settle()
         own.empty_score, own.votes, own.scores = late
         return own
 
@@ -379,7 +389,7 @@ def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0
 
     def run(batches):
         index = made()
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TEXT_BYTES):
             nearest = pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())])
             own, (owner, other, count) = count_terms(batch.column("text"), index.known)
             both = index.score_texts(batch.num_rows, *own)
@@ -442,7 +452,7 @@ def not_toxic(docs: DataFrame, fitted: Fitted, text_col: str = "text", threshold
 
     def run(batches):
         index = made()
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, TEXT_BYTES):
             own, _ = count_terms(batch.column(text), index.known)
             yield batch.filter(pa.array([r[0] < threshold for r in index.score_texts(batch.num_rows, *own)], pa.bool_()))
 

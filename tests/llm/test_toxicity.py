@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -132,3 +133,23 @@ def test_bounds_are_bounds():
         for i in range(20):
             mine = slice(first[i], first[i + 1])
             assert (index.exact(own, terms[mine], index.vector(i)) <= bound[i, b] + 1e-12).all()
+
+
+def test_reading_needs_little_memory_beside_the_index():
+    size, first, terms, weights = languages(6_000, seed=6)
+    index = blockmax.BlockMaxIndex(size, first, terms, weights.__getitem__)
+    assert index.example.dtype == np.uint16 and index.where.dtype == np.uint8
+    _, q_first, q_terms, q_weights = languages(512, seed=7)
+    tracemalloc.start()
+    index.best(q_first, q_terms, q_weights, 15)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * 8 * blockmax.BATCH * index.n  # two numbers for each example and text of a batch
+
+
+def test_counts_weigh_in_double_precision():
+    rows = [(i, np.array([0, 1], np.int32), np.array([200 + i, 1000], np.int32), i % 2) for i in range(4)]
+    index = toxicity.build_index(rows, np.array([1.5, 2.5]), {0: 1.0, 1: 1.0})
+    counts = index.unpacked[3]
+    assert counts.dtype == np.uint16
+    assert index.weights(np.zeros(1, int), counts[:1])[0] == (1 + math.log(200)) * 1.5
