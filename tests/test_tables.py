@@ -7,6 +7,7 @@ from cohortlift.functions import parsing as ps
 from cohortlift.operators import guards as gd
 from cohortlift.operators import joining as jn
 from cohortlift.operators import roles as rl
+from cohortlift.plans import fixtures
 from cohortlift.sources import readers, tables
 
 
@@ -174,3 +175,27 @@ def test_an_archive_of_many_files_makes_no_task_per_file(spark, tmp_path):
     assert sorted(r.value for r in lines.collect()) == sorted(f"x{i}" for i in range(6000))
     sizes = {r.path: r.n_bytes for r in readers.inventory(spark, root, "*.{csv,txt}").collect()}
     assert len(sizes) == 1501 and sizes[f"file:{root}/p=0/more.csv"] == 3
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("name, keys", [("intervals", ["trial", "time1"]), ("predictions", ["anchor", "feature_set", "row_id"]),
+                                        ("prob_predictions", ["feature_set", "row_id"])])
+def test_tasks_stay_small_however_long_the_table(spark, tmp_path, monkeypatch, name, keys):
+    lines = spark.range(6_000).selectExpr(
+        "id DIV 4 AS l_orderkey", "CAST(id % 4 AS int) AS l_linenumber", "'R' AS l_returnflag", "0.1D AS l_discount",
+        "1.0D AS l_quantity", "2.0D AS l_extendedprice",
+    )
+    orders = spark.range(1_500).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "'1-URGENT' AS o_orderpriority")
+    events = spark.range(6_000).selectExpr("id AS event_id", "id % 9 AS user_id", "'view' AS event_type", "1.0D * id AS value")
+    for table, df in (("lineitem", lines), ("orders", orders), ("events", events)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
+    monkeypatch.setattr(fixtures, "LINES_OF_TASK", 500)
+    monkeypatch.setattr(fixtures, "EVENTS_OF_TASK", 500)
+    per_key = getattr(fixtures, name)(spark, str(tmp_path)).groupBy(*keys).count()
+    sizes = per_key.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("count").alias("n")).collect()
+    copies = sum(r.n for r in sizes) / 6_000
+    assert len(sizes) == 12 and max(r.n for r in sizes) < 1_000 * copies
+    assert exchanges(per_key) == 1  # before the rows are multiplied or grouped, not after
