@@ -1,5 +1,7 @@
 """Readers, sinks, guards and parsing on small files and literal rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from cohortlift.operators import guards as gd
 from cohortlift.operators import joining as jn
 from cohortlift.operators import roles as rl
 from cohortlift.plans import fixtures
+from cohortlift.plans.evaluation_queries import x7
 from cohortlift.sources import readers, tables
 
 
@@ -199,3 +202,13 @@ def test_tasks_stay_small_however_long_the_table(spark, tmp_path, monkeypatch, n
     copies = sum(r.n for r in sizes) / 6_000
     assert len(sizes) == 12 and max(r.n for r in sizes) < 1_000 * copies
     assert exchanges(per_key) == 1  # before the rows are multiplied or grouped, not after
+
+
+def test_stored_and_rebuilt_rows_meet_where_they_were_dealt(spark, tmp_path):
+    events = spark.range(2_000).selectExpr("id AS event_id", "id % 9 AS user_id", "'view' AS event_type", "1.0D * id AS value")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    checked = x7(spark, str(tmp_path))
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in re.findall(r"hashpartitioning\(([^)]*)\)", plan) if "row_id" in k and "anchor" in k]
+    found = checked.agg(F.sum("n_keys"), F.sum("only_second"), F.sum("only_first")).first()
+    assert tuple(found) == (2_000 * 20, 4 * 20, 0)  # ids 0, 601, 1202 and 1803 are not stored
