@@ -456,7 +456,13 @@ def held_out_scale(
     by = ["repeat", "test_fold", *keys]
     # a training set is a (repeat, held-out fold); a group belongs to all of a repeat but its own
     number = F.transform(others("fold", n_folds), lambda f: F.col("repeat") * (n_folds + 1) + f)
-    members = folds.groupBy(group).agg(F.flatten(F.collect_list(number)).alias("sets"))
+    members = folds.groupBy(group).agg(F.sort_array(F.flatten(F.collect_list(number))).alias("sets"))
+    # groups that lie in the same folds of all repeats are one cell; there are only so many such classes
+    classes = staged(members.groupBy("sets").agg(F.min(group).alias("_class")), "fold-classes")
+    placed = staged(members.join(classes, "sets").select(group, "_class"), "classes-of-groups")
+    long = long.join(placed, group).select("_class", *keys, "value")
+    folds = folds.join(placed, group).select("repeat", "_class", "fold").distinct()
+    members, group = classes, "_class"
     stats = imputed_statistics(long, members, group, keys, "value")
     stats = stats.select(
         F.floor(F.col("set") / (n_folds + 1)).cast("int").alias("repeat"),

@@ -573,7 +573,8 @@ def a39(spark, sf_dir):
 def a40(spark, sf_dir):
     """Largest held-out z-score per fold and feature."""
     long = anchored(spark, sf_dir).select("anchor", "feature", "grp", "value")
-    groups = long.select("grp").distinct().withColumn("repeat", fx.explode_of(*range(1, fx.REPEATS + 1)))
+    groups = fx.table(spark, sf_dir, "events").select(F.col("user_id").alias("grp")).distinct()
+    groups = groups.withColumn("repeat", fx.explode_of(*range(1, fx.REPEATS + 1)))
     folds = groups.withColumn("fold", ((F.col("grp") * 7 + F.col("repeat") * 3) % 5 + 1).cast("int"))
     return pf.held_out_scale(long, folds, ["anchor", "feature"], "grp", 5)
 

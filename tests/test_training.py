@@ -9,6 +9,7 @@ from cohortlift.operators import increments as ic
 from cohortlift.operators import learners as lr
 from cohortlift.operators import linear as ln
 from cohortlift.operators import nested as ns
+from cohortlift.operators import profiling
 from cohortlift.operators import training as tr
 
 
@@ -167,3 +168,29 @@ def test_ranking_bootstrap_is_the_same_in_small_runs_chunks_and_slices(spark, mo
     rows = ic.drawn_blocks(groups, ["k"], 11, 5).toPandas()
     assert sum(len(x) for x in rows["codes"]) == 4 * 11 * groups.count()
     pd.testing.assert_frame_equal(whole.reset_index(drop=True), boot().reset_index(drop=True))
+
+
+def test_held_out_scale_works_on_classes_of_groups(spark, monkeypatch):
+    """Groups that share their folds in all repeats are one cell, and the figures are those of the rows."""
+    draw = np.random.default_rng(12)
+    rows = [(f"f{i % 2}", int(draw.integers(0, 60)), None if i % 17 == 0 else float(draw.normal(3, 2))) for i in range(900)]
+    fold = lambda g, r: (g * r + g // 30 * r + r) % 3 + 1
+    folds = spark.createDataFrame([(r, g, fold(g, r)) for g in range(60) for r in (1, 2)], "repeat int, grp long, fold int")
+    seen = []
+
+    def spied(long, members, key, *rest):
+        seen.append(members.count())
+        return tr.imputed_statistics(long, members, key, *rest)
+
+    monkeypatch.setattr(profiling, "imputed_statistics", spied)
+    long = spark.createDataFrame(rows, "feature string, grp long, value double")
+    got = profiling.held_out_scale(long, folds, ["feature"], "grp", 3).collect()
+    assert len(got) == 12 and seen == [len({(fold(g, 1), fold(g, 2)) for g in range(60)})] and seen[0] < 10
+    for r in got:
+        mine = [(fold(g, r.repeat) == r.test_fold, v) for f, g, v in rows if f == r.feature]
+        middle = np.median([v for t, v in mine if not t and v is not None])
+        train = np.array([middle if v is None else v for t, v in mine if not t])
+        test = np.array([middle if v is None else v for t, v in mine if t])
+        assert r.train_std == pytest.approx(train.std())
+        assert r.test_max_abs_z == pytest.approx(np.abs(test - train.mean()).max() / train.std())
+        assert r.nonfinite_n == sum(t and v is None for t, v in mine)
