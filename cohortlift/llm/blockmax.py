@@ -5,8 +5,8 @@ every term that occurs in it: a text's weights times these bound its cosine with
 block. The quarter of the blocks with the highest bounds is read first; of the others a text reads
 those whose bounds its k-th best cosine so far does not beat. Inside a block the commonest terms are
 rows of a matrix, of which only those are multiplied that occur in a batch of like texts; the others
-are postings. Blocks are read in single precision, and whatever its rounding could hide is multiplied
-again in double precision.
+are postings. Weights are held in steps of the largest of their row or term, blocks are read in single
+precision, and whatever both could hide is multiplied again in double precision.
 """
 
 from __future__ import annotations
@@ -14,16 +14,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 512  # examples of a block on average
-BATCH = 64  # texts that read blocks together
+BATCH = 256  # texts that read blocks together
 PIECE = 64  # vectors that are folded, and texts that are bounded, together
-READ = 8  # texts whose postings are read together
 ROWS = 2_048  # rows of a block's matrix at most; all other terms are postings
 COMMON = 8  # examples of a block from which a term may be a row
+SHARE = 0.1  # of a block's examples from which a term may be a row; below, its postings cost less
 WIDTH = 128  # of the vectors by which examples are sorted into blocks
 ROUNDS = 4
-#: No weight is negative, so a single-precision cosine is off by this part of itself at most.
+GROUPS = 40  # groups of examples for each of the k nearest, whose largest cosines tell the k-th best
+STEPS = 65_535  # from 0 to the largest weight of a matrix row or of a term's postings, rounded up
+#: No weight is negative, so a single-precision cosine is off by this part of itself at most, beside
+#: what the steps add.
 OFF = (ROWS + 64) * 2.0**-24
 
 
@@ -34,7 +38,13 @@ def least_int(largest: int) -> type:
 
 def ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
     """first[0], first[0] + 1, … (many[0] of them), first[1], … as one array."""
-    return np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+    out = np.repeat(first - np.cumsum(many) + many, many)
+    out += np.arange(len(out))
+    return out
+
+
+def in_steps(x: np.ndarray, step: np.ndarray) -> np.ndarray:
+    return np.minimum(STEPS, np.ceil(x / step))
 
 
 def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, vectors: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -64,29 +74,38 @@ def sorted_into_blocks(first: np.ndarray, terms: np.ndarray, vectors: Callable[[
             own = x[block == b]
             if len(own):
                 middles[b] = own.mean(0) / max(1e-12, np.sqrt((own.mean(0) ** 2).sum()))
-    return block
+    # like blocks get numbers that follow each other, so that batches of texts are alike
+    close = middles @ middles.T
+    turn, left = [0], np.arange(blocks) > 0
+    while left.any():
+        turn.append(int(np.argmax(np.where(left, close[turn[-1]], -np.inf))))
+        left[turn[-1]] = False
+    return np.argsort(turn)[block]
 
 
 def by_term(size: int, terms: list, *columns: list) -> list[np.ndarray]:
-    """Edges of each term's entries, and the columns in that order; the pieces are used up one
-    column after the other."""
-    term = np.concatenate(terms)
-    terms.clear()
-    edges = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=size))])
-    order = np.argsort(term, kind="stable")
-    order = order.astype(least_int(len(order)))
-    del term
-    out = [edges]
-    for pieces in columns:
-        whole = np.concatenate(pieces)
-        pieces.clear()
-        out.append(whole[order])
-    return out
+    """Edges of each term's entries, and the columns in that order; in each piece terms ascend. Pieces
+    are put in their places one by one, so that nothing is held twice."""
+    many = np.zeros(size + 1, np.int64)
+    for term in terms:
+        many[1:] += np.bincount(term, minlength=size)
+    edges = np.cumsum(many)
+    edges = edges.astype(least_int(edges[-1]))
+    out = [np.empty(edges[-1], pieces[0].dtype) for pieces in columns]
+    free = edges[:-1].astype(np.int64)  # the next place of each term
+    for i, term in enumerate(terms):
+        head = np.flatnonzero(np.diff(term, prepend=-1))
+        held = np.diff(np.append(head, len(term)))
+        at = ranges(free[term[head]], held)
+        free[term[head]] += held
+        for x, pieces in zip(out, columns):
+            x[at], pieces[i] = pieces[i], None
+    return [edges, *out]
 
 
 class BlockMaxIndex:
     """Vectors first[i]:first[i + 1] of terms, ascending and different in each; ``weigh`` gives the
-    weights of a slice of them, which are not kept."""
+    weights of some of them, a slice or places, which are not kept."""
 
     def __init__(self, size: int, first: np.ndarray, terms: np.ndarray, weigh: Callable[[slice], np.ndarray]):
         self.n, self.first, self.terms, self.weigh = len(first) - 1, first, terms, weigh
@@ -102,16 +121,43 @@ class BlockMaxIndex:
         self.column[self.order] = np.arange(self.n)
         self.edges = np.concatenate([[0], np.cumsum([len(m) for m in self.members])])
         self.scratch = np.zeros(size)  # a weight for each term, 0 between calls
-        self.row = np.full((len(self.members), size), -1, np.int16)  # of a term in a block's matrix
-        self.matrices, rest, highest = [], ([], [], []), ([], [], [])
+        self.matrices, self.step, names, rest, highest = [], [], [], ([], [], []), ([], [], [])
         for b, own in enumerate(self.members):
-            matrix, postings, most = self._block(b, own)
+            matrix, step, common, postings, most = self._block(b, own)
             self.matrices.append(matrix)
+            self.step.append(step)
+            names.append(common)
             for pieces, x in zip((*rest, *highest), (*postings, *most)):
                 pieces.append(x)
-        # the other postings of all blocks, by term
-        self.start, self.example, self.weight = by_term(size, *rest)
-        # the largest weight of every (term, block) that occurs, by term
+        # the terms that are rows somewhere, numbered, and their row in each block's matrix
+        there = np.zeros(size, bool)
+        there[np.concatenate(names)] = True
+        self.number = np.where(there, np.cumsum(there) - 1, -1).astype(np.int32)
+        self.row = np.full((len(self.members), int(there.sum())), -1, np.int16)
+        for b, common in enumerate(names):
+            self.row[b, self.number[common]] = np.arange(len(common))
+        # the other postings of all blocks, by term, as runs of bytes that can be taken without an index
+        self.least_step = np.zeros(size)
+        for term, unit in zip(rest[0], rest[2]):
+            head = np.flatnonzero(np.diff(term, prepend=-1))
+            if len(head):
+                self.least_step[term[head]] = np.maximum(self.least_step[term[head]], np.maximum.reduceat(unit, head) / STEPS)
+        for b, term in enumerate(rest[0]):
+            pair = np.empty(len(term), [("example", rest[1][b].dtype), ("steps", np.uint16)])
+            pair["example"], pair["steps"] = rest[1][b], in_steps(rest[2][b], self.least_step[term])
+            rest[1][b] = rest[2][b] = pair
+        start, postings = by_term(size, *rest[:2])
+        self.example = postings["example"]
+        self.pair, self.held = postings.dtype, np.diff(start.astype(np.int64)).astype(least_int(len(postings)))
+        at = pa.py_buffer(start.astype(np.int64) * postings.itemsize)
+        self.postings = pa.Array.from_buffers(pa.large_binary(), size, [None, at, pa.py_buffer(postings)])
+        # the largest weight of every (term, block) that occurs: of those terms as a table, of the others by term
+        self.table = np.zeros((len(self.members), int(there.sum())))
+        for b, (term, most) in enumerate(zip(highest[0], highest[2])):
+            own = there[term]
+            self.table[b, self.number[term[own]]] = most[own]
+            highest[0][b], highest[1][b], highest[2][b] = term[~own], highest[1][b][~own], most[~own]
+        self.table = np.ascontiguousarray(self.table.T)
         self.limits, self.where, self.most = by_term(size, *highest)
 
     def vector(self, i: int) -> np.ndarray:
@@ -131,63 +177,100 @@ class BlockMaxIndex:
         head = np.flatnonzero(np.diff(term, prepend=-1))
         held, names = np.diff(np.append(head, len(term))), term[head]
         common = np.argsort(-held, kind="stable")[:ROWS]
-        common = common[held[common] >= COMMON]
-        self.row[b, names[common]] = np.arange(len(common))
-        row = self.row[b, term]
+        common = common[held[common] >= max(COMMON, SHARE * len(own))]
+        line = np.full(len(head), -1, np.int16)
+        line[common] = np.arange(len(common))
+        row = np.repeat(line, held)
         dense = row >= 0
-        matrix = np.zeros((len(common), len(own)), np.float32)
-        matrix[row[dense], column[dense]] = unit[dense]
+        most = np.maximum.reduceat(unit, head) if len(head) else unit
+        step = most[common] / STEPS
+        matrix = np.zeros((len(common), len(own)), np.uint16)
+        matrix[row[dense], column[dense]] = in_steps(unit[dense], step[row[dense]])
         rest = ~dense
         postings = term[rest], (column[rest] + self.edges[b]).astype(least_int(self.n)), unit[rest].astype(np.float32)
-        most = np.maximum.reduceat(unit, head) if len(head) else unit
-        return matrix, postings, (names, np.full(len(names), b, least_int(len(self.members))), most)
+        return matrix, step.astype(np.float32), names[common], postings, (names, np.full(len(names), b, least_int(len(self.members))), most)
 
     def bounds(self, q: int, owner: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """For each text and block a number that no cosine of the text with a member exceeds."""
-        many, k = self.limits[terms + 1] - self.limits[terms], len(self.members)
-        at = ranges(self.limits[terms], many)
-        return np.bincount(np.repeat(owner * k, many) + self.where[at], np.repeat(weight, many) * self.most[at],
+        number, k = self.number[terms], len(self.members)
+        out = np.zeros((q, k))
+        own = np.flatnonzero(number >= 0)
+        if len(own):
+            head = np.flatnonzero(np.diff(owner[own], prepend=-1))
+            out[owner[own[head]]] = np.add.reduceat(self.table[number[own]] * weight[own, None], head, axis=0)
+        own = np.flatnonzero(number < 0)
+        low = self.limits[terms[own]].astype(np.int64)
+        many = self.limits[terms[own] + 1] - low
+        at = ranges(low, many)
+        out += np.bincount(np.repeat(owner[own] * k, many) + self.where[at], np.repeat(weight[own], many) * self.most[at],
                            minlength=q * k).reshape(q, k)
+        return out
 
     def exact(self, at: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Cosines of a text's unit vector with some examples, in double precision."""
-        self.scratch[terms] = weight
-        out = np.array([self.scratch[self.terms[self.first[i] : self.first[i + 1]]] @ self.vector(i) for i in at.tolist()])
-        self.scratch[terms] = 0
+        return self.cosines(at, np.zeros(len(at), np.int64), np.array([0, len(terms)]), terms, weight)
+
+    def cosines(self, example: np.ndarray, text: np.ndarray, first: np.ndarray, terms: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of pairs of an example and a text, in double precision; an example near to one text
+        is often near to many, so each is unfolded once."""
+        out, order = np.zeros(len(example)), np.argsort(example, kind="stable")
+        heads = np.flatnonzero(np.diff(example[order])) + 1
+        for pairs in np.split(order, heads) if len(order) else []:
+            i = example[pairs[0]]
+            theirs = self.terms[self.first[i] : self.first[i + 1]]
+            self.scratch[theirs] = self.vector(i)
+            for j in pairs.tolist():
+                own = slice(first[text[j]], first[text[j] + 1])
+                out[j] = self.scratch[terms[own]] @ weight[own]
+            self.scratch[theirs] = 0
         return out
 
     def _batch(self, bound: np.ndarray, to: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int, skip):
         """Single-precision cosines of like texts, by column, and the least that one of the k nearest
         can show; columns of blocks that were not read show less."""
-        m, n = len(bound), self.n
+        m, n, edge = len(bound), self.n, np.searchsorted(to, np.arange(len(bound) + 1))
         out = np.zeros((m, n), np.float32)
-        for i in range(0, m, READ):
-            own = slice(*np.searchsorted(to, (i, i + READ)))
-            many = self.start[terms[own] + 1] - self.start[terms[own]]
-            at, few = ranges(self.start[terms[own]], many), min(READ, m - i)
-            to_example = np.repeat((to[own] - i) * n, many) + self.example[at]
-            out[i : i + few] = np.bincount(to_example, np.repeat(weight[own], many) * self.weight[at], minlength=few * n).reshape(few, n)
-        least, turn = np.zeros(m), np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+        many, scaled = self.held[terms], weight * self.least_step[terms]
+        wanted = pa.array(terms)
+        for i, (a, e) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())):
+            _, ends, data = self.postings.take(wanted[a:e]).buffers()
+            if data:
+                own = np.frombuffer(data, self.pair, np.frombuffer(ends, np.int64, 1, 8 * (e - a))[0] // self.pair.itemsize)
+                out[i] = np.bincount(own["example"], np.repeat(scaled[a:e], many[a:e]) * own["steps"], minlength=n)
+        # a line for each term of the batch that is a row somewhere, and its row in each block
+        number = self.number[terms]
+        own = np.flatnonzero(number >= 0)
+        used = np.zeros(self.row.shape[1], bool)
+        used[number[own]] = True
+        line, rows = np.cumsum(used) - 1, self.row[:, used]
+        wide = np.zeros((rows.shape[1], m), np.float32)
+        wide[line[number[own]], to[own]] = weight[own]
+        # what steps can add to a cosine: by the postings, by a matrix
+        rest = np.bincount(to, scaled, minlength=m)
+        more, least = np.zeros(m), np.zeros(m)
+        turn = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
         few = -(-bound.shape[1] // 4)
         for low, high in ((0, few), (few, bound.shape[1])):  # the likeliest blocks tell how far the others reach
             wanted = (turn >= low) & (turn < high) & (bound > 0) & (bound >= least[:, None])
             self.read += int(wanted.sum())
             for b in np.flatnonzero(wanted.any(0)):
-                row = self.row[b, terms]
-                mine = (row >= 0) & wanted[to, b]
-                if mine.any():
-                    row, text = row[mine], to[mine]
-                    used = np.zeros(len(self.matrices[b]), bool)
-                    used[row] = True
-                    place, there = np.cumsum(used) - 1, np.flatnonzero(wanted[:, b])
-                    line = np.cumsum(wanted[:, b]) - 1
-                    wide = np.zeros((len(there), int(place[-1]) + 1), np.float32)
-                    wide[line[text], place[row]] = weight[mine]
-                    out[there, self.edges[b] : self.edges[b + 1]] += wide @ self.matrices[b][used]
+                text, lines = np.flatnonzero(wanted[:, b]), np.flatnonzero(rows[b] >= 0)
+                part = wide[lines]
+                if len(text) < m:
+                    part = part[:, text]
+                    some = part.any(1)
+                    lines, part = lines[some], part[some]
+                if len(lines):
+                    row = rows[b, lines]
+                    part = part * self.step[b][row, None]
+                    more[text] = np.maximum(more[text], part.sum(0))
+                    out[text, self.edges[b] : self.edges[b + 1]] += part.T @ self.matrices[b][row].astype(np.float32)
             if skip is not None:
                 out[np.arange(m), self.column[skip]] = 0
-            if n > k:
-                least = np.partition(out, n - k, axis=1)[:, n - k] * (1 - 4 * OFF)
+            if n > k:  # the k-th best of the largest of some groups is no more than the k-th best of all
+                groups = min(n, GROUPS * k)
+                largest = out[:, : n // groups * groups].reshape(m, -1, groups).max(1)
+                least = (np.partition(largest, groups - k, axis=1)[:, groups - k] * (1 - OFF) - rest - more) * (1 - 4 * OFF)
         return out, least
 
     def best(self, first: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, skip: np.ndarray | None = None):
@@ -203,7 +286,7 @@ class BlockMaxIndex:
             bound[i : i + PIECE] = self.bounds(min(q - i, PIECE), owner[own] - i, terms[own], weight[own])
         bound *= 1 + 4 * OFF
         like = np.argsort(np.argmax(bound, axis=1), kind="stable")  # texts of one leading block together
-        found: list = [None] * q
+        near: list = [np.zeros(0, np.int64)] * q
         self.read = 0  # blocks that the last call read
         for i in range(0, q, BATCH):
             texts = like[i : i + BATCH]
@@ -211,9 +294,12 @@ class BlockMaxIndex:
             at, to = ranges(first[texts], many), np.repeat(np.arange(len(texts)), many)
             close, least = self._batch(bound[texts], to, terms[at], weight[at], k, None if skip is None else skip[texts])
             for j, text in enumerate(texts.tolist()):
-                some = np.sort(self.order[(close[j] > 0) & (close[j] >= least[j])])
-                own = slice(first[text], first[text + 1])
-                cosine = self.exact(some, terms[own], weight[own])
-                best = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
-                found[text] = some[best], cosine[best], float(square[text])
+                near[text] = np.sort(self.order[(close[j] > 0) & (close[j] >= least[j])])
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in near])]).astype(np.int64)
+        pairs = np.concatenate([self.order[:0], *near]), np.repeat(np.arange(q), np.diff(edges))
+        cosines, found = self.cosines(*pairs, first, terms, weight), []
+        for text, some in enumerate(near):
+            cosine = cosines[edges[text] : edges[text + 1]]
+            best = np.argsort(-np.round(cosine, 12), kind="stable")[:k]
+            found.append((some[best], cosine[best], float(square[text])))
         return found

@@ -86,13 +86,21 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """What ``span_hashes`` reads its sums from."""
     n = len(data)
-    if not len(starts):
-        return np.zeros(0, _U)
     total = np.zeros(n + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, n)[:n], out=total[1:])
+    return total
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, total: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand. ``total``
+    are the prefix sums of the data, where several sets of spans share them."""
+    n = len(data)
+    if not len(starts):
+        return np.zeros(0, _U)
+    total = prefix_sums(data) if total is None else total
     own = (total[ends] - total[starts]) * _powers(_INVERSE, n + 1)[starts]
     return mix(own ^ ((ends - starts).astype(_U) * _U(0xC2B2AE3D27D4EB4F)))
 

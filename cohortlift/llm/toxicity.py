@@ -26,25 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlift.llm.blockmax import BlockMaxIndex, least_int, ranges
-from cohortlift.llm.scan import ALNUM, Words, slices, span_hashes
+from cohortlift.llm.scan import ALNUM, Words, prefix_sums, slices, span_hashes
 from cohortlift.sources.tables import staged
 
 PER_CLASS = 6_000  # labelled examples of each class at most
 STARTS = (4, 5, 6)  # bytes of the word beginnings
 NEIGHBOURS = 15
 VOTERS = 500  # left-out votes of a task
-TEXT_BYTES = 500_000  # of text that is scored together
+TEXT_BYTES = 500_000  # of text whose terms are counted together
+SCORED_BYTES = 4_000_000  # of text that is scored together
+MERGED = 1 << 20  # hashes of examples that are merged into the known ones together, at least
 
 
 def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text, start and end of every term: whole words, and beginnings of longer ones."""
     text = np.repeat(np.arange(len(words.at) - 1), np.diff(words.first))
     size = words.ends - words.starts
-    hashes, texts = [words.hashes], [text]
+    total = prefix_sums(words.data)
+    hashes, texts = [span_hashes(words.data, words.starts, words.ends, total)], [text]
     starts, ends = [words.starts], [words.ends]
     for n in STARTS:
         long = np.flatnonzero(size > n)
-        hashes.append(span_hashes(words.data, words.starts[long], words.starts[long] + n) ^ np.uint64(n))
+        hashes.append(span_hashes(words.data, words.starts[long], words.starts[long] + n, total) ^ np.uint64(n))
         texts.append(text[long])
         starts.append(words.starts[long])
         ends.append(words.starts[long] + n)
@@ -100,6 +103,15 @@ def count_terms(column: pa.Array, known: Vocabulary) -> tuple[tuple, tuple]:
     return (key // n, key % n, count), distinct_terms(hashes[~hit], text[~hit])
 
 
+def count_in_pieces(batch: pa.RecordBatch, text: str, known: Vocabulary) -> tuple[tuple, tuple]:
+    """The same of a batch of any size, counted piece by piece."""
+    found, before = [], 0
+    for piece in slices([batch], text, TEXT_BYTES):
+        found.append(tuple((t + before, x, n) for t, x, n in count_terms(piece.column(text), known)))
+        before += piece.num_rows
+    return tuple(tuple(np.concatenate(x) for x in zip(*side)) for side in zip(*found))
+
+
 def packed(hashes: np.ndarray, rows: list[tuple]) -> bytes:
     """Examples folded to arrays and compressed: (id, places in ``hashes``, counts, label) rows."""
     rows = sorted(rows, key=lambda r: str(r[0]))
@@ -120,16 +132,19 @@ def fold_examples(examples: DataFrame) -> DataFrame:
     how many of each label there are, in all and without terms. The rows are a bounded sample."""
 
     def run(batches):
-        ids, labels, found, every = [], [], [], np.zeros(0, np.uint64)
+        ids, labels, found, every, fresh = [], [], [], np.zeros(0, np.uint64), []
         for batch in slices(batches, "text", TEXT_BYTES):
             hashes, text, _, _ = term_hashes(Words(batch.column("text"), ALNUM))
             owner, term, count = distinct_terms(hashes, text)
-            every = np.union1d(every, term)
+            fresh.append(np.unique(term))
+            if sum(map(len, fresh)) > max(MERGED, len(every)):
+                every, fresh = np.unique(np.concatenate([every, *fresh])), []
             count = count.astype(np.int32)
             first = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             found += [(term[a:b], count[a:b]) for a, b in zip(first[:-1], first[1:])]
             ids += batch.column("id").to_pylist()
             labels += batch.column("label").to_pylist()
+        every = np.unique(np.concatenate([every, *fresh]))
         for i, (term, count) in enumerate(found):  # places are half as wide as hashes
             found[i] = np.searchsorted(every, term).astype(np.int32), count
         rows = [(i, t, c, y) for i, y, (t, c) in zip(ids, labels, found)]
@@ -389,9 +404,9 @@ def toxicity_scores(fitted: Fitted, id_col: str = "doc_id", threshold: float = 0
 
     def run(batches):
         index = made()
-        for batch in slices(batches, "text", TEXT_BYTES):
+        for batch in slices(batches, "text", SCORED_BYTES):
             nearest = pa.struct([("id", batch.schema.field("id").type), ("cosine", pa.float64()), ("label", pa.int32())])
-            own, (owner, other, count) = count_terms(batch.column("text"), index.known)
+            own, (owner, other, count) = count_in_pieces(batch, "text", index.known)
             both = index.score_texts(batch.num_rows, *own)
             near = [
                 [{"id": index.ids[i], "cosine": float(c), "label": int(index.label[i])} for i, c in zip(at[:5], close[:5])]
@@ -452,8 +467,8 @@ def not_toxic(docs: DataFrame, fitted: Fitted, text_col: str = "text", threshold
 
     def run(batches):
         index = made()
-        for batch in slices(batches, text, TEXT_BYTES):
-            own, _ = count_terms(batch.column(text), index.known)
+        for batch in slices(batches, text, SCORED_BYTES):
+            own, _ = count_in_pieces(batch, text, index.known)
             yield batch.filter(pa.array([r[0] < threshold for r in index.score_texts(batch.num_rows, *own)], pa.bool_()))
 
     return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)

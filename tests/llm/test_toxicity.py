@@ -147,6 +147,33 @@ def test_reading_needs_little_memory_beside_the_index():
     assert peak < 2 * 8 * blockmax.BATCH * index.n  # two numbers for each example and text of a batch
 
 
+def test_an_example_is_unfolded_once_for_all_texts_it_is_near_to():
+    size, first, terms, weights = languages(1_500, seed=8)
+    index = blockmax.BlockMaxIndex(size, first, terms, weights.__getitem__)
+    assert all(m.itemsize == 2 for m in index.matrices)
+    unfolded = []
+    index.weigh = lambda own: unfolded.append(own) or weights[own]
+    _, q_first, q_terms, q_weights = languages(1_000, seed=11)
+    found = index.best(q_first, q_terms, q_weights, 15)
+    assert sum(len(at) for at, _, _ in found) == 15_000 and len(unfolded) <= 1_500
+
+
+@pytest.mark.parametrize("n", [1, 14, 71, 300])
+def test_few_examples_of_any_length(n):
+    draw, size = np.random.default_rng(n), 60
+    own = [np.unique(draw.zipf(1.3, draw.integers(0, 12)) % size) for _ in range(n)]
+    first, terms = np.cumsum([0, *map(len, own)]), np.concatenate(own).astype(np.int64)
+    weights = draw.uniform(0.1, 4, len(terms))
+    index = blockmax.BlockMaxIndex(size, first, terms, weights.__getitem__)
+    full = np.zeros((n, size))
+    for i in range(n):
+        full[i, own[i]] = index.vector(i)
+    for j, (at, cosine, _) in enumerate(index.best(first, terms, weights, 15)):
+        close = np.round(full @ full[j], 12)
+        assert at.tolist() == [i for i in np.lexsort((np.arange(n), -close))[:15] if close[i] > 0]
+        assert np.allclose(cosine, close[at])
+
+
 def test_counts_weigh_in_double_precision():
     rows = [(i, np.array([0, 1], np.int32), np.array([200 + i, 1000], np.int32), i % 2) for i in range(4)]
     index = toxicity.build_index(rows, np.array([1.5, 2.5]), {0: 1.0, 1: 1.0})
