@@ -68,11 +68,10 @@ def _powers(base: int, n: int) -> np.ndarray:
     known = _POWERS.get(base)
     if known is not None and len(known) >= n:
         return known
-    size = max(n, BATCH_BYTES)
     out = np.ones(1, _U)
-    while len(out) < size:  # double: P^(i + m) = P^i * P^m
+    while len(out) < n:  # double: P^(i + m) = P^i * P^m
         out = np.concatenate([out, out * _U(pow(base, len(out), 1 << 64))])
-    if size <= 2 * BATCH_BYTES:  # tables for one huge text are not kept
+    if n <= 2 * BATCH_BYTES:  # tables for one huge text are not kept
         _POWERS[base] = out
     return out
 

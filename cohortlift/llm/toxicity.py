@@ -35,6 +35,7 @@ NEIGHBOURS = 15
 VOTERS = 500  # left-out votes of a task
 TEXT_BYTES = 500_000  # of text whose terms are counted together
 SCORED_BYTES = 4_000_000  # of text that is scored together
+FILTERED_BYTES = 1_000_000  # the same where whole rows are at hand, beside what other stages left in a worker
 MERGED = 1 << 20  # hashes of examples that are merged into the known ones together, at least
 
 
@@ -467,7 +468,7 @@ def not_toxic(docs: DataFrame, fitted: Fitted, text_col: str = "text", threshold
 
     def run(batches):
         index = made()
-        for batch in slices(batches, text, SCORED_BYTES):
+        for batch in slices(batches, text, FILTERED_BYTES):
             own, _ = count_in_pieces(batch, text, index.known)
             yield batch.filter(pa.array([r[0] < threshold for r in index.score_texts(batch.num_rows, *own)], pa.bool_()))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlift.llm import blockmax, toxicity
+from cohortlift.llm import blockmax, scan, toxicity
 from tests.llm.helpers import fold, prose
 
 
@@ -158,6 +158,13 @@ def test_an_example_is_unfolded_once_for_all_texts_it_is_near_to():
     assert sum(len(at) for at, _, _ in found) == 15_000 and len(unfolded) <= 1_500
 
 
+def test_power_tables_are_no_longer_than_the_text_needs(monkeypatch):
+    monkeypatch.setattr(scan, "_POWERS", {})
+    data = np.arange(1_000, dtype=np.uint8) % 7
+    scan.span_hashes(data, np.array([0, 7]), np.array([5, 12]))
+    assert all(len(table) < 4 * len(data) for table in scan._POWERS.values())
+
+
 @pytest.mark.parametrize("n", [1, 14, 71, 300])
 def test_few_examples_of_any_length(n):
     draw, size = np.random.default_rng(n), 60
