@@ -7,22 +7,25 @@ moments, so a fit costs the same at any number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlift.functions.cleaning import is_finite
 from cohortlift.operators.embeddings import dot, sum_vector
 from cohortlift.operators.joining import spread_side
 from cohortlift.operators.sets import best_candidate
-from cohortlift.operators.training import imputed_statistics, level_counts
+from cohortlift.operators.training import (
+    ROWS_A_PRODUCT, fold_codes, imputed_statistics, inside_sets, level_counts, matrix, nested_quantile, pieces,
+)
 from cohortlift.sources.tables import staged
 
 # Search grids and budgets.
@@ -228,30 +231,6 @@ def design(df: DataFrame, numeric: Sequence[str], categorical: Mapping[str, Sequ
     return df.withColumn("obs", F.array(*obs)).withColumn("miss", F.array(*miss))
 
 
-def group_products(rows: DataFrame, group: str, targets: str) -> DataFrame:
-    """Per group: the sum of v v' over its rows, v = (1, obs, miss, targets), as one flat array.
-
-    ``targets`` is an array column. Folded batch by batch with matrix products, then added up.
-    """
-    kind = rows.schema[group].dataType.simpleString()
-
-    def fold(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.column_stack([np.ones(len(pdf)), np.stack(pdf["obs"]), np.stack(pdf["miss"]), np.stack(pdf["_y"])])
-            # a batch has few groups where groups are large
-            codes, names = pd.factorize(pdf["grp"])
-            order = np.argsort(codes, kind="stable")
-            ends = np.searchsorted(codes[order], np.arange(len(names)), "right")
-            parts = np.split(v[order], ends[:-1])
-            yield pd.DataFrame({"grp": names, "products": [(x.T @ x).ravel() for x in parts]})
-
-    made = rows.select(F.col(group).alias("grp"), "obs", "miss", F.col(targets).alias("_y"))
-    parts = made.mapInPandas(fold, f"grp {kind}, products array<double>")
-    return parts.groupBy(F.col("grp").alias(group)).agg(sum_vector(F.col("products")).alias("products"))
-
-
 def set_numbers(inner: DataFrame, group: str, n_outer: int, n_inner: int) -> DataFrame:
     """(group, sets): the numbers of the training sets that each group belongs to.
 
@@ -275,20 +254,80 @@ def set_parts(number: Column, n_outer: int, n_inner: int) -> list[Column]:
     ]
 
 
-def set_fills(
-    rows: DataFrame, members: DataFrame, group: str, numeric: Sequence[str], categorical: Mapping[str, Sequence[str]]
+def placed_rows(
+    rows: DataFrame, outer: DataFrame, splits: Mapping[str, DataFrame], group: str, n_outer: int, n_inner: int
 ) -> DataFrame:
-    """set, fill (value put in for a missing entry of every design column) and vary (whether the
-    column has two values in the training set), in the order of ``design``."""
-    fitted = fit_training_sets(rows, members, group, numeric, list(categorical))
-    fills = [F.col(f"_num_{c}")["median"] for c in numeric]
-    vary = [F.col(f"_num_{c}")["sd"] > 0 for c in numeric]
-    for c, levels in categorical.items():
-        for level in levels:
-            fills.append(F.coalesce((F.col(f"_mode_{c}") == level).cast("double"), F.lit(0.0)))
-            seen = F.coalesce(F.col(f"_cat_{c}"), F.array().cast("array<string>"))
-            vary.append(F.array_contains(seen, level) & (F.size(seen) > 1))
-    return fitted.select("set", F.array(*fills).alias("fill"), F.array(*vary).alias("vary"))
+    """The rows with their group's size (``_n``), its outer fold in every repeat (``_outer``, 0 for none) and its
+    inner folds under every split (by name; see ``fold_codes``), written once in even tasks."""
+    repeats = outer.agg(F.max("repeat")).first()[0] or 1
+    entry = F.struct(F.col("repeat").cast("int").alias("repeat"), F.col("outer_fold").cast("smallint").alias("fold"))
+    held = outer.groupBy(group).agg(F.map_from_entries(F.collect_list(entry)).alias("_held"))
+    none = F.lit(0).cast("smallint")
+    by_repeat = F.transform(F.sequence(F.lit(1), F.lit(repeats)), lambda r: F.coalesce(F.col("_held")[r], none))
+    tables = {"_outer": (held.select(group, by_repeat.alias("_outer")), repeats)}
+    for name, inner in splits.items():
+        codes = fold_codes(inner, group, n_outer, n_inner, repeats).withColumnRenamed("folds", name)
+        tables[name] = codes, repeats * n_outer
+    groups = rows.groupBy(group).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    for table, _ in tables.values():
+        groups = groups.join(spread_side(table), group, "left")  # folds are far smaller as files than in memory
+    groups = groups.withColumns({c: F.coalesce(c, F.array_repeat(none, n)) for c, (_, n) in tables.items()})
+    # few bytes but much work a row: not to be drawn together into few tasks
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return staged(rows.join(spread_side(groups), group).repartition(tasks), "placed-rows")
+
+
+def under_outer_folds(x: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` of every row under each repeat, with the outer fold that holds the row out."""
+    spread = x.select(*keep, F.posexplode("_outer").alias("_at", "_fold")).where("_fold > 0")
+    return spread.select(*keep, (F.col("_at") + 1).alias("repeat"), F.col("_fold").cast("int").alias("outer_fold"))
+
+
+def set_products(x: DataFrame, folds: str, numeric: int, categorical: Sequence[str], n_inner: int, each: bool) -> DataFrame:
+    """For every training set (its place in ``inside_sets``) what its rows add up to, out of one read.
+
+    A row without ``name``: the sums of v v', v = (1, obs, miss), of v y and of y y, with the least and the
+    largest value seen of each of the first ``numeric`` columns; and the rows of every level (``value``)
+    of a category ``name``. With ``each`` a set has the outcome of its own place in ``_ys``. Added up for
+    all sets at once as matrix products: neither a row nor a group is copied for a set.
+    """
+
+    def fold(batches):
+        total, lo, hi, levels = 0.0, np.inf, -np.inf, {}
+        for batch in pieces(batches, ROWS_A_PRODUCT):
+            inside = inside_sets(matrix(batch, "folds"), n_inner)
+            obs, miss, y = (matrix(batch, c) for c in ("obs", "miss", "_ys"))
+            weight, v = inside.astype(float), np.column_stack([np.ones(len(obs)), obs, miss])
+            up = np.triu_indices(v.shape[1])
+            at = np.repeat(np.arange(y.shape[1]), n_inner + 1) if each else np.zeros(inside.shape[1], dtype=int)
+            own = np.where(inside, y[:, at], 0.0)
+            total = total + np.vstack([(v[:, up[0]] * v[:, up[1]]).T @ weight, v.T @ own, (own * own).sum(0)])
+            seen = [(obs[:, [j]], inside & (miss[:, [j]] == 0)) for j in range(numeric)]
+            lo = np.minimum(lo, np.array([np.where(k, c, np.inf).min(0) for c, k in seen]))
+            hi = np.maximum(hi, np.array([np.where(k, c, -np.inf).max(0) for c, k in seen]))
+            for c in categorical:
+                codes, names = pd.factorize(batch.column(c).to_pandas())
+                hot = (codes == np.arange(len(names))[:, None]).astype(float)
+                for name, n in zip(names, hot @ weight):
+                    levels[c, name] = levels.get((c, name), 0.0) + n
+        if not np.isscalar(total):
+            n = total.shape[1]
+            yield records(range(n), [None] * n, [None] * n, list(lo.T) if numeric else [[]] * n, list(hi.T) if numeric else [[]] * n, list(total.T))
+        for (c, name), counts in levels.items():
+            n = len(counts)
+            yield records(range(n), [c] * n, [name] * n, [None] * n, [None] * n, [[k] for k in counts])
+
+    types = [pa.int32(), pa.string(), pa.string(), *[pa.list_(pa.float64())] * 3]
+
+    def records(*columns):
+        arrays = [pa.array(list(c), type=t) for c, t in zip(columns, types)]
+        return pa.RecordBatch.from_arrays(arrays, ["set", "name", "value", "lo", "hi", "sums"])
+
+    made = x.select(F.col(folds).alias("folds"), "obs", "miss", "_ys", *categorical)
+    parts = made.mapInArrow(fold, "set int, name string, value string, lo array<double>, hi array<double>, sums array<double>")
+    none = F.array().cast("array<double>")
+    ends = [F.array(*[f(F.col(c)[j]) for j in range(numeric)]) if numeric else F.first(none) for f, c in ((F.min, "lo"), (F.max, "hi"))]
+    return parts.groupBy("set", "name", "value").agg(sum_vector(F.col("sums")).alias("sums"), ends[0].alias("lo"), ends[1].alias("hi"))
 
 
 def standardised_moments(products: np.ndarray, fill: np.ndarray, vary: np.ndarray, target: int = 0):
@@ -326,30 +365,6 @@ def equal_moments(corr: np.ndarray) -> np.ndarray:
 SAME_ROWS = "set bigint, mean array<double>, scale array<double>, fill array<double>, z array<double>, y double"
 
 
-def rows_with_moments(
-    products: DataFrame, members: DataFrame, fills: DataFrame, group: str, target_of: Callable[[int], int] = lambda s: 0
-) -> DataFrame:
-    """For every training set a few standardised rows with the moments of its own rows;
-    ``target_of`` tells which of the targets a set is fitted to."""
-    spread = members.select(group, F.explode("sets").alias("set"))
-    totals = products.join(spread_side(spread), group).groupBy("set").agg(sum_vector(F.col("products")).alias("products"))
-
-    def shrink(batches):
-        for pdf in batches:
-            for r in pdf.itertuples():
-                mean, scale, corr = standardised_moments(
-                    np.asarray(r.products), np.asarray(r.fill), np.asarray(r.vary), target_of(r.set)
-                )
-                z = equal_moments(corr)
-                n = len(z)
-                yield pd.DataFrame({
-                    "set": [r.set] * n, "mean": [mean] * n, "scale": [scale] * n, "fill": [r.fill] * n,
-                    "z": list(z[:, :-1]), "y": z[:, -1],
-                })
-
-    return totals.join(fills, "set").mapInPandas(shrink, SAME_ROWS)
-
-
 def coordinate_descent(corr: np.ndarray, alpha: float, l1_ratio: float, sd_y: float, max_iter: int):
     """Elastic net on standardised features, from their correlations with one another and with the
     label in the last place: coefficients for the unit label, sweeps, and whether they settled."""
@@ -387,7 +402,9 @@ def fit_sets(same: DataFrame, wanted: Mapping[int, Sequence[tuple[float, float,
             out.append((number, text, float(intercept), coef, first["fill"], sweeps, settled))
         return pd.DataFrame(out, columns=["set", "params", "intercept", "coef", "fill", "n_iter", "converged"])
 
-    return same.where(F.col("set").isin(list(wanted))).groupBy("set").applyInPandas(fit, FITS)
+    # a few kilobytes, but seconds of work: a task a set
+    own = same.where(F.col("set").isin(list(wanted))).repartition(max(1, len(wanted)), "set")
+    return own.groupBy("set").applyInPandas(fit, FITS)
 
 
 FITS = "set bigint, params string, intercept double, coef array<double>, fill array<double>, n_iter int, converged boolean"
@@ -398,74 +415,26 @@ def imputed(fill: Column) -> Column:
     return F.zip_with("obs", F.zip_with("miss", fill, lambda m, f: m * f), lambda a, b: a + b)
 
 
-def inner_scores(
-    rows: DataFrame, inner: DataFrame, fits: DataFrame, group: str, targets: str, target: Column
-) -> DataFrame:
-    """Balanced MAE of every candidate on every inner fold.
+def linear_weights(fit, middle: float = 0.0) -> np.ndarray:
+    """A fit as weights of (1, obs, miss)."""
+    coef = np.asarray(fit["coef"])
+    return np.concatenate([[fit["intercept"] + middle], coef, coef * np.asarray(fit["fill"])])
 
-    All candidates of all folds are one matrix, as large as the design asks; a batch of rows meets
-    it in one product, and a row's errors count where its group is held out, each by one over the
-    rows of its group. A batch yields one row of sums: no row is copied for a fold or a candidate.
-    """
-    spark, folds = rows.sparkSession, ["repeat", "outer_fold", "inner_fold"]
-    log = fits.where("inner_fold > 0").withColumn("_at", target).orderBy(*folds, "params").collect()
-    coef, fill = np.array([r["coef"] for r in log]), np.array([r["fill"] for r in log])
-    matrix = spark.sparkContext.broadcast((
-        np.column_stack([[r["intercept"] for r in log], coef, coef * fill]).T, np.array([r["_at"] for r in log]),
-    ))
-    names = {}
-    for i, r in enumerate(log):
-        names.setdefault(tuple(r[c] for c in folds), []).append(i)
-    place = {name: k for k, name in enumerate(names)}
-    spans = [names[name] for name in place]
-    known = spark.createDataFrame([(*name, k) for name, k in place.items()], "repeat int, outer_fold int, inner_fold int, _k int")
-    judged = inner.join(F.broadcast(known), folds).groupBy(group).agg(F.collect_list("_k").alias("_judges"))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    held = rows.select(group, targets, "obs", "miss").join(sizes.join(judged, group), group)
-    held = held.withColumnRenamed(targets, "_y")
 
-    def errors(batches):
-        weights, at = matrix.value
-        total = np.zeros(len(at))
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1000):
-                part = pdf.iloc[lo : lo + 1000]
-                x = np.column_stack([np.ones(len(part)), np.stack(part["obs"]), np.stack(part["miss"])])
-                y, judges = np.stack(part["_y"]), part["_judges"]
-                row = np.repeat(np.arange(len(part)), judges.str.len())
-                held_out = np.zeros((len(part), len(spans)))
-                held_out[row, np.concatenate(judges.to_numpy())] = 1.0
-                held_out /= part["_n"].to_numpy()[:, None]
-                share = held_out[:, span_of]
-                total += (np.abs(y[:, at] - x @ weights) * share).sum(0)
-        yield pd.DataFrame({"_k": np.arange(len(at)), "_e": total})
-
-    span_of = np.zeros(len(log), dtype=np.int64)
-    for k, span in enumerate(spans):
-        span_of[span] = k
-    # few bytes but much work a row: not to be drawn together into few tasks
-    held = held.select("_y", "obs", "miss", "_n", "_judges").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sums = held.mapInPandas(errors, "_k bigint, _e double")
-    sums = sums.groupBy("_k").agg(F.sum("_e").alias("_e"))
-    counts = inner.join(rows.select(group).distinct(), group).groupBy(*folds).agg(F.count(F.lit(1)).alias("_groups"))
-    text = spark.createDataFrame(
-        [(i, *(r[c] for c in folds), r["params"]) for i, r in enumerate(log)],
-        "_k bigint, repeat int, outer_fold int, inner_fold int, params string",
-    )
-    scored = text.join(sums, "_k").join(F.broadcast(counts), folds)
-    return scored.select(*folds, "params", (F.col("_e") / F.col("_groups")).alias("mae_pb"))
+def design_rows(batch: pa.RecordBatch, obs: str = "obs", miss: str = "miss") -> np.ndarray:
+    o = matrix(batch, obs)
+    return np.column_stack([np.ones(len(o)), o, matrix(batch, miss)])
 
 
 class TrainingSets:
     """Rows folded for every training set of a split, ready for any number of linear fits.
 
-    ``inner``: repeat, outer_fold, group, inner_fold (the groups that train for that outer fold).
-    ``y`` is a number, or an array with an outcome for every outer training set, by
-    (repeat - 1) * n_outer + outer_fold - 1.
+    ``rows``: from ``placed_rows``; ``folds`` names the split. ``y`` is a number, or an array with an outcome
+    for every outer training set, by (repeat - 1) * n_outer + outer_fold - 1.
     """
 
-    def __init__(self, rows, group, y, numeric, categorical, n_outer, n_inner):
-        self.group, self.n_outer, self.n_inner = group, n_outer, n_inner
+    def __init__(self, rows, folds, y, numeric, categorical, n_outer, n_inner):
+        self.folds, self.n_outer, self.n_inner = folds, n_outer, n_inner
         self.each = rows.schema[y].dataType.typeName() == "array"
         known = {c: F.when(is_finite(c), F.col(c).cast("double")) for c in [*numeric, *([] if self.each else [y])]}
         # numbers around their middle, so that products keep a small spread far from zero
@@ -473,25 +442,57 @@ class TrainingSets:
         middle = {c: v if v is not None else 0.0 for c, v in middle.items()}
         self.middle = middle.get(y, 0.0)
         targets = F.col(y) if self.each else F.array(F.col(y).cast("double") - self.middle)
-        rows = rows.withColumns({c: known[c] - F.lit(middle[c]) for c in numeric}).withColumn("_ys", targets)
-        self.rows, self.numeric, self.categorical = rows, numeric, categorical
-        self.x = design(rows, numeric, categorical)
-        self.products = staged(group_products(self.x, group, "_ys"), "products")
-
-    def target(self, repeat: Column, fold: Column) -> Column:
-        return ((repeat - 1) * self.n_outer + fold - 1 if self.each else F.lit(0)).cast("int")
-
-    def same(self, inner: DataFrame) -> DataFrame:
-        """Few rows with the moments of every training set of ``inner``, and the whole ones."""
-        members = staged(set_numbers(inner, self.group, self.n_outer, self.n_inner), "training-sets")
-        fills = set_fills(self.rows, members, self.group, self.numeric, self.categorical)
-        n_outer, parts, each = self.n_outer, self.n_inner + 1, self.each
-
-        def target_of(number: int) -> int:
-            repeat, fold = divmod(int(number) // parts, n_outer + 1)
-            return (repeat - 1) * n_outer + fold - 1 if each else 0
-
-        return staged(rows_with_moments(self.products, members, fills, self.group, target_of), "same-moments")
+        self.numeric, self.categorical = [f"_x{i}" for i in range(len(numeric))], categorical
+        rows = rows.withColumns({x: known[c] - F.lit(middle[c]) for x, c in zip(self.numeric, numeric)})
+        self.x = design(rows.withColumn("_ys", targets), self.numeric, categorical)
+        # the same out of the rows as they were given
+        own = [known[c] - F.lit(middle[c]) for c in numeric]
+        obs, miss = [F.coalesce(v, F.lit(0.0)) for v in own], [v.isNull().cast("double") for v in own]
+        self.columns = F.array(*obs), F.array(*miss)
+
+    def place(self, repeat: int, outer_fold: int) -> int:
+        return (repeat - 1) * self.n_outer + outer_fold - 1
+
+    def moments(self, folds: str = "") -> dict[int, dict]:
+        """n, used, mean, scale, fill and corr (see ``standardised_moments``) of every training set with rows, by its
+        number. What the driver holds is a row per training set."""
+        folds, parts = folds or self.folds, self.n_inner + 1
+        sums = set_products(self.x, folds, len(self.numeric), list(self.categorical), self.n_inner, self.each).collect()
+        found = nested_quantile(self.x, folds, self.numeric, self.n_inner, 0.5, "median").collect() if self.numeric else []
+        median, levels, out = {(r["set"], r["_col"]): r["median"] for r in found}, {}, {}
+        for r in sums:
+            if r["name"] is not None and r["sums"][0] > 0:
+                levels.setdefault((r["set"], r["name"]), {})[r["value"]] = r["sums"][0]
+        for r in sums:
+            if r["name"] is not None or r["sums"][0] == 0:
+                continue
+            fill = [median.get((r["set"], j), 0.0) for j in range(len(self.numeric))]
+            vary = [hi > lo for lo, hi in zip(r["lo"], r["hi"])]
+            for c, names in self.categorical.items():
+                seen = levels.get((r["set"], c), {})
+                mode = min(seen, key=lambda k: (-seen[k], k), default=None)
+                fill += [float(mode == k) for k in names]
+                vary += [k in seen and len(seen) > 1 for k in names]
+            p, flat = len(fill), np.asarray(r["sums"])
+            up, products = np.triu_indices(2 * p + 1), np.zeros((2 * p + 2, 2 * p + 2))
+            products[up], products[:-1, -1] = flat[: len(up[0])], flat[len(up[0]) : -1]
+            products += np.triu(products, 1).T
+            products[-1, -1] = flat[-1]
+            mean, scale, corr = standardised_moments(products.ravel(), np.array(fill), np.array(vary, dtype=bool))
+            whole, inner_fold = divmod(r["set"], parts)
+            repeat, fold = whole // self.n_outer + 1, whole % self.n_outer + 1
+            number = (repeat * (self.n_outer + 1) + fold) * parts + inner_fold
+            used = np.diag(products)[:-1] > 0  # columns of (1, obs, miss) that are not zero in all rows
+            out[number] = {"n": int(flat[0]), "mean": mean, "scale": scale, "fill": fill, "corr": corr, "used": used}
+        return dict(sorted(out.items()))
+
+    def same(self, moments: Mapping[int, Mapping]) -> DataFrame:
+        """Few rows with the moments of every training set."""
+        rows = []
+        for number, m in moments.items():
+            head = number, m["mean"].tolist(), m["scale"].tolist(), m["fill"]
+            rows += [(*head, z[:-1].tolist(), float(z[-1])) for z in equal_moments(m["corr"])]
+        return staged(self.x.sparkSession.createDataFrame(rows, SAME_ROWS), "same-moments")
 
     def fitted(self, same: DataFrame, wanted: Mapping[int, Sequence], max_iter: int) -> DataFrame:
         log = fit_sets(same, wanted, max_iter)
@@ -501,6 +502,40 @@ class TrainingSets:
         return (F.col("repeat") * (self.n_outer + 1) + F.col("outer_fold")) * (self.n_inner + 1) + inner_fold
 
 
+def inner_scores(sets: TrainingSets, fits: DataFrame) -> DataFrame:
+    """Balanced MAE of every candidate on every inner fold.
+
+    All candidates of all folds are one matrix, as large as the design asks; the rows of a batch that an
+    inner fold holds out meet its candidates in one product, and a row's errors count by one over the
+    rows of its group. A task yields one row of sums: no row is copied for a fold or a candidate.
+    """
+    spark, folds, each = sets.x.sparkSession, ["repeat", "outer_fold", "inner_fold"], sets.each
+    log = fits.where("inner_fold > 0").orderBy(*folds, "params").collect()
+    spans: dict[tuple, list[int]] = {}
+    for i, r in enumerate(log):
+        spans.setdefault((sets.place(r["repeat"], r["outer_fold"]), r["inner_fold"]), []).append(i)
+    context = spark.sparkContext.broadcast((np.array([linear_weights(r) for r in log]).T, spans))
+
+    def errors(batches):
+        weights, of = context.value
+        total, groups = np.zeros(weights.shape[-1]), np.zeros(weights.shape[-1])
+        for batch in pieces(batches, ROWS_A_PRODUCT):
+            x, y, share = design_rows(batch), matrix(batch, "_ys"), 1.0 / batch.column("_n").to_numpy()
+            own = matrix(batch, "folds")
+            for (place, fold), span in of.items():
+                at = np.flatnonzero(own[:, place] == fold)
+                error = np.abs(y[at, place if each else 0][:, None] - x[at] @ weights[:, span[0] : span[-1] + 1])
+                total[span] += share[at] @ error
+                groups[span] += share[at].sum()
+        ks = pa.array(np.arange(len(total)))
+        yield pa.RecordBatch.from_arrays([ks, pa.array(total), pa.array(groups)], ["_k", "_e", "_g"])
+
+    held = sets.x.select(F.col(sets.folds).alias("folds"), "_ys", "obs", "miss", "_n")
+    sums = held.mapInArrow(errors, "_k bigint, _e double, _g double").groupBy("_k").agg(F.sum("_e").alias("_e"), F.sum("_g").alias("_g"))
+    scored = [(*(log[r["_k"]][c] for c in [*folds, "params"]), r["_e"] / round(r["_g"])) for r in sums.collect() if round(r["_g"])]
+    return spark.createDataFrame(scored, "repeat int, outer_fold int, inner_fold int, params string, mae_pb double")
+
+
 def nested_elastic_net(
     rows: DataFrame,
     outer: DataFrame,
@@ -517,57 +552,77 @@ def nested_elastic_net(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tune on outer-training groups, refit, predict the held-out groups.
 
-    ``outer``: repeat, group, outer_fold. ``inner`` and ``y``: see ``TrainingSets``. Returns (fit
-    log, selected parameters, predictions). The rows are read for their statistics, for the scores
-    and for the predictions, however many fits there are: a task fits a training set's candidates
-    from its moments.
+    ``outer``: repeat, group, outer_fold; ``inner``: repeat, outer_fold, group, inner_fold (the groups that
+    train for that outer fold). ``y``: see ``TrainingSets``. Returns (fit log, selected parameters,
+    predictions). The rows are read for their statistics, for the scores and for the predictions,
+    however many fits there are: a task fits a training set's candidates from its moments.
     """
-    sets = TrainingSets(rows, group, y, numeric, categorical, n_outer, n_inner)
-    same = sets.same(inner)
-    return _tuned(sets, same, outer, inner, row_id, y, grid, max_iter)
-
-
-def _tuned(sets, same, outer, inner, row_id, y, grid, max_iter) -> tuple[DataFrame, DataFrame, DataFrame]:
-    task, group, points = ["repeat", "outer_fold"], sets.group, candidates(grid)
-    numbers = [r["set"] for r in same.select("set").distinct().collect()]
-    tuned = sets.fitted(same, {n: points for n in numbers if n % (sets.n_inner + 1)}, max_iter)
-    target = sets.target(F.col("repeat"), F.col("outer_fold"))
-    scores = inner_scores(sets.x, inner, tuned, group, "_ys", target)
-    chosen = staged(select_candidates(scores, task, "params", "mae_pb"), "chosen")
-    by_text = {text: (a, r, text) for a, r, text in points}
-    refit = {r["set"]: [by_text[r.params]] for r in chosen.select(sets.number().alias("set"), "params").collect()}
-    final = sets.fitted(same, refit, max_iter)
-    test = sets.x.select(row_id, group, y, "obs", "miss").join(outer, group)
+    placed = placed_rows(rows, outer, {"_folds": inner}, group, n_outer, n_inner)
+    sets = TrainingSets(placed, "_folds", y, numeric, categorical, n_outer, n_inner)
+    tuned, chosen, final = _tuned(sets, grid, max_iter)
+    task = ["repeat", "outer_fold"]
+    test = under_outer_folds(sets.x, row_id, group, y, "obs", "miss")
     scored = test.join(F.broadcast(final.select(*task, "params", "intercept", "coef", "fill")), task)  # a row per outer fold
     pred = F.col("intercept") + dot(imputed(F.col("fill")), F.col("coef")) + sets.middle
     predictions = scored.select(*task, row_id, group, y, "params", pred.alias("y_pred"))
     return tuned.unionByName(final), chosen, predictions
 
 
+def _tuned(sets: TrainingSets, grid: Mapping[str, Sequence], max_iter: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All fits of the inner folds, the parameters chosen, and their fits to the whole training sets."""
+    task, points, moments = ["repeat", "outer_fold"], candidates(grid), sets.moments()
+    same = sets.same(moments)
+    tuned = sets.fitted(same, {n: points for n in moments if n % (sets.n_inner + 1)}, max_iter)
+    chosen = staged(select_candidates(inner_scores(sets, tuned), task, "params", "mae_pb"), "chosen")
+    by_text = {text: (a, r, text) for a, r, text in points}
+    refit = {r["set"]: [by_text[r.params]] for r in chosen.select(sets.number().alias("set"), "params").collect()}
+    return tuned, chosen, sets.fitted(same, refit, max_iter)
+
+
 # --- residual correctors ---------------------------------------------------------------------------
+def listed(values: np.ndarray, known: np.ndarray) -> pa.Array:
+    """A matrix as an array column, missing where not known."""
+    ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
+    return pa.ListArray.from_arrays(ends, pa.array(values.ravel(), mask=~known.ravel()))
+
+
 def cross_fitted(
-    sets: TrainingSets, cross: DataFrame, chosen: DataFrame, grid: Mapping[str, Sequence], max_iter: int
+    sets: TrainingSets, cross: str, chosen: DataFrame, final: DataFrame, keep: Sequence[str],
+    grid: Mapping[str, Sequence], max_iter: int,
 ) -> DataFrame:
-    """The rows with ``context_preds``: for every outer training set, by the place of its target, the
+    """``keep`` of the rows with ``context_preds``: for every outer training set, by the place of its target, the
     prediction of a model fitted to the other cross folds with the parameters chosen there; missing
-    where the row's group is held out. ``cross`` is a split like ``inner``."""
-    same = sets.same(cross)
+    where the row's group is held out. ``cross`` names a split like that of ``sets``. ``_context``: for every
+    repeat the prediction of the model (``final``) of the outer fold that holds the row out."""
     by_text = {text: (a, r, text) for a, r, text in candidates(grid)}
     each = chosen.select("params", F.explode(F.array(*[sets.number(f) for f in range(1, sets.n_inner + 1)])).alias("set"))
-    fits = sets.fitted(same, {r["set"]: [by_text[r.params]] for r in each.collect()}, max_iter)
-    place = ((F.col("repeat") - 1) * sets.n_outer + F.col("outer_fold") - 1).cast("int")
-    judge = F.struct(place.alias("place"), F.struct("intercept", "coef", "fill").alias("fit"))
-    judged = cross.join(F.broadcast(fits), ["repeat", "outer_fold", "inner_fold"]).groupBy(sets.group).agg(
-        F.map_from_entries(F.collect_list(judge)).alias("_by")
-    )
-    last = chosen.agg(F.max(place)).first()[0]
-
-    def predicted(i: Column) -> Column:
-        fit = F.col("_by")[i]
-        return F.when(fit.isNotNull(), fit["intercept"] + dot(imputed(fit["fill"]), fit["coef"]) + sets.middle)
-
-    every = F.transform(F.sequence(F.lit(0), F.lit(last)), predicted)
-    return sets.x.join(judged, sets.group).withColumn("context_preds", every)
+    moments = sets.moments(cross)
+    wanted = {r["set"]: [by_text[r.params]] for r in each.collect() if r["set"] in moments}
+    fits = sets.fitted(sets.same(moments), wanted, max_iter).collect()
+    weights = {(sets.place(r["repeat"], r["outer_fold"]), r["inner_fold"]): linear_weights(r, sets.middle) for r in fits}
+    whole = {(r["repeat"], r["outer_fold"]): linear_weights(r, sets.middle) for r in final.collect()}
+
+    def predicted(batches):
+        for batch in pieces(batches, ROWS_A_PRODUCT):
+            x, folds, outer = design_rows(batch), matrix(batch, "_folds"), matrix(batch, "_fold")
+            inside, inside_known = np.zeros(folds.shape), np.zeros(folds.shape, dtype=bool)
+            for (place, fold), w in weights.items():
+                at = np.flatnonzero(folds[:, place] == fold)
+                inside[at, place], inside_known[at, place] = x[at] @ w, True
+            held, held_known = np.zeros(outer.shape), np.zeros(outer.shape, dtype=bool)
+            for (repeat, fold), w in whole.items():
+                at = np.flatnonzero(outer[:, repeat - 1] == fold)
+                held[at, repeat - 1], held_known[at, repeat - 1] = x[at] @ w, True
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, listed(inside, inside_known), listed(held, held_known)], names=names)
+
+    names = [*keep, "context_preds", "_context"]
+    schema = T.StructType([sets.x.schema[c] for c in keep])
+    for c in names[len(keep) :]:
+        schema = schema.add(c, T.ArrayType(T.DoubleType()))
+    # under names of their own, since folds may be among the columns kept
+    made = sets.x.select(*keep, "obs", "miss", F.col(cross).alias("_folds"), F.col("_outer").alias("_fold"))
+    return made.mapInArrow(predicted, schema)
 
 
 def residual_chain(
@@ -595,25 +650,69 @@ def residual_chain(
     the residual its sensors predict. Row ids must be unique. Returns (repeat, outer_fold, row_id, group, variant, params,
     y_true, y_pred) and the training rows' (row_id, repeat, outer_fold, context_pred, residual).
     """
-    task = ["repeat", "outer_fold"]
-    sets = TrainingSets(rows, group, y, numeric, categorical, n_outer, n_inner)
-    _, chosen, context = _tuned(sets, sets.same(inner), outer, inner, row_id, y, grid, max_iter)
-    context = staged(context.withColumnRenamed(y, "y_true"), "context-predictions")
-    inside = staged(cross_fitted(sets, cross, chosen, grid, max_iter).select(row_id, "context_preds"), "cross-fitted")
+    splits = {"_inner": inner, "_cross": cross, **{f"_own{i}": family_inner[f] for i, f in enumerate(families)}}
+    placed = placed_rows(rows, outer, splits, group, n_outer, n_inner)
+    sets = TrainingSets(placed, "_inner", y, numeric, categorical, n_outer, n_inner)
+    _, chosen, final = _tuned(sets, grid, max_iter)
+    columns = dict.fromkeys(c for own in families.values() for c in own)
+    keep = list(dict.fromkeys([row_id, group, y, *columns, "_n", "_outer", *list(splits)[2:]]))
+    placed = cross_fitted(sets, "_cross", chosen, final, keep, grid, max_iter)
     left = F.transform("context_preds", lambda p: F.coalesce(F.col(y) - p, F.lit(0.0)))
-    placed = staged(rows.join(inside, row_id).withColumn("_left", left), "residual-rows")
-    variants = [context.withColumn("variant", F.lit("ContextOnly"))]
-    for family, columns in families.items():
-        _, _, extra = nested_elastic_net(
-            placed, outer, family_inner[family], row_id, group, "_left", columns, {}, n_outer, n_inner, grid, max_iter
-        )
-        extra = extra.select(*task, row_id, "params", F.col("y_pred").alias("_extra"))
-        both = context.drop("params").join(extra, [*task, row_id]).withColumn("y_pred", F.col("y_pred") + F.col("_extra"))
-        variants.append(both.drop("_extra").withColumn("variant", F.lit(f"Residualized_{family}")))
+    placed = staged(placed.withColumn("_left", left), "residual-rows")
+    models, test = [(final.collect(), sets.middle)], placed
+    for i, own in enumerate(families.values()):
+        sets = TrainingSets(placed, f"_own{i}", "_left", own, {}, n_outer, n_inner)
+        models.append((_tuned(sets, grid, max_iter)[2].collect(), 0.0))
+        made = {c: e for c, e in zip(("obs", "miss"), sets.columns)}
+        test = test.withColumns({f"_{c}{i}": e for c, e in made.items()})
+    predictions = corrected(test, models, ["ContextOnly", *[f"Residualized_{f}" for f in families]], row_id, group, y)
     training = placed.select(row_id, y, F.posexplode("context_preds").alias("_at", "context_pred")).where("context_pred IS NOT NULL")
     training = training.select(
         row_id, (F.floor(F.col("_at") / n_outer) + 1).cast("int").alias("repeat"),
         (F.col("_at") % n_outer + 1).cast("int").alias("outer_fold"), "context_pred",
         (F.col(y) - F.col("context_pred")).alias("residual"),
     )
-    return reduce(DataFrame.unionByName, variants), training
+    return predictions, training
+
+
+def corrected(test: DataFrame, models: Sequence, variants: Sequence[str], row_id: str, group: str, y: str) -> DataFrame:
+    """Every row under every repeat and variant: its context prediction, and that plus each family's residual.
+
+    ``test``: ``_context``, ``_outer`` and the families' columns as ``_obs0``, ``_miss0``, …; ``models``: fits of the
+    context and of every family. A row's predictions are made side by side, so nothing is joined by row."""
+    spark, n = test.sparkSession, len(variants)
+    weights = [{(r["repeat"], r["outer_fold"]): linear_weights(r, middle) for r in fits} for fits, middle in models]
+
+    def predicted(batches):
+        for batch in pieces(batches, ROWS_A_PRODUCT):
+            base, outer = matrix(batch, "_context"), matrix(batch, "_outer")
+            known = np.stack([outer > 0] * n, axis=2)
+            values = np.stack([base] * n, axis=2)
+            for i, own in enumerate(weights[1:]):
+                x, trained, done = design_rows(batch, f"_obs{i}", f"_miss{i}"), matrix(batch, "_trained")[:, 0] > 0, np.zeros(outer.shape, dtype=bool)
+                for (repeat, fold), w in own.items():
+                    at = np.flatnonzero((outer[:, repeat - 1] == fold) & trained)
+                    values[at, repeat - 1, i + 1] += x[at] @ w
+                    done[at, repeat - 1] = True
+                known[:, :, i + 1] &= done
+            for (repeat, fold) in {(r + 1, f) for r in range(outer.shape[1]) for f in np.unique(outer[:, r])} - set(weights[0]):
+                known[outer[:, repeat - 1] == fold, repeat - 1] = False
+            kept = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*kept, listed(values.reshape(len(outer), -1), known.reshape(len(outer), -1))], names=[*keep, "_preds"])
+
+    keep = list(dict.fromkeys([row_id, group, y, "_outer"]))
+    schema = T.StructType([test.schema[c] for c in keep]).add("_preds", T.ArrayType(T.DoubleType()))
+    trained = F.array(F.exists("context_preds", lambda p: p.isNotNull()).cast("int")).alias("_trained")
+    made = [f"_{c}{i}" for i in range(n - 1) for c in ("obs", "miss")]
+    rows = test.select(*keep, "_context", trained, *made).mapInArrow(predicted, schema)
+    rows = rows.select(*keep, F.posexplode("_preds").alias("_at", "y_pred")).where("y_pred IS NOT NULL")
+    repeat = F.floor(F.col("_at") / n).cast("int")
+    rows = rows.select(
+        (repeat + 1).alias("repeat"), F.col("_outer")[repeat].cast("int").alias("outer_fold"), (F.col("_at") % n).alias("_v"),
+        *keep[:-1], "y_pred",
+    )
+    names = [(r["repeat"], r["outer_fold"], v, variants[v], r["params"]) for v, (fits, _) in enumerate(models) for r in fits]
+    names = spark.createDataFrame(names, "repeat int, outer_fold int, _v int, variant string, params string")
+    task = ["repeat", "outer_fold"]
+    rows = rows.join(F.broadcast(names), [*task, "_v"])  # a row per outer fold and variant
+    return rows.select(*task, row_id, group, F.col(y).alias("y_true"), "params", "y_pred", "variant")

@@ -7,13 +7,17 @@ is copied however many repeats, outer and inner folds there are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlift.functions.cleaning import is_finite
+from cohortlift.operators.embeddings import sum_vector
 from cohortlift.operators.joining import spread_side
 from cohortlift.operators.ordered import join_on_keys, value_bucket
 from cohortlift.sources.tables import staged
@@ -44,14 +48,25 @@ def training_quantile(
     finite are left out; a set without values gives no row.
     """
     cells = list(cells)
+
+    def counted(kept: DataFrame) -> DataFrame:
+        counts = kept.groupBy(key, *cells, "_in", "_part").agg(F.count(F.lit(1)).alias("_c"))
+        return _per_set(counts, members, key)
+
+    return _searched(long.select(key, *cells, value), cells, value, prob, out, counted)
+
+
+def _searched(
+    long: DataFrame, cells: Sequence[str], value: str, prob: float, out: str, counted: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """``counted`` gives (set, cells, _in, _part, _c), the counts of every part in every set."""
     by = ["set", *cells, "_in"]
-    kept = long.where(is_finite(value)).select(key, *cells, F.col(value).alias("_x"), F.lit(0.0).alias("_in"))
+    kept = long.where(is_finite(value)).withColumn("_in", F.lit(0.0)).withColumnRenamed(value, "_x")
     wanted = None
     for resolution in (*RESOLUTIONS, None):
         part = F.col("_x") if resolution is None else value_bucket(F.col("_x"), resolution).cast("double")
         kept = kept.withColumn("_part", part)
-        counts = kept.groupBy(key, *cells, "_in", "_part").agg(F.count(F.lit(1)).alias("_c"))
-        counts = _per_set(counts, members, key)
+        counts = counted(kept)
         if wanted is not None:
             counts = join_on_keys(counts, wanted.select(*by).distinct(), by)
         counts = counts.groupBy(*by, "_part").agg(F.sum("_c").alias("_c"))
@@ -125,3 +140,86 @@ def level_counts(long: DataFrame, members: DataFrame, key: str, cells: Sequence[
     """Rows of every (set, cells, value), missing values left out."""
     own = long.where(F.col(value).isNotNull()).groupBy(key, *cells, value).agg(F.count(F.lit(1)).alias("_n"))
     return _per_set(own, members, key).groupBy("set", *cells, value).agg(F.sum("_n").alias("n"))
+
+
+# --- sets of a nested split, as one matrix -----------------------------------------------------------
+ROWS_A_PRODUCT = 5_000
+CELLS_A_BATCH = 20_000
+
+
+def fold_codes(inner: DataFrame, group: str, n_outer: int, n_inner: int, repeats: int) -> DataFrame:
+    """(group, folds): the inner fold of a group for every place (repeat - 1) * n_outer + outer_fold - 1,
+    0 where it does not train. A few bytes a group tell all training sets that it belongs to."""
+    place = (F.col("repeat") - 1) * n_outer + F.col("outer_fold") - 1
+    entry = F.struct(place.cast("int").alias("place"), F.col("inner_fold").cast("smallint").alias("fold"))
+    held = inner.groupBy(group).agg(F.map_from_entries(F.collect_list(entry)).alias("_held"))
+    none = F.lit(0).cast("smallint")
+    folds = F.transform(F.sequence(F.lit(0), F.lit(repeats * n_outer - 1)), lambda i: F.coalesce(F.col("_held")[i], none))
+    return held.select(group, folds.alias("folds"))
+
+
+def inside_sets(folds: np.ndarray, n_inner: int) -> np.ndarray:
+    """Which rows are in which training sets: place by place the whole set, then it without each inner fold."""
+    f = folds[:, :, None]
+    return ((f != 0) & (f != np.arange(n_inner + 1))).reshape(len(folds), -1)
+
+
+def matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    """An array column, all of one length, as a matrix; a missing number is not a number."""
+    column = batch.column(name)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def pieces(batches, rows: int):
+    """Batches cut to at most so many rows, empty ones left out."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def nested_quantile(rows: DataFrame, folds: str, columns: Sequence[str], n_inner: int, prob: float, out: str) -> DataFrame:
+    """``training_quantile`` of every column (``_col``: its place) in all sets of a nested split; ``set``
+    is the place of a set in ``inside_sets``. Counts are added up for all sets at once in the tasks,
+    however many groups there are."""
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_col"), F.col(c).alias("_v")) for i, c in enumerate(columns)]))
+    long = rows.select(F.col(folds).alias("folds"), each.alias("_e")).select("folds", "_e._col", "_e._v")
+    keys = ["_col", "_in", "_part"]
+
+    def fold(batches):
+        found, size = [], 0
+        for batch in pieces(batches, ROWS_A_PRODUCT):
+            inside = inside_sets(matrix(batch, "folds"), n_inner).astype(np.int64)
+            cells = pd.DataFrame({k: batch.column(k).to_numpy() for k in keys})
+            number = cells.groupby(keys, sort=False).ngroup().to_numpy()
+            order = np.argsort(number, kind="stable")
+            starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+            found.append((cells.iloc[order[starts]], np.add.reduceat(inside[order], starts)))
+            size += len(starts)
+            if size > CELLS_A_BATCH:
+                found, size = [merged(found)], 0
+                if len(found[0][0]) > CELLS_A_BATCH // 2:
+                    yield packed(*found.pop())
+        if found:
+            yield packed(*merged(found))
+
+    def merged(found):
+        cells, sums = pd.concat([c for c, _ in found]), np.concatenate([s for _, s in found])
+        number = cells.groupby(keys, sort=False).ngroup().to_numpy()
+        order = np.argsort(number, kind="stable")
+        starts = np.flatnonzero(np.diff(number[order], prepend=-1))
+        return cells.iloc[order[starts]], np.add.reduceat(sums[order], starts)
+
+    def packed(cells, sums):
+        flat = pa.array(sums.astype(float).ravel())
+        ends = pa.array(np.arange(len(sums) + 1, dtype=np.int32) * sums.shape[1])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cells["_col"].to_numpy(np.int32)), pa.array(cells["_in"].to_numpy(float)), pa.array(cells["_part"].to_numpy(float)),
+             pa.ListArray.from_arrays(ends, flat)], [*keys, "sums"],
+        )
+
+    def counted(kept: DataFrame) -> DataFrame:
+        parts = kept.select("folds", *keys).mapInArrow(fold, "_col int, _in double, _part double, sums array<double>")
+        sums = parts.groupBy(*keys).agg(sum_vector(F.col("sums")).alias("sums"))
+        return sums.select(*keys, F.posexplode("sums").alias("set", "_c")).where("_c > 0")
+
+    return _searched(long, ["_col"], "_v", prob, out, counted)

@@ -63,3 +63,46 @@ def test_models_meet_the_conditions_of_a_minimum():
             zero = m.b[1:] == 0
             assert (np.abs(slope[zero]) <= m.l1 + 1e-6).all()
             np.testing.assert_allclose(slope[~zero], -m.l1 * np.sign(m.b[1:][~zero]), atol=1e-6)
+
+
+def test_held_out_precision_of_packed_rows(spark, monkeypatch):
+    """Shipped once a training set, in ranges of the score or whole, the rows rank as they do one by one."""
+    from cohortlift.operators import metrics as mt
+
+    rng = np.random.default_rng(17)
+    n, weights = 3000, {(0, 1): rng.normal(size=(3, 3)), (1, 2): np.array([[0.2, 1.0, 0.0], [0.2, 1.0, 1e-9], [3.0, -9.0, 9.0]])}
+    v = np.column_stack([np.ones(n), rng.integers(-4, 5, n) / 2, rng.normal(size=n)])
+    folds, label = rng.integers(0, 3, (n, 2)), (rng.random(n) < 0.3).astype(float)
+    rows = [(x.tolist(), float(y), f.tolist()) for x, y, f in zip(v, label, folds)]
+    held = spark.createDataFrame(rows, "v array<double>, label double, folds array<smallint>").repartition(3)
+    spread = {k: [(w[0], 1.0) for w in own] for k, own in weights.items()}
+    got = lo.held_out_precision(held, weights, dict.fromkeys(weights, 1), spread)
+    ranged = lo.held_out_precision(held, weights, dict.fromkeys(weights, 4), spread)
+    flat = []
+    for (place, fold), own in weights.items():
+        mine = folds[:, place] == fold
+        for i, w in enumerate(own):
+            flat += [(place, i, float(y), float(p)) for y, p in zip(label[mine], lo.scores(v[mine].T, w))]
+    each = spark.createDataFrame(flat, "place int, i int, y double, p double")
+    for r in mt.ranking_metrics(each, ["place", "i"], "y", "p").collect():
+        key = next(k for k in weights if k[0] == r["place"])
+        np.testing.assert_allclose([got[key][r["i"]], ranged[key][r["i"]]], r["pr_auc"], rtol=1e-12)
+
+
+def test_points_and_rows_shipped_do_not_grow_with_the_grid(spark, monkeypatch):
+    """Where rows are many, candidates of a set stand together: they share points and one shipment of the rows."""
+    rng = np.random.default_rng(3)
+    n = 6000
+    pdf = pd.DataFrame({"row_id": range(n), "grp": np.arange(n) % 24, "a": rng.normal(size=n)})
+    pdf["y"] = (pdf.a + rng.normal(size=n) > 0.5).astype(float)
+    df = spark.createDataFrame(pdf)
+    outer = df.select("grp").distinct().select(F.lit(1).alias("repeat"), "grp", (F.col("grp") % 2 + 1).cast("int").alias("outer_fold"))
+    inner = outer.withColumn("outer_fold", 3 - F.col("outer_fold")).withColumn(
+        "inner_fold", (F.floor(F.col("grp") / 2) % 2 + 1).cast("int")
+    )
+    points, passed = [], lo.passed
+    monkeypatch.setattr(lo, "passed", lambda held, weights, *a: points.append(len(weights)) or passed(held, weights, *a))
+    grid = {"penalty": ["l2"], "c": [1e6, 1e7, 1e8, 1e9, 1e10, 1e11]}
+    got = lo.nested_logistic(df, outer, inner, "row_id", "grp", "y", ["a"], {}, 2, 2, grid)
+    assert got.count() == n
+    assert max(points) <= 4  # sets, of which each has six candidates
