@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlift.operators.joining import spread_side
 from cohortlift.operators.ordered import positions
 from cohortlift.sources.tables import staged
 
@@ -52,11 +53,20 @@ def shuffled_folds(groups: DataFrame, keys: Sequence[str], n_folds: int) -> Data
 
     ``groups``: keys, seed, grp, n. A split with fewer groups than folds fails the job.
     """
+    return _enough(_dealt(_placed(groups, keys, "n"), keys, n_folds), n_folds)
+
+
+def _enough(dealt: DataFrame, n_folds: int) -> DataFrame:
     few = F.raise_error(F.concat(F.lit(f"need at least {n_folds} groups, found "), F.col("_groups").cast("string")))
-    dealt = _dealt(_placed(groups, keys, "n"), keys, n_folds)
     return dealt.withColumn("fold", F.when(F.col("_groups") >= n_folds, F.col("fold")).otherwise(few)).drop("_groups")
 
 
+def shuffled_folds_of_seeds(groups: DataFrame, keys: Sequence[str], n_folds: int, offsets: Sequence[int]) -> list[DataFrame]:
+    """``shuffled_folds`` for several seeds, each ``seed`` plus an offset: groups are ranked once."""
+    placed = staged(_placed(groups, keys, "n"), "placed-groups")
+    return [_enough(_dealt(placed.withColumn("seed", F.col("seed") + o), keys, n_folds), n_folds) for o in offsets]
+
+
 def stratified_folds(groups: DataFrame, keys: Sequence[str], n_folds: int, attempts: int) -> DataFrame:
     """k-fold of groups balanced on positives, under the first seed whose folds are usable.
 
@@ -118,7 +128,8 @@ def inner_groups(
     """Training groups of every (repeat, outer_fold) with the seed of their inner split.
 
     ``outer``: repeat, seed, grp, fold. A group trains for every outer fold but its own.
-    ``seed_of`` may use repeat, seed and outer_fold.
+    ``seed_of`` may use repeat, seed and outer_fold. The file of ``outer`` is far smaller than its
+    exploded rows in memory: neither side is broadcast.
     """
     train = outer.select(
         "repeat",
@@ -129,7 +140,7 @@ def inner_groups(
         ).alias("outer_fold"),
     )
     seeded = train.withColumn("seed", seed_of)
-    return seeded.join(groups.select("grp", "n"), "grp")
+    return spread_side(seeded).join(groups.select("grp", "n"), "grp")
 
 
 def leakage(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
