@@ -106,3 +106,12 @@ def test_points_and_rows_shipped_do_not_grow_with_the_grid(spark, monkeypatch):
     got = lo.nested_logistic(df, outer, inner, "row_id", "grp", "y", ["a"], {}, 2, 2, grid)
     assert got.count() == n
     assert max(points) <= 4  # sets, of which each has six candidates
+
+
+def test_equal_rows_get_equal_scores():
+    """A matrix product rounds a row by where it stands, which would take ties apart."""
+    rng = np.random.default_rng(0)
+    for n in (21, 134, 333):
+        row, weights = np.append(1.0, rng.normal(size=14)), rng.normal(size=(8, 15)) * 0.1
+        for w in weights:
+            assert len(np.unique(lo.scores(np.tile(row, (n, 1)).T, w))) == 1
